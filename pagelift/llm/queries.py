@@ -6,19 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination
+from . import decontamination, minhash
 from .batches import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("starts", "ends")
 
 
 QUERIES: dict[str, Query] = {
+    "op5_minhash_dedup": op5_minhash_dedup,
     "op9_decontamination": op9_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op5_minhash_dedup": minhash.ORACLE_SQL,
     "op9_decontamination": decontamination.ORACLE_SQL,
 }
