@@ -21,9 +21,9 @@ def arrow_type(ddl: str) -> pa.DataType:
 def map_batches(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[dict[str, Any]]], schema: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """df through ``make``, from batches to columns: of flat types named as in ``schema``, and of df's own named in ``carry``. No shuffle."""
     small_batches(df.sparkSession)
-    added = [f.split() for f in schema.split(", ")]
+    added = [f.split() for f in schema.split(", ") if f]
     target = [(name, None) for name in carry] + [(name, arrow_type(kind)) for name, kind in added]
-    full = T.StructType([df.schema[c] for c in carry] + T.StructType.fromDDL(schema).fields)
+    full = T.StructType([df.schema[c] for c in carry] + (T.StructType.fromDDL(schema).fields if schema else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in make(batches):
