@@ -10,20 +10,44 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pagelift.llm import decontamination, minhash, packing, personal, toxicity
 from pagelift.llm.batches import saved, table
-from pagelift.llm.decontamination import remove_spans
 
-#: SQL cannot express the classifiers, the tagger and the packing; tests hold each stage against brute force.
+#: SQL cannot express the classifier, the tagger and the packing; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
-def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is a half or more go."""
+    return toxicity.rejected_out(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by 0.8 of their five-word shingles or more, the one with the least id stays."""
+    return minhash.deduplicated(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages go; so do documents that are mostly benchmark."""
-    return remove_spans(docs, table(spark, sf_dir, "benchmark"))
+    return decontamination.remove_spans(docs, table(spark, sf_dir, "benchmark"))
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is masked."""
+    return personal.redacted(docs, personal.trained())
+
+
+def into_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, as pieces of training sequences."""
+    return packing.packed(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("benchmark decontamination", decontaminated),
+    ("toxicity", without_toxic),
+    ("near-duplicates", without_near_duplicates),
+    ("benchmark decontamination", without_benchmark),
+    ("personal data", without_personal_data),
+    ("packing", into_sequences),
 ]
 
 

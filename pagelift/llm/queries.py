@@ -5,26 +5,77 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontamination, minhash
+from . import decontamination, html_text, licenses, minhash, packing, personal, quality, rules, toxicity, units
 from .batches import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """licenses: template:start:end:matched/words, comma-joined."""
+    one = F.transform("licenses", lambda x: F.concat(x["template"], F.format_string(":%d:%d:%d/%d", x["start"], x["end"], x["matched"], x["words"])))
+    return licenses.scanned(table(spark, sf_dir, "documents")).select("doc_id", "n_licenses", F.concat_ws(",", one).alias("licenses"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.scored(docs, quality.fit(docs, table(spark, sf_dir, "labels"))).drop("lines")
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = rules.judged(docs, rules.fit(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", *rules.STATISTICS, "base_failed", "kept", "anomaly")
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), keep_ids=False).drop("ids")
+
+
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.found(table(spark, sf_dir, "documents"), personal.trained())
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("starts", "ends")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """removed: start:end of each removed unit, comma-joined."""
+    spans = F.transform("removed", lambda s: F.format_string("%d:%d", s["start"], s["end"]))
+    return units.repeats(table(spark, sf_dir, "documents")).withColumn("removed", F.concat_ws(",", spans))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_license_scan": op2_license_scan,
+    "op3_quality": op3_quality,
+    "op4_quality_rules": op4_quality_rules,
     "op5_minhash_dedup": op5_minhash_dedup,
+    "op6_packing": op6_packing,
+    "op7_personal_data": op7_personal_data,
+    "op8_html_extraction": op8_html_extraction,
     "op9_decontamination": op9_decontamination,
+    "op10_substring_dedup": op10_substring_dedup,
 }
+#: Queries that SQL can express; the others are tested against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op5_minhash_dedup": minhash.ORACLE_SQL,
     "op9_decontamination": decontamination.ORACLE_SQL,
+    "op10_substring_dedup": units.ORACLE_SQL,
 }
