@@ -3,10 +3,10 @@
 1. One scan makes a row of fixed size for each document: its number of distinct shingles, a 128-bit digest of the set, and bands of
    a signature that keeps both the minimum and the maximum under every permutation, so that n values cost n / 2 hash evaluations.
 2. Documents with equal sets are one vertex (an aggregate by digest, combined before the shuffle).
-3. Vertices that share a band are candidates. A bucket gives a star to its least member, not its pairs; the stars' connected
-   components are clusters that no link can leave.
+3. Vertices that share a band are candidates. A bucket is named by its least member, not by its pairs; the connected components of
+   these leaders, tied by the vertices that are in several buckets, are clusters that no link can leave.
 4. The sets of each cluster meet once and every link is confirmed on full sets. A cluster of more than ``BLOCK`` vertices is dealt out
-   as pairs of blocks, each a task of bounded size. A task gives a spanning forest of its links, never the pairs.
+   as pairs of blocks, each a task of bounded size. A task gives the least id that each vertex reaches, never the pairs.
 
 The chance that a pair exactly at the threshold shares no band is under one in a million; links are exact.
 """
@@ -161,9 +161,12 @@ def classes(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col: str =
 
     buckets = sets.select("rep", F.explode("bands").alias("bucket"))
     held = saved(buckets.groupBy("bucket").agg(F.min("rep").alias("leader"), F.max("rep").alias("last"), F.count("*").alias("members")).where("members > 1"))
-    many = held.where("members > 2").select("bucket", "leader")
-    stars = buckets.join(many, "bucket").select(F.col("rep").alias("a"), F.col("leader").alias("b")).where("a <> b")
-    cluster = components(stars.unionByName(held.where("members = 2").select(F.col("leader").alias("a"), F.col("last").alias("b"))))
+    pairs = held.where("members = 2").select(F.explode(F.array("leader", "last")).alias("rep"), "leader")
+    member = buckets.join(held.where("members > 2").select("bucket", "leader"), "bucket").select("rep", "leader").unionByName(pairs)
+    # a vertex ties the leaders of its buckets together, so that only leaders need components
+    led = saved(member.groupBy("rep").agg(F.collect_set("leader").alias("leaders")).select("rep", F.array_min("leaders").alias("least"), "leaders"))  # one at most for each band
+    tied = components(led.where("size(leaders) > 1").select("least", F.explode("leaders").alias("other")), "least", "other")
+    cluster = led.join(tied, led["least"] == tied["v"], "left").select(F.col("rep").alias("v"), F.coalesce("label", "least").alias("label"))
 
     vertices = sets.drop("bands").join(cluster.withColumnsRenamed({"v": "rep", "label": "cluster"}), "rep")
     large = vertices.groupBy("cluster").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
@@ -182,37 +185,59 @@ def classes(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col: str =
 
     full = map_batches(read.join(vertices, read["id"] == vertices["rep"]).select("text", "d1", "d2", "cluster", "blocks", "block", "rep"), gather, "shingles binary", ("cluster", "blocks", "block", "rep"))
     dealt = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "shingles")
+    dealt = dealt.select("cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("blocks") == 1).alias("whole"), "block", "rep", "shingles")
     dealt = dealt.repartition(partitions(docs.sparkSession), "cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for members in _groups(batches):
+        for whole, members in _groups(batches):
             found = list(dict.fromkeys(members))  # a repeated row once
             if len(found) > 1:
+                ids = [rep for _, rep, _ in found]
                 links = linked([np.frombuffer(s, np.uint64) for _, _, s in found], [block for block, _, _ in found], percent)
-                yield {"a": [found[i][1] for i, _ in links], "b": [found[j][1] for _, j in links]}
+                least = leasts(ids, links)
+                tied = [i for i in range(len(ids)) if ids[i] != least[i]]
+                yield {"v": [ids[i] for i in tied], "label": [least[i] for i in tied], "whole": [whole] * len(tied)}
 
     id_type = docs.schema[id_col].dataType.simpleString().replace("bigint", "long")
-    links = saved(map_batches(dealt, confirm, f"a {id_type}, b {id_type}"))
-    found = components(links).withColumnsRenamed({"v": "rep", "label": "component"})
+    links = saved(map_batches(dealt, confirm, f"v {id_type}, label {id_type}, whole boolean"))
+    # a cluster of one block is done; the tasks of others each saw two blocks
+    found = links.where("whole").select("v", "label").unionByName(components(links.where("not whole"), "v", "label"))
+    found = found.groupBy("v").agg(F.min("label").alias("component")).withColumnRenamed("v", "rep")
     named = sets.drop("bands", "rep").join(sets.select("rep", "d1", "d2", "n").join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep")).drop("rep"), ["d1", "d2", "n"])
-    out = rows_of.drop("bands").join(named, ["d1", "d2", "n"], "left").withColumn("component", F.coalesce("component", "id"))
+    out = rows_of.drop("bands").join(named, ["d1", "d2", "n"], "left").withColumn("component", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """The (block, rep, shingles) of each run of equal (cluster, lo, hi)."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, list[tuple]]]:
+    """Whether it is a whole cluster, and the (block, rep, shingles), for each run of equal (cluster, lo, hi)."""
     key, members = None, []
     for b in batches:
-        columns = [b.column(c).to_pylist() for c in ("cluster", "lo", "hi", "block", "rep", "shingles")]
-        for cluster, lo, hi, *row in zip(*columns, strict=True):
-            if key != (cluster, lo, hi):
+        columns = [b.column(c).to_pylist() for c in ("cluster", "lo", "hi", "whole", "block", "rep", "shingles")]
+        for cluster, lo, hi, whole, *row in zip(*columns, strict=True):
+            if key != (cluster, lo, hi, whole):
                 if members:
-                    yield members
-                key, members = (cluster, lo, hi), []
+                    yield key[-1], members
+                key, members = (cluster, lo, hi, whole), []
             members.append(tuple(row))
     if members:
-        yield members
+        yield key[-1], members
+
+
+def leasts(ids: list, links: list[tuple[int, int]]) -> list:
+    """The least id that each can reach over links."""
+    root = list(range(len(ids)))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for i, j in links:
+        i, j = top(i), top(j)
+        if i != j:
+            i, j = (i, j) if ids[i] <= ids[j] else (j, i)
+            root[j] = i
+    return [ids[top(i)] for i in range(len(ids))]
 
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", **options: int | str) -> DataFrame:
