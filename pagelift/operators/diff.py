@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from itertools import zip_longest
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .grouped import met
 
 #: Cells of a comparison; beyond, everything goes and everything comes.
 MOST_CELLS = 250_000
@@ -103,29 +105,19 @@ def block_changes(before: DataFrame, after: DataFrame, keys: tuple[str, ...] = (
     Blocks have seq, key and signature. Their keys are compared as sequences. In a stretch of changes, a key that is unique on both sides is a move, and
     the other removed and added blocks are paired in order as replacements. One group is one document (or page, by ``keys``).
     """
-    fields = [before.schema[k] for k in keys]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", change_no int, kind string, before_seq bigint, after_seq bigint, removed int, added int"
-
-    def compare(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = a.sort_values("seq"), b.sort_values("seq")
-        ka, kb = list(a["key"]), list(b["key"])
-        sa, sb = [int(x) for x in a["seq"]], [int(x) for x in b["seq"]]
-        single = {k for k in set(ka) & set(kb) if ka.count(k) == 1 and kb.count(k) == 1}
+    def compare(a: list[dict], b: list[dict]) -> Iterator[tuple]:
+        ka, kb = [x["key"] for x in a], [x["key"] for x in b]
+        once_a, once_b = Counter(ka), Counter(kb)
+        place = {k: j for j, k in enumerate(kb)}
+        single = {k for k in once_a if once_a[k] == 1 and once_b[k] == 1}
         rows: list[tuple] = []
 
-        def words(k: str | None) -> int:
-            return len((k or "").split())
-
         def close(gone: list[int], come: list[int]) -> None:
-            for i in [i for i in gone if ka[i] in single]:
-                j = kb.index(ka[i])
-                rows.append(("moved", sa[i], sb[j], 0, 0))
-            gone, come = [i for i in gone if ka[i] not in single], [j for j in come if kb[j] not in single]
-            for n in range(max(len(gone), len(come))):
-                i, j = (gone[n] if n < len(gone) else None), (come[n] if n < len(come) else None)
-                kind = "replaced" if i is not None and j is not None else "removed" if j is None else "added"
-                ops = sequence_diff((ka[i] if i is not None else "").split(), (kb[j] if j is not None else "").split())
-                rows.append((kind, None if i is None else sa[i], None if j is None else sb[j], sum(t == "del" for t, _ in ops), sum(t == "add" for t, _ in ops)))
+            rows.extend(("moved", a[i]["seq"], b[place[ka[i]]]["seq"], 0, 0) for i in gone if ka[i] in single)
+            for i, j in zip_longest((i for i in gone if ka[i] not in single), (j for j in come if kb[j] not in single)):
+                kind = "added" if i is None else "removed" if j is None else "replaced"
+                ops = Counter(t for t, _ in sequence_diff(_words(ka, i), _words(kb, j)))
+                rows.append((kind, None if i is None else a[i]["seq"], None if j is None else b[j]["seq"], ops["del"], ops["add"]))
 
         i = j = 0
         gone: list[int] = []
@@ -134,8 +126,8 @@ def block_changes(before: DataFrame, after: DataFrame, keys: tuple[str, ...] = (
             if kind == "same":
                 close(gone, come)
                 gone, come = [], []
-                if a["signature"].iloc[i] != b["signature"].iloc[j]:
-                    rows.append(("formatted", sa[i], sb[j], 0, 0))
+                if a[i]["signature"] != b[j]["signature"]:
+                    rows.append(("formatted", a[i]["seq"], b[j]["seq"], 0, 0))
                 i, j = i + 1, j + 1
             elif kind == "del":
                 gone.append(i)
@@ -144,13 +136,17 @@ def block_changes(before: DataFrame, after: DataFrame, keys: tuple[str, ...] = (
                 come.append(j)
                 j += 1
         close(gone, come)
-        out = pd.DataFrame([(*key, n + 1, *r) for n, r in enumerate(rows)], columns=[*keys, "change_no", "kind", "before_seq", "after_seq", "removed", "added"])
-        return out.astype({"before_seq": "Int64", "after_seq": "Int64"})
+        for n, row in enumerate(rows):
+            yield n + 1, *row
 
     def blocks(df: DataFrame) -> DataFrame:
-        return df.select(*keys, F.col("seq").cast("long").alias("seq"), "key", "signature")
+        return df.select(*keys, F.col("seq").cast("long").alias("seq"), F.coalesce("key", F.lit("")).alias("key"), "signature")
+
+    return met(blocks(before), blocks(after), keys, compare, "change_no int, kind string, before_seq bigint, after_seq bigint, removed int, added int")
+
 
-    return blocks(before).groupBy(*keys).cogroup(blocks(after).groupBy(*keys)).applyInPandas(compare, schema)
+def _words(keys: list[str], i: int | None) -> list[str]:
+    return [] if i is None else keys[i].split()
 
 
 #: The parts of an entry's format, in the order in which their changes are told.

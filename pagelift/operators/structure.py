@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .grouped import met
 
 #: How far a style's chain of ancestors is followed; chains are short, and cycles end earlier.
 MOST_ANCESTORS = 32
@@ -181,24 +183,18 @@ def planned(blocks: DataFrame, plan: DataFrame, keys: tuple[str, ...] = ("doc_id
     """(keys, seq, plan_seq): an ordered merge of blocks with a plan, by text key. A block takes the first exact key at or after the cursor; else, from
     ``look_back`` before it, one that is exact or shares a beginning of 40 characters, ``least_prefix`` at least. What is taken is used up and moves
     the cursor on. One group is one document."""
-    def merge(b: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        entries = sorted(zip(p["plan_seq"], p["text_key"], strict=True))
-        taken, cursor, out = [False] * len(entries), 0, []
-        for row in b.sort_values("seq").itertuples(index=False):
-            key = row.text_key
-            hit = next((i for i in range(cursor, len(entries)) if not taken[i] and entries[i][1] == key), None)
+    def merge(rows: list[dict], entries: list[dict]) -> Iterator[tuple]:
+        taken, cursor = [False] * len(entries), 0
+        for row in rows:
+            key = row["text_key"]
+            hit = next((i for i in range(cursor, len(entries)) if not taken[i] and entries[i]["text_key"] == key), None)
             if hit is None:
-                hit = next((i for i in range(max(0, cursor - look_back), len(entries)) if not taken[i] and _alike(entries[i][1], key, least_prefix)), None)
+                hit = next((i for i in range(max(0, cursor - look_back), len(entries)) if not taken[i] and _alike(entries[i]["text_key"], key, least_prefix)), None)
             if hit is not None:
                 taken[hit], cursor = True, hit + 1
-                out.append((*[getattr(row, k) for k in keys], row.seq, entries[hit][0]))
-        return pd.DataFrame(out, columns=[*keys, "seq", "plan_seq"])
+                yield row["seq"], entries[hit]["plan_seq"]
 
-    fields = [blocks.schema[k] for k in keys]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", seq bigint, plan_seq bigint"
-    left = blocks.select(*keys, F.col("seq").cast("long").alias("seq"), "text_key").groupBy(*keys)
-    right = plan.select(*keys, F.col("plan_seq").cast("long").alias("plan_seq"), "text_key").groupBy(*keys)
-    return left.cogroup(right).applyInPandas(merge, schema)
+    return met(blocks.select(*keys, F.col("seq").cast("long").alias("seq"), "text_key"), plan.select(*keys, F.col("plan_seq").cast("long").alias("plan_seq"), "text_key"), keys, merge, "seq bigint, plan_seq bigint")
 
 
 def _alike(a: str, b: str, least: int) -> bool:
@@ -212,23 +208,16 @@ def _alike(a: str, b: str, least: int) -> bool:
 
 def spaced(blocks: DataFrame, spacing: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(keys, seq, lines): an ordered merge of blocks with writing spaces; where a key repeats in the document, the key of the following block must match too."""
-    def merge(b: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("seq")
-        plan = sorted(zip(p["after_seq"], p["after_key"], p["next_key"], p["lines"], strict=True), key=lambda x: x[0])
-        block_keys = list(b["text_key"])
-        repeated = {k for k in block_keys if block_keys.count(k) > 1}
-        cursor, out = 0, []
-        for i, row in enumerate(b.itertuples(index=False)):
-            after = block_keys[i + 1] if i + 1 < len(block_keys) else None
+    def merge(rows: list[dict], plan: list[dict]) -> Iterator[tuple]:
+        counts = Counter(row["text_key"] for row in rows)
+        cursor = 0
+        for row, after in zip(rows, [*rows[1:], None]):
+            key = row["text_key"]
             for j in range(cursor, len(plan)):
-                _, key, then, lines = plan[j]
-                if key == row.text_key and (key not in repeated or then == after):
-                    out.append((*[getattr(row, k) for k in keys], row.seq, lines))
+                if plan[j]["after_key"] == key and (counts[key] == 1 or after is not None and plan[j]["next_key"] == after["text_key"] or after is None and plan[j]["next_key"] is None):
+                    yield row["seq"], plan[j]["lines"]
                     cursor = j + 1
                     break
-        return pd.DataFrame(out, columns=[*keys, "seq", "lines"])
 
-    fields = [blocks.schema[k] for k in keys]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", seq bigint, lines int"
-    left = blocks.select(*keys, F.col("seq").cast("long").alias("seq"), "text_key").groupBy(*keys)
-    return left.cogroup(spacing.groupBy(*keys)).applyInPandas(merge, schema)
+    spaces = spacing.select(*keys, F.col("after_seq").cast("long").alias("after_seq"), "after_key", "next_key", F.col("lines").cast("int").alias("lines"))
+    return met(blocks.select(*keys, F.col("seq").cast("long").alias("seq"), "text_key"), spaces, keys, merge, "seq bigint, lines int")

@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from pagelift.plans import catalog
+from pagelift.plans import catalog, more  # noqa: F401  (registers further queries)
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
