@@ -40,4 +40,4 @@ def met(left: DataFrame, right: DataFrame, keys: tuple[str, ...], rule: Callable
     return both.mapInArrow(run, schema)
 
 
-_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64()}
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(), "array<string>": pa.list_(pa.string())}
