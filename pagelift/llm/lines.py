@@ -33,7 +33,7 @@ class Lines:
     """Lines with a word: ``x`` (N figures for each), ``chars``, ``words``, and in ``first`` where each text's lines begin."""
 
     def __init__(self, texts: list[bytes]) -> None:
-        w = Words(texts, AS_IS)
+        w = Words([*texts, b""], AS_IS)  # the last line ends too
         raw = np.frombuffer(w.data, np.uint8)
         cuts = np.flatnonzero(raw == 10)
         begin = np.concatenate([[0], cuts + 1])

@@ -125,7 +125,7 @@ def test_forest():
     x = np.concatenate([rng.normal(size=(500, 2)), [[8.0, 8.0]]])
     forest = rules.Forest().fit(x)
     assert forest.anomaly(x).argmax() == 500
-    assert rules.calibrated(np.array([0.1, 0.2, 0.3, 0.9]), np.array([True, True, True, False]), 0.0) == pytest.approx(0.6)
+    assert rules.calibrated(np.array([0.1, 0.2, 0.3, 0.9]), np.array([True, True, True, False]), 8.0, 0.02) == pytest.approx(0.6)
 
 
 def test_pipeline(spark, tables):
