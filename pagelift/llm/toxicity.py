@@ -32,7 +32,10 @@ SECOND_PERSON = frozenset("you your yours yourself yourselves u ur du dich dir d
 _EDGES = ".,;:!?\"'()[]{}<>#*$%&|~^=+-_/\\`«»“”„’‘…¡¿"
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"} | dict.fromkeys("*.-_~^'|", None))
 _MIXED = re.compile(r"[^\W\d_][\d@$!*_.~^|-]+[^\W\d_]")
-_UPPER, _LETTER, _PUNCT = re.compile(r"[A-ZÄÖÜÉÈÊÀÇÑÍÓÁÚ]"), re.compile(r"[^\W\d_]"), re.compile(r"[^\w\s]")
+#: Which bytes are capitals, letters (beyond ASCII by their first byte) and punctuation.
+_UPPER = np.array([65 <= b <= 90 for b in range(256)], np.int64)
+_LETTER = np.array([65 <= b <= 90 or 97 <= b <= 122 or b >= 0xC3 for b in range(256)], np.int64)
+_PUNCT = np.array([33 <= b <= 126 and not chr(b).isalnum() and b != 95 for b in range(256)], np.int64)
 _CAPS = re.compile(r"\b[A-ZÄÖÜÉÈÊÀÇÑÍÓÁÚ]{3,}\b")
 
 FEATURES = ("hits", "hit density", "weight density", "highest weight", "different hits", "nearness to second person", "second person density", "capitals", "capital words", "punctuation", "exclamations", "obfuscated", "obfuscated hits", "words")
@@ -92,11 +95,12 @@ def features(text: str, marks: _Marks) -> list[float]:
     hits = [(i, m) for i, m in marked if m[0]]
     second = np.array([i for i, m in marked if m[2]])
     near = max((1 / (1 + float(np.abs(second - i).min())) for i, _ in hits), default=0.0) if len(second) else 0.0
-    letters, chars = max(1, len(_LETTER.findall(text))), max(1, len(text))
+    counts = np.bincount(np.frombuffer(text.encode(), np.uint8), minlength=256)
+    letters, chars = max(1, int(counts @ _LETTER)), max(1, len(text))
     total = sum(m[0] for _, m in hits)
     return [
-        math.log1p(len(hits)), len(hits) / n, total / n, max((m[0] for _, m in hits), default=0.0), len({words[i] for i, _ in hits}), near, len(second) / n, len(_UPPER.findall(text)) / letters,
-        len(_CAPS.findall(text)) / n, len(_PUNCT.findall(text)) / chars, text.count("!") / chars, len(_MIXED.findall(text)) / n, sum(m[1] for _, m in hits), math.log1p(n),
+        math.log1p(len(hits)), len(hits) / n, total / n, max((m[0] for _, m in hits), default=0.0), len({words[i] for i, _ in hits}), near, len(second) / n, int(counts @ _UPPER) / letters,
+        len(_CAPS.findall(text)) / n, int(counts @ _PUNCT) / chars, text.count("!") / chars, len(_MIXED.findall(text)) / n, sum(m[1] for _, m in hits), math.log1p(n),
     ]
 
 
