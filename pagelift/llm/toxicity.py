@@ -23,7 +23,9 @@ from .learning import Isotonic, Trees, crossed, held_out, sample
 #: Labelled rows that are learnt from, half of them toxic where there are so many.
 BOUND = 12_000
 MOST_ENTRIES = 4_000
-LEAST_ROWS, LEAST_ODDS = 3, 2.5
+#: An entry needs so many toxic rows, such log odds, and such a score (in standard deviations) of the difference of its shares, so that of the very many rare words
+#: of a small sample hardly any gets in by chance.
+LEAST_ROWS, LEAST_ODDS, LEAST_SCORE = 3, 2.5, 5.5
 _STEMS = (4, 5, 6)
 _KEPT_WORDS = 200_000
 
@@ -54,7 +56,9 @@ class Lexicon:
         """Log odds of each entry that counts; for a row that the counts hold, without that row (its label is given)."""
         if label not in self.tables:
             minus = (float(label == 1), float(label == 0))
-            odds = {w: odds_of(t - minus[0], max(0.0, n - minus[1]), self.toxic - minus[0], self.other - minus[1]) for w, (t, n) in self.counts.items() if t - minus[0] >= LEAST_ROWS}
+            toxic, other = self.toxic - minus[0], self.other - minus[1]
+            left = {w: (t - minus[0], max(0.0, n - minus[1])) for w, (t, n) in self.counts.items()}
+            odds = {w: odds_of(t, n, toxic, other) for w, (t, n) in left.items() if t >= LEAST_ROWS and score_of(t, n, toxic, other) >= LEAST_SCORE}
             self.tables[label] = {w: o for w, o in odds.items() if o >= LEAST_ODDS}
         return self.tables[label]
 
@@ -63,6 +67,11 @@ def odds_of(t: float, n: float, toxic: float, other: float) -> float:
     return math.log((t + 0.25) / (toxic + 0.5)) - math.log((n + 0.25) / (other + 0.5))
 
 
+def score_of(t: float, n: float, toxic: float, other: float) -> float:
+    share = (t + n) / max(toxic + other, 1)
+    return (t / max(toxic, 1) - n / max(other, 1)) / math.sqrt(max(share * (1 - share), 1e-12) * (1 / max(toxic, 1) + 1 / max(other, 1)))
+
+
 class _Marks(dict):
     """From a word to (weight, obfuscated hit, second person), or to None; keeps so many words at most."""
 
@@ -118,7 +127,9 @@ def mined(rows: DataFrame, weight: dict[int, float]) -> Lexicon:
     total = rows.agg(*per_label).first()
     toxic, other = max(1, total.n1), max(1, total.n0)
     odds = F.log((F.col("n1") + 0.25) / (toxic + 0.5)) - F.log((F.col("n0") + 0.25) / (other + 0.5))
-    best = each.where((F.col("n1") >= LEAST_ROWS) & (odds >= LEAST_ODDS)).orderBy((odds * F.col("n1")).desc(), "entry").limit(MOST_ENTRIES).collect()
+    share = (F.col("n0") + F.col("n1")) / (toxic + other)
+    score = (F.col("n1") / toxic - F.col("n0") / other) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * (1 / toxic + 1 / other))
+    best = each.where((F.col("n1") >= LEAST_ROWS) & (odds >= LEAST_ODDS) & (score >= LEAST_SCORE - 1)).orderBy((odds * F.col("n1")).desc(), "entry").limit(MOST_ENTRIES).collect()
     return Lexicon({r.entry: (r.n1, r.n0) for r in best}, toxic, other)
 
 
