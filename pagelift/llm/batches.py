@@ -27,7 +27,7 @@ def map_batches(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in make(batches):
-            yield pa.RecordBatch.from_arrays([columns[n] if k is None else pa.array(columns[n], k) for n, k in target], names=[n for n, _ in target])
+            yield pa.RecordBatch.from_arrays([columns[n] if k is None or isinstance(columns[n], pa.Array) else pa.array(columns[n], k) for n, k in target], names=[n for n, _ in target])
 
     return df.mapInArrow(run, full)
 

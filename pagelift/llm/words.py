@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
@@ -53,14 +53,18 @@ class Words:
 
     __slots__ = ("data", "hashes", "starts", "ends", "first")
 
-    def __init__(self, texts: list[bytes], table: bytes) -> None:
+    def __init__(self, texts: list[bytes], table: bytes, cut: Callable[[np.ndarray], np.ndarray] | None = None) -> None:
+        """``cut``: from the bytes to where a word begins even if none has ended."""
         self.data = b"\n".join(texts).translate(table)
         raw = np.frombuffer(self.data, np.uint8)
         n = len(raw)
         gap = np.ones(n + 2, bool)
         gap[1:-1] = _SPACE[raw]
-        self.starts = np.flatnonzero(gap[:-2] & ~gap[1:-1])
-        self.ends = np.flatnonzero(~gap[1:-1] & gap[2:]) + 1
+        fresh = np.zeros(n + 1, bool)
+        if cut is not None:
+            fresh[:n] = cut(raw)
+        self.starts = np.flatnonzero((gap[:-2] | fresh[:n]) & ~gap[1:-1])
+        self.ends = np.flatnonzero(~gap[1:-1] & (gap[2:] | fresh[1:])) + 1
         up, down = _POWERS.upto(n + 1)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(_TABLE[raw] * up[:n], out=total[1:])
@@ -69,6 +73,16 @@ class Words:
         np.cumsum([len(t) + 1 for t in texts], out=begin[1:])
         self.first = np.searchsorted(self.starts, begin)
 
+    def spans(self, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two independent 64-bit digests of the words from each begin to its end."""
+        up, down = _POWERS.upto(len(self.hashes) + 1)
+        out = []
+        for salt in (U64(0), U64(0xA5A5A5A5A5A5A5A5)):
+            total = np.zeros(len(self.hashes) + 1, np.uint64)
+            np.cumsum(mix(self.hashes ^ salt) * up[: len(self.hashes)], out=total[1:])
+            out.append(mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64)))
+        return out[0], out[1]
+
     def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the n words from each word on, and whether all n lie in one text."""
         m = len(self.hashes)

@@ -119,13 +119,20 @@ def data_url(media_type: Column, content: Column) -> Column:
     return F.when(media_type.startswith("image/"), F.concat(F.lit("data:"), media_type, F.lit(";base64,"), F.base64(content)))
 
 
+#: Rows of the dimension of devices.
+MOST_DEVICES = 1_000
+
+
 def image_variants(uses: DataFrame, devices: DataFrame) -> DataFrame:
     """uses (image_id, width, height, media_type) for each device (device, orientation, width_px, height_px, colour), each image converted once: size inside the
     screen, tone and format. ``devices`` is a table of a few rows, checked to be so."""
-    if devices.limit(1_001).count() > 1_000:
-        raise ValueError("devices is a dimension of at most 1,000 rows")
+    held = devices.limit(MOST_DEVICES + 1).collect()
+    if len(held) > MOST_DEVICES:
+        raise ValueError(f"devices is a dimension of at most {MOST_DEVICES} rows")
     images = uses.groupBy("image_id").agg(*[F.min(c).alias(c) for c in ("width", "height", "media_type")])
-    both = images.crossJoin(F.broadcast(devices))  # a row for each image and device is the result asked for
+    names = ("device", "orientation", "width_px", "height_px", "colour")
+    each = F.array(*[F.struct(*[F.lit(d[n]).alias(n) for n in names]) for d in held]) if held else F.array().cast("array<struct<device:string,orientation:string,width_px:int,height_px:int,colour:boolean>>")
+    both = images.withColumn("d", F.explode(each)).select(*images.columns, "d.*")  # a row for each image and device is the result asked for
     size = N.fitted(F.col("width"), F.col("height"), F.col("width_px"), F.col("height_px"))
     jpeg = F.col("colour") & (F.col("media_type") == "image/jpeg")
     return both.select("image_id", "device", "orientation", size["width"].alias("out_width"), size["height"].alias("out_height"), F.when(F.col("colour"), F.lit("colour")).otherwise(F.lit("dither")).alias("tone"), F.when(jpeg, F.lit("image/jpeg")).otherwise(F.lit("image/png")).alias("out_type"))

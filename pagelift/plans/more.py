@@ -79,7 +79,7 @@ def numbering_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     paragraphs = table(spark, sf_dir, "lineitem").select(F.lit(1).alias("doc_id"), "l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", (F.col("l_suppkey") % 40).alias("num_id"), (F.col("l_linenumber") % 4).cast("long").alias("ilvl"))
     nums = table(spark, sf_dir, "supplier").where("s_suppkey < 30").select(F.lit(1).alias("doc_id"), F.col("s_suppkey").alias("num_id"), (F.col("s_suppkey") % 5).alias("abstract_id"))
     kinds = F.array(*[F.lit(k) for k in ("lowerLetter", "bullet", "decimal", "upperRoman")])
-    levels = spark.range(4).withColumnRenamed("id", "abstract_id").crossJoin(spark.range(3).withColumnRenamed("id", "ilvl"))  # a literal table of twelve rows
+    levels = spark.range(4).select(F.col("id").alias("abstract_id"), F.explode(F.array(*[F.lit(i).cast("long") for i in range(3)])).alias("ilvl"))
     levels = levels.select(F.lit(1).alias("doc_id"), "abstract_id", "ilvl", F.get(kinds, ((F.col("abstract_id") + F.col("ilvl")) % 4).cast("int")).alias("format"), F.concat(F.lit("%"), (F.col("ilvl") + 1).cast("string"), F.lit(".")).alias("level_text"))
     return structure.numbered(paragraphs, nums, levels).select("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "format", "level_text")
 
