@@ -289,7 +289,7 @@ def style_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT l_orderkey, l_partkey, l_suppkey, l_extendedprice, coalesce(direct, def OR (coalesce(t, false) <> coalesce(p, false)) <> coalesce(c, false)) AS toggle, coalesce(direct, c, p, t, def, false) AS override, v AND lower(l_returnflag) <> 'n' AS on_off FROM (
+SELECT l_orderkey, l_partkey, l_suppkey, l_extendedprice, coalesce(direct, def OR (coalesce(t, false) <> coalesce(p, false)) <> coalesce(c, false)) AS toggle, coalesce(direct, c, p, t, def, false) AS override, CASE WHEN v THEN lower(l_returnflag) <> 'n' END AS on_off FROM (
  SELECT *, CAST(l_quantity AS INT) % 7 = 0 AS def, CASE CAST(l_quantity AS INT) % 3 WHEN 0 THEN true WHEN 1 THEN false END AS t, CASE l_linenumber % 3 WHEN 0 THEN true WHEN 1 THEN false END AS p, CASE l_suppkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS c, CASE l_partkey % 4 WHEN 0 THEN true WHEN 1 THEN false END AS direct, CASE WHEN l_linenumber > 1 THEN true END AS v FROM lineitem)""")
 def trait_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MAP-2, MAP-3, MAP-4."""
@@ -415,7 +415,7 @@ def image_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH e AS (SELECT event_id, value, event_id % 5 AS k FROM events), v AS (SELECT *, CASE k WHEN 0 THEN value ELSE NULL END AS f FROM e)
 SELECT event_id, CASE WHEN k = 0 THEN 'sage' ELSE 'libra-colour' END AS device, CASE WHEN k = 0 THEN 'landscape' ELSE 'portrait' END AS orientation,
- CASE WHEN k = 0 THEN least(4.8, greatest(2.6, round(2.6 + floor((least(4.8, greatest(2.6, value)) - 2.6) / 0.2 + 0.5) * 0.2, 6))) WHEN k = 1 THEN 2.6 ELSE 3.6 END AS font, CASE WHEN k = 0 THEN 12.0 WHEN k = 2 THEN 16.0 ELSE 8.0 END AS margin, k <> 0 AS chrome FROM v""")
+ CASE WHEN k = 0 THEN least(4.8, greatest(2.6, round(2.6 + floor((least(4.8, greatest(2.6, value)) - 2.6) / 0.2 + 0.5) * 0.2, 6))) WHEN k = 1 THEN 2.6 ELSE 3.6 END AS font, CAST(CASE WHEN k = 0 THEN 12.0 WHEN k = 2 THEN 16.0 ELSE 8.0 END AS DOUBLE) AS margin, k <> 0 AS chrome FROM v""")
 def prefs_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSN-1, MTH-4, SRC-15."""
     k = F.col("event_id") % 5

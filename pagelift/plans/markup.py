@@ -86,7 +86,7 @@ def built_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH t AS (SELECT page_id, url, page_id % 3 AS k FROM pages)
-SELECT page_id, CASE k WHEN 0 THEN 'top' WHEN 1 THEN 'middle' ELSE 'top' END AS zone, CAST(CASE k WHEN 0 THEN 0 WHEN 1 THEN 8 ELSE 3 END AS INTEGER) AS "offset", CASE k WHEN 0 THEN 0.0 WHEN 1 THEN 0.8 ELSE 0.25 END AS top, CASE WHEN page_id > 0 THEN page_id END AS source_page, k <> 2 AS changed FROM t""")
+SELECT page_id, CASE k WHEN 0 THEN 'top' WHEN 1 THEN 'middle' ELSE 'top' END AS zone, CAST(CASE k WHEN 0 THEN 0 WHEN 1 THEN 8 ELSE 3 END AS INTEGER) AS "offset", CAST(CASE k WHEN 0 THEN 0.0 WHEN 1 THEN 0.8 ELSE 0.25 END AS DOUBLE) AS top, CASE WHEN page_id > 0 THEN page_id END AS source_page, k <> 2 AS changed FROM t""")
 def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TRE-1 page clamps, DIF-7."""
     k, none = F.col("page_id") % 3, F.lit(None)

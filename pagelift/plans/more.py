@@ -17,7 +17,7 @@ from .catalog import _SEQ, _WS, doc_lines, query, sequenced, table
 WITH i AS (SELECT p_partkey // 40 AS page, p_partkey % 40 AS n, p_size FROM part), t AS (SELECT page, n AS item_seq, CASE WHEN n % 2 = 0 THEN 72.0 ELSE 330.0 END AS x, 800.0 - 18 * (n // 2) AS y, CASE WHEN page % 3 < 2 THEN 150.0 + p_size ELSE 150.0 + 3 * p_size END AS width, count(*) OVER (PARTITION BY page) AS n_items FROM i),
 c AS (SELECT *, x < 201 AS l, x < 201 AND x + width > 330 - 596 * 0.008 AS crosses FROM t WHERE n_items >= 14),
 a AS (SELECT page, count(DISTINCT CASE WHEN l THEN round(y / 6) END) AS ll, count(DISTINCT CASE WHEN NOT l THEN round(y / 6) END) AS rl, max(CASE WHEN l THEN y END) - min(CASE WHEN l THEN y END) AS ls, max(CASE WHEN NOT l THEN y END) - min(CASE WHEN NOT l THEN y END) AS rs, count(*) FILTER (WHERE crosses) AS nc, coalesce(sum(CASE WHEN crosses THEN 10 END), 0) AS ct, coalesce(sum(CASE WHEN l THEN 10 END), 0) AS lt FROM c GROUP BY page)
-SELECT page, 201.0 AS split, 258.0 + 4 * least(ll, rl) + 40 * (least(ls, rs) / 842.0) AS score FROM a WHERE least(ll, rl) >= 7 AND least(ls, rs) / 842.0 >= 0.38 AND NOT (nc >= 3 AND ct > 0.2 * lt)""")
+SELECT page, CAST(201.0 AS DOUBLE) AS split, 258.0 + 4 * least(ll, rl) + 40 * (least(ls, rs) / 842.0) AS score FROM a WHERE least(ll, rl) >= 7 AND least(ls, rs) / 842.0 >= 0.38 AND NOT (nc >= 3 AND ct > 0.2 * lt)""")
 def reading_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SEQ-4, SEQ-5, JN-10, AGG-15, SRT-4: pages of 40 parts in two columns."""
     n, page, size = F.col("p_partkey") % 40, F.floor(F.col("p_partkey") / 40), F.col("p_size")
