@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagelift.operators import diff, images, layout, package, structure
+from pagelift.operators import diff, images, layout, markup, package, structure, tables
 from pagelift.sources import documents as S
 
 PNG = base64.b64encode(bytes.fromhex("89504E470D0A1A0A") + b"rest").decode()
@@ -171,3 +171,37 @@ def test_preferences(spark):
     got = {r.n: (r.device, r.orientation, r.font, r.margin, r.chrome) for r in S.preferences(df).collect()}
     assert got[1] == ("sage", "landscape", pytest.approx(4.2), 12, False) and got[2] == ("libra-colour", "portrait", pytest.approx(4.8), 3, True)
     assert got[3] == got[5] == ("libra-colour", "portrait", 3.6, 8, True) and got[4][2] == pytest.approx(2.6)
+
+
+def test_tables(spark):
+    cells = spark.createDataFrame([(1, 0, 0, "a"), (1, 0, 2, "b"), (1, 1, 1, " "), (1, 2, 0, "c"), (2, 0, 0, "x"), (2, 1, 0, "y")], "doc_id int, row int, column int, text string")
+    assert rows(tables.built(cells, ("doc_id",))) == [(1, 0, 0, "a"), (1, 0, 1, "b"), (1, 1, 0, "c"), (1, 1, 1, "")]
+    lines = []
+    for n, texts in enumerate([("Name", "Size", "Place"), ("a", "1", "x"), ("b", "2", "y"), ("plain words",), ("p", "3", "q"), ("r", "4", "s")]):
+        own = [(100.0 * i, 100.0 * i + 20, t) for i, t in enumerate(texts)]
+        lines.append((1, n, 700.0 - 14 * n, 12.0, n == 0, 4.0, own))
+    df = spark.createDataFrame(lines, "doc_id int, line_no int, y double, line_height double, bold boolean, char_width double, cells array<struct<x:double,end:double,text:string>>")
+    pages = spark.createDataFrame([(1, False)], "doc_id int, has_grid boolean")
+    got = rows(tables.regions(df, pages, ("doc_id",)))
+    assert [(n, t, r, h) for _, n, t, r, _, h in got] == [(0, 0, 0, True), (1, 0, 1, False), (2, 0, 2, False)]  # without a grid or header the last two lines are prose
+    got = rows(tables.regions(df, pages.withColumn("has_grid", F.lit(True)), ("doc_id",)))
+    assert [(n, t) for _, n, t, *_ in got] == [(0, 0), (1, 0), (2, 0), (4, 1), (5, 1)]
+    flat = df.where("line_no < 3").select("doc_id", "line_no", "bold", "char_width", F.posexplode("cells").alias("column_no", "c")).select("doc_id", "line_no", "bold", "char_width", "column_no", "c.x", "c.text")
+    assert tables.header_evidence(flat, ("doc_id",)).first().header is True
+
+
+def test_runs_of_a_line(spark):
+    parts = spark.createDataFrame([(1, 0, 0.0, 10.0, 5.0, 6.6, 748.0, "1", "s"), (1, 1, 10.5, 40.0, 5.0, 11.0, 744.0, "And every", "s"), (1, 2, 90.0, 20.0, 5.0, 11.0, 744.0, "far", "s"), (1, 3, 110.0, 20.0, 5.0, 11.0, 744.0, "ther", "s")], "line int, part_no int, x double, width double, char_width double, height double, y double, text string, signature string").withColumn("space_before", F.lit(False))
+    assert rows(tables.runs_of_line(parts, ("line",)).select("text", "gap_level", "run_no"), "run_no") == [("1 And every", 0, 0), ("far", 2, 1), ("ther", 0, 2)]
+
+
+def test_markup(spark):
+    def value(column):
+        return spark.range(1).select(column.alias("v")).first().v
+
+    t = value(markup.css_traits(F.lit("font-weight:600; text-decoration:none; FONT-STYLE: oblique 10deg")))
+    assert (t.bold, t.italic, t.underline, t.strike) == (True, True, False, False)
+    assert value(markup.titled(F.lit("<p>x</p>"), F.lit("A & B"))) == "<h1>A &amp; B</h1><p>x</p>"
+    assert value(markup.without_marker(F.array(F.lit("1"), F.lit(". He"), F.lit("llo")), F.lit("1."))) == ["", "He", "llo"]
+    assert value(markup.data_url(F.lit("image/png"), F.lit(b"x"))) == "data:image/png;base64,eA==" and value(markup.data_url(F.lit("text/plain"), F.lit(b"x"))) is None
+    assert value(markup.raster_scale(F.lit(9.0))) == 2.5
