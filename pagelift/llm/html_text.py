@@ -30,6 +30,8 @@ _FURNITURE = frozenset("nav footer aside form header menu dialog fieldset".split
 _RAW = frozenset("script style textarea title".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
 _NAMED = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo|banner|cookies?|consent|gdpr|notice|alert|popup|modal|newsletter|subscribe|signup|comments?|replies|disqus|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|header|masthead|footer|social|share|sharing|related|recommended|widget|pagination|pager|toolbar|skip)(?=$|[\s_-]|\d)", re.I)
+#: Names of furniture in which an article is no main text.
+_ASIDE = re.compile(r"(?:^|[\s_-])(?:comments?|replies|disqus|related|recommended)(?=$|[\s_-]|\d)", re.I)
 _CONTENT_NAME = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|main|content)(?:$|[\s_-])(?:body|text|content)?", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(/?)>|[^<]+|<", re.S)
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*?)(/?)(?:>|\Z)", re.S)
@@ -48,7 +50,7 @@ class Line:
 def stripped(page: str) -> list[Line]:
     """The page's blocks in order, without markup; references decoded, white space of a block made one space."""
     out: list[Line] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # element, dropped, furniture, article
+    stack: list[tuple[str, bool, bool, bool, bool]] = []  # element, dropped, furniture, article, aside
     parts: list[str] = []
     linked = links = 0
 
@@ -106,18 +108,18 @@ def stripped(page: str) -> list[Line]:
                     break
                 if stack[k][0] not in _INLINE:
                     break
-        _, dropped, furniture, article = stack[-1] if stack else ("", False, False, False)
+        _, dropped, furniture, article, _ = stack[-1] if stack else ("", False, False, False, False)
         named = {k.lower(): (v or "").strip("\"'") for k, v in _ATTRIBUTE.findall(m[3])} if m[3] else {}
         label = f"{named.get('class', '')} {named.get('id', '')}"
         dropped |= name in _NEVER or "hidden" in named or named.get("aria-hidden", "").lower() == "true"
         bad = name in _FURNITURE and not (name == "header" and article) or named.get("role", "").lower() in _ROLES or name not in ("body", "html") and bool(_NAMED.search(label)) and not _CONTENT_NAME.search(label)
         if name in ("article", "main") or named.get("role", "").lower() in ("main", "article"):
-            inside = any(s[2] for s in stack if s[0] not in ("nav", "form", "header"))  # a comment may be an article of its own
+            inside = any(s[4] for s in stack)  # a comment may be an article of its own; other furniture may be a wrapper, or never closed
             furniture, article = (inside and furniture) or bad, not inside and not bad
         elif bad:
             furniture = True
         if len(stack) < 512:
-            stack.append((name, dropped, furniture, article))
+            stack.append((name, dropped, furniture, article, name in ("aside", "footer") or bool(_ASIDE.search(label))))
     flush()
     return out
 
