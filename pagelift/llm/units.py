@@ -13,12 +13,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import map_batches, texts
+from .batches import map_batches, text_bytes
+from .words import LOWERED, Words, chunks, mix
 
 LEAST_WORDS = 30
 _UNIT = re.compile(r"[^.!?\n]+[.!?]*|[.!?]+")
@@ -37,8 +38,48 @@ def units(text: str) -> Iterator[tuple[int, int, str, int]]:
             yield start, start + len(said), " ".join(words).translate(_LOWER), len(words)
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+_ENDS = np.zeros(256, bool)
+_ENDS[list(b".!?")] = True
+_FIRST_BYTE = np.array([not 0x80 <= b < 0xC0 for b in range(256)])
+
+
+def _begins(raw: np.ndarray) -> np.ndarray:
+    """Where a unit may begin: after a line feed, and after sentence ends."""
+    out = np.ones(len(raw), bool)
+    out[1:] = (raw[:-1] == 10) | (_ENDS[raw[:-1]] & ~_ENDS[raw[1:]])
+    return out
+
+
+def columns_of(texts: list[bytes]) -> dict[str, pa.Array]:
+    """What ``units`` gives, and digests and whether the text had the unit before, as a list for each text."""
+    names = ("start", "end", "words", "h1", "h2", "again")
+    flat: dict[str, list[np.ndarray]] = {n: [np.zeros(0, np.int64)] for n in names}
+    sizes = [np.zeros(0, np.int64)]
+    for _, part in chunks(texts):
+        w = Words(part, LOWERED, _begins)
+        raw = np.frombuffer(w.data, np.uint8)
+        unit = np.cumsum(_begins(raw))[w.starts]
+        begin = np.flatnonzero(np.diff(unit, prepend=-1))
+        end = np.append(begin[1:], len(unit)) if len(begin) else begin
+        owner = np.searchsorted(w.first, begin, side="right") - 1
+        h1, h2 = w.spans(begin, end)
+        _, once = np.unique(h1 ^ mix(owner.astype(np.uint64)), return_index=True)
+        again = np.ones(len(begin), np.int64)
+        again[once] = 0
+        points = np.concatenate([[0], np.cumsum(_FIRST_BYTE[raw])])
+        text_at = np.concatenate([[0], np.cumsum([len(t) + 1 for t in part])])[owner]
+        got = (points[w.starts[begin]] - points[text_at], points[w.ends[end - 1]] - points[text_at], end - begin, h1.view(np.int64), h2.view(np.int64), again)
+        for n, x in zip(names, got, strict=True):
+            flat[n].append(x)
+        sizes.append(np.bincount(owner, minlength=len(part)))
+    count = np.concatenate(sizes)
+    offsets = pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32())
+    out = {n: pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x)).cast(_KINDS[n])) for n, x in flat.items()}
+    no = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    return out | {"no": pa.ListArray.from_arrays(offsets, pa.array(no).cast(pa.int32()))}
+
+
+_KINDS = {"start": pa.int32(), "end": pa.int32(), "words": pa.int32(), "h1": pa.int64(), "h2": pa.int64(), "again": pa.bool_()}
 
 
 def repeats(docs: DataFrame, *, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -52,27 +93,15 @@ def repeats(docs: DataFrame, *, least_words: int = LEAST_WORDS, id_col: str = "d
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
-            out: dict[str, list] = {k: [] for k in ("no", "start", "end", "words", "h1", "h2", "again")}
-            for text in texts(b.column("text")):
-                seen: set[int] = set()
-                columns: dict[str, list] = {k: [] for k in out}
-                for no, (start, end, said, words) in enumerate(units(text)):
-                    h = xxhash.xxh3_128_intdigest(said.encode())
-                    for k, x in zip(columns, (no, start, end, words, _signed(h >> 64), _signed(h & ((1 << 64) - 1)), h in seen), strict=True):
-                        columns[k].append(x)
-                    seen.add(h)
-                for k, x in columns.items():
-                    out[k].append(x)
-            yield {"doc_id": b.column("doc_id")} | out
+            yield {"doc_id": b.column("doc_id")} | columns_of(text_bytes(b.column("text")))
 
     schema = "no array<int>, start array<int>, end array<int>, words array<int>, h1 array<long>, h2 array<long>, again array<boolean>"
     rows = map_batches(read, make, schema, ("doc_id",))
     each = rows.select("doc_id", F.explode(F.arrays_zip("no", "start", "end", "words", "h1", "h2", "again")).alias("u")).select("doc_id", "u.*")
     first = each.where(~F.col("again")).groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("some_null"))
     several = first.where("first is not null and (first <> last or some_null)").select("h1", "h2", "first")
-    later = each.where(~F.col("again")).join(several, ["h1", "h2"]).where("doc_id is null or doc_id <> first")
-    place = ("doc_id", "no", "start", "end", "words")
-    found = later.select(*place).unionByName(each.where("again").select(*place)).distinct()
+    known = each.join(several, ["h1", "h2"], "left")
+    found = known.where("again or (first is not null and (doc_id is null or doc_id <> first))").select("doc_id", "no", "start", "end", "words").distinct()
     found = found.where("doc_id is not null").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("no", "start", "end", "words"))).alias("u"))  # the units of one document
     counted = rows.select("doc_id", F.size("no").cast("long").alias("n_units"))
 
