@@ -221,3 +221,49 @@ def spaced(blocks: DataFrame, spacing: DataFrame, keys: tuple[str, ...] = ("doc_
 
     spaces = spacing.select(*keys, F.col("after_seq").cast("long").alias("after_seq"), "after_key", "next_key", F.col("lines").cast("int").alias("lines"))
     return met(blocks.select(*keys, F.col("seq").cast("long").alias("seq"), "text_key"), spaces, keys, merge, "seq bigint, lines int")
+
+
+def split_runs(runs: DataFrame, keys: tuple[str, ...] = ("doc_id", "p_seq")) -> DataFrame:
+    """(keys, r_seq, part_no, text, complex, is_break): runs apart at breaks (line feeds) and where the kind of script changes; traits stay with the run."""
+    pieces = F.filter(F.split(F.regexp_replace("text", "\n", "\x00\n\x00"), "\x00"), lambda t: t != "")
+    one = F.transform(pieces, lambda t: F.when(t == "\n", F.array(F.struct(t.alias("text"), F.lit(False).alias("complex"), F.lit(True).alias("is_break")))).otherwise(F.transform(X.script_segments(t), lambda s: F.struct(s["text"].alias("text"), s["complex"].alias("complex"), F.lit(False).alias("is_break")))))
+    return runs.select(*keys, "r_seq", F.posexplode(F.flatten(one)).alias("part_no", "p")).select(*keys, "r_seq", "part_no", "p.*")
+
+
+def run_breaks(runs: DataFrame, keys: tuple[str, ...] = ("doc_id", "p_seq")) -> DataFrame:
+    """(keys, visible, only_breaks, starts_with_break, ends_with_break) of paragraphs from runs (r_seq, text, drawings, page_break)."""
+    text = X.trimmed(F.coalesce("text", F.lit(""))) != ""
+    shown = text | (F.coalesce("drawings", F.lit(0)) > 0)
+    counted = F.when(shown | F.col("page_break"), F.col("page_break") & ~shown)
+    a = runs.withColumn("shown", shown).withColumn("counted", counted)
+    return a.groupBy(*keys).agg(
+        F.max("shown").alias("visible"), (F.max("page_break") & ~F.max("shown")).alias("only_breaks"), F.coalesce(F.min_by("counted", F.when(F.col("counted").isNotNull(), F.col("r_seq"))), F.lit(False)).alias("starts_with_break"),
+        F.coalesce(F.max_by("counted", F.when(F.col("counted").isNotNull(), F.col("r_seq"))), F.lit(False)).alias("ends_with_break"),
+    )
+
+
+def normalized_lists(blocks: DataFrame, plan: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keys, seq, text, format, level, run, parent_seq, list_no) of list items among blocks (seq, text): those that a plan entry (plan_seq, text_key, format, level) matches in order, and
+    those that begin with a marker, which goes."""
+    keyed = blocks.withColumn("text_key", X.match_key(F.col("text")))
+    hits = planned(keyed, plan, keys).join(plan.select(*keys, "plan_seq", F.col("format").alias("p_format"), F.col("level").alias("p_level")), [*keys, "plan_seq"])
+    m = X.list_marker(F.col("text"))
+    both = keyed.join(hits.select(*keys, "seq", "p_format", "p_level"), [*keys, "seq"], "left").withColumn("m", m)
+    both = both.select(
+        *keys, "seq", F.coalesce(F.when(F.col("p_format").isNull(), F.col("m.body")), "text").alias("text"), F.coalesce("p_format", "m.format").alias("format"), F.coalesce(F.col("p_level").cast("int"), "m.level", F.lit(0)).alias("level"),
+        (F.col("p_format").isNotNull() | F.col("m").isNotNull()).alias("is_list"),
+    )
+    return nested(both, keys).drop("is_list")
+
+
+def entries(nodes: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keys, seq, type, key) of what a comparison looks at, from nodes (node_id, path, seq, tag, text): spaces and breaks, the outermost figures and tables, images outside those, and text
+    blocks without a block inside that hold something."""
+    big, blocks = ("figure", "table"), ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "td", "th", "figcaption")
+    above = nodes.select(*keys, "node_id", F.explode(F.slice("path", F.lit(1), F.greatest(F.size("path") - 1, F.lit(0)))).alias("at")).join(nodes.select(*keys, F.col("node_id").alias("at"), F.col("tag").alias("above")), [*keys, "at"])
+    inside = above.where(F.col("above").isin(*big)).select(*keys, "node_id").distinct().withColumn("inside", F.lit(True))
+    holds = above.join(nodes.where(F.col("tag").isin(*blocks)).select(*keys, "node_id"), [*keys, "node_id"], "left_semi").where(F.col("above").isin(*blocks)).select(*keys, F.col("at").alias("node_id")).distinct().withColumn("holds", F.lit(True))
+    tag = F.col("tag")
+    kind = F.when(tag == "hr", F.lit("break")).when(tag == "space", F.lit("space")).when(F.col("inside"), F.lit(None)).when(tag == "table", F.lit("table")).when(tag.isin("figure", "img"), F.lit("image")).when(tag.isin(*blocks) & F.col("holds").isNull() & (X.trimmed(F.coalesce("text", F.lit(""))) != ""), F.lit("text"))
+    out = nodes.join(inside, [*keys, "node_id"], "left").join(holds, [*keys, "node_id"], "left").withColumn("type", kind).where("type is not null")
+    return out.select(*keys, "seq", "type", F.concat_ws(":", "type", X.match_key(F.coalesce("text", F.lit("")))).alias("key"))
