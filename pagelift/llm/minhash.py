@@ -203,7 +203,8 @@ def classes(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col: str =
     # a cluster of one block is done; the tasks of others each saw two blocks
     found = links.where("whole").select("v", "label").unionByName(components(links.where("not whole"), "v", "label"))
     found = found.groupBy("v").agg(F.min("label").alias("component")).withColumnRenamed("v", "rep")
-    named = sets.drop("bands", "rep").join(sets.select("rep", "d1", "d2", "n").join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep")).drop("rep"), ["d1", "d2", "n"])
+    # dealt out by rep, so that both sides of the last join are dealt out anew and Spark can split a digest that very many rows have
+    named = sets.select("rep", "d1", "d2", "n").join(found, "rep", "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component"))
     out = rows_of.drop("bands").join(named, ["d1", "d2", "n"], "left").withColumn("component", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
 
