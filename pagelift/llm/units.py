@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import map_batches, text_bytes
+from .batches import map_batches, saved, text_bytes
 from .words import LOWERED, Words, chunks, mix
 
 LEAST_WORDS = 30
@@ -99,8 +99,11 @@ def repeats(docs: DataFrame, *, least_words: int = LEAST_WORDS, id_col: str = "d
     rows = map_batches(read, make, schema, ("doc_id",))
     each = rows.select("doc_id", F.explode(F.arrays_zip("no", "start", "end", "words", "h1", "h2", "again")).alias("u")).select("doc_id", "u.*")
     first = each.where(~F.col("again")).groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("some_null"))
-    several = first.where("first is not null and (first <> last or some_null)").select("h1", "h2", "first")
-    known = each.join(several, ["h1", "h2"], "left")
+    several = saved(first.where("first is not null and (first <> last or some_null)").select("h1", "h2", "first"))
+    # what a text has already had needs no look-up: such rows get keys of their own, that many repeats of a unit do not meet in a task; and as
+    # ``several`` is read anew, Spark can split a digest that very many texts have
+    own = F.when(F.col("again"), F.xxhash64("doc_id", "no")).otherwise(F.col("h1"))
+    known = each.withColumn("h1", own).join(several, ["h1", "h2"], "left")
     found = known.where("again or (first is not null and (doc_id is null or doc_id <> first))").select("doc_id", "no", "start", "end", "words").distinct()
     found = found.where("doc_id is not null").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("no", "start", "end", "words"))).alias("u"))  # the units of one document
     counted = rows.select("doc_id", F.size("no").cast("long").alias("n_units"))
