@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -14,4 +17,13 @@ DEFAULTS = {
 
 def session(name: str = "pagelift", **settings: str) -> SparkSession:
     """A session with the defaults; settings (dots as double underscores) come on top."""
-    return SparkSession.builder.appName(name).config(map=DEFAULTS | {k.replace("__", "."): v for k, v in settings.items()}).getOrCreate()
+    return reachable(SparkSession.builder.appName(name).config(map=DEFAULTS | {k.replace("__", "."): v for k, v in settings.items()}).getOrCreate())
+
+
+def reachable(spark: SparkSession) -> SparkSession:
+    """Lets Python workers that see this folder import the package, whatever folder the driver runs in. Where they do not, ship it with ``--py-files``."""
+    root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    return spark
