@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ..session import reachable
+
 #: Rows of a batch that goes to Python: texts may be long, so few at once.
 ROWS = 512
 
@@ -33,7 +35,8 @@ def map_batches(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterat
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the batch size where it is above ours; a setting below it stays."""
+    """Lower the batch size where it is above ours; a setting below it stays. Workers can import the package from here on."""
+    reachable(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > ROWS:
