@@ -1,14 +1,17 @@
 """License scans: winnowed fingerprints of templates in an inverted index, then banded alignment.
 
 Words are runs of ASCII letters and digits, lowered, and of all characters from U+0080 on. Of the hashes of GRAM words in a row, winnowing keeps the
-least of every WINNOW neighbours, in templates and texts alike, so that a common run of GRAM + WINNOW - 1 words always shares one. A shared fingerprint
-names a template and a diagonal; the words around it are aligned with the template inside a band around that diagonal. Reported are
+least of every WINNOW neighbours, in templates and texts alike, so that a common run of GRAM + WINNOW - 1 words always shares one; a template shorter than
+that is looked up by all hashes. A shared fingerprint names a template and a diagonal; the words around it are aligned with the template inside a band around that diagonal. Reported are
 the spans whose matched words cover enough of the template. One pass without a shuffle; templates go out in blocks of bounded size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from itertools import groupby
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +25,8 @@ from .words import ALNUM, Words, chunks
 GRAM, WINNOW = 3, 3
 #: Words to either side of the diagonal that an alignment may stray, and the share of a template that must match.
 BAND, COVERAGE = 8, 0.8
+#: Diagonals that are ruled out at once.
+SPREAD = 64
 
 # fixed values: notices by which texts name their license
 TEMPLATES: dict[str, str] = {
@@ -37,10 +42,18 @@ TEMPLATES: dict[str, str] = {
     "apache-2.0-header": "you may not use this file except in compliance with the License. You may obtain a copy of the License at",
     "gpl-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "all-rights-reserved": "All rights reserved.",
     "rights-reserved": "All rights reserved. No part of this publication may be reproduced",
 }
 
 
+@cache
+def known() -> tuple[tuple[str, bytes], ...]:
+    """TEMPLATES, and whole license texts as ``whole-`` and the license's name."""
+    texts = sorted(Path(__file__).with_name("license_texts").glob("*.txt"))
+    return (*((k, v.encode()) for k, v in TEMPLATES.items()), *((f"whole-{p.stem}", p.read_bytes()) for p in texts))
+
+
 def winnowed(w: Words) -> tuple[np.ndarray, np.ndarray]:
     """(places, hashes) of the fingerprints; no window reaches over the end of a text."""
     h, whole = w.windows(GRAM)
@@ -69,32 +82,43 @@ class Index:
     def __init__(self, templates: list[tuple[str, bytes]]) -> None:
         self.names, self.words = [], []
         self.posted: dict[int, list[tuple[int, int]]] = {}
+        self.short: dict[int, dict[int, list[tuple[int, int]]]] = {}  # by the words of a hash: templates that winnowing may pass over
+        self.ids: dict[bytes, int] = {}
         for name, text in templates:
             w = Words([text], ALNUM)
             words = w.data.split()
             if not words:
                 continue
-            at, h = winnowed(w)
+            posted, (at, h) = self.posted, winnowed(w)
+            if len(words) < GRAM + WINNOW - 1:
+                h = w.windows(min(GRAM, len(words)))[0]
+                posted, at = self.short.setdefault(min(GRAM, len(words)), {}), np.arange(len(h))
             for i, x in zip(at.tolist(), h.tolist(), strict=True):
-                self.posted.setdefault(x, []).append((len(self.names), i))
+                posted.setdefault(x, []).append((len(self.names), i))
             self.names.append(name)
-            self.words.append(words)
-        self.hashes = np.array(sorted(self.posted), np.uint64)
+            self.words.append(np.array([self.ids.setdefault(x, len(self.ids)) for x in words]))
+        self.tables = [(gram, p, np.array(sorted(p), np.uint64)) for gram, p in ((0, self.posted), *self.short.items())]
 
     def scan(self, texts: list[bytes], band: int, coverage: float) -> Iterator[list[tuple[str, int, int, int, int]]]:
         """For each text (template, start, end, matched words, words of the template): code points, by start; of spans that overlap, the one with most matched words."""
         for _, part in chunks(texts):
             w = Words(part, ALNUM)
-            at, h = winnowed(w)
-            hit = np.zeros(0, np.int64)
-            if len(at) and len(self.hashes):
-                near = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-                hit = np.flatnonzero(self.hashes[near] == h)
             seeds: dict[int, set[tuple[int, int]]] = {}
-            for i in hit.tolist():
-                d = int(np.searchsorted(w.first, at[i], side="right")) - 1
-                for t, j in self.posted[int(h[i])]:
-                    seeds.setdefault(d, set()).add((t, int(at[i]) - int(w.first[d]) - j))
+            for gram, posted, hashes in self.tables:
+                if gram:
+                    h, whole = w.windows(gram)
+                    at = np.flatnonzero(whole)
+                    h = h[at]
+                else:
+                    at, h = winnowed(w)
+                hit = np.zeros(0, np.int64)
+                if len(at) and len(hashes):
+                    near = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+                    hit = np.flatnonzero(hashes[near] == h)
+                for i in hit.tolist():
+                    d = int(np.searchsorted(w.first, at[i], side="right")) - 1
+                    for t, j in posted[int(h[i])]:
+                        seeds.setdefault(d, set()).add((t, int(at[i]) - int(w.first[d]) - j))
             begin = np.concatenate([[0], np.cumsum([len(t) + 1 for t in part])])
             for d in range(len(part)):
                 yield self.aligned(w, d, int(begin[d]), part[d], seeds.get(d, set()), band, coverage)
@@ -102,12 +126,14 @@ class Index:
     def aligned(self, w: Words, d: int, begin: int, raw: bytes, seeds: set[tuple[int, int]], band: int, coverage: float) -> list[tuple[str, int, int, int, int]]:
         found = []
         a, z = int(w.first[d]), int(w.first[d + 1])
-        for t, diagonal in sorted(seeds):
+        said = np.array([self.ids.get(w.data[w.starts[i] : w.ends[i]], -1) for i in range(a, z)]) if seeds else None
+        for t, of_one in groupby(sorted(seeds), lambda s: s[0]):
             template = self.words[t]
-            low, high = max(0, diagonal - band), min(z - a, diagonal + len(template) + band)
-            own = [w.data[w.starts[a + i] : w.ends[a + i]] for i in range(low, high)]
-            matched = banded(template, own, diagonal - low, band)
-            if matched and len(matched) >= coverage * len(template):
+            for diagonal in likely(template, said, [x for _, x in of_one], band, coverage * len(template)):
+                low, high = max(0, diagonal - band), min(z - a, diagonal + len(template) + band)
+                matched = banded(template, said[low:high], diagonal - low, band)
+                if not matched or len(matched) < coverage * len(template):
+                    continue
                 x, y = int(w.starts[a + low + matched[0]]) - begin, int(w.ends[a + low + matched[-1]]) - begin
                 start = len(raw[:x].decode(errors="ignore"))
                 found.append((len(matched), self.names[t], start, start + len(raw[x:y].decode(errors="ignore")), len(template)))
@@ -118,24 +144,45 @@ class Index:
         return sorted(out, key=lambda o: (o[1], o[0]))
 
 
-def banded(template: list[bytes], own: list[bytes], diagonal: int, band: int) -> list[int]:
+def likely(template: np.ndarray, own: np.ndarray, diagonals: list[int], band: int, least: float) -> Iterator[int]:
+    """Of ascending diagonals those on which ``least`` words could match: enough words of the template stand within ``band`` of
+    their places, in any order. The places of several diagonals hold those of each, so that most are ruled out together."""
+    at = 0
+    while at < len(diagonals):
+        end = at + 1
+        while end < len(diagonals) and diagonals[end] <= diagonals[at] + SPREAD:
+            end += 1
+        groups = [diagonals[at:end]]
+        while groups:
+            group = groups.pop()
+            hit = np.zeros(len(template), bool)
+            for shift in range(group[0] - band, group[-1] + band + 1):
+                a, z = max(0, -shift), min(len(template), len(own) - shift)
+                if a < z:
+                    hit[a:z] |= template[a:z] == own[a + shift : z + shift]
+            if hit.any() and hit.sum() >= least:
+                if len(group) == 1:
+                    yield group[0]
+                else:
+                    groups += [group[len(group) // 2 :], group[: len(group) // 2]]
+        at = end
+
+
+def banded(template: np.ndarray, own: np.ndarray, diagonal: int, band: int) -> list[int]:
     """Places in ``own`` of a longest common subsequence with ``template`` that stays ``band`` words from the diagonal, the
     tightest of these from its end."""
     rows, width = len(template), 2 * band + 1
+    place = np.arange(rows)[:, None] + np.arange(width) + (diagonal - band)
+    same = (place >= 0) & (place < len(own))
+    same[same] = np.asarray(own)[place[same]] == np.repeat(np.asarray(template), same.sum(1))
     best = np.zeros((rows + 1, width + 1), np.int32)  # best[i, k]: of template[:i] and own[:i + diagonal - band + k]
     for i in range(1, rows + 1):
-        for k in range(width):
-            j = i + diagonal - band + k
-            up = best[i - 1, k + 1]
-            left = best[i, k - 1] if k else 0
-            hit = best[i - 1, k] + 1 if 1 <= j <= len(own) and own[j - 1] == template[i - 1] else 0
-            best[i, k] = max(up, left, hit)
-        best[i, width] = 0
+        np.maximum.accumulate(np.maximum(best[i - 1, 1:], (best[i - 1, :width] + 1) * same[i - 1]), out=best[i, :width])
     k = int(best[rows, :width].argmax())
     i, out = rows, []
     while i > 0 and best[i, k] > 0:
         j = i + diagonal - band + k
-        if 1 <= j <= len(own) and own[j - 1] == template[i - 1] and best[i, k] == best[i - 1, k] + 1:
+        if same[i - 1, k] and best[i, k] == best[i - 1, k] + 1:
             out.append(j - 1)
             i -= 1
         elif best[i, k] == best[i - 1, k + 1]:
@@ -148,13 +195,13 @@ def banded(template: list[bytes], own: list[bytes], diagonal: int, band: int) ->
 def scanned(docs: DataFrame, templates: DataFrame | None = None, *, band: int = BAND, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_licenses, licenses (array of template, start, end, matched, words; code points, by start).
 
-    ``templates`` has template_id and text; by default it is TEMPLATES. Nulls: a null text has no words; templates with a null are passed over. Repeated rows
+    ``templates`` has template_id and text; by default it is what ``known`` gives. Nulls: a null text has no words; templates with a null are passed over. Repeated rows
     have equal results. Empty tables: no rows, or no licenses. Other columns are not carried, so clashing names cannot disturb.
     """
     spark = docs.sparkSession
-    known = blocks(templates, "template_id", "text", block_bytes) if templates is not None else iter([[(k, v.encode()) for k, v in TEMPLATES.items()]])
+    given = blocks(templates, "template_id", "text", block_bytes) if templates is not None else iter([list(known())])
     out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    block, before = next(known, []), False
+    block, before = next(given, []), False
     kinds = {"template": "string", "start": "long", "end": "long", "matched": "long", "words": "long"}
     while block is not None:
         shared = spark.sparkContext.broadcast(Index(block))
@@ -169,5 +216,5 @@ def scanned(docs: DataFrame, templates: DataFrame | None = None, *, band: int =
                 yield {c: b.column(c) for c in ("doc_id", "text")} | {k: [[x[i] for x in own] for own in found] for i, k in enumerate(kinds)}
 
         out = map_batches(saved(out) if before else out, make, ", ".join(f"{k} array<{v}>" for k, v in kinds.items()), ("doc_id", "text"))
-        block, before = next(known, None), True
+        block, before = next(given, None), True
     return out.select("doc_id", F.size("template").cast("long").alias("n_licenses"), F.arrays_zip(*kinds).alias("licenses"))

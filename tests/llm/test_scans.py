@@ -94,6 +94,24 @@ def test_licenses(frame):
     assert [(x.template, x.start, x.end) for x in one.licenses] == [("t2", 0, 28), ("t1", 30, 60)]
 
 
+def test_whole_and_short_licenses(frame):
+    index = licenses.Index(list(licenses.known()))
+    scan = lambda t: [(x[0], x[3], x[4]) for x in next(index.scan([t.encode()], licenses.BAND, licenses.COVERAGE))]
+    whole = {k.removeprefix("whole-"): v.decode() for k, v in licenses.known() if k.startswith("whole-")}
+    assert {"mit", "isc", "bsd-2-clause", "bsd-3-clause", "gpl-2.0", "gpl-3.0", "lgpl-2.1", "lgpl-3.0", "agpl-3.0", "apache-2.0", "mpl-2.0"} <= set(whole)
+    for name, text in whole.items():
+        w = text.split()
+        w[len(w) // 3] = "other"
+        got = scan("Some words before. " + " ".join(w) + " and some after")
+        assert len(got) == 1 and got[0][0] == f"whole-{name}" and got[0][2] - 3 <= got[0][1] < got[0][2], (name, got)
+    # a template shorter than what winnowing is sure to share is found whatever words stand around it
+    rng = random.Random(8)
+    words_ = lambda: " ".join(str(rng.randint(0, 999)) for _ in range(6))
+    docs = [(i, f"{words_()} All rights reserved. {words_()}") for i in range(60)] + [(99, "all rights are reserved")]
+    got = {r.doc_id: [(x.template, x.matched, x.words) for x in r.licenses] for r in licenses.scanned(frame(docs)).collect()}
+    assert all(got[i] == [("all-rights-reserved", 3, 3)] for i in range(60)) and got[99] == []
+
+
 def test_packing_round_trip(frame):
     rng = random.Random(6)
     docs = [(i, " ".join(rng.choice(["alpha", "beta", "Größe", "42", "🙂"]) for _ in range(rng.choice([0, 3, 40, 700, 3000])))) for i in range(60)] + [(900, None), (901, ""), (902, "<|endoftext|>")]
