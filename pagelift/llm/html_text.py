@@ -3,7 +3,7 @@
 Markup is stripped into lines, one per block of the page, each with the length of the text that counts: none in menus, headers,
 footers, sidebars, notices, adverts, forms and comments, less where much of it is links. Lengths are summed over a sliding window of
 lines; where the sums surge, the main text begins, and where they dive to nothing it ends; lines between that count are kept. Where a
-page marks its article, lines in it always count and lines outside never do.
+page marks articles, lines in them and lines outside have a distribution each, and less makes a surge in the marked ones.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from .batches import map_batches, texts
 
 #: Lines of a window, and the characters in it that make a surge.
 WINDOW, SURGE = 3, 60
+#: The share of SURGE that makes one in a marked article.
+MARKED = 1 / 3
 
 # fixed values: HTML elements by their part in a page
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -36,6 +38,7 @@ _CONTENT_NAME = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|main|conten
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(/?)>|[^<]+|<", re.S)
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*?)(/?)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+_HREF = re.compile(r"(?<![\w-])href\s*=", re.I)
 _SPACES = re.compile(r"\s+")
 
 
@@ -99,8 +102,8 @@ def stripped(page: str) -> list[Line]:
             close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = close.end() if close else end
             continue
-        if name == "a":
-            links += 1
+        if name == "a":  # ends one that is open
+            links = int(bool(_HREF.search(m[3])))
         if name == "p":  # a paragraph ends one that is open
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == "p":
@@ -125,28 +128,60 @@ def stripped(page: str) -> list[Line]:
 
 
 def main_lines(lines: list[Line], window: int = WINDOW, surge: int = SURGE) -> list[str]:
-    marked = any(x.article and x.counts for x in lines)
-    length = [0.0] * len(lines)
-    for i, x in enumerate(lines):
-        if x.counts and (x.article or not marked):
-            length[i] = max(float(surge), len(x.text)) if marked else len(x.text) - x.linked * (1 if 2 * x.linked > len(x.text) else 0)
-    block = [sum(length[i : i + window]) for i in range(len(lines))]
-    kept, inside = [], False
-    for i, x in enumerate(lines):
+    runs: list[list[Line]] = []  # lines that follow one another in marked articles, or outside
+    between: list[Line] = []
+    for x in lines:
+        if not x.counts:
+            between.append(x)
+            continue
+        if runs and runs[-1][0].article == x.article:
+            runs[-1] += [*([] if x.article else between), x]  # furniture in an article is a part left out, no end of its text
+        else:
+            runs.append([x])
+        between = []
+    kept, short = [], {True: [], False: []}
+    for run in runs:
+        marked = run[0].article
+        length = lengths(run)
+        kept += surged(run, length, window, surge * MARKED if marked else surge)
+        short[marked] += [x.text for x, n in zip(run, length, strict=True) if n]
+    return kept or short[True] or short[False]
+
+
+def lengths(run: list[Line]) -> list[int]:
+    """The text of each line that counts: where most of a line is links, only the rest; in a marked article a lone such line (a headline, a source) counts whole."""
+    listed = [2 * x.linked > len(x.text) for x in run]
+    out = []
+    for i, x in enumerate(run):
+        alone = x.article and not any(listed[j] for j in (i - 1, i + 1) if 0 <= j < len(run))
+        out.append((len(x.text) - x.linked * (listed[i] and not alone)) * x.counts)
+    return out
+
+
+def surged(run: list[Line], length: list[int], window: int, surge: float) -> list[str]:
+    """The lines from a surge point to a dive point; in a marked article those before the surge too, back to the last dive."""
+    block = [sum(length[i : i + window]) for i in range(len(run))]
+    kept, before, inside = [], [], False
+    for i, x in enumerate(run):
         if not inside and block[i] >= surge and length[i]:
             inside = True  # a surge point
+            kept += before
         elif inside and not block[i]:
             inside = False  # a dive point
         if inside and length[i]:
             kept.append(x.text)
-    return kept or [x.text for x, n in zip(lines, length, strict=True) if n]
+        if inside or not block[i]:
+            before = []
+        elif x.article and length[i]:
+            before.append(x.text)
+    return kept
 
 
 def extracted(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per input row: page_id, url, text, n_chars (code points), in one pass without a shuffle.
 
     Nulls: a null page has an empty text; a null id or url is carried. Repeated rows have equal results. Empty table: no rows. Other columns are not
-    carried, so clashing names cannot disturb. A page in which nothing surges gives all lines that count.
+    carried, so clashing names cannot disturb. A page in which nothing surges gives all lines that count, those of marked articles if there are any.
     """
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:

@@ -158,6 +158,17 @@ def test_pages(frame):
     assert got[2] == got[3] == ("", 0) and got[None] == ("x", 1) and got[5] == ("deep", 4) and html_text.extracted(frame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_marks_are_evidence_only():
+    of = lambda page: [x[:9] for x in html_text.main_lines(html_text.stripped(page))]
+    body = "".join(f"<p>{n} paragraph of the text. " + "It goes on and on. " * 5 + "</p>" for n in ("First", "Second"))
+    assert of(f"<body><article class=card><h3>Teaser</h3><p>Read on</p></article><div>{body}</div></body>") == ["First par", "Second pa"]
+    links = "<ul>" + "".join(f"<li><a href=/{i}>Another story of the day {i}</a></li>" for i in range(8)) + "</ul>"
+    assert of(f"<article><h1><a href=/>The headline</a></h1>{body}{links}<p>About us</p></article>") == ["The headl", "First par", "Second pa"]
+    assert of(f"<div>Home</div><article><h1>Headline</h1>{body}</article><div>Imprint</div>") == ["Headline", "First par", "Second pa"]
+    assert of("<article><p>x</p></article><div>y</div>") == ["x"]
+    assert of(f"<article><h1>Hi</h1><p>By B</p><p>May</p><p>x</p>{body}</article>") == ["Hi", "By B", "May", "x", "First par", "Second pa"]
+
+
 def brute_spans(x):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", x)]
     out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", x) if all(int(p) <= 255 for p in m[0].split("."))]
