@@ -30,6 +30,10 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 _NEVER = frozenset("script style noscript template svg math iframe object canvas audio video select textarea button head datalist map".split())
 _FURNITURE = frozenset("nav footer aside form header menu dialog fieldset".split())
 _RAW = frozenset("script style textarea title".split())
+#: Elements whose end tags may be left out, as kinds: what begins one ends those open of the kinds named, up to the elements that hold them.
+_KIND = {"p": 0, "li": 1, "dt": 2, "dd": 2, "td": 3, "th": 3, "tr": 4, "thead": 5, "tbody": 5, "tfoot": 5, "a": 6}
+_ENDS = {"p": (0,), "li": (1,), "dt": (2,), "dd": (2,), "td": (3,), "th": (3,), "tr": (3, 4), "thead": (3, 4, 5), "tbody": (3, 4, 5), "tfoot": (3, 4, 5), "a": (6,)}
+_NONE = (-1,) * 7
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
 _NAMED = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo|banner|cookies?|consent|gdpr|notice|alert|popup|modal|newsletter|subscribe|signup|comments?|replies|disqus|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|header|masthead|footer|social|share|sharing|related|recommended|widget|pagination|pager|toolbar|skip)(?=$|[\s_-]|\d)", re.I)
 #: Names of furniture in which an article is no main text.
@@ -42,6 +46,32 @@ _HREF = re.compile(r"(?<![\w-])href\s*=", re.I)
 _SPACES = re.compile(r"\s+")
 
 
+@dataclass(slots=True)
+class Open:
+    """An open element; flags and places hold for all in it, so that an element is opened without a look at those around it."""
+
+    name: str = ""
+    dropped: bool = False
+    furniture: bool = False
+    article: bool = False
+    aside: bool = False
+    link: bool = False
+    at: tuple[int, ...] = _NONE  # by kind: the place in the stack of an element that another of the kind would end
+
+
+def places(name: str, at: tuple[int, ...], own: int) -> tuple[int, ...]:
+    """The places that hold in an element opened at ``own``: blocks hold paragraphs and links apart, all but div, address and p list items, tables cells and rows."""
+    if name not in _INLINE:
+        if name == "table":
+            at = _NONE
+        elif name in ("div", "address", "p"):
+            at = (-1, *at[1:6], -1)
+        else:
+            at = (-1, -1, -1, *at[3:6], -1)
+    kind = _KIND.get(name)
+    return at if kind is None else (*at[:kind], own, *at[kind + 1 :])
+
+
 @dataclass
 class Line:
     text: str
@@ -53,19 +83,24 @@ class Line:
 def stripped(page: str) -> list[Line]:
     """The page's blocks in order, without markup; references decoded, white space of a block made one space."""
     out: list[Line] = []
-    stack: list[tuple[str, bool, bool, bool, bool]] = []  # element, dropped, furniture, article, aside
+    stack = [Open()]
+    count: dict[str, int] = {}  # open elements by name
     parts: list[str] = []
-    linked = links = 0
+    linked = 0
 
     def flush() -> None:
         nonlocal linked
         text = _SPACES.sub(" ", "".join(parts)).strip()
         if text:
-            top = stack[-1] if stack else ("", False, False, False)
-            out.append(Line(text, not top[2], top[3], min(linked, len(text))))
+            out.append(Line(text, not stack[-1].furniture, stack[-1].article, min(linked, len(text))))
         parts.clear()
         linked = 0
 
+    def leave(k: int) -> None:
+        for x in stack[k:]:
+            count[x.name] -= 1
+        del stack[k:]
+
     at, end = 0, len(page)
     while at < end:
         m = _TOKEN.match(page, at)
@@ -76,23 +111,19 @@ def stripped(page: str) -> list[Line]:
         if name is None:
             said = m[0]
             if said[0] != "<" or said == "<":
-                if not (stack and stack[-1][1]):
+                if not stack[-1].dropped:
                     said = entities.unescape(said)
                     parts.append(said)
-                    linked += len(said.strip()) * (links > 0)
-            elif said.startswith("<![CDATA[") and not (stack and stack[-1][1]):
+                    linked += len(said.strip()) * stack[-1].link
+            elif said.startswith("<![CDATA[") and not stack[-1].dropped:
                 parts.append(said[9:].removesuffix("]]>"))
             continue
         name = name.lower()
         if m[1]:
-            if name == "a":
-                links = max(0, links - 1)
             if name not in _INLINE:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+            if count.get(name):
+                leave(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].name == name))
             continue
         if name not in _INLINE:
             flush()
@@ -102,27 +133,24 @@ def stripped(page: str) -> list[Line]:
             close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = close.end() if close else end
             continue
-        if name == "a":  # ends one that is open
-            links = int(bool(_HREF.search(m[3])))
-        if name == "p":  # a paragraph ends one that is open
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    del stack[k:]
-                    break
-                if stack[k][0] not in _INLINE:
-                    break
-        _, dropped, furniture, article, _ = stack[-1] if stack else ("", False, False, False, False)
+        open_ones = [k for kind in _ENDS.get(name, ()) if (k := stack[-1].at[kind]) > 0]
+        if open_ones:
+            leave(min(open_ones))
+        top = stack[-1]
+        dropped, furniture, article = top.dropped, top.furniture, top.article
         named = {k.lower(): (v or "").strip("\"'") for k, v in _ATTRIBUTE.findall(m[3])} if m[3] else {}
         label = f"{named.get('class', '')} {named.get('id', '')}"
         dropped |= name in _NEVER or "hidden" in named or named.get("aria-hidden", "").lower() == "true"
         bad = name in _FURNITURE and not (name == "header" and article) or named.get("role", "").lower() in _ROLES or name not in ("body", "html") and bool(_NAMED.search(label)) and not _CONTENT_NAME.search(label)
         if name in ("article", "main") or named.get("role", "").lower() in ("main", "article"):
-            inside = any(s[4] for s in stack)  # a comment may be an article of its own; other furniture may be a wrapper, or never closed
-            furniture, article = (inside and furniture) or bad, not inside and not bad
+            # a comment may be an article of its own; other furniture may be a wrapper, or never closed
+            furniture, article = (top.aside and furniture) or bad, not top.aside and not bad
         elif bad:
             furniture = True
-        if len(stack) < 512:
-            stack.append((name, dropped, furniture, article, name in ("aside", "footer") or bool(_ASIDE.search(label))))
+        aside = top.aside or name in ("aside", "footer") or bool(_ASIDE.search(label))
+        link = top.link or name == "a" and bool(_HREF.search(m[3]))
+        count[name] = count.get(name, 0) + 1
+        stack.append(Open(name, dropped, furniture, article, aside, link, places(name, top.at, len(stack))))
     flush()
     return out
 

@@ -169,6 +169,20 @@ def test_marks_are_evidence_only():
     assert of(f"<article><h1>Hi</h1><p>By B</p><p>May</p><p>x</p>{body}</article>") == ["Hi", "By B", "May", "x", "First par", "Second pa"]
 
 
+def test_open_elements_have_no_cap():
+    of = lambda page: html_text.main_lines(html_text.stripped(page))
+    text = "A long paragraph of the text that is to be kept, whatever stands before it."
+    table = "<table>" + "<tr><td>a<td>b<td>c" * 200 + "</table>"
+    items = "<ul>" + "<li>item<ul><li>sub</ul>" * 600 + "</ul>" + "<dl>" + "<dt>t<dd>d" * 300 + "</dl>"
+    for open_ones in (table, items, "<span>" * 3000, "<section>" * 3000):
+        lines = of(f"<article><p>{text}</p>{open_ones}<div class=ad>Buy this advert</div><div>{text}</div><nav>Menu</nav><div hidden>Hidden</div><p>{text}</p></article>")
+        assert lines.count(text) == 3 and not {"Buy this advert", "Menu", "Hidden"} & set(lines)
+    assert [len(html_text.stripped(x)) for x in (table, items)] == [600, 1800]
+    # an end tag that may be left out ends no element around the list or table
+    nested = "<ul><li>one<div>in<table><tr><td>cell<ul><li>deep</ul>after<tr><td>next</table>rest</div><li class=ad>ad<li>two</ul>"
+    assert [(x.text, x.counts) for x in html_text.stripped(nested)] == [("one", True), ("in", True), ("cell", True), ("deep", True), ("after", True), ("next", True), ("rest", True), ("ad", False), ("two", True)]
+
+
 def brute_spans(x):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", x)]
     out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", x) if all(int(p) <= 255 for p in m[0].split("."))]
