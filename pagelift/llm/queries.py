@@ -61,6 +61,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.repeats(table(spark, sf_dir, "documents")).withColumn("removed", F.concat_ws(",", spans))
 
 
+def op10_whole_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op10_substring_dedup, and each line that was a line before goes, however short."""
+    spans = F.transform("removed", lambda s: F.format_string("%d:%d", s["start"], s["end"]))
+    return units.repeats(table(spark, sf_dir, "documents"), whole_lines=True).withColumn("removed", F.concat_ws(",", spans))
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_license_scan": op2_license_scan,
@@ -72,6 +78,7 @@ QUERIES: dict[str, Query] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_decontamination": op9_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
+    "op10_whole_lines": op10_whole_lines,
 }
 #: Queries that SQL can express; the others are tested against brute force.
 ORACLE_SQL: dict[str, str] = {

@@ -2,7 +2,8 @@
 
 A unit is a sentence within a line (a line without sentence ends is one unit), normalised: A-Z lowered, white space collapsed. The earliest ranked
 occurrence of a unit, by id of the document and then by place, stays; a later one is a repeat. Repeats that follow one another in a document
-are a passage, and passages of at least ``least_words`` words go, with their offsets kept; lone short repeats stay.
+are a passage, and passages of at least ``least_words`` words go, with their offsets kept; lone short repeats stay. With ``whole_lines``, so does
+each line that was a line before, however short: lines are equal if their units are, and the earliest stays.
 
 Digests are 128 bits. They are grouped by an aggregate that is combined before the shuffle, and joined back with their occurrences only where a
 digest has several documents; a very common unit is one key of a plain inner join, which Spark splits.
@@ -50,9 +51,10 @@ def _begins(raw: np.ndarray) -> np.ndarray:
     return out
 
 
-def columns_of(texts: list[bytes]) -> dict[str, pa.Array]:
-    """What ``units`` gives, and digests and whether the text had the unit before, as a list for each text."""
-    names = ("start", "end", "words", "h1", "h2", "again")
+def columns_of(texts: list[bytes], whole_lines: bool = False) -> dict[str, pa.Array]:
+    """What ``units`` gives, and digests and whether the text had the unit before, as a list for each text; with ``whole_lines``, its lines too, with
+    their last unit in ``upto`` (-1 for units)."""
+    names = ("no", "start", "end", "words", "h1", "h2", "again", "upto")
     flat: dict[str, list[np.ndarray]] = {n: [np.zeros(0, np.int64)] for n in names}
     sizes = [np.zeros(0, np.int64)]
     for _, part in chunks(texts):
@@ -63,26 +65,37 @@ def columns_of(texts: list[bytes]) -> dict[str, pa.Array]:
         end = np.append(begin[1:], len(unit)) if len(begin) else begin
         owner = np.searchsorted(w.first, begin, side="right") - 1
         h1, h2 = w.spans(begin, end)
+        no = np.arange(len(begin)) - np.searchsorted(owner, owner)
+        upto = np.full(len(begin), -1)
+        if whole_lines and len(begin):
+            line = np.cumsum(raw == 10)[w.starts[begin]]
+            a = np.flatnonzero(np.diff(line, prepend=-1))  # the first unit of each line, and the last
+            z = np.append(a[1:], len(line)) - 1
+            own = [x ^ _LINE for x in w.spans(begin[a], end[z])]
+            order = np.argsort(np.concatenate([owner, owner[a]]), kind="stable")
+            begin, end, owner, no, upto, h1, h2 = (np.concatenate(x)[order] for x in ((begin, begin[a]), (end, end[z]), (owner, owner[a]), (no, no[a]), (upto, no[z]), (h1, own[0]), (h2, own[1])))
         _, once = np.unique(h1 ^ mix(owner.astype(np.uint64)), return_index=True)
         again = np.ones(len(begin), np.int64)
         again[once] = 0
         points = np.concatenate([[0], np.cumsum(_FIRST_BYTE[raw])])
         text_at = np.concatenate([[0], np.cumsum([len(t) + 1 for t in part])])[owner]
-        got = (points[w.starts[begin]] - points[text_at], points[w.ends[end - 1]] - points[text_at], end - begin, h1.view(np.int64), h2.view(np.int64), again)
+        got = (no, points[w.starts[begin]] - points[text_at], points[w.ends[end - 1]] - points[text_at], end - begin, h1.view(np.int64), h2.view(np.int64), again, upto)
         for n, x in zip(names, got, strict=True):
             flat[n].append(x)
         sizes.append(np.bincount(owner, minlength=len(part)))
     count = np.concatenate(sizes)
     offsets = pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32())
     out = {n: pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x)).cast(_KINDS[n])) for n, x in flat.items()}
-    no = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-    return out | {"no": pa.ListArray.from_arrays(offsets, pa.array(no).cast(pa.int32()))}
+    if not whole_lines:
+        del out["upto"]
+    return out
 
 
-_KINDS = {"start": pa.int32(), "end": pa.int32(), "words": pa.int32(), "h1": pa.int64(), "h2": pa.int64(), "again": pa.bool_()}
+_LINE = np.uint64(0x6C696E6573)
+_KINDS = {"no": pa.int32(), "upto": pa.int32(), "start": pa.int32(), "end": pa.int32(), "words": pa.int32(), "h1": pa.int64(), "h2": pa.int64(), "again": pa.bool_()}
 
 
-def repeats(docs: DataFrame, *, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, *, least_words: int = LEAST_WORDS, whole_lines: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_units, n_repeats, n_removed, removed (array of start, end: the units that go).
 
     Nulls: a null text has no units; a null id ranks after all others, and units that only such rows have stay. Repeated ids are one document given
@@ -93,34 +106,37 @@ def repeats(docs: DataFrame, *, least_words: int = LEAST_WORDS, id_col: str = "d
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
-            yield {"doc_id": b.column("doc_id")} | columns_of(text_bytes(b.column("text")))
+            yield {"doc_id": b.column("doc_id")} | columns_of(text_bytes(b.column("text")), whole_lines)
 
     schema = "no array<int>, start array<int>, end array<int>, words array<int>, h1 array<long>, h2 array<long>, again array<boolean>"
-    rows = map_batches(read, make, schema, ("doc_id",))
-    each = rows.select("doc_id", F.explode(F.arrays_zip("no", "start", "end", "words", "h1", "h2", "again")).alias("u")).select("doc_id", "u.*")
+    upto = ["upto"] if whole_lines else []
+    rows = map_batches(read, make, ", ".join([schema, *(f"{c} array<int>" for c in upto)]), ("doc_id",))
+    each = rows.select("doc_id", F.explode(F.arrays_zip("no", "start", "end", "words", "h1", "h2", "again", *upto)).alias("u")).select("doc_id", "u.*")
     first = each.where(~F.col("again")).groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("some_null"))
     several = saved(first.where("first is not null and (first <> last or some_null)").select("h1", "h2", "first"))
     # what a text has already had needs no look-up: such rows get keys of their own, that many repeats of a unit do not meet in a task; and as
     # ``several`` is read anew, Spark can split a digest that very many texts have
     own = F.when(F.col("again"), F.xxhash64("doc_id", "no")).otherwise(F.col("h1"))
     known = each.withColumn("h1", own).join(several, ["h1", "h2"], "left")
-    found = known.where("again or (first is not null and (doc_id is null or doc_id <> first))").select("doc_id", "no", "start", "end", "words").distinct()
-    found = found.where("doc_id is not null").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("no", "start", "end", "words"))).alias("u"))  # the units of one document
-    counted = rows.select("doc_id", F.size("no").cast("long").alias("n_units"))
+    found = known.where("again or (first is not null and (doc_id is null or doc_id <> first))").select("doc_id", "no", "start", "end", "words", *upto).distinct()
+    found = found.where("doc_id is not null").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("no", "start", "end", "words", *upto))).alias("u"))  # the units of one document
+    counted = rows.select("doc_id", F.size(F.filter("upto", lambda x: x < 0) if whole_lines else "no").cast("long").alias("n_units"))
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
-            removed = []
-            for us in b.column("u").to_pylist():
-                own, run = [], []
+            each, removed = [], []
+            for all_ in b.column("u").to_pylist():
+                us = [u for u in all_ if u.get("upto", -1) < 0]
+                own, run = {i for u in all_ for i in range(u["no"], u.get("upto", -1) + 1)}, []
                 for u in [*us, None]:
                     if run and (u is None or u["no"] != run[-1]["no"] + 1):
                         if sum(x["words"] for x in run) >= least_words:
-                            own += run
+                            own.update(x["no"] for x in run)
                         run = []
                     run.append(u)
-                removed.append(own)
-            yield {"doc_id": b.column("doc_id"), "n_repeats": [len(u) for u in b.column("u").to_pylist()], "starts": [[u["start"] for u in r] for r in removed], "ends": [[u["end"] for u in r] for r in removed]}
+                each.append(us)
+                removed.append([u for u in us if u["no"] in own])
+            yield {"doc_id": b.column("doc_id"), "n_repeats": [len(u) for u in each], "starts": [[u["start"] for u in r] for r in removed], "ends": [[u["end"] for u in r] for r in removed]}
 
     gone = map_batches(found, passages, "n_repeats long, starts array<long>, ends array<long>", ("doc_id",))
     removed = F.coalesce(F.arrays_zip(F.col("starts").alias("start"), F.col("ends").alias("end")), F.array().cast("array<struct<start:bigint,end:bigint>>"))

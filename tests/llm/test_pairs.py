@@ -120,6 +120,28 @@ def test_repeats(frame):
         assert clean[d][0] == want and [(s.start, s.end) for s in clean[d][1]] == gone
 
 
+def test_whole_lines_go(frame):
+    rng = random.Random(9)
+    sentences = [" ".join(rng.choice(["ab", "Cd", "ef", "é"]) for _ in range(rng.randint(1, 4))) + rng.choice([".", "!", "", "?!"]) for _ in range(25)]
+    rows = [(i, "".join(rng.choice(sentences) + rng.choice([" ", "\n", "\n \n"]) for _ in range(rng.randint(0, 20)))) for i in range(40)] + [(90, None), (91, "\n\n")]
+    plain = brute_repeats(rows, 12)
+    seen, more = set(), 0
+    for d, n, total, gone in plain:
+        text, at, own = dict(rows)[d] or "", 0, set(gone)
+        for line in text.split("\n"):
+            us = list(units.units(line))
+            if us and (key := tuple(x[2] for x in us)) in seen:
+                own |= {(at + a, at + z) for a, z, _, _ in us}
+            elif us:
+                seen.add(key)
+            at += len(line) + 1
+        more += len(own) - len(gone)
+        plain[[p[0] for p in plain].index(d)] = (d, n, total, sorted(own))
+    got = sorted((r.doc_id, r.n_units, r.n_repeats, [(s.start, s.end) for s in r.removed]) for r in units.repeats(frame(rows), least_words=12, whole_lines=True).collect())
+    assert got == plain and more > 10
+    assert units.repeats(frame(EDGE), whole_lines=True).count() == len(EDGE) and units.repeats(frame([]), whole_lines=True).count() == 0
+
+
 def test_repeats_of_edge_cases(frame):
     got = {(r.doc_id, r.n_units) for r in units.repeats(frame(EDGE)).collect()}
     assert (None, 1) in got and (1, 0) in got and units.repeats(frame(EDGE)).count() == len(EDGE)
