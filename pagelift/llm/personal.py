@@ -1,7 +1,7 @@
 """Personal data: base patterns, and the spans that a character tagger adds to them.
 
-The tagger (``tagger``) is trained on labelled spans. It decodes overlapping windows around every character that a span must
-have (a digit, an at sign, or a spelt-out one), the whole of the text as far as a span can lie there; an added span is kept if it is
+The tagger (``tagger``) is trained on labelled spans. It decodes overlapping windows around all of which a span must
+have one (a digit, an at sign, a spelt-out or bracketed sign or dot), the whole of the text as far as a span can lie there; an added span is kept if it is
 well-formed for its kind and overlaps nothing found before. So base spans stay, and what their greedy patterns spoil (a
 number next to another, a spelt-out address) is found. One pass without a shuffle.
 """
@@ -30,7 +30,7 @@ _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _HAS_DIGIT = re.compile(r"[0-9]")
-_TRIGGER = re.compile(r"[0-9@]|[\[({]\s*(?:at|dot)\s*[\])}]|\sdot\s", re.I)
+_TRIGGER = re.compile(r"[0-9@]|[\[({]\s*(?:at|dot|\.)\s*[\])}]|\s(?:at|dot)\s", re.I)
 _SPELT = re.compile(r"[A-Za-z0-9._%+-]+(?:@|\s*[\[({]\s*(?:at|@)\s*[\])}]\s*|\s+at\s+)[A-Za-z0-9-]+(?:(?:\.|\s*[\[({]\s*(?:dot|\.)\s*[\])}]\s*|\s+dot\s+)[A-Za-z0-9-]+)+", re.I)
 _CONTEXT = WINDOW // 2
 

@@ -217,6 +217,18 @@ def test_gradient():
         w[i] += 1e-5
 
 
+def test_spelt_out_addresses():
+    assert all(personal.regions(f"{'x' * 60} {said} {'y' * 60}") for said in ("jane at example[.]org", "jane.doe at example.com", "jane[at]example.org", "jane dot doe"))
+    model, rng = personal.trained(), random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 8)))
+    for shape in ("%s.%s at %s.com",):
+        right = 0
+        for _ in range(25):
+            said, before = shape % tuple(word() for _ in range(shape.count("%s"))), " ".join(personal._word(rng) for _ in range(12)) + " "
+            right += ("email", len(before), len(before) + len(said)) in next(personal.all_spans([before + said + " " + personal._word(rng)], model))[1]
+        assert right >= 20, (shape, right)
+
+
 def test_method_adds_and_keeps(frame):
     model = personal.trained()
     text = "Reach me: +1 (826) 555-4081 190.137.223.20 thanks, " + "plain words " * 40 + "and a@b.example.org"
