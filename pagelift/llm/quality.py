@@ -21,8 +21,8 @@ from .batches import map_batches, text_bytes
 from .learning import Isotonic, held_out, sample
 from .words import chunks
 
-#: Labelled rows that are learnt from, half of them of each label where there are so many; of these, rows of more lines than
-#: LONGEST are not learnt from (they are scored like any other).
+#: Labelled rows that are learnt from, half of them of each label where there are so many; changes of label are learnt from pieces
+#: of at most LONGEST lines that follow one another, the lines themselves from whole texts.
 BOUND, LONGEST = 6_000, 200
 
 
@@ -98,6 +98,11 @@ def averaged(p: np.ndarray, chars: np.ndarray, first: np.ndarray) -> np.ndarray:
     return (total[first[1:]] - total[first[:-1]]) / np.maximum(length[first[1:]] - length[first[:-1]], 1)
 
 
+def pieces(first: np.ndarray) -> np.ndarray:
+    """``first`` with the beginnings of the further pieces of long texts."""
+    return np.unique(np.concatenate([first, *(np.arange(a, z, LONGEST) for a, z in zip(first[:-1], first[1:], strict=True) if z - a > LONGEST)]))
+
+
 def trained(x: np.ndarray, first: np.ndarray, y: np.ndarray, weight: np.ndarray, *, steps: int = 60, rounds: int = 3, rate: float = 0.08, ridge: float = 1e-3) -> Field:
     """Adam on the penalised likelihood of the lines' labels; after each round but the last, lines of bad texts that look good become so."""
     n = np.diff(first)
@@ -107,8 +112,9 @@ def trained(x: np.ndarray, first: np.ndarray, y: np.ndarray, weight: np.ndarray,
     mean, scale = x.mean(0), x.std(0) + 1e-6
     z = described((x - mean) / scale, first)
     w, change = np.zeros(z.shape[1]), np.zeros((2, 2))
+    cut = pieces(first)
     inner = np.ones(len(x), bool)
-    inner[first[:-1][n > 0]] = False
+    inner[cut[:-1]] = False
     i = np.flatnonzero(inner)
     field = Field(mean, scale, w, change, Isotonic(), 0.0)
     for r in range(rounds):
@@ -116,7 +122,7 @@ def trained(x: np.ndarray, first: np.ndarray, y: np.ndarray, weight: np.ndarray,
         np.add.at(seen, (line_y[i - 1].astype(int), line_y[i].astype(int)), 1)
         m, v = np.zeros(len(w) + 4), np.zeros(len(w) + 4)
         for step in range(1, steps + 1):
-            p, pairs = forward_backward(z @ w, first, change)
+            p, pairs = forward_backward(z @ w, cut, change)
             g = np.concatenate([z.T @ (line_weight * (line_y - p)) / line_weight.sum() - ridge * w, ((seen - pairs) / len(x) - ridge * change).ravel()])
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -135,22 +141,20 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", bound: in
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
-            xs, sizes = [], []
+            xs = []
             for _, part in chunks(text_bytes(b.column("text"))):
                 found = lines.Lines(part)
                 for d in range(len(part)):
                     a, z = found.first[d], found.first[d + 1]
-                    short = z - a <= LONGEST
-                    xs.append(np.concatenate([found.chars[a:z, None], found.x[a:z]], 1).astype("<f4").tobytes() if short else b"")
-                    sizes.append(int(z - a))
-            yield {"doc_id": b.column("doc_id"), "label": b.column("label"), "x": xs, "n": sizes}
+                    xs.append(np.concatenate([found.chars[a:z, None], found.x[a:z]], 1).astype("<f4").tobytes())
+            yield {"doc_id": b.column("doc_id"), "label": b.column("label"), "x": xs}
 
-    got = map_batches(rows, extract, "x binary, n long", ("doc_id", "label")).where(F.col("n").between(1, LONGEST)).collect()
+    got = map_batches(rows, extract, "x binary", ("doc_id", "label")).collect()
     got = sorted(got, key=lambda r: (r.doc_id, r.x))
     y = np.array([r.label for r in got], int)
     weight = np.array([stands[r.label] for r in got])
     prior = float((weight * y).sum() / weight.sum()) if len(y) else 0.0
-    if not len(y) or y.min() == y.max():
+    if not len(y) or y.min() == y.max() or not any(r.x for r in got):
         zero = np.zeros(lines.N)
         return Field(zero, zero + 1, np.zeros(3 * lines.N + 3), np.zeros((2, 2)), Isotonic().fit(np.zeros(0), np.zeros(0), np.zeros(0)), prior)
     every = [np.frombuffer(r.x, "<f4").reshape(-1, lines.N + 1).astype(float) for r in got]
@@ -165,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", bound: in
     for k in (0, 1):  # calibrated on texts that the field has not seen
         x, first, which = part(np.flatnonzero(fold != k))
         other, other_first, unseen = part(np.flatnonzero(fold == k))
-        if len(set(y[which])) == 2:
+        if len(set(y[which])) == 2 and len(x):
             half = trained(x[:, 1:], first, y[which], balance[which])
             raw[unseen] = averaged(half.marginals(other[:, 1:], other_first), other[:, 0], other_first)
     x, first, _ = part(np.arange(len(y)))

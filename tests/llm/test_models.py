@@ -45,6 +45,15 @@ def test_toxicity(tables):
     assert all(h == (zlib.crc32(str(d).encode()) % 5 == 0) for d, h in held.items())
 
 
+def test_quality_learns_from_long_texts(frame, spark):
+    good, bad = "This is a sentence of some length, and it ends well.\n", "$$ ## 12 !!\n"
+    docs = frame([(i, (good if i % 2 else bad) * (quality.LONGEST + 1 + i)) for i in range(60)] + [(i, "") for i in range(60, 80)])
+    model = quality.fit(docs, spark.createDataFrame([(i, int(i < 60 and i % 2), 0) for i in range(80)], LABELS))
+    got = {r.doc_id: r.score for r in quality.scored(docs, model).collect()}
+    assert min(got[i] for i in range(1, 60, 2)) > 0.8 and max(got[i] for i in [*range(0, 60, 2), 60]) < 0.2
+    assert quality.pieces(np.array([0, 3, 3, 3 + 2 * quality.LONGEST + 1])).tolist() == [0, 3, 3 + quality.LONGEST, 3 + 2 * quality.LONGEST, 4 + 2 * quality.LONGEST]
+
+
 def test_quality(tables):
     docs, labels = tables
     score, y, predicted = judged(quality.scored(docs, quality.fit(docs, labels)), labels, "quality")
