@@ -10,40 +10,32 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import checkpoints
 from .grouped import met
 
-#: How far a style's chain of ancestors is followed; chains are short, and cycles end earlier.
-MOST_ANCESTORS = 32
 TRAITS = ("bold", "italic", "underline", "strike")
 
 
 def style_chains(styles: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(keys, style_id, ancestor, depth): each style with itself at depth 0 and what it is based on, nearest first.
 
-    A chain ends at a style that is not there and before one that it holds already. Each round is one join of the frontier, by key, with the styles.
+    A chain ends at a style that is not there and before one that it holds already. Each round joins every unfinished path with the path of the style
+    that comes next, so that paths double and a chain of n styles takes in the order of log n rounds, however long it is.
     """
-    known = styles.select(*keys, F.col("style_id").alias("ancestor"), "based_on")
-    frontier = styles.select(*keys, "style_id", F.col("style_id").alias("ancestor"), "based_on", F.lit(0).alias("depth"), F.array("style_id").alias("seen"))
-    parts = [frontier]
-    link = [*keys, "ancestor"]
-    for depth in range(1, MOST_ANCESTORS + 1):
-        step = frontier.where(F.col("based_on").isNotNull() & ~F.array_contains("seen", F.col("based_on"))).select(*keys, "style_id", F.col("based_on").alias("ancestor"), "seen")
-        frontier = step.join(known, link).select(*keys, "style_id", "ancestor", "based_on", F.lit(depth).alias("depth"), F.concat("seen", F.array("ancestor")).alias("seen"))
-        if depth % 4 == 0:  # a plan of bounded length, and an end as soon as no style goes on
-            frontier = _written(frontier)
-            if frontier.isEmpty():
-                break
-        parts.append(frontier)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select(*keys, "style_id", "ancestor", "depth")
+    paths = styles.select(*keys, "style_id", F.array("style_id").alias("path"), F.col("based_on").alias("next"))
+    while True:
+        paths = _written(paths)
+        if paths.where("next is not null").isEmpty():
+            return paths.select(*keys, "style_id", F.posexplode("path").alias("depth", "ancestor")).select(*keys, "style_id", "ancestor", "depth")
+        ahead = paths.select(*keys, F.col("style_id").alias("next"), F.col("path").alias("more"), F.col("next").alias("after"))
+        again = F.coalesce(F.array_position(F.transform("more", lambda x: F.array_contains("path", x)), True), F.lit(0)).cast("int")  # 0: the chain meets no style twice
+        both = paths.join(ahead, [*keys, "next"], "left").withColumn("again", again)
+        more = F.when(F.col("again") > 0, F.slice("more", F.lit(1), F.greatest(F.col("again") - 1, F.lit(0)))).otherwise(F.coalesce("more", F.slice("path", 1, 0)))
+        paths = both.select(*keys, "style_id", F.concat("path", more).alias("longer"), F.when(F.col("again") == 0, F.col("after")).alias("next")).withColumnRenamed("longer", "path")
 
 
 def _written(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
+    checkpoints(df.sparkSession)
     return df.checkpoint()
 
 
@@ -117,10 +109,10 @@ def without_separators(paragraphs: DataFrame, keys: tuple[str, ...] = ("doc_id",
     """paragraphs without the empty ones between list items: those whose neighbours are both list items, and those whose nearest visible paragraphs
     are; the first and the last stay."""
     order = W.partitionBy(*keys).orderBy("seq")
-    ahead = order.rowsBetween(1, W.unboundedFollowing)
+    behind = W.partitionBy(*keys).orderBy(F.col("seq").desc()).rowsBetween(W.unboundedPreceding, -1)  # what follows, in one running pass
     seen = F.when(F.col("visible"), F.col("is_list"))
     near = F.coalesce(F.lag("is_list").over(order), F.lit(False)) & F.coalesce(F.lead("is_list").over(order), F.lit(False))
-    far = F.coalesce(F.last(seen, True).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(False)) & F.coalesce(F.first(seen, True).over(ahead), F.lit(False))
+    far = F.coalesce(F.last(seen, True).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(False)) & F.coalesce(F.last(seen, True).over(behind), F.lit(False))
     edge = F.lag("seq").over(order).isNull() | F.lead("seq").over(order).isNull()
     return paragraphs.withColumn("gone", ~F.col("visible") & ~edge & (near | far)).where("not gone").drop("gone")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -27,3 +28,15 @@ def reachable(spark: SparkSession) -> SparkSession:
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
     return spark
+
+
+def checkpoints(spark: SparkSession) -> None:
+    """Sets the folder of checkpoints that ``spark.checkpoint.dir`` names. Where nothing is named, a local run takes a folder of its own and a cluster is an error."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="spark-checkpoints-")
+        context.setCheckpointDir(folder)

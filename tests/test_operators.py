@@ -205,3 +205,17 @@ def test_markup(spark):
     assert value(markup.without_marker(F.array(F.lit("1"), F.lit(". He"), F.lit("llo")), F.lit("1."))) == ["", "He", "llo"]
     assert value(markup.data_url(F.lit("image/png"), F.lit(b"x"))) == "data:image/png;base64,eA==" and value(markup.data_url(F.lit("text/plain"), F.lit(b"x"))) is None
     assert value(markup.raster_scale(F.lit(9.0))) == 2.5
+
+
+def test_chains_of_any_length(spark):
+    """Chains longer than any limit, one that ends in a cycle, and one whose last style is not there."""
+    based = {f"s{i}": f"s{i + 1}" for i in range(100)} | {"c1": "c2", "c2": "c3", "c3": "c2", "n": "nowhere", "own": "own"}
+    styles = spark.createDataFrame([(1, k, v) for k, v in based.items()], "doc_id int, style_id string, based_on string")
+    want = set()
+    for k in based:
+        seen = []
+        while k in based and k not in seen:
+            seen.append(k)
+            k = based[k]
+        want |= {(1, seen[0], x, d) for d, x in enumerate(seen)}
+    assert {tuple(r) for r in structure.style_chains(styles).collect()} == want
