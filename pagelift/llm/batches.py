@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from ..session import reachable
+from ..session import checkpoints, reachable
 
-#: Rows of a batch that goes to Python: texts may be long, so few at once.
-ROWS = 512
+#: Rows, and bytes, of a batch that goes to Python: texts may be long, so few at once. One text is never cut.
+ROWS, BYTES = 512, 8 << 20
 
 
 def arrow_type(ddl: str) -> pa.DataType:
@@ -35,12 +35,12 @@ def map_batches(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterat
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the batch size where it is above ours; a setting below it stays. Workers can import the package from here on."""
+    """Lower the limits of a batch where they are above ours; settings below stay. Workers can import the package from here on."""
     reachable(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > ROWS:
-        spark.conf.set(key, str(ROWS))
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BYTES)):
+        now = int(spark.conf.get(key, "0").rstrip("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:
@@ -67,7 +67,5 @@ def partitions(spark: SparkSession) -> int:
 
 def saved(df: DataFrame) -> DataFrame:
     """df, computed once and kept as files in the folder that spark.checkpoint.dir names; a lost executor loses nothing."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
+    checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)
