@@ -38,7 +38,7 @@ def small_batches(spark: SparkSession) -> None:
     """Lower the limits of a batch where they are above ours; settings below stay. Workers can import the package from here on."""
     reachable(spark)
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BYTES)):
-        now = int(spark.conf.get(key, "0").rstrip("b"))
+        now = int(spark.conf.get(key).rstrip("b"))
         if now <= 0 or now > most:
             spark.conf.set(key, str(most))
 

@@ -10,6 +10,7 @@ cut at powers of two, where a sequence needs no padding.
 from __future__ import annotations
 
 import base64
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -32,23 +33,26 @@ Piece = tuple[Any, int, np.ndarray, int]  # document, start, ids, tokens of the
 
 
 @cache
-def encoder(vocabulary: str) -> Any:
-    """From a text to its ids. ``vocabulary``: the file of a byte-level BPE, as JSON or as ranks (the same ids, much sooner); a bare
-    name is looked up among the public tokenizers. The strings of special tokens in a text are ordinary text."""
+def encoder(vocabulary: str, ranks: str | None = None) -> Any:
+    """From a text to the ids that the tokenizer of the JSON file ``vocabulary`` gives it without adding special tokens; where a text holds the string of an
+    added token, that is the token's id. ``ranks``: the same byte-level vocabulary as a file of ranks, with which the same ids take a quarter of the time. Bare
+    names are looked up among the public tokenizers."""
     import public_tokenizers
 
-    path = vocabulary if os.sep in vocabulary else public_tokenizers.path(vocabulary)
-    if path.endswith(".tiktoken"):
-        import tiktoken
+    path, ranked = (x if x is None or os.sep in x else public_tokenizers.path(x) for x in (vocabulary, ranks))
+    if ranked is None:
+        from tokenizers import Tokenizer
 
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    from tokenizers import Tokenizer
+        tokenizer = Tokenizer.from_file(path)
+        return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    import tiktoken
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    with open(path, encoding="utf-8") as file:
+        added = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+    with open(ranked, "rb") as lines:
+        known = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    ranked_encoder = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens=added)
+    return lambda text: ranked_encoder.encode(text, allowed_special="all") if any(t in text for t in added) else ranked_encoder.encode_ordinary(text)
 
 
 class Packer:
@@ -133,17 +137,17 @@ def _columns(placed: list[tuple[Piece, int | None, int | None]], keep: bool, doc
     }
 
 
-def packed(docs: DataFrame, *, size: int = 1024, open_windows: int = 16, vocabulary: str = "byte_bpe_50k.tiktoken", end_id: int = 0, keep_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def packed(docs: DataFrame, *, size: int = 1024, open_windows: int = 16, vocabulary: str = "byte_bpe_50k.json", ranks: str | None = "byte_bpe_50k.tiktoken", end_id: int = 0, keep_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (little-endian 32-bit; null without
     ``keep_ids``). Each id of each document, its text's ids and then ``end_id``, lies in exactly one piece.
 
-    Nulls: a null text is empty, so its document is ``end_id`` alone; a null id is carried. Repeated rows are packed each for itself.
-    Empty table: no rows. Other columns are not carried, so clashing names cannot disturb.
+    Nulls: a null text is empty, so its document is ``end_id`` alone; a null id is carried. Very long texts are encoded whole and cut into sequences; a task holds
+    one text's ids and its open windows. Repeated rows are packed each for itself. Of windows that a rest fills equally well the oldest takes it. Empty table: no rows. Other columns are not carried, so clashing names cannot disturb.
     """
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        encode = encoder(vocabulary)
+        encode = encoder(vocabulary, ranks)
         packer = Packer(size, open_windows, TaskContext.get().partitionId() << 36)
         kind = None
         for b in batches:

@@ -114,7 +114,7 @@ def test_whole_and_short_licenses(frame):
 
 def test_packing_round_trip(frame):
     rng = random.Random(6)
-    docs = [(i, " ".join(rng.choice(["alpha", "beta", "Größe", "42", "🙂"]) for _ in range(rng.choice([0, 3, 40, 700, 3000])))) for i in range(60)] + [(900, None), (901, ""), (902, "<|endoftext|>")]
+    docs = [(i, " ".join(rng.choice(["alpha", "beta", "Größe", "42", "🙂"]) for _ in range(rng.choice([0, 3, 40, 700, 3000])))) for i in range(60)] + [(900, None), (901, ""), (902, "<|endoftext|>"), (903, "word " * 20_000)]
     pieces = packing.packed(frame(docs).withColumn("start", F.lit(7)).repartition(5)).collect()
     encode, by = packing.encoder("byte_bpe_50k.json"), {}
     for p in pieces:
@@ -140,9 +140,15 @@ def test_packing_round_trip(frame):
 
 
 def test_ranks_are_the_tokenizer():
-    a, b = packing.encoder("byte_bpe_50k.json"), packing.encoder("byte_bpe_50k.tiktoken")
-    for _, t in EDGE:
-        assert a(t or "") == b(t or "")
+    """Ids are those of the library's tokenizer as the file gives it, strings of its added token in a text included."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    a, b = packing.encoder("byte_bpe_50k.json"), packing.encoder("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")
+    assert b("<|endoftext|> a") == [50256, 257]
+    for t in [t or "" for _, t in EDGE] + ["<|endoftext|> a", "a<|endoftext|><|endoftext|>", "<|endoftext|", "x <|endoftext|>\n\n y  <|ENDOFTEXT|>"]:
+        assert plain.encode(t, add_special_tokens=False).ids == a(t) == b(t)
 
 
 PAGE = """<html><head><title>T</title><style>p{}</style><script>var a="</p><p>no</p>";</script></head><body><header><h1>Site</h1></header><nav><ul><li><a href=x>Menu</a></li></ul></nav><div class="ad">Buy this now, it is a long advert text that goes on and on</div>
