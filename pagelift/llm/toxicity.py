@@ -1,8 +1,8 @@
 """Toxicity: gradient-boosted trees over dense features of a text, calibrated by isotonic regression.
 
 The lexicon is mined from labelled rows: words, and word beginnings, whose share of toxic documents is far above that of the others.
-Its counts come from Spark aggregates; the driver gets at most ``MOST_ENTRIES`` entries and one row of features for each of at
-most ``bound`` labelled rows. Scoring is one pass without a shuffle.
+Its counts come from Spark aggregates; the driver gets every entry that is significant (at most ``bound`` labelled rows hold few of these) and one row of features for
+each of these rows. Scoring is one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -22,7 +22,6 @@ from .learning import Isotonic, Trees, crossed, held_out, sample
 
 #: Labelled rows that are learnt from, half of them toxic where there are so many.
 BOUND = 12_000
-MOST_ENTRIES = 4_000
 #: An entry needs so many toxic rows, such log odds, and such a score (in standard deviations) of the difference of its shares, so that of the very many rare words
 #: of a small sample hardly any gets in by chance.
 LEAST_ROWS, LEAST_ODDS, LEAST_SCORE = 3, 2.5, 5.5
@@ -118,7 +117,7 @@ def mined(rows: DataFrame, weight: dict[int, float]) -> Lexicon:
         for b in batches:
             found = []
             for text in texts(b.column("text")):
-                words = {w for w in words_of(text) if len(w) > 2}
+                words = {w for w in words_of(text) if w}
                 found.append(sorted(words | {w[:n] + "*" for w in words for n in _STEMS if len(w) > n}))
             yield {"label": b.column("label"), "entries": found}
 
@@ -129,7 +128,7 @@ def mined(rows: DataFrame, weight: dict[int, float]) -> Lexicon:
     odds = F.log((F.col("n1") + 0.25) / (toxic + 0.5)) - F.log((F.col("n0") + 0.25) / (other + 0.5))
     share = (F.col("n0") + F.col("n1")) / (toxic + other)
     score = (F.col("n1") / toxic - F.col("n0") / other) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * (1 / toxic + 1 / other))
-    best = each.where((F.col("n1") >= LEAST_ROWS) & (odds >= LEAST_ODDS) & (score >= LEAST_SCORE - 1)).orderBy((odds * F.col("n1")).desc(), "entry").limit(MOST_ENTRIES).collect()
+    best = each.where((F.col("n1") >= LEAST_ROWS) & (odds >= LEAST_ODDS) & (score >= LEAST_SCORE - 1)).collect()
     return Lexicon({r.entry: (r.n1, r.n0) for r in best}, toxic, other)
 
 
@@ -170,7 +169,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", bound: int
 def scored(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.5) -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted.
 
-    Nulls: a null text is scored as an empty one; a null id is not held out. Repeated rows have equal scores. Empty tables: no rows; without
+    Nulls: a null text is scored as an empty one; a null id is not held out. Very long texts are read whole: features are densities. Equal texts, and so repeated
+    rows, have equal scores. Empty tables: no rows; without
     labels of both kinds the score is their share (0 without any). Other columns are not carried, so clashing names cannot disturb.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -185,7 +185,11 @@ def scored(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: s
 
 
 def rejected_out(docs: DataFrame, model: Model, *, text_col: str = "text", cut: float = 0.5) -> DataFrame:
-    """docs without the rows whose score is ``cut`` or more, in one pass; columns stay as they are."""
+    """docs without the rows whose score is ``cut`` or more, in one pass; columns stay as they are, whatever their names.
+
+    Nulls: a null text is scored as an empty one, nulls elsewhere are carried. Very long texts are read whole. Equal texts stay or go alike; repeated rows that
+    stay are all kept. Empty table: no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"))
 
