@@ -132,10 +132,49 @@ def test_trees_and_isotonic():
 def test_forest():
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(size=(500, 2)), [[8.0, 8.0]]])
-    forest = rules.Forest().fit(x)
+    forest = rules.Forest.of(x)
     assert forest.anomaly(x).argmax() == 500
     assert rules.calibrated(np.array([0.1, 0.2, 0.3, 0.9]), np.array([True, True, True, False]), 8.0, 0.02) == pytest.approx(0.6)
 
+    def walked(t, row):  # one row down one tree, node by node
+        node = 0
+        while forest.inner[t, node]:
+            node = 2 * node + (1 if row[forest.feature[t, node]] <= forest.cut[t, node] else 2)
+        return forest.length[t, node]
+
+    want = [np.mean([walked(t, row) for t in range(len(forest.feature))]) for row in x[:20]]
+    assert np.allclose(forest.paths(x[:20]), want) and np.allclose(forest.anomaly(x[:20]), 2.0 ** (-np.array(want) / rules.expected(256)))
+
+
+def test_trees_draw_from_all_rows(spark):
+    few = spark.range(100).selectExpr("id AS doc_id", "'x' AS text")
+    got = [r["count"] for r in rules.drawn(few, 20, 256).groupBy("tree").count().collect()]
+    assert got == [100] * 20  # fewer rows than a tree wants: each tree has all
+    many = spark.range(20_000).selectExpr("id AS doc_id", "concat('x', id) AS text")
+    rows = rules.drawn(many, 20, 256).collect()
+    times = Counter(r.tree for r in rows)
+    assert len(times) == 20 and all(180 < n < 340 for n in times.values()) and len({(r.doc_id, r.tree) for r in rows}) == len(rows)
+    nulls = spark.createDataFrame([(None, str(i)) for i in range(600)], "doc_id long, text string")
+    assert 12 < len({r.text for r in rules.drawn(nulls, 2, 20).collect()}) < 80  # rows without an id are drawn like any other
+
+
+def test_verdicts_by_brute_force(spark, tables):
+    """kept is the base rules, and a walk down every tree of every text against the threshold."""
+    docs, labels = tables
+    model = rules.fit(docs, labels)
+    some = {r.doc_id: r.text or "" for r in docs.limit(40).collect()}
+    got = {r.doc_id: r for r in rules.judged(docs, model).collect() if r.doc_id in some}
+    _, x = rules.statistics([t.encode() for t in some.values()])
+    for (doc, _), row in zip(some.items(), x, strict=True):
+        total = 0.0
+        for feature, cut, length, inner in zip(model.forest.feature, model.forest.cut, model.forest.length, model.forest.inner, strict=True):
+            node = 0
+            while inner[node]:
+                node = 2 * node + (1 if row[feature[node]] <= cut[node] else 2)
+            total += length[node]
+        anomaly = 2.0 ** (-total / len(model.forest.feature) / rules.expected(round(model.forest.rows)))
+        assert got[doc].anomaly == pytest.approx(anomaly) and got[doc].kept == (not got[doc].base_failed and got[doc].anomaly <= model.threshold)
+
 
 def test_pipeline(spark, tables):
     import corpus_pipeline as pipeline
