@@ -148,10 +148,10 @@ def test_forest():
 
 def test_trees_draw_from_all_rows(spark):
     few = spark.range(100).selectExpr("id AS doc_id", "'x' AS text")
-    got = [r["count"] for r in rules.drawn(few, 20, 256).groupBy("tree").count().collect()]
+    got = [r["count"] for r in rules.drawn(few, 20, 256).select(F.explode("trees").alias("tree")).groupBy("tree").count().collect()]
     assert got == [100] * 20  # fewer rows than a tree wants: each tree has all
     many = spark.range(20_000).selectExpr("id AS doc_id", "concat('x', id) AS text")
-    rows = rules.drawn(many, 20, 256).collect()
+    rows = rules.drawn(many, 20, 256).select("doc_id", F.explode("trees").alias("tree")).collect()
     times = Counter(r.tree for r in rows)
     assert len(times) == 20 and all(180 < n < 340 for n in times.values()) and len({(r.doc_id, r.tree) for r in rows}) == len(rows)
     nulls = spark.createDataFrame([(None, str(i)) for i in range(600)], "doc_id long, text string")
