@@ -1,7 +1,7 @@
 """Main text of HTML pages by the distribution of line blocks.
 
 Markup is stripped into lines, one per block of the page, each with the length of the text that counts: none in menus, headers,
-footers, sidebars, notices, adverts, forms and comments, less where much of it is links. Lengths are summed over a sliding window of
+footers, sidebars, notices, adverts, forms and comments, half where a name only hints at one of these, less where much of it is links. Lengths are summed over a sliding window of
 lines; where the sums surge, the main text begins, and where they dive to nothing it ends; lines between that count are kept. Where a
 page marks articles, lines in them and lines outside have a distribution each, and less makes a surge in the marked ones.
 """
@@ -12,6 +12,7 @@ import html as entities
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,13 +22,18 @@ from .batches import map_batches, texts
 
 #: Lines of a window, and the characters in it that make a surge.
 WINDOW, SURGE = 3, 60
-#: The share of SURGE that makes one in a marked article.
-MARKED = 1 / 3
+#: The share of SURGE that makes one in a marked article, and of a text that counts where a name only hints at furniture.
+MARKED, HINTED = 1 / 3, 0.5
 
 # fixed values: HTML elements by their part in a page
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
-_NEVER = frozenset("script style noscript template svg math iframe object canvas audio video select textarea button head datalist map".split())
+_MATH = frozenset("math mi mn mo ms mspace mtext mrow msub msup msubsup munder mover munderover mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose mtable mtr mtd mmultiscripts mprescripts semantics".split())
+_INLINE |= _MATH
+#: Elements without text of the page; the first kind may stand within a line.
+_WITHIN = frozenset("script style noscript template svg annotation annotation-xml iframe object canvas audio video select textarea button".split())
+_INLINE |= _WITHIN
+_NEVER = _WITHIN | frozenset("head datalist map".split())
 _FURNITURE = frozenset("nav footer aside form header menu dialog fieldset".split())
 _RAW = frozenset("script style textarea title".split())
 #: Elements whose end tags may be left out, as kinds: what begins one ends those open of the kinds named, up to the elements that hold them.
@@ -35,14 +41,23 @@ _KIND = {"p": 0, "li": 1, "dt": 2, "dd": 2, "td": 3, "th": 3, "tr": 4, "thead":
 _ENDS = {"p": (0,), "li": (1,), "dt": (2,), "dd": (2,), "td": (3,), "th": (3,), "tr": (3, 4), "thead": (3, 4, 5), "tbody": (3, 4, 5), "tfoot": (3, 4, 5), "a": (6,)}
 _NONE = (-1,) * 7
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
-_NAMED = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo|banner|cookies?|consent|gdpr|notice|alert|popup|modal|newsletter|subscribe|signup|comments?|replies|disqus|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|header|masthead|footer|social|share|sharing|related|recommended|widget|pagination|pager|toolbar|skip)(?=$|[\s_-]|\d)", re.I)
+#: Names of furniture; what may stand beside them in a name; names of a page's content.
+_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay dialog newsletter subscribe subscription signup login comment comments reply "
+    "replies disqus side sidebar menu nav navbar navigation breadcrumb breadcrumbs header masthead footer social share sharing related recommended recommendations widget pagination pager toolbar skip".split()
+)
+_BESIDE = frozenset(
+    "site page main global top bottom left right center inner outer wrapper wrap container box bar block area section panel slot unit list item items link links content body text title image img icon icons buttons button primary "
+    "secondary desktop mobile sticky fixed floating small large first last col column row grid region zone module component holder group form thread article articles post posts entry story stories news blog to by the js google".split()
+)
+_CONTENT = frozenset("article post entry story main content body text".split())
 #: Names of furniture in which an article is no main text.
-_ASIDE = re.compile(r"(?:^|[\s_-])(?:comments?|replies|disqus|related|recommended)(?=$|[\s_-]|\d)", re.I)
-_CONTENT_NAME = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|main|content)(?:$|[\s_-])(?:body|text|content)?", re.I)
+_ASIDE = frozenset("comment comments reply replies disqus related recommended recommendations".split())
+_HEADED = re.compile(r"(?:article-|post-|entry-|story-)?header", re.I)
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[^\W\d_]+")
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(/?)>|[^<]+|<", re.S)
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*?)(/?)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
-_HREF = re.compile(r"(?<![\w-])href\s*=", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")  # a value is passed over whole, whatever it holds
 _SPACES = re.compile(r"\s+")
 
 
@@ -52,7 +67,7 @@ class Open:
 
     name: str = ""
     dropped: bool = False
-    furniture: bool = False
+    weight: float = 1.0  # of a line's text: 0 in furniture, HINTED where a name hints at it
     article: bool = False
     aside: bool = False
     link: bool = False
@@ -72,10 +87,26 @@ def places(name: str, at: tuple[int, ...], own: int) -> tuple[int, ...]:
     return at if kind is None else (*at[:kind], own, *at[kind + 1 :])
 
 
+@cache
+def named_as(names: str) -> tuple[float, bool]:
+    """The weight that classes and ids give, and whether they name comments or the like: 0 where a whole name is one of furniture, as ``site-header`` or ``adSlot3``; HINTED
+    where only a part is, as in ``related-work``, or a name of content stands beside."""
+    weight, content, aside = 1.0, False, False
+    for name in names.split():
+        parts = [x.lower() for x in _PARTS.findall(name)]
+        bad = [x for x in parts if x in _NAMES]
+        if bad:
+            whole = all(x in _NAMES or x in _BESIDE for x in parts)
+            weight = min(weight, 0.0 if whole else HINTED)
+            aside |= whole and any(x in _ASIDE for x in parts)
+        content |= bool(parts) and not bad and all(x in _CONTENT for x in parts)
+    return max(weight, HINTED) if content and weight < 1 and not aside else weight, aside
+
+
 @dataclass
 class Line:
     text: str
-    counts: bool
+    weight: float
     article: bool
     linked: int
 
@@ -92,7 +123,7 @@ def stripped(page: str) -> list[Line]:
         nonlocal linked
         text = _SPACES.sub(" ", "".join(parts)).strip()
         if text:
-            out.append(Line(text, not stack[-1].furniture, stack[-1].article, min(linked, len(text))))
+            out.append(Line(text, stack[-1].weight, stack[-1].article, min(linked, len(text))))
         parts.clear()
         linked = 0
 
@@ -120,12 +151,12 @@ def stripped(page: str) -> list[Line]:
             continue
         name = name.lower()
         if m[1]:
-            if name not in _INLINE:
+            if name not in _INLINE and not stack[-1].dropped:
                 flush()
             if count.get(name):
                 leave(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].name == name))
             continue
-        if name not in _INLINE:
+        if name not in _INLINE and not stack[-1].dropped:
             flush()
         if name in _VOID or m[4]:
             continue
@@ -137,20 +168,23 @@ def stripped(page: str) -> list[Line]:
         if open_ones:
             leave(min(open_ones))
         top = stack[-1]
-        dropped, furniture, article = top.dropped, top.furniture, top.article
-        named = {k.lower(): (v or "").strip("\"'") for k, v in _ATTRIBUTE.findall(m[3])} if m[3] else {}
-        label = f"{named.get('class', '')} {named.get('id', '')}"
-        dropped |= name in _NEVER or "hidden" in named or named.get("aria-hidden", "").lower() == "true"
-        bad = name in _FURNITURE and not (name == "header" and article) or named.get("role", "").lower() in _ROLES or name not in ("body", "html") and bool(_NAMED.search(label)) and not _CONTENT_NAME.search(label)
-        if name in ("article", "main") or named.get("role", "").lower() in ("main", "article"):
+        dropped, weight, article = top.dropped, top.weight, top.article
+        said = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(m[3])} if m[3] else {}
+        dropped |= name in _NEVER or "hidden" in said or said.get("aria-hidden", "").lower() == "true"
+        own, commented = named_as(f"{said.get('class', '')} {said.get('id', '')}") if name not in ("body", "html") and ("class" in said or "id" in said) else (1.0, False)
+        if article and name in ("header", "hgroup") or own == 0 and article and _HEADED.fullmatch(said.get("class") or said.get("id") or ""):
+            own = 1.0  # an article's own header
+        elif name in _FURNITURE or said.get("role", "").lower() in _ROLES:
+            own = 0.0
+        if name in ("article", "main") or said.get("role", "").lower() in ("main", "article"):
             # a comment may be an article of its own; other furniture may be a wrapper, or never closed
-            furniture, article = (top.aside and furniture) or bad, not top.aside and not bad
-        elif bad:
-            furniture = True
-        aside = top.aside or name in ("aside", "footer") or bool(_ASIDE.search(label))
-        link = top.link or name == "a" and bool(_HREF.search(m[3]))
+            weight, article = min(own, top.weight if top.aside else 1.0), not top.aside and own > 0
+        else:
+            weight = min(weight, own)
+        aside = top.aside or name in ("aside", "footer") or commented
+        link = top.link or name == "a" and "href" in said
         count[name] = count.get(name, 0) + 1
-        stack.append(Open(name, dropped, furniture, article, aside, link, places(name, top.at, len(stack))))
+        stack.append(Open(name, dropped, weight, article, aside, link, places(name, top.at, len(stack))))
     flush()
     return out
 
@@ -159,7 +193,7 @@ def main_lines(lines: list[Line], window: int = WINDOW, surge: int = SURGE) -> l
     runs: list[list[Line]] = []  # lines that follow one another in marked articles, or outside
     between: list[Line] = []
     for x in lines:
-        if not x.counts:
+        if not x.weight:
             between.append(x)
             continue
         if runs and runs[-1][0].article == x.article:
@@ -176,17 +210,17 @@ def main_lines(lines: list[Line], window: int = WINDOW, surge: int = SURGE) -> l
     return kept or short[True] or short[False]
 
 
-def lengths(run: list[Line]) -> list[int]:
+def lengths(run: list[Line]) -> list[float]:
     """The text of each line that counts: where most of a line is links, only the rest; in a marked article a lone such line (a headline, a source) counts whole."""
     listed = [2 * x.linked > len(x.text) for x in run]
     out = []
     for i, x in enumerate(run):
         alone = x.article and not any(listed[j] for j in (i - 1, i + 1) if 0 <= j < len(run))
-        out.append((len(x.text) - x.linked * (listed[i] and not alone)) * x.counts)
+        out.append((len(x.text) - x.linked * (listed[i] and not alone)) * x.weight)
     return out
 
 
-def surged(run: list[Line], length: list[int], window: int, surge: float) -> list[str]:
+def surged(run: list[Line], length: list[float], window: int, surge: float) -> list[str]:
     """The lines from a surge point to a dive point; in a marked article those before the surge too, back to the last dive."""
     block = [sum(length[i : i + window]) for i in range(len(run))]
     kept, before, inside = [], [], False
@@ -208,7 +242,8 @@ def surged(run: list[Line], length: list[int], window: int, surge: float) -> lis
 def extracted(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per input row: page_id, url, text, n_chars (code points), in one pass without a shuffle.
 
-    Nulls: a null page has an empty text; a null id or url is carried. Repeated rows have equal results. Empty table: no rows. Other columns are not
+    Nulls: a null page has an empty text; a null id or url is carried. Very long pages are read whole, elements nested to any depth. Equal pages, and so repeated rows,
+    have equal results. Empty table: no rows. Other columns are not
     carried, so clashing names cannot disturb. A page in which nothing surges gives all lines that count, those of marked articles if there are any.
     """
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:

@@ -186,7 +186,48 @@ def test_open_elements_have_no_cap():
     assert [len(html_text.stripped(x)) for x in (table, items)] == [600, 1800]
     # an end tag that may be left out ends no element around the list or table
     nested = "<ul><li>one<div>in<table><tr><td>cell<ul><li>deep</ul>after<tr><td>next</table>rest</div><li class=ad>ad<li>two</ul>"
-    assert [(x.text, x.counts) for x in html_text.stripped(nested)] == [("one", True), ("in", True), ("cell", True), ("deep", True), ("after", True), ("next", True), ("rest", True), ("ad", False), ("two", True)]
+    assert [(x.text, x.weight > 0) for x in html_text.stripped(nested)] == [("one", True), ("in", True), ("cell", True), ("deep", True), ("after", True), ("next", True), ("rest", True), ("ad", False), ("two", True)]
+
+
+def test_names_and_attributes():
+    of = lambda page: html_text.main_lines(html_text.stripped(page))
+    text = "A long paragraph of the text that is to be kept, whatever stands before it."
+    kept = ('title="a hidden gem"', "data-x='hidden class=ad'", 'class="related-work"', 'id="notice-of-appeal"', 'class="social-science"', 'class="menu-planning"', 'alt="role=navigation"')
+    for a in kept:
+        assert of(f"<article><p>{text}</p><div {a}><p>{text} {a[:5]}</p></div></article>") == [text, f"{text} {a[:5]}"], a
+    assert of(f"<article><header class=header><h1>Head</h1></header><div class=entry-header><p>By B</p></div><p>{text}</p></article>") == ["Head", "By B", text]
+    gone = ("hidden", "class=ad", 'class="ad-slot-3"', 'class="cookie-banner"', 'id="siteHeader"', 'class="article-comments"', 'class="relatedPosts"', 'class="share-bar"', "role=navigation", 'aria-hidden="true"', 'class="post-sidebar left"')
+    for a in gone:
+        assert of(f"<article><p>{text}</p><div {a}><p>No {text}</p></div></article><div {a}>No {text}</div>") == [text], a
+    assert of(f"<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> be {text}</p></article>") == [f"Let x=2 be {text}"]
+    assert of(f"<article><p>One <script>var a='<p>';</script>two <svg><g><path/></g></svg>three <button>Buy</button>{text}</p></article>") == [f"One two three {text}"]
+    deep = "<div>" * 2000 + "<nav>Menu</nav>" + f"<article><p>{text}</p></article>"
+    assert of(deep) == [text]
+
+
+def brute_between(length, window, surge):
+    """Lines with text from the first window of ``surge`` characters to the next window without any, and so on."""
+    kept, i = [], 0
+    total = lambda k: sum(length[k : k + window])
+    while i < len(length):
+        if length[i] and total(i) >= surge:
+            while i < len(length) and total(i):
+                kept += [i] if length[i] else []
+                i += 1
+        i += 1
+    return kept
+
+
+def test_surge_and_dive_points():
+    rng = random.Random(12)
+    some = 0
+    for _ in range(400):
+        lines = [html_text.Line(str(i) + "x" * 8 * rng.choice([0, 0, 1, 3, 9]), rng.choice([0.0, 0.5, 1.0, 1.0]), False, 0) for i in range(rng.randint(0, 25))]
+        length = html_text.lengths(lines)
+        want = [lines[i].text for i in brute_between(length, 3, 60)]
+        assert html_text.surged(lines, length, 3, 60) == want
+        some += 0 < len(want) < sum(n > 0 for n in length)
+    assert some > 50  # the windows decide
 
 
 def brute_spans(x):
