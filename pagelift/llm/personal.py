@@ -1,8 +1,8 @@
 """Personal data: base patterns, and the spans that a character tagger adds to them.
 
-The tagger (``tagger``) is trained on labelled spans. It decodes overlapping windows around all of which a span must
-have one (a digit, an at sign, a spelt-out or bracketed sign or dot), the whole of the text as far as a span can lie there; an added span is kept if it is
-well-formed for its kind and overlaps nothing found before. So base spans stay, and what their greedy patterns spoil (a
+The tagger (``tagger``) is trained on labelled spans. An added span is kept if it is well-formed for its kind (``shaped``) and overlaps nothing found before. So
+overlapping windows are decoded over every stretch of the whole text that could hold such a span (``regions``), and one best path reconciles the windows of a
+stretch. So base spans stay, and what their greedy patterns spoil (a
 number next to another, a spelt-out address) is found. One pass without a shuffle.
 """
 
@@ -30,7 +30,10 @@ _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _HAS_DIGIT = re.compile(r"[0-9]")
-_TRIGGER = re.compile(r"[0-9@]|[\[({]\s*(?:at|dot|\.)\s*[\])}]|\s(?:at|dot)\s", re.I)
+#: What must stand in a span of each kind that ``shaped`` accepts: a run with a digit, or a sign for at with a domain after it.
+_NUMBERS = re.compile(r"[+0-9][0-9 ().+-]*")
+_AT = re.compile(r"@|[\[({]\s*(?:at|@)\s*[\])}]|(?<=\s)at(?=\s)", re.I)
+_DOMAIN = re.compile(r"\s*[A-Za-z0-9-]+(?:(?:\.|\s*[\[({]\s*(?:dot|\.)\s*[\])}]\s*|\s+dot\s+)[A-Za-z0-9-]+)+", re.I)
 _SPELT = re.compile(r"[A-Za-z0-9._%+-]+(?:@|\s*[\[({]\s*(?:at|@)\s*[\])}]\s*|\s+at\s+)[A-Za-z0-9-]+(?:(?:\.|\s*[\[({]\s*(?:dot|\.)\s*[\])}]\s*|\s+dot\s+)[A-Za-z0-9-]+)+", re.I)
 _CONTEXT = WINDOW // 2
 
@@ -86,12 +89,27 @@ def _rank(s: Span) -> tuple[int, int, int]:
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Where a span can lie: around each trigger, merged where they touch."""
+    """Where a span can lie, with what stands around it, merged where they touch: whatever ``shaped`` accepts lies in one of these."""
+    found = [m.span() for m in _NUMBERS.finditer(text)] if _HAS_DIGIT.search(text) else []
+    for m in _AT.finditer(text):
+        own = text[:m.start()] if m.start() < _CONTEXT else text[m.start() - _CONTEXT : m.start()]
+        near = own.rstrip()
+        if near and near[-1] in _LOCAL or not near and m.start() >= _CONTEXT:
+            after = _DOMAIN.match(text, m.end())
+            if after:
+                end = m.start() - len(own) + len(near)
+                while end and text[end - 1].isspace():
+                    end -= 1
+                start = end
+                while start and text[start - 1] in _LOCAL:
+                    start -= 1
+                if start < end:
+                    found.append((start, after.end()))
     out: list[tuple[int, int]] = []
-    for m in _TRIGGER.finditer(text):
-        a, z = max(0, m.start() - _CONTEXT), min(len(text), m.end() + _CONTEXT)
+    for a, z in sorted(found):
+        a, z = max(0, a - _CONTEXT), min(len(text), z + _CONTEXT)
         if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], z)
+            out[-1] = (out[-1][0], max(z, out[-1][1]))
         else:
             out.append((a, z))
     return out
@@ -180,27 +198,29 @@ def labelled(n: int, seed: int, size: int = 64) -> tuple[list[str], list[list[Sp
     rng = random.Random(seed)
     out: tuple[list[str], list[list[Span]]] = ([], [])
     while len(out[0]) < n:
-        text, spans = "", []
+        text, spans, beside = "", [], False
         while len(text) < size + 40:
             x = rng.random()
-            if x < 0.14:
-                kind = rng.choice(KINDS)
+            if x < (0.4 if beside else 0.14):
+                kind = spans[-1][0] if beside and rng.random() < 0.5 else rng.choice(KINDS)
                 said = _made(rng, kind)
                 spans.append((kind, len(text), len(text) + len(said)))
                 text += said
+                beside = True
             else:
-                text += _other(rng) if x < 0.24 else _word(rng)
-            text += rng.choice([" "] * 12 + [", ", ". ", ".\n", " | ", "; ", " (", ") "])
+                text += _other(rng) if x > 0.9 else _word(rng)
+                beside = False
+            text += " " if beside else rng.choice([" "] * 12 + [", ", ". ", ".\n", " | ", "; ", " (", ") "])
         cut = rng.randint(0, 20)
-        text = text[cut : cut + size]
+        text = text[cut : cut + (size if rng.random() < 0.8 else rng.randint(size // 3, size))]
         whole = [(k, a - cut, z - cut) for k, a, z in spans]
         out[0].append(text)
-        out[1].append([(k, max(0, a), min(size, z)) for k, a, z in whole if a < size and z > 0])
+        out[1].append([(k, max(0, a), min(len(text), z)) for k, a, z in whole if a < len(text) and z > 0])
     return out
 
 
 @cache
-def trained(n: int = 2_048, epochs: int = 14, hidden: int = 16, seed: int = 5) -> Tagger:
+def trained(n: int = 2_048, epochs: int = 10, hidden: int = 16, seed: int = 5) -> Tagger:
     """A tagger fitted to ``n`` labelled windows."""
     return fit(*labelled(n, seed), epochs=epochs, hidden=hidden, seed=seed)
 
@@ -215,14 +235,15 @@ def fit(windows: list[str], spans: list[list[Span]], *, epochs: int = 12, hidden
             row[a:z] = TAGS.index(f"I-{kind}")
             row[a] = TAGS.index(f"B-{kind}")
     tagger = Tagger.new(hidden, seed)
-    tagger.train(codes, tags, epochs=epochs, batch=128, rate=0.03, seed=seed)
+    tagger.train(codes, tags, epochs=epochs, batch=128, rate=0.04, seed=seed)
     return tagger
 
 
 def found(docs: DataFrame, tagger: Tagger, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_email, n_ip, n_card, n_phone (base spans of each kind), base_sha256, spans.
 
-    Nulls: a null text is empty; a null id is carried. Repeated rows have equal results. Empty table: no rows. Other columns are not carried, so
+    Nulls: a null text is empty; a null id is carried. Very long texts are read whole, as many stretches or one. Equal texts, and so repeated rows, have equal
+    results; of spans that overlap, base ones stay, then the one that begins first. Empty table: no rows. Other columns are not carried, so
     clashing names cannot disturb.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tagger)
@@ -247,7 +268,11 @@ def masked(text: str, spans: list[Span]) -> str:
 
 
 def redacted(docs: DataFrame, tagger: Tagger, *, text_col: str = "text") -> DataFrame:
-    """docs with every span masked; columns stay as they are; n_chars, where there is one, follows the text. A null text stays null."""
+    """docs with every span masked; columns stay as they are, whatever their names; n_chars, where there is one, follows the text.
+
+    Nulls: a null text stays null, nulls elsewhere are carried. Very long texts are read whole; equal texts are masked alike; repeated rows all stay. Empty table: no
+    rows.
+    """
     rest = [c for c in docs.columns if c != text_col]
     shared = docs.sparkSession.sparkContext.broadcast(tagger)
 

@@ -12,19 +12,20 @@ TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 WINDOW, STRIDE = 96, 48
 
 _MARKS = " \n.,;:@()[]{}+-_%/\\'\"!?#*$&|<>="
-PAD, LOWER, UPPER, DIGIT, OTHER = range(5)
-SYMBOLS = 5 + len(_MARKS)
+PAD, FOREIGN, DIGIT, OTHER = range(4)
+LETTER = 4 + len(_MARKS)
+SYMBOLS = LETTER + 26
 _CLASS = np.full(128, OTHER, np.int64)
-_CLASS[97:123], _CLASS[65:91], _CLASS[48:58] = LOWER, UPPER, DIGIT
+_CLASS[48:58], _CLASS[65:91], _CLASS[97:123] = DIGIT, np.arange(LETTER, SYMBOLS), np.arange(LETTER, SYMBOLS)
 for _i, _c in enumerate(_MARKS):
-    _CLASS[ord(_c)] = 5 + _i
-_CLASS[[9, 13]] = 5
+    _CLASS[ord(_c)] = 4 + _i
+_CLASS[[9, 13]] = 4
 
 
 def coded(text: str) -> np.ndarray:
-    """The class of each character; letters beyond ASCII count as small letters."""
-    points = np.frombuffer(text.encode("utf-32-le"), "<u4")
-    return np.where(points < 128, _CLASS[np.minimum(points, 127)], LOWER)
+    """The class of each character: every ASCII letter (of either case) and mark has its own, digits share one, and so do characters beyond ASCII."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    return np.where(points < 128, _CLASS[np.minimum(points, 127)], FOREIGN)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -38,67 +39,50 @@ def _sum_exp(x: np.ndarray, axis: int) -> np.ndarray:
 
 @dataclass
 class Tagger:
-    """weights: for each direction ``in`` (a row per class), ``on`` and ``b``; ``out``, ``bias``; ``change[a, b]`` and ``start``."""
+    """weights: ``in`` (of each direction a row per class), ``on`` and ``b``; ``out``, ``bias``; ``change[a, b]`` and ``start``. Both directions run in one pass, the second over
+    the reversed window."""
 
     weights: dict[str, np.ndarray]
 
     @classmethod
     def new(cls, hidden: int, seed: int) -> Tagger:
         rng = np.random.default_rng(seed)
-        w: dict[str, np.ndarray] = {}
-        for d in ("ahead", "back"):
-            w[f"{d}.in"] = rng.normal(0, 0.4, (SYMBOLS, 4 * hidden))
-            w[f"{d}.on"] = rng.normal(0, 1 / np.sqrt(hidden), (hidden, 4 * hidden))
-            w[f"{d}.b"] = np.concatenate([np.zeros(hidden), np.ones(hidden), np.zeros(2 * hidden)])
-        k = len(TAGS)
+        k, gates = len(TAGS), 4 * hidden
+        forget = np.concatenate([np.zeros(hidden), np.ones(hidden), np.zeros(2 * hidden)])
+        w = {"in": rng.normal(0, 0.4, (2, SYMBOLS, gates)), "on": rng.normal(0, 1 / np.sqrt(hidden), (2, hidden, gates)), "b": np.stack([forget, forget])}
         w |= {"out": rng.normal(0, 0.3, (2 * hidden, k)), "bias": np.zeros(k), "change": np.zeros((k, k)), "start": np.zeros(k)}
         return cls({k: v.astype(np.float32) for k, v in w.items()})
 
-    def _run(self, d: str, codes: np.ndarray, keep: list | None) -> np.ndarray:
-        """Hidden states, time first; gates: input, forget, output, candidate."""
-        w, on = self.weights, self.weights[f"{d}.on"]
-        n, size = codes.shape[0], on.shape[0]
-        table = w[f"{d}.in"] + w[f"{d}.b"]
-        h = c = np.zeros((n, size), table.dtype)
-        states = np.empty((codes.shape[1], n, size), table.dtype)
-        steps = range(codes.shape[1]) if d == "ahead" else range(codes.shape[1] - 1, -1, -1)
-        for t in steps:
-            z = table[codes[:, t]]
-            z += h @ on
-            gates, g = _sigmoid(z[:, : 3 * size]), np.tanh(z[:, 3 * size :])
+    def _run(self, codes: np.ndarray, keep: list | None) -> np.ndarray:
+        """Hidden states of both directions, time first; gates: input, forget, output, candidate."""
+        on = self.weights["on"]
+        n, steps = codes.shape
+        size = on.shape[1]
+        table = self.weights["in"] + self.weights["b"][:, None]
+        h = c = np.zeros((2, n, size), table.dtype)
+        states = np.empty((steps, n, 2 * size), table.dtype)
+        for t in range(steps):
+            z = np.matmul(h, on)
+            z[0] += table[0][codes[:, t]]
+            z[1] += table[1][codes[:, steps - 1 - t]]
+            gates, g = _sigmoid(z[:, :, : 3 * size]), np.tanh(z[:, :, 3 * size :])
             before = c
-            c = gates[:, size : 2 * size] * c + gates[:, :size] * g
+            c = gates[:, :, size : 2 * size] * c + gates[:, :, :size] * g
             tc = np.tanh(c)
             if keep is not None:
-                keep.append((t, h, before, gates, g, tc))
-            h = gates[:, 2 * size :] * tc
-            states[t] = h
+                keep.append((h, before, gates, g, tc))
+            h = gates[:, :, 2 * size :] * tc
+            states[t, :, :size], states[steps - 1 - t, :, size:] = h[0], h[1]
         return states
 
-    def emissions(self, codes: np.ndarray, keep: dict[str, list] | None = None) -> tuple[np.ndarray, np.ndarray]:
-        both = np.concatenate([self._run(d, codes, None if keep is None else keep[d]) for d in ("ahead", "back")], 2)
+    def emissions(self, codes: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        both = self._run(codes, keep)
         return both @ self.weights["out"] + self.weights["bias"], both
 
-    def decode(self, codes: np.ndarray) -> np.ndarray:
-        """The best tags of each window."""
-        e, change = self.emissions(codes)[0], self.weights["change"]
-        best = e[0] + self.weights["start"]
-        came = np.zeros(e.shape, np.int8)
-        for t in range(1, len(e)):
-            over = best[:, :, None] + change
-            came[t] = over.argmax(1)
-            best = over.max(1) + e[t]
-        tags = np.empty(codes.shape, np.int8)
-        tags[:, -1] = best.argmax(1)
-        rows = np.arange(len(codes))
-        for t in range(len(e) - 1, 0, -1):
-            tags[:, t - 1] = came[t, rows, tags[:, t]]
-        return tags
-
     def gradient(self, codes: np.ndarray, tags: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log-likelihood of a character's tag, and its gradient."""
         w = self.weights
-        keep: dict[str, list] = {"ahead": [], "back": []}
+        keep: list = []
         e, both = self.emissions(codes, keep)
         steps, n, k = e.shape
         change, rows = w["change"], np.arange(n)
@@ -123,20 +107,21 @@ class Tagger:
         out["out"], out["bias"] = flat.T @ de.reshape(-1, k), de.sum((0, 1))
         d_both = de @ w["out"].T
         size = d_both.shape[2] // 2
+        on, to = w["on"], np.transpose(w["on"], (0, 2, 1))
+        d_z, d_on = np.empty((steps, 2, n, 4 * size), e.dtype), np.zeros_like(on)
+        next_h = next_c = np.zeros((2, n, size), e.dtype)
+        for t in range(steps - 1, -1, -1):
+            h, before, gates, g, tc = keep[t]
+            up = next_h + np.stack([d_both[t, :, :size], d_both[steps - 1 - t, :, size:]])
+            i, f, o = gates[:, :, :size], gates[:, :, size : 2 * size], gates[:, :, 2 * size :]
+            dc = up * o * (1 - tc * tc) + next_c
+            dz = d_z[t]
+            dz[:, :, :size], dz[:, :, size : 2 * size], dz[:, :, 2 * size : 3 * size], dz[:, :, 3 * size :] = dc * g * i * (1 - i), dc * before * f * (1 - f), up * tc * o * (1 - o), dc * i * (1 - g * g)
+            d_on += np.matmul(np.transpose(h, (0, 2, 1)), dz)
+            next_h, next_c = np.matmul(dz, to), dc * f
         one_hot = (codes.T.reshape(-1, 1) == np.arange(SYMBOLS)).astype(e.dtype)
-        for d, dh in (("ahead", d_both[:, :, :size]), ("back", d_both[:, :, size:])):
-            on = w[f"{d}.on"]
-            d_z, d_on, next_h, next_c = np.empty((steps, n, 4 * size), e.dtype), np.zeros_like(on), np.zeros((n, size), e.dtype), np.zeros((n, size), e.dtype)
-            for t, h, before, gates, g, tc in reversed(keep[d]):
-                up = dh[t] + next_h
-                i, f, o = gates[:, :size], gates[:, size : 2 * size], gates[:, 2 * size :]
-                dc = up * o * (1 - tc * tc) + next_c
-                dz = np.concatenate([dc * g * i * (1 - i), dc * before * f * (1 - f), up * tc * o * (1 - o), dc * i * (1 - g * g)], 1)
-                d_z[t] = dz
-                d_on += h.T @ dz
-                next_h, next_c = dz @ on.T, dc * f
-            d_in = one_hot.T @ d_z.reshape(-1, 4 * size)
-            out |= {f"{d}.in": d_in, f"{d}.on": d_on, f"{d}.b": d_in.sum(0)}
+        d_in = np.stack([one_hot.T @ d_z[:, 0].reshape(-1, 4 * size), one_hot.T @ d_z[::-1, 1].reshape(-1, 4 * size)])
+        out |= {"in": d_in, "on": d_on, "b": d_in.sum(1)}
         return float((log_z.sum() - gold) / total), out
 
     def train(self, codes: np.ndarray, tags: np.ndarray, *, epochs: int, batch: int, rate: float, seed: int) -> list[float]:
@@ -177,23 +162,68 @@ def spans_of(tags: np.ndarray) -> list[tuple[str, int, int]]:
     return out
 
 
-def decode_regions(tagger: Tagger, regions: list[np.ndarray], most: int = 2048) -> list[np.ndarray]:
-    """Tags of coded texts of any length: windows of WINDOW characters every STRIDE are decoded, and each character takes its tag from
-    the window in whose middle it lies most, so that a span over a window's end is seen whole by another."""
-    windows, where = [], []
-    for r, codes in enumerate(regions):
-        for at in range(0, max(1, len(codes) - WINDOW + STRIDE), STRIDE):
-            part = codes[at : at + WINDOW]
-            windows.append(np.pad(part, (0, WINDOW - len(part))))
-            where.append((r, at))
-    out = [np.zeros(len(c), np.int8) for c in regions]
-    edge = (WINDOW - STRIDE) // 2
-    for a in range(0, len(windows), most):
-        tags = tagger.decode(np.stack(windows[a : a + most]))
-        for own, (r, at) in zip(tags, where[a : a + most], strict=True):
-            low = 0 if at == 0 else edge
-            high = WINDOW if at + WINDOW >= len(out[r]) else WINDOW - edge
-            part = own[low:high]
-            target = out[r][at + low : at + high]
-            target[:] = part[: len(target)]
+def best_path(e: np.ndarray, first: np.ndarray, start: np.ndarray, change: np.ndarray) -> np.ndarray:
+    """The best tags of many stretches at once: the scores of stretch r are the rows of e from first[r] to first[r + 1]."""
+    n = np.diff(first)
+    order = np.argsort(-n, kind="stable")
+    order = order[n[order] > 0]
+    at, n = first[:-1][order], n[order]
+    tags, came = np.zeros(len(e), np.int8), np.zeros(e.shape, np.int8)
+    best = e[at] + start
+    last = np.empty((len(at), e.shape[1]), e.dtype)
+    for t in range(1, int(n.max(initial=0)) + 1):
+        live = int(np.searchsorted(-n, -t, side="left"))  # stretches of more than t
+        last[live : len(best)] = best[live:]
+        if live:
+            over = best[:live, :, None] + change
+            came[at[:live] + t] = over.argmax(1)
+            best = over.max(1) + e[at[:live] + t]
+    tag = last.argmax(1).astype(np.int8)
+    for t in range(int(n.max(initial=0)) - 1, -1, -1):
+        live = int(np.searchsorted(-n, -t, side="left"))
+        tags[at[:live] + t] = tag[:live]
+        tag[:live] = came[at[:live] + t, tag[:live]]
+    return tags
+
+
+def window_weights(width: int) -> np.ndarray:
+    """How much a window says about each of its characters: least at its ends."""
+    place = np.arange(width)
+    return (np.minimum(place, width - 1 - place) + 1).astype(np.float32)
+
+
+def decode_regions(tagger: Tagger, regions: list[np.ndarray], most: int = 1 << 17) -> list[np.ndarray]:
+    """Tags of coded stretches of text of any length. Windows of WINDOW characters every STRIDE overlap; a character's scores are the mean over the windows that hold it,
+    weighted towards their middles, and one best path over a stretch reconciles all its windows. ``most`` characters, or one stretch, are in memory at once."""
+    out: list[np.ndarray] = []
+    group, size = [], 0
+    for r in [*regions, None]:
+        if group and (r is None or size + len(r) > most):
+            out += _decoded(tagger, group)
+            group, size = [], 0
+        if r is not None:
+            group.append(r)
+            size += len(r)
     return out
+
+
+def _decoded(tagger: Tagger, group: list[np.ndarray], rows: int = 1024) -> list[np.ndarray]:
+    first = np.concatenate([[0], np.cumsum([len(r) for r in group])])
+    flat = np.concatenate([*group, np.zeros(WINDOW, np.int64)])
+    starts = np.concatenate([np.arange(a, max(a + 1, z - WINDOW + STRIDE), STRIDE) for a, z in zip(first[:-1], first[1:], strict=True)])
+    ends = np.minimum(starts + WINDOW, first[np.searchsorted(first, starts, side="right")])
+    k = len(TAGS)
+    total, weight = np.zeros((len(flat), k), np.float32), np.zeros(len(flat), np.float32)
+    for a in range(0, len(starts), rows):
+        at, n = starts[a : a + rows], ends[a : a + rows] - starts[a : a + rows]
+        place = at[:, None] + np.arange(WINDOW)
+        own = np.arange(WINDOW) < n[:, None]
+        e = tagger.emissions(np.where(own, flat[np.minimum(place, len(flat) - 1)], PAD))[0].transpose(1, 0, 2)
+        w = np.where(own, window_weights(WINDOW), 0)
+        for half in (0, 1):  # every second window: of a stretch these do not overlap
+            pick = ((at - first[np.searchsorted(first, at, side="right") - 1]) // STRIDE) % 2 == half
+            mine = own[pick]
+            total[place[pick][mine]] += (e[pick] * w[pick][:, :, None])[mine]
+            weight[place[pick][mine]] += w[pick][mine]
+    tags = best_path(total[: first[-1]] / np.maximum(weight[: first[-1], None], 1e-9), first, tagger.weights["start"], tagger.weights["change"])
+    return [tags[a:z] for a, z in zip(first[:-1], first[1:], strict=True)]
