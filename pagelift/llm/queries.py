@@ -55,16 +55,23 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("starts", "ends")
 
 
+def _shown(found: DataFrame) -> DataFrame:
+    return found.withColumn("removed", F.concat_ws(",", F.transform("removed", lambda s: F.format_string("%d:%d", s["start"], s["end"]))))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """removed: start:end of each removed unit, comma-joined."""
-    spans = F.transform("removed", lambda s: F.format_string("%d:%d", s["start"], s["end"]))
-    return units.repeats(table(spark, sf_dir, "documents")).withColumn("removed", F.concat_ws(",", spans))
+    """removed: start:end of each removed line, comma-joined."""
+    return _shown(units.repeats(table(spark, sf_dir, "documents")))
 
 
 def op10_whole_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As op10_substring_dedup, and each line that was a line before goes, however short."""
-    spans = F.transform("removed", lambda s: F.format_string("%d:%d", s["start"], s["end"]))
-    return units.repeats(table(spark, sf_dir, "documents"), whole_lines=True).withColumn("removed", F.concat_ws(",", spans))
+    """As op10_substring_dedup, and passages of repeated sentences inside lines that are otherwise new."""
+    return _shown(units.repeats(table(spark, sf_dir, "documents"), passage_words=units.LEAST_WORDS))
+
+
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of repeated sentences alone."""
+    return _shown(units.repeats(table(spark, sf_dir, "documents"), unit="sentence"))
 
 
 QUERIES: dict[str, Query] = {
@@ -79,10 +86,12 @@ QUERIES: dict[str, Query] = {
     "op9_decontamination": op9_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
     "op10_whole_lines": op10_whole_lines,
+    "op10_passages": op10_passages,
 }
 #: Queries that SQL can express; the others are tested against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op5_minhash_dedup": minhash.ORACLE_SQL,
     "op9_decontamination": decontamination.ORACLE_SQL,
     "op10_substring_dedup": units.ORACLE_SQL,
+    "op10_passages": units.PASSAGES_SQL,
 }

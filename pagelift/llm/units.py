@@ -1,12 +1,12 @@
-"""Substring de-duplication by hashing units of lines.
+"""Substring de-duplication by hashing lines or paragraphs.
 
-A unit is a sentence within a line (a line without sentence ends is one unit), normalised: A-Z lowered, white space collapsed. The earliest ranked
-occurrence of a unit, by id of the document and then by place, stays; a later one is a repeat. Repeats that follow one another in a document
-are a passage, and passages of at least ``least_words`` words go, with their offsets kept; lone short repeats stay. With ``whole_lines``, so does
-each line that was a line before, however short: lines are equal if their units are, and the earliest stays.
+A unit is a line with a word, or a paragraph (lines between blank ones), normalised: A-Z lowered, white space collapsed. The earliest ranked occurrence of a unit, by id
+of the document and then by place, stays; every later one goes, with its original offsets kept. With ``passage_words``, so do runs of repeated sentences of at least so
+many words inside lines that are otherwise new; ``unit="sentence"`` looks for these runs alone.
 
-Digests are 128 bits. They are grouped by an aggregate that is combined before the shuffle, and joined back with their occurrences only where a
-digest has several documents; a very common unit is one key of a plain inner join, which Spark splits.
+One scan of the texts makes digests of 128 bits, places and word counts of all units, which are written once. Digests are grouped by an aggregate that is combined
+before the shuffle. A unit that its own text has had before is a repeat without a look-up; the others meet, in an inner join that Spark splits at very common digests, with
+the digests that several documents have.
 """
 
 from __future__ import annotations
@@ -39,37 +39,76 @@ def units(text: str) -> Iterator[tuple[int, int, str, int]]:
             yield start, start + len(said), " ".join(words).translate(_LOWER), len(words)
 
 
+def whole_units(text: str, unit: str) -> Iterator[tuple[int, int, str, int]]:
+    """As ``units``, for lines or paragraphs."""
+    for m in (re.compile(r"[^\n]+") if unit == "line" else re.compile(r"(?:(?!\n[ \t\r\x0b\x0c]*\n).)+", re.S)).finditer(text):
+        said = m[0].strip(_SPACE)
+        if said:
+            start = m.start() + len(m[0]) - len(m[0].lstrip(_SPACE))
+            words = _SPLIT.split(said)
+            yield start, start + len(said), " ".join(words).translate(_LOWER), len(words)
+
+
 _ENDS = np.zeros(256, bool)
 _ENDS[list(b".!?")] = True
 _FIRST_BYTE = np.array([not 0x80 <= b < 0xC0 for b in range(256)])
+_BLANK = np.zeros(256, bool)
+_BLANK[list(_SPACE.encode())] = True
 
 
-def _begins(raw: np.ndarray) -> np.ndarray:
-    """Where a unit may begin: after a line feed, and after sentence ends."""
+def _sentences(raw: np.ndarray) -> np.ndarray:
+    """Where a sentence may begin: after a line feed, and after sentence ends."""
     out = np.ones(len(raw), bool)
     out[1:] = (raw[:-1] == 10) | (_ENDS[raw[:-1]] & ~_ENDS[raw[1:]])
     return out
 
 
-def columns_of(texts: list[bytes], whole_lines: bool = False) -> dict[str, pa.Array]:
-    """What ``units`` gives, and digests and whether the text had the unit before, as a list for each text; with ``whole_lines``, its lines too, with
-    their last unit in ``upto`` (-1 for units)."""
+def _lines(raw: np.ndarray) -> np.ndarray:
+    out = np.ones(len(raw), bool)
+    out[1:] = raw[:-1] == 10
+    return out
+
+
+def _paragraphs(raw: np.ndarray) -> np.ndarray:
+    """Where a paragraph may begin: after a line without a word."""
+    out = np.zeros(len(raw), bool)
+    out[:1] = True
+    ends = np.flatnonzero(raw == 10)
+    said = np.concatenate([[0], np.cumsum(~_BLANK[raw])])
+    blank = ends[1:][said[ends[1:]] == said[ends[:-1]]] + 1
+    out[blank[blank < len(raw)]] = True
+    return out
+
+
+_BEGINS = {"sentence": _sentences, "line": _lines, "paragraph": _paragraphs}
+
+
+def columns_of(texts: list[bytes], unit: str = "sentence", lines_too: bool = False) -> dict[str, pa.Array]:
+    """What ``units`` or ``whole_units`` gives, and digests and whether the text had the unit before, as a list for each text; with ``lines_too``, lines beside the sentences, with
+    their last sentence in ``upto`` (-1 for sentences)."""
     names = ("no", "start", "end", "words", "h1", "h2", "again", "upto")
     flat: dict[str, list[np.ndarray]] = {n: [np.zeros(0, np.int64)] for n in names}
     sizes = [np.zeros(0, np.int64)]
     for _, part in chunks(texts):
-        w = Words(part, LOWERED, _begins)
+        ends = np.cumsum([len(t) + 1 for t in part])
+
+        def begins(raw: np.ndarray, ends: np.ndarray = ends) -> np.ndarray:
+            out = _BEGINS[unit](raw)
+            out[ends[ends < len(raw)]] = True  # a text begins
+            return out
+
+        w = Words(part, LOWERED, begins if unit == "sentence" else None)  # other units end with a word
         raw = np.frombuffer(w.data, np.uint8)
-        unit = np.cumsum(_begins(raw))[w.starts]
-        begin = np.flatnonzero(np.diff(unit, prepend=-1))
-        end = np.append(begin[1:], len(unit)) if len(begin) else begin
+        unit_of = np.cumsum(begins(raw))[w.starts]
+        begin = np.flatnonzero(np.diff(unit_of, prepend=-1))
+        end = np.append(begin[1:], len(unit_of)) if len(begin) else begin
         owner = np.searchsorted(w.first, begin, side="right") - 1
         h1, h2 = w.spans(begin, end)
         no = np.arange(len(begin)) - np.searchsorted(owner, owner)
         upto = np.full(len(begin), -1)
-        if whole_lines and len(begin):
+        if lines_too and len(begin):
             line = np.cumsum(raw == 10)[w.starts[begin]]
-            a = np.flatnonzero(np.diff(line, prepend=-1))  # the first unit of each line, and the last
+            a = np.flatnonzero(np.diff(line, prepend=-1))  # the first sentence of each line, and the last
             z = np.append(a[1:], len(line)) - 1
             own = [x ^ _LINE for x in w.spans(begin[a], end[z])]
             order = np.argsort(np.concatenate([owner, owner[a]]), kind="stable")
@@ -78,7 +117,7 @@ def columns_of(texts: list[bytes], whole_lines: bool = False) -> dict[str, pa.Ar
         again = np.ones(len(begin), np.int64)
         again[once] = 0
         points = np.concatenate([[0], np.cumsum(_FIRST_BYTE[raw])])
-        text_at = np.concatenate([[0], np.cumsum([len(t) + 1 for t in part])])[owner]
+        text_at = np.concatenate([[0], ends])[owner]
         got = (no, points[w.starts[begin]] - points[text_at], points[w.ends[end - 1]] - points[text_at], end - begin, h1.view(np.int64), h2.view(np.int64), again, upto)
         for n, x in zip(names, got, strict=True):
             flat[n].append(x)
@@ -86,7 +125,7 @@ def columns_of(texts: list[bytes], whole_lines: bool = False) -> dict[str, pa.Ar
     count = np.concatenate(sizes)
     offsets = pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32())
     out = {n: pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x)).cast(_KINDS[n])) for n, x in flat.items()}
-    if not whole_lines:
+    if not lines_too:
         del out["upto"]
     return out
 
@@ -95,32 +134,43 @@ _LINE = np.uint64(0x6C696E6573)
 _KINDS = {"no": pa.int32(), "upto": pa.int32(), "start": pa.int32(), "end": pa.int32(), "words": pa.int32(), "h1": pa.int64(), "h2": pa.int64(), "again": pa.bool_()}
 
 
-def repeats(docs: DataFrame, *, least_words: int = LEAST_WORDS, whole_lines: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_units, n_repeats, n_removed, removed (array of start, end: the units that go).
+def repeats(docs: DataFrame, *, unit: str = "line", passage_words: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_units, n_repeats, n_removed, removed (array of start, end: what goes, code points).
 
-    Nulls: a null text has no units; a null id ranks after all others, and units that only such rows have stay. Repeated ids are one document given
-    again: all its rows are judged alike. Ties cannot arise: the least id, then the first place, is the earliest. Empty table: no rows. Other
-    columns are not carried, so clashing names cannot disturb.
+    ``unit``: line, paragraph or sentence. Of lines and paragraphs all repeats go; with ``passage_words`` units are sentences, and whole lines that were lines before go
+    and, inside others, runs of repeated sentences of so many words (LEAST_WORDS, where sentences are the unit and nothing is said).
+
+    Nulls: a null text has no units; a row with a null id cannot be ranked: nothing goes of it, and it makes nothing a repeat. Very long texts are read whole. Repeated
+    rows are one document given again and judged alike; texts with the same id do not make each other's units repeats. Ties cannot arise otherwise: the least id, then the first place,
+    is the earliest. Empty table: no rows. Other columns are not carried, so clashing names cannot disturb.
     """
+    return _judged(docs, unit=unit, passage_words=passage_words, id_col=id_col, text_col=text_col).drop("key")
+
+
+def _judged(docs: DataFrame, *, unit: str, passage_words: int | None, id_col: str, text_col: str) -> DataFrame:
+    """``repeats``, and in ``key`` a digest of the row's text."""
+    sentences, lines_too = unit == "sentence" or passage_words is not None, unit != "sentence" and passage_words is not None
+    least = LEAST_WORDS if passage_words is None else passage_words
+    if lines_too and unit != "line":
+        raise ValueError("passages are looked for inside lines")
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    read = read.select("doc_id", F.xxhash64("text").alias("key"), "text")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
-            yield {"doc_id": b.column("doc_id")} | columns_of(text_bytes(b.column("text")), whole_lines)
-
-    schema = "no array<int>, start array<int>, end array<int>, words array<int>, h1 array<long>, h2 array<long>, again array<boolean>"
-    upto = ["upto"] if whole_lines else []
-    rows = map_batches(read, make, ", ".join([schema, *(f"{c} array<int>" for c in upto)]), ("doc_id",))
-    each = rows.select("doc_id", F.explode(F.arrays_zip("no", "start", "end", "words", "h1", "h2", "again", *upto)).alias("u")).select("doc_id", "u.*")
-    first = each.where(~F.col("again")).groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("some_null"))
-    several = saved(first.where("first is not null and (first <> last or some_null)").select("h1", "h2", "first"))
-    # what a text has already had needs no look-up: such rows get keys of their own, that many repeats of a unit do not meet in a task; and as
-    # ``several`` is read anew, Spark can split a digest that very many texts have
-    own = F.when(F.col("again"), F.xxhash64("doc_id", "no")).otherwise(F.col("h1"))
-    known = each.withColumn("h1", own).join(several, ["h1", "h2"], "left")
-    found = known.where("again or (first is not null and (doc_id is null or doc_id <> first))").select("doc_id", "no", "start", "end", "words", *upto).distinct()
-    found = found.where("doc_id is not null").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("no", "start", "end", "words", *upto))).alias("u"))  # the units of one document
-    counted = rows.select("doc_id", F.size(F.filter("upto", lambda x: x < 0) if whole_lines else "no").cast("long").alias("n_units"))
+            yield {c: b.column(c) for c in ("doc_id", "key")} | columns_of(text_bytes(b.column("text")), "sentence" if sentences else unit, lines_too)
+
+    upto = ["upto"] if lines_too else []
+    rows = saved(map_batches(read, make, ", ".join(["no array<int>, start array<int>, end array<int>, words array<int>, h1 array<long>, h2 array<long>, again array<boolean>", *(f"{c} array<int>" for c in upto)]), ("doc_id", "key")))
+    ranked = rows.where("doc_id is not null and size(no) > 0")
+    each = ranked.select("doc_id", "key", F.explode(F.arrays_zip("no", "start", "end", "words", "h1", "h2", "again", *upto)).alias("u")).select("doc_id", "key", "u.*")
+    first = each.where(~F.col("again")).groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    several = saved(first.where("first <> last").select("h1", "h2", "first"))
+    shown = ["doc_id", "key", "no", "start", "end", "words", *upto]
+    later = each.where(~F.col("again")).join(several, ["h1", "h2"]).where("doc_id <> first").select(*shown)
+    found = each.where("again").select(*shown).unionByName(later).distinct()
+    found = found.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct("no", "start", "end", "words", *upto))).alias("u"))  # the units of one document
+    counted = rows.select("doc_id", "key", F.size(F.filter("upto", lambda x: x < 0) if lines_too else "no").cast("long").alias("n_units"))
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
@@ -130,25 +180,29 @@ def repeats(docs: DataFrame, *, least_words: int = LEAST_WORDS, whole_lines: boo
                 own, run = {i for u in all_ for i in range(u["no"], u.get("upto", -1) + 1)}, []
                 for u in [*us, None]:
                     if run and (u is None or u["no"] != run[-1]["no"] + 1):
-                        if sum(x["words"] for x in run) >= least_words:
+                        if sum(x["words"] for x in run) >= least:
                             own.update(x["no"] for x in run)
                         run = []
                     run.append(u)
                 each.append(us)
                 removed.append([u for u in us if u["no"] in own])
-            yield {"doc_id": b.column("doc_id"), "n_repeats": [len(u) for u in each], "starts": [[u["start"] for u in r] for r in removed], "ends": [[u["end"] for u in r] for r in removed]}
+            yield {c: b.column(c) for c in ("doc_id", "key")} | {"n_repeats": [len(u) for u in each], "starts": [[u["start"] for u in r] for r in removed], "ends": [[u["end"] for u in r] for r in removed]}
 
-    gone = map_batches(found, passages, "n_repeats long, starts array<long>, ends array<long>", ("doc_id",))
+    if sentences:
+        gone = map_batches(found, passages, "n_repeats long, starts array<long>, ends array<long>", ("doc_id", "key"))
+    else:
+        gone = found.select("doc_id", "key", F.size("u").cast("long").alias("n_repeats"), F.col("u.start").cast("array<long>").alias("starts"), F.col("u.end").cast("array<long>").alias("ends"))
     removed = F.coalesce(F.arrays_zip(F.col("starts").alias("start"), F.col("ends").alias("end")), F.array().cast("array<struct<start:bigint,end:bigint>>"))
-    return counted.join(gone, "doc_id", "left").select("doc_id", "n_units", F.coalesce("n_repeats", F.lit(0)).cast("long").alias("n_repeats"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
+    return counted.join(gone, ["doc_id", "key"], "left").select("doc_id", "n_units", F.coalesce("n_repeats", F.lit(0)).cast("long").alias("n_repeats"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"), "key")
 
 
-def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
-    """docs without the text of removed units, and with a column ``removed`` of their original offsets (in place of one of that name)."""
-    gone = repeats(docs, id_col=id_col, text_col=text_col, **options).where("n_removed > 0").groupBy("doc_id").agg(F.first("removed").alias("spans"))
+def without_repeats(docs: DataFrame, *, unit: str = "line", passage_words: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the text of removed units, and with a column ``removed`` of their original offsets (in place of one of that name); other columns stay as they are. Nulls,
+    very long texts, repeated rows and ties: as for ``repeats``; a null text stays null. Empty table: no rows."""
+    gone = _judged(docs, unit=unit, passage_words=passage_words, id_col=id_col, text_col=text_col).where("n_removed > 0").groupBy("doc_id", "key").agg(F.first("removed").alias("spans"))
     rest = [c for c in docs.columns if c not in (text_col, "removed")]
-    row = docs.select(F.col(id_col).alias("key"), F.struct(*rest).alias("row"), F.col(text_col).cast("string").alias("text"))
-    both = row.join(gone, row["key"] == gone["doc_id"], "left").select("row", "text", F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("removed"))
+    row = docs.select(F.col(id_col).alias("own_id"), F.struct(*rest).alias("row"), F.col(text_col).cast("string").alias("text")).withColumn("own_key", F.xxhash64("text"))
+    both = row.join(gone, (row["own_id"] == gone["doc_id"]) & (row["own_key"] == gone["key"]), "left").select("row", "text", F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("removed"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
@@ -168,6 +222,16 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 ORACLE_SQL = r"""
+WITH t AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS said, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, said, i, coalesce(sum(length(said) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM t),
+u AS (SELECT doc_id, i, pos + length(said) - length(regexp_replace(said, '^[\x20\x09-\x0D]+', '')) AS start, translate(regexp_replace(regexp_replace(said, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm, length(regexp_replace(said, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')) AS chars FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, i) > 1 AS again FROM u WHERE norm <> ''),
+a AS (SELECT doc_id, count(*) AS n_repeats, string_agg(CAST(start AS VARCHAR) || ':' || CAST(start + chars AS VARCHAR), ',' ORDER BY i) AS removed FROM r WHERE again GROUP BY 1),
+c AS (SELECT doc_id, count(*) AS n_units FROM r GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(n_units, 0) AS BIGINT) AS n_units, CAST(coalesce(n_repeats, 0) AS BIGINT) AS n_repeats, CAST(coalesce(n_repeats, 0) AS BIGINT) AS n_removed, coalesce(removed, '') AS removed
+FROM documents d LEFT JOIN c USING (doc_id) LEFT JOIN a USING (doc_id)
+"""
+PASSAGES_SQL = r"""
 WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^.!?\n]+[.!?]*|[.!?]+|\n')) AS said, generate_subscripts(regexp_extract_all(text, '[^.!?\n]+[.!?]*|[.!?]+|\n'), 1) AS i FROM documents WHERE text IS NOT NULL),
 p AS (SELECT doc_id, said, i, coalesce(sum(length(said)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM t),
 u AS (SELECT doc_id, i, pos + length(said) - length(regexp_replace(said, '^[\x20\x09-\x0D]+', '')) AS start, translate(regexp_replace(regexp_replace(said, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm, length(regexp_replace(said, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')) AS chars FROM p),

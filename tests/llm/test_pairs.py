@@ -108,10 +108,10 @@ def test_repeats(frame):
     rng = random.Random(5)
     sentences = [" ".join(rng.choice(["ab", "cd", "ef", "gh", "ij"]) for _ in range(rng.randint(2, 9))) + rng.choice([".", "!", "?"]) for _ in range(60)]
     rows = [(i, " ".join(rng.choice(sentences) + rng.choice(["", "\n"]) for _ in range(rng.randint(0, 30)))) for i in range(40)] + [(90, None), (91, ""), (92, "...  !?\n\n")]
-    got = sorted((r.doc_id, r.n_units, r.n_repeats, [(s.start, s.end) for s in r.removed]) for r in units.repeats(frame(rows), least_words=12).collect())
+    got = sorted((r.doc_id, r.n_units, r.n_repeats, [(s.start, s.end) for s in r.removed]) for r in units.repeats(frame(rows), unit="sentence", passage_words=12).collect())
     assert got == brute_repeats(rows, 12)
     df = frame(rows).withColumns({"removed": F.lit("old"), "row": F.lit(1)})
-    clean = {r.doc_id: (r.text, r.removed) for r in units.without_repeats(df, least_words=12).collect()}
+    clean = {r.doc_id: (r.text, r.removed) for r in units.without_repeats(df, unit="sentence", passage_words=12).collect()}
     text = dict(rows)
     for d, _, _, gone in got:
         want = text[d]
@@ -137,11 +137,42 @@ def test_whole_lines_go(frame):
             at += len(line) + 1
         more += len(own) - len(gone)
         plain[[p[0] for p in plain].index(d)] = (d, n, total, sorted(own))
-    got = sorted((r.doc_id, r.n_units, r.n_repeats, [(s.start, s.end) for s in r.removed]) for r in units.repeats(frame(rows), least_words=12, whole_lines=True).collect())
+    got = sorted((r.doc_id, r.n_units, r.n_repeats, [(s.start, s.end) for s in r.removed]) for r in units.repeats(frame(rows), passage_words=12).collect())
     assert got == plain and more > 10
-    assert units.repeats(frame(EDGE), whole_lines=True).count() == len(EDGE) and units.repeats(frame([]), whole_lines=True).count() == 0
+    assert units.repeats(frame(EDGE), passage_words=30).count() == len(EDGE) and units.repeats(frame([]), passage_words=30).count() == 0
+
+
+@pytest.mark.parametrize("unit", ["line", "paragraph"])
+def test_repeated_units_go(frame, unit):
+    rng = random.Random(15)
+    said = ["One two.", "one  two. ", "Three", "é four", "\tFive six", "", " ", "seven eight nine ten", "..."]
+    rows = [(i, "\n".join(rng.choice(said) for _ in range(rng.randint(0, 14)))) for i in range(50)] + [(90, None), (91, "\n\n"), (92, "\n one two.\n"), (92, "\n one two.\n"), (None, "Three"), (93, "x " * 30_000 + "\nThree")]
+    seen, want, judged = set(), [], {}
+    for d, t in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
+        if (d, t) not in judged:
+            us, gone = list(units.whole_units(t or "", unit)), []
+            for a, z, norm, _ in us:
+                gone += [(a, z)] if norm in seen else []
+                seen.add(norm)
+            judged[d, t] = (d, len(us), len(gone), gone)
+        want.append(judged[d, t])
+    want.append((None, 1, 0, []))
+    got = [(r.doc_id, r.n_units, r.n_removed, [(s.start, s.end) for s in r.removed]) for r in units.repeats(frame(rows), unit=unit).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and sum(len(w[3]) for w in want) > 20
+    clean = units.without_repeats(frame(rows).withColumns({"removed": F.lit(1), "key": F.lit("k"), "row": F.lit(2)}), unit=unit).collect()
+    for r in clean:
+        text, spans = next((t, judged.get((d, t), (0, 0, 0, []))[3]) for d, t in rows if d == r.doc_id)
+        for a, z in reversed(spans):
+            text = text[:a] + text[z:]
+        assert r.text == text
+
+
+def test_texts_of_one_id(frame):
+    """Texts with one id do not make each other's lines repeats, and are not cut at each other's places."""
+    got = {r.n_units: [(s.start, s.end) for s in r.removed] for r in units.repeats(frame([(1, "a\nb"), (1, "zz\na\na")])).collect()}
+    assert got == {2: [], 3: [(5, 6)]}
 
 
 def test_repeats_of_edge_cases(frame):
     got = {(r.doc_id, r.n_units) for r in units.repeats(frame(EDGE)).collect()}
-    assert (None, 1) in got and (1, 0) in got and units.repeats(frame(EDGE)).count() == len(EDGE)
+    assert (None, 1) in got and (1, 0) in got and units.repeats(frame(EDGE)).count() == units.repeats(frame(EDGE), unit="sentence").count() == len(EDGE)
