@@ -2,14 +2,14 @@
 
 Words are runs of ASCII letters and digits, lowered, and of all characters from U+0080 on. A window is n consecutive
 words of an item; an item of fewer words, but not none, is one window. The scan is one pass without a shuffle. The
-benchmark goes out in blocks of at most ``block_bytes`` of text: one block needs no more than the pass; more blocks take
+benchmark goes out in blocks whose broadcast object has at most ``block_bytes``: one block needs no more than the pass; more blocks take
 a pass each that merges into what the row has so far, so that nothing broadcast grows with the benchmark.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,33 +20,56 @@ from pyspark.sql import functions as F
 from .batches import map_batches, saved, text_bytes
 from .words import ALNUM, Words, chunks
 
-#: Bytes of benchmark text whose windows are broadcast at once.
-BLOCK_BYTES = 32 << 20
+#: Bytes of a block of windows as it is broadcast, and what it needs for each word beside the text: hash, place, end, owner and where its owners begin.
+BLOCK_BYTES, WORD_BYTES = 64 << 20, 28
 _FILTER_BITS = 22
 
 
+class Table:
+    """The different windows of one size: ascending hashes, where their words stand in the text, and the items that hold them."""
+
+    def __init__(self, w: Words, place: np.ndarray, size: int, at: np.ndarray, item: np.ndarray) -> None:
+        h, other = w.windows(size)[0][at], w.spans(at, at + size)[0]
+        order = np.lexsort((item, other, h))
+        at, item, h, other = at[order], item[order], h[order], other[order]
+        fresh = np.ones(len(at), bool)
+        fresh[1:] = (h[1:] != h[:-1]) | (other[1:] != other[:-1])
+        owned = fresh.copy()
+        owned[1:] |= item[1:] != item[:-1]  # an item holds a window once
+        first = np.flatnonzero(fresh)
+        self.hashes, self.start, self.end = h[first], place[at[first]].astype(np.int32), (place[at[first] + size] - 1).astype(np.int32)
+        self.owners = item[owned].astype(np.int32)
+        self.owned = np.append(np.concatenate([[0], np.cumsum(owned)])[first], owned.sum()).astype(np.int32)
+
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.hashes, self.start, self.end, self.owners, self.owned))
+
+
 class Windows:
-    """The windows of some items: sorted hashes, a bit table in front of them, and the exact words behind them."""
+    """The windows of some items in flat arrays: sorted hashes, a bit table in front of them, and the exact words behind them."""
 
     def __init__(self, items: list[tuple[str, bytes]], n: int) -> None:
         self.items = [item for item, _ in items]
-        self.exact: dict[bytes, list[int]] = {}
-        found: dict[int, set[int]] = {}
-        for k, (_, text) in enumerate(items):
-            w = Words([text], ALNUM)
-            words = w.data.split()
-            size = min(n, len(words))
-            if not size:
-                continue
-            for i, h in enumerate(w.windows(size)[0].tolist()):
-                found.setdefault(size, set()).add(h)
-                owners = self.exact.setdefault(b" ".join(words[i : i + size]), [])
-                if not owners or owners[-1] != k:
-                    owners.append(k)
-        self.sizes = {size: np.array(sorted(hashes), np.uint64) for size, hashes in found.items()}
+        w = Words([text for _, text in items], ALNUM)
+        words = w.data.split()
+        self.text = b" ".join(words)
+        place = np.zeros(len(words) + 1, np.int64)
+        np.cumsum([len(x) + 1 for x in words], out=place[1:])
+        count = np.diff(w.first)
+        owner = np.repeat(np.arange(len(items)), count)
+        left = np.repeat(w.first[1:], count) - np.arange(len(words))  # words of the item from here on
+        self.sizes: dict[int, Table] = {}
+        for size in sorted({int(min(n, c)) for c in count if c}):
+            at = np.flatnonzero(left >= n) if size == n else w.first[:-1][count == size]
+            self.sizes[size] = Table(w, place, size, at, owner[at])
         self.front = np.zeros(1 << _FILTER_BITS, bool)
-        for hashes in self.sizes.values():
-            self.front[(hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
+        for t in self.sizes.values():
+            self.front[(t.hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
+
+    @property
+    def nbytes(self) -> int:
+        return len(self.text) + self.front.nbytes + sum(t.nbytes for t in self.sizes.values())
 
     def scan(self, texts: list[bytes]) -> Iterator[tuple[int, list[tuple[int, int]], list[int]]]:
         """For each text: its number of words, merged word ranges that windows cover, and the items of those windows."""
@@ -55,17 +78,21 @@ class Windows:
             n_words = np.diff(w.first)
             ranges: dict[int, list[tuple[int, int]]] = {}
             items: dict[int, set[int]] = {}
-            for size, hashes in self.sizes.items():
+            for size, t in self.sizes.items():
                 h, whole = w.windows(size)
                 at = np.flatnonzero(self.front[(h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] & whole)
-                near = np.minimum(np.searchsorted(hashes, h[at]), len(hashes) - 1)
-                at = at[hashes[near] == h[at]]
+                near = np.minimum(np.searchsorted(t.hashes, h[at]), len(t.hashes) - 1)
+                same = t.hashes[near] == h[at]
+                at, near = at[same], near[same]
                 owner = np.searchsorted(w.first, at, side="right") - 1
-                for i, d in zip(at.tolist(), owner.tolist(), strict=True):
+                for i, g, d in zip(at.tolist(), near.tolist(), owner.tolist(), strict=True):
                     said = b" ".join(w.data[w.starts[i] : w.ends[i + size - 1]].split())
-                    if (who := self.exact.get(said)) is not None:  # equal words, not only equal hashes
-                        ranges.setdefault(d, []).append((i - int(w.first[d]), i - int(w.first[d]) + size))
-                        items.setdefault(d, set()).update(who)
+                    while g < len(t.hashes) and t.hashes[g] == h[i]:
+                        if self.text[t.start[g] : t.end[g]] == said:  # equal words, not only equal hashes
+                            ranges.setdefault(d, []).append((i - int(w.first[d]), i - int(w.first[d]) + size))
+                            items.setdefault(d, set()).update(t.owners[t.owned[g] : t.owned[g + 1]].tolist())
+                            break
+                        g += 1
             for d in range(len(part)):
                 yield int(n_words[d]), merged(ranges.get(d, [])), sorted(items.get(d, ()))
 
@@ -80,18 +107,25 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
+def needed(text: bytes) -> int:
+    """The most that a text's windows take in a broadcast block."""
+    words = text.translate(ALNUM).split()
+    return sum(map(len, words)) + (1 + WORD_BYTES) * len(words) + 64
+
+
+def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int, needed: Callable[[bytes], int] = needed) -> Iterator[list[tuple[str, bytes]]]:
     """The items in blocks of bounded size; the driver holds one block (and never less than one item)."""
     rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("item is not null and text is not null")
     block: list[tuple[str, bytes]] = []
     size = 0
     for row in rows.toLocalIterator():
         text = row.text.encode()
-        if block and size + len(text) > block_bytes:
+        own = needed(text)
+        if block and size + own > block_bytes:
             yield block
             block, size = [], 0
         block.append((row.item, text))
-        size += len(text)
+        size += own
     if block:
         yield block
 
@@ -131,8 +165,8 @@ def _pass(df: DataFrame, shared: Broadcast, carry: tuple[str, ...], before: bool
 def decontamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options: int | str) -> DataFrame:
     """Per row: doc_id, n_words, n_hit, n_items, items_sha256 (of the sorted, comma-joined item ids), contaminated, and starts and ends.
 
-    Nulls: a null text has no words; items with a null id or text are passed over. Repeated rows and ids: each row has its own
-    result. Empty tables: no rows, or no hits. Other columns are not carried, so clashing names cannot disturb.
+    Nulls: a null text has no words; items with a null id or text are passed over. Very long texts are scanned whole. Repeated rows and ids: each row has its own
+    result, which depends on its text alone; items with the same text or id all count, an id once. Empty tables: no rows, or no hits. Other columns are not carried, so clashing names cannot disturb.
     """
     found = covered(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), benchmark, carry=("doc_id",), **options)
     n_hit = F.aggregate(F.zip_with("ends", "starts", lambda e, s: e - s), F.lit(0).cast("long"), lambda a, x: a + x)
@@ -145,7 +179,7 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc
 def remove_spans(docs: DataFrame, benchmark: DataFrame, *, max_share: float = 0.5, text_col: str = "text", **options: int | str) -> DataFrame:
     """docs without the text of benchmark passages: from the first to the last word of each covered range; a row more than
     ``max_share`` of whose words are covered goes altogether. Columns stay as they are; n_chars, where there is one, follows the text.
-    Nulls, repeats and empty tables: as for ``decontamination``; a null text stays null."""
+    Nulls, very long texts, repeats and empty tables: as for ``decontamination``; a null text stays null, nulls elsewhere are carried, and so are clashing names."""
     rest = [c for c in docs.columns if c != text_col]
     row = docs.select(F.struct(*[F.col(c) for c in rest]).alias("row"), F.col(text_col).cast("string").alias("text"))
     found = covered(row, benchmark, carry=("row",), **options)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import pickle
 import random
 import re
 import zlib
@@ -37,7 +38,7 @@ def brute_hits(docs, bench, n=10):
         yield d, len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("block", [1 << 20, 8])
+@pytest.mark.parametrize("block", [1 << 20, 500, 8])
 def test_decontamination(frame, block):
     docs, bench = [*DOCS, *EDGE], frame(BENCH, "item_id long, text string")
     df = frame(docs).withColumns({"starts": F.lit(1), "items": F.lit("clash")})
@@ -45,6 +46,14 @@ def test_decontamination(frame, block):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, brute_hits(docs, BENCH)))
 
 
+def test_broadcast_block_is_bounded():
+    rng = random.Random(1)
+    items = [(str(i), " ".join(rng.choice(["ab", "c", "é", "longer", "x-y"]) for _ in range(rng.choice([0, 3, 9, 10, 11, 400]))).encode()) for i in range(300)]
+    w = decontamination.Windows(items, 10)
+    assert w.nbytes - w.front.nbytes <= sum(decontamination.needed(t) for _, t in items)
+    assert len(pickle.dumps(w)) < 1.1 * w.nbytes + 10_000  # what goes out is what is counted
+
+
 def test_benchmark_text_goes(frame):
     docs = frame([(1, "one two three four five six seven eight nine ten, Hello world! eleven twelve", 9), (2, None, None), (3, "hello world", 1)], "doc_id long, text string, n_chars long").withColumn("row", F.lit("r"))
     got = {r.doc_id: (r.text, r.n_chars) for r in decontamination.remove_spans(docs, frame(BENCH, "item_id long, text string")).collect()}
