@@ -19,9 +19,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """licenses: template:start:end:matched/words, comma-joined."""
+    """licenses: template:start:end:matched/words, comma-joined; rivals: of each the next best template, matched/words, or a dash."""
     one = F.transform("licenses", lambda x: F.concat(x["template"], F.format_string(":%d:%d:%d/%d", x["start"], x["end"], x["matched"], x["words"])))
-    return licenses.scanned(table(spark, sf_dir, "documents")).select("doc_id", "n_licenses", F.concat_ws(",", one).alias("licenses"))
+    other = F.transform("licenses", lambda x: F.coalesce(F.concat(x["rival"], F.format_string(":%d/%d", x["rival_matched"], x["rival_words"])), F.lit("-")))
+    return licenses.scanned(table(spark, sf_dir, "documents")).select("doc_id", "n_licenses", F.concat_ws(",", one).alias("licenses"), F.concat_ws(",", other).alias("rivals"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
