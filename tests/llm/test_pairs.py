@@ -68,10 +68,31 @@ def test_both_ends_estimate_similarity():
     both = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
     a, b = both[:3000], both[1000:]
     s = minhash.Signatures(400, 1)
-    x, y = s.of([a])[0], s.of([b])[0]
+    x, y = s.of([a])[0][0], s.of([b])[0][0]
     assert abs((x == y).mean() - 2000 / 4000) < 0.09
 
 
+def test_agreement_misses_few():
+    """Pairs exactly at the threshold agree in more values than are asked for, and pairs far below it in fewer."""
+    for t, size in ((0.85, 3), (0.8, 5)):
+        bands, rows = minhash.banding(t)
+        least, rng = minhash.agreement(t, bands * rows), np.random.default_rng(size)
+        s = minhash.Signatures(bands, rows)
+        for same, low, high in ((t, least, bands * rows), (0.35, 0, least - 1)):
+            both = round(2000 * same / (1 + same))
+            for _ in range(60):
+                base = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
+                x, y = s.of([base[:1000], np.concatenate([base[:both], base[2000 : 3000 - both]])])[1]
+                assert low <= (x == y).sum() <= high
+
+
+def test_chains_of_weak_candidates_are_cut(frame):
+    """Sets that share bands through common text only form no cluster."""
+    n = [100, 100, 100]
+    sketches = [bytes([1] * 180), bytes([1] * 60 + [2] * 120), bytes([3] * 60 + [2] * 120)]
+    assert minhash.alike(n, sketches, [0, 0, 0], 85, 118) == [(1, 2)] and minhash.alike([100, 70, 100], sketches, [0, 0, 0], 85, 118) == [] and minhash.alike(n, sketches, [0, 1, 1], 85, 118) == []
+
+
 def test_links_across_sides_only():
     sets = [np.arange(100, dtype=np.uint64), np.arange(100, dtype=np.uint64) + np.uint64(2), np.arange(1000, 1100, dtype=np.uint64)]
     assert minhash.linked(sets, [0, 0, 0], 85) == [(0, 1)] and minhash.linked(sets, [0, 1, 1], 85) == [(0, 1)]
