@@ -61,13 +61,13 @@ def _shown(found: DataFrame) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """removed: start:end of each removed line, comma-joined."""
-    return _shown(units.repeats(table(spark, sf_dir, "documents")))
+    """Every line that was a line before goes, and inside lines that are otherwise new passages of repeated sentences; removed: start:end of each, comma-joined."""
+    return _shown(units.repeats(table(spark, sf_dir, "documents"), passage_words=units.LEAST_WORDS))
 
 
 def op10_whole_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As op10_substring_dedup, and passages of repeated sentences inside lines that are otherwise new."""
-    return _shown(units.repeats(table(spark, sf_dir, "documents"), passage_words=units.LEAST_WORDS))
+    """Lines alone."""
+    return _shown(units.repeats(table(spark, sf_dir, "documents")))
 
 
 def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,5 +94,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_minhash_dedup": minhash.ORACLE_SQL,
     "op9_decontamination": decontamination.ORACLE_SQL,
     "op10_substring_dedup": units.ORACLE_SQL,
+    "op10_whole_lines": units.LINES_SQL,
     "op10_passages": units.PASSAGES_SQL,
 }

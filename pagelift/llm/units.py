@@ -221,7 +221,22 @@ def without_repeats(docs: DataFrame, *, unit: str = "line", passage_words: int |
     return out.select(*[kept[c].alias(c) for c in dict.fromkeys([*docs.columns, "removed"])])
 
 
+#: Lines, and passages of sentences inside new ones; lines alone; passages alone.
 ORACLE_SQL = r"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^.!?\n]+[.!?]*|[.!?]+|\n')) AS said, generate_subscripts(regexp_extract_all(text, '[^.!?\n]+[.!?]*|[.!?]+|\n'), 1) AS i FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, said, i, coalesce(sum(length(said)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos, sum(CASE WHEN said = chr(10) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS line FROM t),
+u AS (SELECT doc_id, i, line, pos + length(said) - length(regexp_replace(said, '^[\x20\x09-\x0D]+', '')) AS start, translate(regexp_replace(regexp_replace(said, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm, length(regexp_replace(said, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')) AS chars FROM p),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS no FROM u WHERE norm <> ''),
+r AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, no) > 1 AS again, len(string_split(norm, ' ')) AS words FROM n),
+l AS (SELECT doc_id, line, row_number() OVER (PARTITION BY norm ORDER BY doc_id, line) > 1 AS old FROM (SELECT doc_id, line, string_agg(norm, ' ' ORDER BY no) AS norm FROM n GROUP BY 1, 2)),
+g AS (SELECT *, no - row_number() OVER (PARTITION BY doc_id ORDER BY no) AS run FROM r WHERE again),
+w AS (SELECT *, old OR sum(words) OVER (PARTITION BY doc_id, run) >= 30 AS gone FROM g JOIN l USING (doc_id, line)),
+a AS (SELECT doc_id, count(*) AS n_repeats, count(*) FILTER (WHERE gone) AS n_removed, string_agg(CASE WHEN gone THEN CAST(start AS VARCHAR) || ':' || CAST(start + chars AS VARCHAR) END, ',' ORDER BY no) AS removed FROM w GROUP BY 1),
+c AS (SELECT doc_id, count(*) AS n_units FROM n GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(n_units, 0) AS BIGINT) AS n_units, CAST(coalesce(n_repeats, 0) AS BIGINT) AS n_repeats, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(removed, '') AS removed
+FROM documents d LEFT JOIN c USING (doc_id) LEFT JOIN a USING (doc_id)
+"""
+LINES_SQL = r"""
 WITH t AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS said, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
 p AS (SELECT doc_id, said, i, coalesce(sum(length(said) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM t),
 u AS (SELECT doc_id, i, pos + length(said) - length(regexp_replace(said, '^[\x20\x09-\x0D]+', '')) AS start, translate(regexp_replace(regexp_replace(said, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm, length(regexp_replace(said, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')) AS chars FROM p),
