@@ -6,20 +6,28 @@ points. A null argument gives null, unless a docstring says otherwise.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Members of a character class.
 WS = r"\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+_WS_CHARS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 _QUOTE = "“\""
 
 
 def trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^[{WS}]+|[{WS}]+\z", "")
+    return F.btrim(c, F.lit(_WS_CHARS))
 
 
 def right_trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, rf"[{WS}]+\z", "")
+    return F.rtrim(c, F.lit(_WS_CHARS))
+
+
+def bound(c: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(c), then), F.lit(0))
 
 
 def compact(c: Column) -> Column:
@@ -78,18 +86,23 @@ def list_marker(c: Column, indent: Column | int = 0) -> Column:
     """struct(format, level, marker, body) of a line that starts as a list item, else null. Scripture references and verse numbers do not; a single
     letter is a letter, never a numeral."""
     indent = F.lit(indent) if isinstance(indent, int) else indent
-    text = trimmed(F.replace(c, F.lit("\u00a0"), F.lit(" ")))
     gap = f"[{WS}]+"
+    # fixed values: kinds of markers in the order in which they are tried
     kinds = [
         ("bullet", "([•●▪◦‣∙·])", 0), ("bullet", "([-*+])", 0), ("decimal", r"(\d{1,3}[.)])", 0), ("lowerLetter", "([a-z][.)])", 1),
         ("upperLetter", "([A-Z][.)])", 1), ("lowerRoman", "([ivxlcdm]{1,6}[.)])", 2), ("upperRoman", "([ivxlcdmIVXLCDM]{1,6}[.)])", 2),
     ]
-    out = F.when(text.rlike(r"^\d{1,3}:\d") | (text.rlike(rf'^\d{{1,3}}{gap}[{_QUOTE}A-Za-z]') & ~text.rlike(rf"^\d{{1,3}}[.)][{WS}]")), F.lit(None))
-    for kind, marker, least in kinds:
-        whole = rf"^{marker}{gap}(.*)\z"
-        level = F.greatest(F.lit(least), F.when(indent == 0, F.lit(least)).otherwise(indent)).cast("int")
-        out = out.when(text.rlike(whole), F.struct(F.lit(kind).alias("format"), level.alias("level"), F.regexp_extract(text, whole, 1).alias("marker"), F.regexp_extract(text, whole, 2).alias("body")))
-    return out
+
+    def of(text: Column) -> Column:
+        any_kind = rf"^(?:{'|'.join(marker for _, marker, _ in kinds)}){gap}.*\z"
+        out = F.when(~text.rlike(any_kind) | text.rlike(r"^\d{1,3}:\d") | (text.rlike(rf'^\d{{1,3}}{gap}[{_QUOTE}A-Za-z]') & ~text.rlike(rf"^\d{{1,3}}[.)][{WS}]")), F.lit(None))
+        for kind, marker, least in kinds:
+            whole = rf"^{marker}{gap}(.*)\z"
+            level = F.greatest(F.lit(least), F.when(indent == 0, F.lit(least)).otherwise(indent)).cast("int")
+            out = out.when(text.rlike(whole), F.struct(F.lit(kind).alias("format"), level.alias("level"), F.regexp_extract(text, whole, 1).alias("marker"), F.regexp_extract(text, whole, 2).alias("body")))
+        return out
+
+    return bound(trimmed(F.replace(c, F.lit("\u00a0"), F.lit(" "))), of)
 
 
 def verse_marker(c: Column) -> Column:

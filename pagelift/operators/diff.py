@@ -6,7 +6,6 @@ from collections import Counter
 from collections.abc import Iterator
 from itertools import zip_longest
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -24,19 +23,28 @@ def sequence_diff(a: list[str], b: list[str], most_cells: int = MOST_CELLS) -> l
     """(same, del or add; token) by a longest common subsequence; where both ways are as long, what goes comes first."""
     if len(a) * len(b) > most_cells:
         return [("del", x) for x in a] + [("add", x) for x in b]
-    codes: dict[str, int] = {}
-    x = np.array([codes.setdefault(t, len(codes)) for t in a], np.int64)
-    y = np.array([codes.setdefault(t, len(codes)) for t in b], np.int64)
-    best = np.zeros((len(x) + 1, len(y) + 1), np.int32)
-    for i in range(len(x) - 1, -1, -1):  # a row at once: best of skipping a's token or taking an equal pair, then the running best from the right
-        row = np.maximum(best[i + 1, :-1], np.where(y == x[i], best[i + 1, 1:] + 1, 0))
-        best[i, :-1] = np.maximum.accumulate(row[::-1])[::-1]
+    # Bits of a whole number stand for the last tokens of b, the last lowest; rows[i] has a nought where a[i:] gains by one more of them, so that the noughts
+    # among its lowest k bits count the longest common subsequence of a[i:] and the last k of b.
+    n, m = len(a), len(b)
+    where: dict[str, int] = {}
+    for j, t in enumerate(b):
+        where[t] = where.get(t, 0) | 1 << (m - 1 - j)
+    full = (1 << m) - 1
+    row = full
+    rows = [row] * (n + 1)
+    for i in range(n - 1, -1, -1):
+        hit = row & where.get(a[i], 0)
+        row = (row + hit | row - hit) & full
+        rows[i] = row
     out, i, j = [], 0, 0
-    while i < len(x) and j < len(y):
-        if x[i] == y[j]:
+    while i < n and j < m:
+        if a[i] == b[j]:
             out.append(("same", a[i]))
             i, j = i + 1, j + 1
-        elif best[i + 1, j] >= best[i, j + 1]:
+            continue
+        skip_a = (m - j) - (rows[i + 1] & full >> j).bit_count()
+        skip_b = (m - j - 1) - (rows[i] & full >> j + 1).bit_count()
+        if skip_a >= skip_b:
             out.append(("del", a[i]))
             i += 1
         else:

@@ -30,21 +30,28 @@ def text_items(items: DataFrame, keys: tuple[str, ...] = PAGE) -> DataFrame:
 
 
 def cluster_lines(items: DataFrame, keys: tuple[str, ...] = PAGE) -> DataFrame:
-    """(keys, item_seq, line_no): an item joins the open line if it is no further from the line's first item than 2.5, or 0.45 of the larger of the two
-    heights. Items come from the top, then by sequence."""
-    order = F.array_sort(F.collect_list(F.struct((-F.col("y")).alias("down"), "item_seq", "y", F.col("height").cast("double").alias("height"))))
+    """(keys, item_seq, line_no, item_no): an item joins the open line if it is no further from the line's first item than 2.5, or 0.45 of the larger of the two
+    heights. Items come in the order of ``ordered_items`` with a tolerance of 2; ``item_no`` counts those of a line by x."""
+    ordered = ordered_items(items.withColumn("item_seq", F.col("item_seq").cast("long")), 2.0, keys)
+    its = F.array_sort(F.collect_list(F.struct("rank", "item_seq", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("height").cast("double").alias("height"))))
 
     def step(acc: Column, it: Column) -> Column:
         joins = (acc["no"] >= 0) & (F.abs(acc["y"] - it["y"]) <= F.greatest(F.lit(2.5), F.greatest(it["height"], acc["top"]) * 0.45))
         no = F.when(joins, acc["no"]).otherwise(acc["no"] + 1)
         return F.struct(
             no.alias("no"), F.when(joins, acc["y"]).otherwise(it["y"]).alias("y"), F.when(joins, F.greatest(acc["top"], it["height"])).otherwise(it["height"]).alias("top"),
-            F.concat(acc["out"], F.array(F.struct(it["item_seq"].alias("item_seq"), no.alias("line_no")))).alias("out"),
+            F.concat(acc["out"], F.array(F.struct(it["item_seq"].alias("item_seq"), it["x"].alias("x"), no.alias("line_no")))).alias("out"),
         )
 
-    zero = F.struct(F.lit(-1).alias("no"), F.lit(0.0).alias("y"), F.lit(0.0).alias("top"), F.array().cast("array<struct<item_seq:bigint,line_no:int>>").alias("out"))
-    pages = items.withColumn("item_seq", F.col("item_seq").cast("long")).withColumn("y", F.col("y").cast("double")).groupBy(*keys).agg(order.alias("its"))
-    return pages.select(*keys, F.explode(F.aggregate("its", zero, step, lambda a: a["out"])).alias("o")).select(*keys, "o.*")
+    zero = F.struct(F.lit(-1).alias("no"), F.lit(0.0).alias("y"), F.lit(0.0).alias("top"), F.array().cast("array<struct<item_seq:bigint,x:double,line_no:int>>").alias("out"))
+    placed = ordered.groupBy(*keys).agg(its.alias("its")).select(*keys, F.explode(F.aggregate("its", zero, step, lambda a: a["out"])).alias("o")).select(*keys, "o.*")
+    along = W.partitionBy(*keys, "line_no").orderBy("x", "item_seq")
+    return placed.withColumn("item_no", (F.row_number().over(along) - 1).cast("int")).drop("x")
+
+
+def baselines(ys: Column) -> Column:
+    """Of an array of y the baselines, first come: a y within 3 of one that is there adds none."""
+    return F.aggregate(ys, F.array().cast("array<double>"), lambda acc, y: F.when(F.exists(acc, lambda v: F.abs(v - y) <= 3), acc).otherwise(F.concat(acc, F.array(y))))
 
 
 def whitespace(lines: DataFrame, page_height: Column | float = 0.0, keys: tuple[str, ...] = PAGE) -> DataFrame:
@@ -134,16 +141,17 @@ def reading_columns(items: DataFrame, page_width: float, page_height: float, key
     along = W.partitionBy(*keys).orderBy("centre")
     pairs = chains.withColumn("high", F.lead("centre").over(along)).withColumn("no", F.row_number().over(along)).where(F.col("high") - F.col("centre") >= max(0.055 * page_width, 28.0))
     pairs = pairs.select(*keys, "no", F.col("centre").alias("low"), "high", ((F.col("centre") + F.col("high")) / 2).alias("split")).where(F.col("split").between(0.18 * page_width, 0.72 * page_width))
-    counted = items.withColumn("n_items", F.count("*").over(W.partitionBy(*keys))).where("n_items >= 14")
+    counted = items.where(X.trimmed(F.coalesce("text", F.lit(""))) != "").withColumn("n_items", F.count("*").over(W.partitionBy(*keys))).where("n_items >= 14")
     both = counted.join(pairs, list(keys))
     left = F.col("x") < F.col("split")
     weight = F.length(X.trimmed(F.col("text")))
     crosses = left & (F.col("x") + F.col("width") > F.col("high") - max(4.0, 0.008 * page_width))
     side = both.groupBy(*keys, "no", "low", "high", "split").agg(
-        F.count_distinct(F.when(left, F.round(F.col("y") / 6))).alias("left_lines"), F.count_distinct(F.when(~left, F.round(F.col("y") / 6))).alias("right_lines"),
-        (F.max(F.when(left, F.col("y"))) - F.min(F.when(left, F.col("y")))).alias("left_span"), (F.max(F.when(~left, F.col("y"))) - F.min(F.when(~left, F.col("y")))).alias("right_span"),
+        *[F.transform(F.array_sort(F.collect_list(F.when(side_of, F.struct("item_seq", F.col("y").cast("double").alias("y"))))), lambda i: i["y"]).alias(name) for name, side_of in (("left_y", left), ("right_y", ~left))],
         F.count_if(crosses).alias("crossing"), F.coalesce(F.sum(F.when(crosses, weight)), F.lit(0)).alias("crossing_text"), F.coalesce(F.sum(F.when(left, weight)), F.lit(0)).alias("left_text"),
     )
+    for name in ("left", "right"):
+        side = side.withColumn(f"{name}_y", baselines(F.col(f"{name}_y"))).withColumn(f"{name}_lines", F.size(f"{name}_y")).withColumn(f"{name}_span", F.array_max(f"{name}_y") - F.array_min(f"{name}_y"))
     few, span = F.least("left_lines", "right_lines"), F.least("left_span", "right_span") / page_height
     good = (few >= 7) & (span >= 0.38) & (few / F.greatest("left_lines", "right_lines") >= 0.22) & ~((F.col("crossing") >= 3) & (F.col("crossing_text") > 0.2 * F.col("left_text")))
     scored = side.where(good).withColumn("score", F.col("high") - F.col("low") + 4 * few + 40 * span)
@@ -246,13 +254,15 @@ def page_images(ops: DataFrame, keys: tuple[str, ...] = PAGE) -> DataFrame:
 
 def ordered_items(items: DataFrame, tolerance: float, keys: tuple[str, ...] = PAGE) -> DataFrame:
     """items with ``rank``: rows of items that are no further below a row's first item than the tolerance, from the top; a row goes by x."""
+    rest = [c for c in items.columns if c not in keys]
+
     def step(acc: Column, it: Column) -> Column:
-        joins = (acc["row"] >= 0) & (acc["y"] - it["y"] <= tolerance)
+        joins = (acc["row"] >= 0) & (acc["y"] + it["down"] <= tolerance)
         row = F.when(joins, acc["row"]).otherwise(acc["row"] + 1)
-        return F.struct(row.alias("row"), F.when(joins, acc["y"]).otherwise(it["y"]).alias("y"), F.concat(acc["out"], F.array(F.struct(it["item_seq"].alias("item_seq"), row.alias("row")))).alias("out"))
+        return F.struct(row.alias("row"), F.when(joins, acc["y"]).otherwise(-it["down"]).alias("y"), F.concat(acc["rows"], F.array(row)).alias("rows"))
 
-    its = F.array_sort(F.collect_list(F.struct((-F.col("y").cast("double")).alias("down"), "x", F.col("item_seq").cast("long").alias("item_seq"), F.col("y").cast("double").alias("y"))))
-    zero = F.struct(F.lit(-1).alias("row"), F.lit(0.0).alias("y"), F.array().cast("array<struct<item_seq:bigint,row:int>>").alias("out"))
-    rows = items.groupBy(*keys).agg(its.alias("its")).select(*keys, F.explode(F.aggregate("its", zero, step, lambda a: a["out"])).alias("o")).select(*keys, "o.*")
-    placed = items.join(rows, [*keys, "item_seq"])
-    return placed.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy("row", "x", "item_seq"))).drop("row")
+    its = F.array_sort(F.collect_list(F.struct((-F.col("y").cast("double")).alias("down"), F.col("x").cast("double").alias("across"), F.col("item_seq").cast("long").alias("seq"), F.struct(*rest).alias("item"))))
+    zero = F.struct(F.lit(-1).alias("row"), F.lit(0.0).alias("y"), F.array().cast("array<int>").alias("rows"))
+    rows = items.groupBy(*keys).agg(its.alias("its")).withColumn("rows", F.aggregate(F.transform("its", lambda i: F.struct(i["down"].alias("down"))), zero, step, lambda a: a["rows"]))
+    placed = rows.select(*keys, F.explode(F.arrays_zip("its", "rows")).alias("o")).select(*keys, "o.its.item.*", F.col("o.rows").alias("row"))
+    return placed.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy("row", "x", "item_seq"))).drop("row").select(*items.columns, "rank")

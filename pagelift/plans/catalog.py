@@ -170,16 +170,18 @@ def line_whitespace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH RECURSIVE s AS (SELECT l_orderkey, l_quantity, l_extendedprice, {_SEQ} AS seq FROM lineitem), i AS (SELECT l_orderkey, seq, l_extendedprice - floor(l_extendedprice / 100) * 100 AS y, 8 + CAST(l_quantity AS INT) % 5 AS h FROM s),
-o AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY y DESC, seq) AS n FROM i),
-f AS (SELECT l_orderkey, seq, n, 0 AS line_no, y AS line_y, CAST(h AS DOUBLE) AS top FROM o WHERE n = 1
- UNION ALL SELECT o.l_orderkey, o.seq, o.n, CASE WHEN abs(f.line_y - o.y) <= greatest(2.5, greatest(o.h, f.top) * 0.45) THEN f.line_no ELSE f.line_no + 1 END, CASE WHEN abs(f.line_y - o.y) <= greatest(2.5, greatest(o.h, f.top) * 0.45) THEN f.line_y ELSE o.y END,
-  CASE WHEN abs(f.line_y - o.y) <= greatest(2.5, greatest(o.h, f.top) * 0.45) THEN greatest(f.top, o.h) ELSE o.h END FROM f JOIN o ON o.l_orderkey = f.l_orderkey AND o.n = f.n + 1)
-SELECT l_orderkey, CAST(seq AS BIGINT) AS item_seq, CAST(line_no AS INTEGER) AS line_no FROM f""")
+WITH RECURSIVE s AS (SELECT l_orderkey, l_quantity, l_extendedprice, {_SEQ} AS seq FROM lineitem), i AS (SELECT l_orderkey, seq, l_extendedprice % 37 AS x, l_extendedprice - floor(l_extendedprice / 50) * 50 AS y, 8 + CAST(l_quantity AS INT) % 5 AS h FROM s),
+o AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY y DESC, x, seq) AS n FROM i),
+g AS (SELECT *, 0 AS row_no, y AS row_y FROM o WHERE n = 1 UNION ALL SELECT o.*, CASE WHEN row_y - o.y <= 2 THEN row_no ELSE row_no + 1 END, CASE WHEN row_y - o.y <= 2 THEN row_y ELSE o.y END FROM g JOIN o ON o.l_orderkey = g.l_orderkey AND o.n = g.n + 1),
+k AS (SELECT l_orderkey, seq, x, y, h, row_number() OVER (PARTITION BY l_orderkey ORDER BY row_no, x, seq) AS n FROM g),
+f AS (SELECT l_orderkey, seq, x, n, 0 AS line_no, y AS line_y, CAST(h AS DOUBLE) AS top FROM k WHERE n = 1
+ UNION ALL SELECT k.l_orderkey, k.seq, k.x, k.n, CASE WHEN abs(f.line_y - k.y) <= greatest(2.5, greatest(k.h, f.top) * 0.45) THEN f.line_no ELSE f.line_no + 1 END, CASE WHEN abs(f.line_y - k.y) <= greatest(2.5, greatest(k.h, f.top) * 0.45) THEN f.line_y ELSE k.y END,
+  CASE WHEN abs(f.line_y - k.y) <= greatest(2.5, greatest(k.h, f.top) * 0.45) THEN greatest(f.top, k.h) ELSE k.h END FROM f JOIN k ON k.l_orderkey = f.l_orderkey AND k.n = f.n + 1)
+SELECT l_orderkey, CAST(seq AS BIGINT) AS item_seq, CAST(line_no AS INTEGER) AS line_no, CAST(row_number() OVER (PARTITION BY l_orderkey, line_no ORDER BY x, seq) - 1 AS INTEGER) AS item_no FROM f""")
 def line_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SEQ-1, SRT-1: items of a page into lines."""
+    """SEQ-1, SRT-1: items of a page into lines, those of a line by x."""
     price = F.col("l_extendedprice")
-    items = sequenced(spark, sf_dir, "l_quantity").select("l_orderkey", F.col("seq").alias("item_seq"), (price - F.floor(price / 100) * 100).alias("y"), (8 + F.col("l_quantity").cast("int") % 5).alias("height"))
+    items = sequenced(spark, sf_dir, "l_quantity").select("l_orderkey", F.col("seq").alias("item_seq"), (price % 37).alias("x"), (price - F.floor(price / 50) * 50).alias("y"), (8 + F.col("l_quantity").cast("int") % 5).alias("height"))
     return layout.cluster_lines(items, ("l_orderkey",))
 
 
