@@ -30,7 +30,7 @@ def text_items(items: DataFrame, keys: tuple[str, ...] = PAGE) -> DataFrame:
 
 
 def cluster_lines(items: DataFrame, keys: tuple[str, ...] = PAGE) -> DataFrame:
-    """(keys, item_seq, line_no, item_no): an item joins the open line if it is no further from the line's first item than 2.5, or 0.45 of the larger of the two
+    """(keys, item_seq, line_no, line_y, item_no): an item joins the open line if it is no further from the line's first item than 2.5, or 0.45 of the larger of the two
     heights. Items come in the order of ``ordered_items`` with a tolerance of 2; ``item_no`` counts those of a line by x."""
     ordered = ordered_items(items.withColumn("item_seq", F.col("item_seq").cast("long")), 2.0, keys)
     its = F.array_sort(F.collect_list(F.struct("rank", "item_seq", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("height").cast("double").alias("height"))))
@@ -40,10 +40,10 @@ def cluster_lines(items: DataFrame, keys: tuple[str, ...] = PAGE) -> DataFrame:
         no = F.when(joins, acc["no"]).otherwise(acc["no"] + 1)
         return F.struct(
             no.alias("no"), F.when(joins, acc["y"]).otherwise(it["y"]).alias("y"), F.when(joins, F.greatest(acc["top"], it["height"])).otherwise(it["height"]).alias("top"),
-            F.concat(acc["out"], F.array(F.struct(it["item_seq"].alias("item_seq"), it["x"].alias("x"), no.alias("line_no")))).alias("out"),
+            F.concat(acc["out"], F.array(F.struct(it["item_seq"].alias("item_seq"), it["x"].alias("x"), no.alias("line_no"), F.when(joins, acc["y"]).otherwise(it["y"]).alias("line_y")))).alias("out"),
         )
 
-    zero = F.struct(F.lit(-1).alias("no"), F.lit(0.0).alias("y"), F.lit(0.0).alias("top"), F.array().cast("array<struct<item_seq:bigint,x:double,line_no:int>>").alias("out"))
+    zero = F.struct(F.lit(-1).alias("no"), F.lit(0.0).alias("y"), F.lit(0.0).alias("top"), F.array().cast("array<struct<item_seq:bigint,x:double,line_no:int,line_y:double>>").alias("out"))
     placed = ordered.groupBy(*keys).agg(its.alias("its")).select(*keys, F.explode(F.aggregate("its", zero, step, lambda a: a["out"])).alias("o")).select(*keys, "o.*")
     along = W.partitionBy(*keys, "line_no").orderBy("x", "item_seq")
     return placed.withColumn("item_no", (F.row_number().over(along) - 1).cast("int")).drop("x")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
+from contextlib import nullcontext
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -133,6 +134,22 @@ def archives(files: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame
     return files.groupBy(*keys).applyInPandas(zipped, schema)
 
 
+def listed(archives: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keys, entry_no, path, stored, n_bytes) of the entries of each archive, in order; a null archive has none."""
+    fields = [archives.schema[k] for k in keys]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", entry_no int, path string, stored boolean, n_bytes long"
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for *key, archive in b[[*keys, "archive"]].itertuples(index=False):
+                with zipfile.ZipFile(io.BytesIO(archive)) if archive is not None else nullcontext() as z:
+                    rows += [(*key, i, e.filename, e.compress_type == zipfile.ZIP_STORED, e.file_size) for i, e in enumerate(z.infolist() if z else ())]
+            yield pd.DataFrame(rows, columns=[*keys, "entry_no", "path", "stored", "n_bytes"])
+
+    return archives.mapInPandas(read, schema)
+
+
 def entries(archive: bytes) -> Iterator[tuple[str, int]]:
     """(name, method) of an archive's entries, in order."""
     with zipfile.ZipFile(io.BytesIO(archive)) as z:

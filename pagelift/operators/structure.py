@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..session import checkpoints
+from ..session import written
 from .grouped import met
 
 TRAITS = ("bold", "italic", "underline", "strike")
@@ -24,7 +24,7 @@ def style_chains(styles: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> Data
     """
     paths = styles.select(*keys, "style_id", F.array("style_id").alias("path"), F.col("based_on").alias("next"))
     while True:
-        paths = _written(paths)
+        paths = written(paths)
         if paths.where("next is not null").isEmpty():
             return paths.select(*keys, "style_id", F.posexplode("path").alias("depth", "ancestor")).select(*keys, "style_id", "ancestor", "depth")
         ahead = paths.select(*keys, F.col("style_id").alias("next"), F.col("path").alias("more"), F.col("next").alias("after"))
@@ -34,11 +34,6 @@ def style_chains(styles: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> Data
         paths = both.select(*keys, "style_id", F.concat("path", more).alias("longer"), F.when(F.col("again") == 0, F.col("after")).alias("next")).withColumnRenamed("longer", "path")
 
 
-def _written(df: DataFrame) -> DataFrame:
-    checkpoints(df.sparkSession)
-    return df.checkpoint()
-
-
 def resolved_styles(styles: DataFrame, traits: tuple[str, ...] = TRAITS, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(keys, style_id, traits, depth): of each trait the nearest value in the chain that says something."""
     chains = style_chains(styles, keys).join(styles.select(*keys, F.col("style_id").alias("ancestor"), *traits), [*keys, "ancestor"])

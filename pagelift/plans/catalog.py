@@ -182,7 +182,7 @@ def line_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SEQ-1, SRT-1: items of a page into lines, those of a line by x."""
     price = F.col("l_extendedprice")
     items = sequenced(spark, sf_dir, "l_quantity").select("l_orderkey", F.col("seq").alias("item_seq"), (price % 37).alias("x"), (price - F.floor(price / 50) * 50).alias("y"), (8 + F.col("l_quantity").cast("int") % 5).alias("height"))
-    return layout.cluster_lines(items, ("l_orderkey",))
+    return layout.cluster_lines(items, ("l_orderkey",)).drop("line_y")
 
 
 _CENTRES = f"""s AS (SELECT l_orderkey, l_extendedprice % 500 AS x, l_partkey, {_SEQ} AS seq FROM lineitem), o AS (SELECT l_orderkey, x, row_number() OVER (PARTITION BY l_orderkey ORDER BY x) AS n FROM s),
@@ -504,18 +504,48 @@ def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.html_blocks(table(spark, sf_dir, "pages"), ("page_id",))
 
 
-@query()
-def publication_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK-1..4, PKG-8, DAT-1: a publication for each source of documents, with a chapter for each document."""
-    docs = table(spark, sf_dir, "documents")
-    no = F.row_number().over(W.partitionBy("lang", "source").orderBy("doc_id"))
-    chapters_of = docs.select("lang", "source", no.alias("chapter_no"), F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"), F.concat(F.lit("<p>"), X.escape_html(F.col("text")), F.lit("</p>")).alias("html"))
+def _publications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, book, path, text, file_seq, content): the files of publications. Documents of a language and source are shelved by ranges of ids, so that chapters are numbered in groups of
+    bounded size, however large a source is."""
+    docs = table(spark, sf_dir, "documents").withColumn("shelf", F.floor(F.col("doc_id") / shelf_size()))
+    no = F.row_number().over(W.partitionBy("lang", "source", "shelf").orderBy("doc_id"))
+    chapters_of = docs.select("lang", "source", "shelf", no.alias("no"), F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"), F.concat(F.lit("<p>"), X.escape_html(F.col("text")), F.lit("</p>")).alias("html"))
     keys = ("source", "book")
-    chapters_of = chapters_of.withColumn("book", F.concat("lang", F.lit("-"), F.floor((F.col("chapter_no") - 1) / package_size()).cast("string"))).drop("lang")
+    book = F.concat_ws("-", "lang", F.col("shelf").cast("string"), F.floor((F.col("no") - 1) / package_size()).cast("string"))
+    chapters_of = chapters_of.select("source", book.alias("book"), ((F.col("no") - 1) % package_size() + 1).alias("chapter_no"), "title", "html")
     pubs = chapters_of.select(*keys).distinct().select(*keys, F.concat("source", F.lit(" "), "book").alias("title"), F.lit("Unknown").alias("author"), F.substring("book", 1, 2).alias("lang"), F.concat(F.lit("urn:"), "source", F.lit(":"), "book").alias("identifier"), F.lit("2024-01-02 03:04:05").cast("timestamp").alias("modified"))
     none = spark.createDataFrame([], "source string, book string, asset_no int, id string, file_name string, media_type string, content binary")
-    files = package.package_files(pubs, chapters_of, none, keys)
-    return package.archives(files, keys).select(*keys, F.octet_length("archive").alias("n_bytes"), F.sha2("archive", 256).alias("digest"))
+    return package.package_files(pubs, chapters_of, none, keys)
+
+
+@query()
+def publication_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-1..4, PKG-8, DAT-1: publications of documents, with a chapter for each document."""
+    keys = ("source", "book")
+    return package.archives(_publications(spark, sf_dir), keys).select(*keys, F.octet_length("archive").alias("n_bytes"), F.sha2("archive", 256).alias("digest"))
+
+
+@query("""
+WITH d AS (SELECT doc_id, lang, source, text, doc_id // 4096 AS shelf, row_number() OVER (PARTITION BY lang, source, doc_id // 4096 ORDER BY doc_id) AS no FROM documents),
+c AS (SELECT source, lang || '-' || shelf || '-' || (no - 1) // 64 AS book, lang, (no - 1) % 64 + 1 AS chapter_no, 'Document ' || doc_id AS title, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS body FROM d),
+f AS (SELECT source, book, count(*) AS n FROM c GROUP BY 1, 2),
+e AS (SELECT source, book, 0 AS entry_no, 'mimetype' AS path, true AS stored, CAST(20 AS BIGINT) AS n_bytes FROM f
+ UNION ALL SELECT source, book, unnest([1, 2]), unnest(['META-INF/container.xml', 'OEBPS/style.css']), false, NULL FROM f
+ UNION ALL SELECT source, book, 3, 'OEBPS/nav.xhtml', false, NULL FROM f UNION ALL SELECT source, book, 4, 'OEBPS/toc.ncx', false, NULL FROM f
+ UNION ALL SELECT source, book, 4 + chapter_no, 'OEBPS/chapter-' || chapter_no || '.xhtml', false, CASE WHEN regexp_matches(body, '[\x00-\x08\x0B\x0C\x0E-\x1F]') THEN NULL ELSE 255 + strlen(substr(lang, 1, 2)) + strlen(title) + strlen('<p></p>') + strlen(body) END FROM c
+ UNION ALL SELECT source, book, 5 + n, 'OEBPS/content.opf', false, NULL FROM f)
+SELECT source, book, CAST(entry_no AS INTEGER) AS entry_no, path, stored, n_bytes FROM e""".replace("\\\\", "\\"))
+def archive_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-2, PKG-8: the archives read back: their entries in order, which are stored, and how long chapters are."""
+    keys = ("source", "book")
+    out = package.listed(package.archives(_publications(spark, sf_dir), keys), keys)
+    known = (F.col("path") == "mimetype") | F.col("path").startswith("OEBPS/chapter-")
+    return out.withColumn("n_bytes", F.when(known, F.col("n_bytes")))
+
+
+def shelf_size() -> int:
+    """Ids of a shelf."""
+    return 4096
 
 
 def package_size() -> int:

@@ -6,7 +6,7 @@ import os
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -40,3 +40,9 @@ def checkpoints(spark: SparkSession) -> None:
                 raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             folder = tempfile.mkdtemp(prefix="spark-checkpoints-")
         context.setCheckpointDir(folder)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df, computed once into the shared checkpoint folder, so that a plan that uses it several times computes it once and a lost executor costs no earlier step."""
+    checkpoints(df.sparkSession)
+    return df.checkpoint()

@@ -34,7 +34,7 @@ def test_clusters(spark):
     xs = spark.createDataFrame([(1, float(x)) for x in (10, 12, 100, 102, 200)], "page int, x double")
     assert [c for _, _, c in rows(layout.column_centres(xs, 5.0, ("page",)))] == [11, 101, 200]
     items = spark.createDataFrame([(1, 0, 9.0, 748.0, 6.6), (1, 1, 5.0, 744.0, 11.0), (1, 2, 90.0, 700.0, 11.0), (1, 3, 40.0, 701.5, 11.0)], "page int, item_seq int, x double, y double, height double")
-    assert [(s, n, k) for _, s, n, k in rows(layout.cluster_lines(items, ("page",)))] == [(0, 0, 1), (1, 0, 0), (2, 1, 1), (3, 1, 0)]
+    assert [(s, n, k) for _, s, n, _, k in rows(layout.cluster_lines(items, ("page",)))] == [(0, 0, 1), (1, 0, 0), (2, 1, 1), (3, 1, 0)]
 
 
 def test_baselines_come_first(spark):
