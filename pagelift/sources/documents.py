@@ -139,9 +139,16 @@ def _value(node: ElementTree.Element | None, *path: str) -> str | None:
     return None if node is None else node.get(_W + "val")
 
 
+def _number(said: str | None) -> float | None:
+    try:
+        return None if said is None else float(said)
+    except ValueError:
+        return None
+
+
 def word_rows(content: bytes) -> Iterator[tuple]:
     """(part, p_seq, r_seq, style_id, text, num_id, ilvl, left_twips, page_break, bold, italic, underline, strike, name, based_on) of a word-processor package:
-    part is paragraph, run, style, num or level."""
+    part is paragraph, run, style, num or level. Of a paragraph also spacing_line, spacing_before, spacing_after (twips) and breaks (line breaks and runs of them)."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = set(z.namelist())
         if "word/document.xml" not in names:
@@ -152,7 +159,10 @@ def word_rows(content: bytes) -> Iterator[tuple]:
         ind = None if pr is None else pr.find(_W + "ind")
         left = None if ind is None else ind.get(_W + "left") or ind.get(_W + "start")
         said = "".join(t.text or "" for t in p.iter(_W + "t"))
-        yield ("paragraph", p_seq, None, _value(pr, "pStyle"), said, _value(pr, "numPr", "numId"), _value(pr, "numPr", "ilvl"), left, _on(pr, "pageBreakBefore"), None, None, None, None, None, None)
+        spacing = None if pr is None else pr.find(_W + "spacing")
+        measures = [_number(None if spacing is None else spacing.get(_W + k)) for k in ("line", "before", "after")]
+        breaks = sum((b.get(_W + "type") or "textWrapping") == "textWrapping" for b in p.iter(_W + "br"))
+        yield ("paragraph", p_seq, None, _value(pr, "pStyle"), said, _value(pr, "numPr", "numId"), _value(pr, "numPr", "ilvl"), left, _on(pr, "pageBreakBefore"), None, None, None, None, None, None, *measures, breaks)
         for r_seq, r in enumerate(p.iter(_W + "r")):
             rp = r.find(_W + "rPr")
             breaks = any((b.get(_W + "type") or "") == "page" for b in r.iter(_W + "br"))
@@ -171,7 +181,7 @@ def word_rows(content: bytes) -> Iterator[tuple]:
                 yield ("level", None, None, a.get(_W + "abstractNumId"), _value(v, "lvlText"), None, v.get(_W + "ilvl"), None, None, None, None, None, None, _value(v, "numFmt"), None)
 
 
-_WORD = "part string, p_seq long, r_seq long, style_id string, text string, num_id string, ilvl string, left_twips string, page_break boolean, bold boolean, italic boolean, underline boolean, strike boolean, name string, based_on string, error string"
+_WORD = "part string, p_seq long, r_seq long, style_id string, text string, num_id string, ilvl string, left_twips string, page_break boolean, bold boolean, italic boolean, underline boolean, strike boolean, name string, based_on string, spacing_line double, spacing_before double, spacing_after double, breaks long, error string"
 
 
 def word_packages(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), column: str = "content") -> DataFrame:
@@ -185,10 +195,10 @@ def word_packages(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), column:
             for r in b.itertuples(index=False):
                 key = [getattr(r, k) for k in keys]
                 try:
-                    rows = [(*key, *x, None) for x in word_rows(bytes(getattr(r, column) or b""))]
+                    rows = [(*key, *x, *[None] * (len(names) - len(x))) for x in word_rows(bytes(getattr(r, column) or b""))]
                 except (ValueError, KeyError, zipfile.BadZipFile, ElementTree.ParseError) as e:
                     rows = [(*key, "error", *[None] * (len(names) - 2), f"{type(e).__name__}: {e}")]
-                yield pd.DataFrame(rows, columns=[*keys, *names]).astype({"p_seq": "Int64", "r_seq": "Int64"})
+                yield pd.DataFrame(rows, columns=[*keys, *names]).astype({"p_seq": "Int64", "r_seq": "Int64", "breaks": "Int64"})
 
     return docs.select(*keys, column).mapInPandas(run, schema)
 
