@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from pagelift.plans import catalog, markup, more, pages, parts, words  # noqa: F401  (register further queries)
+from pagelift.plans import catalog, markup, more, pages, parts, replay, words  # noqa: F401  (register further queries)
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
