@@ -205,12 +205,22 @@ def classes(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col: str =
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in _groups(batches, "rep", "n", "sketch"):
-            edges = [(group[i][1], group[j][1]) for _, group in b for i, j in alike([g[2] for g in group], [g[3] for g in group], [g[0] for g in group], percent, least)]
-            yield {"a": [min(e) for e in edges], "b": [max(e) for e in edges]}
+            out: dict[str, list] = {"rep": [], "leader": []}
+            for _, group in b:
+                edges = alike([g[2] for g in group], [g[3] for g in group], [g[0] for g in group], percent, least)
+                inside = sorted({i for e in edges for i in e})
+                place = {i: k for k, i in enumerate(inside)}
+                ids = [group[i][1] for i in inside]
+                out["rep"] += ids
+                out["leader"] += leasts(ids, [(place[i], place[j]) for i, j in edges])
+            yield out
 
     id_type = docs.schema[id_col].dataType.simpleString().replace("bigint", "long")
-    near = map_batches(dealt(member.withColumn("block", _block("rep")), "rep", "n", "sketch"), compare, f"a {id_type}, b {id_type}")
-    cluster = components(near)
+    near = map_batches(dealt(member.withColumn("block", _block("rep")), "rep", "n", "sketch"), compare, f"rep {id_type}, leader {id_type}")
+    # a vertex ties the leaders of its buckets together, so that only leaders need components
+    led = saved(near.groupBy("rep").agg(F.collect_set("leader").alias("leaders")).select("rep", F.array_min("leaders").alias("least"), "leaders"))  # one at most for each task that saw the vertex
+    tied = components(led.where("size(leaders) > 1").select("least", F.explode("leaders").alias("other")), "least", "other")
+    cluster = led.join(tied, led["least"] == tied["v"], "left").select(F.col("rep").alias("v"), F.coalesce("label", "least").alias("label"))
 
     vertices = sets.drop("bands", "sketch").join(cluster.withColumnsRenamed({"v": "rep", "label": "cluster"}), "rep")
     large = vertices.groupBy("cluster").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
