@@ -173,6 +173,6 @@ def packed(docs: DataFrame, *, size: int = 1024, open_windows: int = 16, vocabul
             yield _columns([*packer.pour(), *packer.powers()], keep_ids, kind)
 
     mapped = saved(map_batches(read, first, _SCHEMA, ("doc_id",)))  # both kinds of rows are used, and texts are encoded once
-    left = mapped.where("sequence_id is null").repartition(-(-mapped.rdd.getNumPartitions() // MERGED_AT_ONCE))
+    left = mapped.where("sequence_id is null").repartition(max(1, -(-mapped.rdd.getNumPartitions() // MERGED_AT_ONCE)))
     return mapped.where("sequence_id is not null").unionByName(map_batches(left, last, _SCHEMA, ("doc_id",)))
 
