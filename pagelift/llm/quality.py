@@ -181,8 +181,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", bound: in
 def scored(docs: DataFrame, model: Field, *, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.3) -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted, lines (P(good) of each line with a word).
 
-    Nulls: a null text is scored as an empty one, whose score is that of no good line; a null id is not held out. Repeated rows have equal
-    scores. Empty tables: no rows; without labels of both kinds the score is their share (0 without any). Other columns are not carried, so clashing names
+    Nulls: a null text is scored as an empty one, whose score is that of no good line; a null id is not held out. Very long texts are read whole, line by line.
+    Equal texts, and so repeated rows, have equal scores; a score equal to the cut is predicted 1. Empty tables: no rows; without labels of both kinds the score is their share (0 without any). Other columns are not carried, so clashing names
     cannot disturb.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)

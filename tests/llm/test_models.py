@@ -189,3 +189,25 @@ def test_pipeline(spark, tables):
     whole = pieces.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("want"))
     assert whole.count() == before.count() and whole.where("n <> want").count() == 0
     assert pieces.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
+
+
+def test_pipeline_of_edge_rows(spark):
+    """Nulls in any column, empty and very long texts, repeats, a clashing extra column; then no rows at all. Each stage against what it may do, row by row."""
+    import corpus_pipeline as pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string"
+    rows = [(i, t, None if (i or 0) % 2 else "en", None, None if t is None else len(t), "r") for i, t in EDGE] + [(20, "write to a.b@c.org now", "en", "s", 22, None), (21, "one two three four five six seven " * 9, "en", "s", 306, "x"), (22, "one two three four five six seven " * 9, None, "s", 306, "y")]
+    before = spark.createDataFrame(rows, schema)
+    for name, stage in pipeline.STAGES[:-1]:
+        after = stage(spark, before, SF).cache()
+        assert after.columns == before.columns, name
+        kept = Counter((r.doc_id, r.lang, r.source, r.row) for r in after.collect())
+        assert not kept - Counter((r.doc_id, r.lang, r.source, r.row) for r in before.collect()), name
+        before = after
+    got = {(r.doc_id, r.text) for r in before.collect()}
+    assert (1, None) in got and (2, "") in got and (20, "write to [EMAIL] now") in got and not any(d == 22 for d, _ in got) and any(d is None for d, _ in got)
+    pieces = pipeline.STAGES[-1][1](spark, before, SF)
+    assert pieces.agg(F.sum("length")).first()[0] == sum(r.doc_tokens for r in pieces.where("start = 0").collect())
+    none = before.limit(0)
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, none, SF).count() == 0, name
