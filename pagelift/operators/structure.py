@@ -243,6 +243,26 @@ def normalized_lists(blocks: DataFrame, plan: DataFrame, keys: tuple[str, ...] =
     return nested(both, keys).drop("is_list")
 
 
+def flattened_lists(nodes: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keys, seq, text, format, level) of list items, from nodes (node_id, path down to itself, seq, tag, own text).
+
+    An item that holds nothing but one list is a wrapper: it goes, and the items of that list belong to the list around it. So the level of an item is the number of lists around it that no wrapper
+    holds, less one, and its format that of the nearest of these. Items outside lists are of level 0. Lists of one kind side by side need no merge here: ``nested`` numbers items by level and format.
+    """
+    listed = F.col("tag").isin("ul", "ol")
+    inner = nodes.withColumn("parent", F.try_element_at("path", F.lit(-2)))
+    kids = inner.where("parent is not null").groupBy(*keys, F.col("parent").alias("node_id")).agg(F.count("*").alias("children"), F.count_if(listed).alias("lists"))
+    wraps = (F.col("tag") == "li") & (X.trimmed(F.coalesce("text", F.lit(""))) == "") & (F.col("children") == 1) & (F.col("lists") == 1)
+    marked = inner.join(kids, [*keys, "node_id"], "left").withColumn("wrapper", F.coalesce(wraps, F.lit(False)))
+    counted = marked.where(listed).select(*keys, F.col("node_id").alias("at"), "parent", F.col("tag").alias("kind"))
+    counted = counted.join(marked.where("wrapper").select(*keys, F.col("node_id").alias("parent")), [*keys, "parent"], "left_anti")  # lists that no wrapper holds
+    items = marked.where("tag = 'li' and not wrapper")
+    above = items.select(*keys, "node_id", F.posexplode("path").alias("depth", "at")).join(counted.drop("parent"), [*keys, "at"])
+    around = above.groupBy(*keys, "node_id").agg(F.count("*").alias("n"), F.max_by("kind", "depth").alias("kind"))
+    out = items.join(around, [*keys, "node_id"], "left")
+    return out.select(*keys, "seq", F.coalesce("text", F.lit("")).alias("text"), F.when(F.col("kind") == "ol", F.lit("decimal")).otherwise(F.lit("bullet")).alias("format"), F.greatest(F.coalesce(F.col("n"), F.lit(1)) - 1, F.lit(0)).cast("int").alias("level"))
+
+
 def entries(nodes: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(keys, seq, type, key) of what a comparison looks at, from nodes (node_id, path, seq, tag, text): spaces and breaks, the outermost figures and tables, images outside those, and text
     blocks without a block inside that hold something."""

@@ -224,3 +224,32 @@ def test_chains_of_any_length(spark):
             k = based[k]
         want |= {(1, seen[0], x, d) for d, x in enumerate(seen)}
     assert {tuple(r) for r in structure.style_chains(styles).collect()} == want
+
+
+def test_flattened_lists(spark):
+    """Random trees against a walk that dissolves the list of each wrapper into the list around it."""
+    rng, nodes, want = random.Random(5), [], []
+
+    def grow(path: list[int], tag: str, depth: int) -> dict:
+        node = {"tag": tag, "text": rng.choice(["", " ", "words"]) if tag == "li" else "", "children": [], "seq": len(nodes)}
+        own = [*path, node["seq"]]
+        nodes.append((1, node["seq"], own, node["seq"], tag, node["text"]))
+        if depth < 6:
+            inner = "li" if tag in ("ul", "ol") else None
+            for _ in range(rng.choice([1, 1, 2, 3]) if inner or tag == "div" else rng.choice([0, 0, 1, 1, 2])):
+                node["children"].append(grow(own, inner or rng.choice(["ul", "ol", "ul", "p"]), depth + 1))
+        return node
+
+    def walk(node: dict, lists: list[str], in_wrapper: bool) -> None:
+        wrapper = node["tag"] == "li" and not node["text"].strip() and [c["tag"] in ("ul", "ol") for c in node["children"]] == [True]
+        if node["tag"] in ("ul", "ol") and not in_wrapper:
+            lists = [*lists, node["tag"]]
+        if node["tag"] == "li" and not wrapper:
+            want.append((node["seq"], node["text"], "decimal" if lists[-1:] == ["ol"] else "bullet", max(len(lists) - 1, 0)))
+        for c in node["children"]:
+            walk(c, lists, wrapper)
+
+    for _ in range(30):
+        walk(grow([], "div", 0), [], False)
+    got = structure.flattened_lists(spark.createDataFrame(nodes, "doc_id int, node_id int, path array<int>, seq int, tag string, text string"))
+    assert sorted((r.seq, r.text, r.format, r.level) for r in got.collect()) == sorted(want) and len({w[3] for w in want}) > 2
