@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import pages
-from .catalog import _WS, doc_lines, query
+from ..operators import export, package, pages
+from .catalog import _WS, doc_lines, query, table
 
 #: Lines that make a page of a document, in these queries.
 PER_PAGE = 40
@@ -42,3 +42,19 @@ def page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pages.summary(found, pages.kinds(found, own)).join(letters, "doc_id", "left")
     told = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
     return out.select("doc_id", "pages", F.coalesce("letters", F.lit(0).cast("long")).alias("letters"), told("failed_pages"), told("image_pages"))
+
+
+@query(rf"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents), k AS (SELECT doc_id, n, n % 8 = 3 AS h1 FROM l WHERE regexp_replace(line, '{_WS}', '', 'g') <> ''),
+c AS (SELECT doc_id, count(*) FILTER (WHERE h1) AS heads, min(n) < coalesce(min(CASE WHEN h1 THEN n END), 1000000000) AS front FROM k GROUP BY 1), m AS (SELECT d.doc_id, coalesce(heads + CASE WHEN front THEN 1 ELSE 0 END, 1) AS n FROM documents d LEFT JOIN c USING (doc_id))
+SELECT doc_id, CAST(6 + CASE WHEN n > 12 THEN 1 ELSE n END AS BIGINT) AS n_entries, CAST(CASE WHEN n > 12 THEN 1 ELSE n END AS BIGINT) AS n_chapters FROM m""")
+def exported_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-4, SNK-5, TRE-1, LIM-1: documents' lines as blocks, every eighth a heading, to archives that are read back."""
+    blocks = doc_lines(spark, sf_dir).select(
+        "doc_id", F.col("line_no").alias("seq"), F.when(F.col("line_no") % 8 == 3, F.lit("heading")).otherwise(F.lit("paragraph")).alias("type"), F.col("line").alias("text"), F.lit(1).alias("level"),
+        *[F.lit(None).cast(t).alias(c) for c, t in (("format", "string"), ("lines", "int"), ("src", "string"), ("alignment", "string"))],
+    )
+    title = F.concat(F.lit("Document "), F.col("doc_id").cast("string"))
+    pubs = table(spark, sf_dir, "documents").select("doc_id", title.alias("title"), F.lit("Unknown").alias("author"), "lang", F.concat(F.lit("urn:"), F.col("doc_id").cast("string")).alias("identifier"), F.lit("2024-01-02 03:04:05").cast("timestamp").alias("modified"))
+    entries = package.listed(export.exported(blocks, pubs))
+    return entries.groupBy("doc_id").agg(F.count("*").alias("n_entries"), F.count_if(F.col("path").startswith("OEBPS/chapter-")).alias("n_chapters"))
