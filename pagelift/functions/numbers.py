@@ -21,7 +21,7 @@ def or_default(c: Column, default: Column | float) -> Column:
     return F.coalesce(F.nullif(F.nanvl(c.cast("double"), F.lit(0.0)), F.lit(0.0)), default)
 
 
-#: (ratio below which, percent); the last holds for all above.
+# fixed values: (ratio below which, percent); the last holds for all above
 SIZE_CLASSES = ((0.78, 75), (0.92, 88), (1.09, 100), (1.21, 112), (1.39, 125), (1.64, 150), (None, 175))
 
 

@@ -275,6 +275,7 @@ def heading_level(text: Column, ratio: Column, bold: Column, tabular: Column | b
     t = trimmed(text)
     tabular = F.lit(tabular) if isinstance(tabular, bool) else tabular
     length = F.length(t)
+    # fixed values: names of books, words that begin chapters, and limits
     named = t.rlike(r"(?i)^(numbers|genesis|exodus|leviticus|deuteronomy|matthew|mark|luke|john)\b") & (length < 40) & ~t.rlike(r"^\d+\.")
     prose = (length < 3) | (length > 80) | (t.endswith(".") & (length > 30)) | tabular | (t.rlike(rf'^\d+[{WS}]+[{_QUOTE}A-Za-z]') & (length > 45)) | (named & (ratio < 1.5))
     numbered = t.rlike(rf"^\d{{1,2}}[.)][{WS}]+[^{WS}]") & (length <= 70)

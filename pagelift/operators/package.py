@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from .images import EXTENSIONS
 
+# fixed values: identifiers of the format, and the order in which assets are checked
 RESERVED = ("bookid", "nav", "ncx", "css")
 #: In order; the first that holds is an asset's problem.
 ASSET_PROBLEMS = ("missing id", "bad file name", "bad id", "duplicate id", "duplicate file name", "unsupported type", "extension mismatch", "empty content")
@@ -61,6 +62,7 @@ def unresolved_images(references: DataFrame, assets: DataFrame, keys: tuple[str,
     return refs.join(files, [*keys, "name"], "left_anti").withColumn("problem", problem).drop("name")
 
 
+# fixed values: the container and documents of the format
 _CSS = "body{margin:0;padding:0 5%}h1{page-break-before:always}img{max-width:100%}"
 _CONTAINER = '<?xml version="1.0" encoding="UTF-8"?><container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>'
 _XHTML = '<?xml version="1.0" encoding="UTF-8"?><!DOCTYPE html><html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops" xml:lang="%s"><head><title>%s</title><link rel="stylesheet" type="text/css" href="style.css"/></head><body>%s</body></html>'
