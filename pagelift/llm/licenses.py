@@ -134,7 +134,7 @@ class Index:
         self.tables = [(gram, p, np.array(sorted(p), np.uint64)) for gram, p in ((0, self.posted), *self.short.items())]
 
     def scan(self, texts: list[bytes], band: int, coverage: float) -> Iterator[list[Found]]:
-        """For each text what is found in it: code points, by start; of spans that overlap, the one with most matched words, then the greatest coverage, the least start and name, and
+        """For each text what is found in it: code points, by start; of spans that overlap, the one with most matched words, then the greatest coverage, the shortest, the least start and name, and
         the next of another template as its rival."""
         for _, part in chunks(texts):
             w = Words(part, ALNUM)
@@ -177,7 +177,7 @@ class Index:
 
 def best_of(found: list[Found]) -> list[Found]:
     out: list[Found] = []
-    for f in sorted(found, key=lambda f: (-f[3], -f[3] / f[4], f[1], f[0])):
+    for f in sorted(found, key=lambda f: (-f[3], -f[3] / f[4], f[2] - f[1], f[1], f[0])):
         over = [k for k, o in enumerate(out) if f[1] < o[2] and f[2] > o[1]]
         if not over:
             out.append(f)
@@ -242,7 +242,7 @@ def scanned(docs: DataFrame, templates: DataFrame | None = None, *, band: int =
     code points, by start).
 
     ``templates`` has template_id and text; by default it is what ``known`` gives. Nulls: a null text has no words; templates with a null are passed over. Very long texts are scanned
-    whole, and any number of licenses in them. Equal texts, and so repeated rows, have equal results; of equally good templates the first by name is named. Empty tables: no rows, or no licenses. Other columns
+    whole, and any number of licenses in them. Equal texts, and so repeated rows, have equal results; of equally good templates the one with the shortest span, then the first by name, is named. Empty tables: no rows, or no licenses. Other columns
     are not carried, so clashing names cannot disturb.
     """
     spark = docs.sparkSession
