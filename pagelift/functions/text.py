@@ -263,7 +263,8 @@ def rendered_text(html: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(f"[^{WS}]+")).cast("long")
+    plain = F.translate(text, _WS_CHARS, " " * len(_WS_CHARS))
+    return F.when(text.isNotNull(), F.size(F.array_remove(F.split(plain, " "), "")).cast("long"))
 
 
 def heading_count(html: Column) -> Column:
