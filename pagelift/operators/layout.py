@@ -32,8 +32,7 @@ def text_items(items: DataFrame, keys: tuple[str, ...] = PAGE) -> DataFrame:
 def cluster_lines(items: DataFrame, keys: tuple[str, ...] = PAGE) -> DataFrame:
     """(keys, item_seq, line_no, line_y, item_no): an item joins the open line if it is no further from the line's first item than 2.5, or 0.45 of the larger of the two
     heights. Items come in the order of ``ordered_items`` with a tolerance of 2; ``item_no`` counts those of a line by x."""
-    ordered = ordered_items(items.withColumn("item_seq", F.col("item_seq").cast("long")), 2.0, keys)
-    its = F.array_sort(F.collect_list(F.struct("rank", "item_seq", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("height").cast("double").alias("height"))))
+    its = F.transform("its", lambda i: F.struct(i["seq"].alias("item_seq"), i["across"].alias("x"), i["item"]["y"].cast("double").alias("y"), i["item"]["height"].cast("double").alias("height")))
 
     def step(acc: Column, it: Column) -> Column:
         joins = (acc["no"] >= 0) & (F.abs(acc["y"] - it["y"]) <= F.greatest(F.lit(2.5), F.greatest(it["height"], acc["top"]) * 0.45))
@@ -44,7 +43,8 @@ def cluster_lines(items: DataFrame, keys: tuple[str, ...] = PAGE) -> DataFrame:
         )
 
     zero = F.struct(F.lit(-1).alias("no"), F.lit(0.0).alias("y"), F.lit(0.0).alias("top"), F.array().cast("array<struct<item_seq:bigint,x:double,line_no:int,line_y:double>>").alias("out"))
-    placed = ordered.groupBy(*keys).agg(its.alias("its")).select(*keys, F.explode(F.aggregate("its", zero, step, lambda a: a["out"])).alias("o")).select(*keys, "o.*")
+    pages = _in_order(items.select(*keys, "item_seq", "x", "y", "height"), 2.0, keys)
+    placed = pages.select(*keys, F.explode(F.aggregate(its, zero, step, lambda a: a["out"])).alias("o")).select(*keys, "o.*")
     along = W.partitionBy(*keys, "line_no").orderBy("x", "item_seq")
     return placed.withColumn("item_no", (F.row_number().over(along) - 1).cast("int")).drop("x")
 
@@ -254,15 +254,21 @@ def page_images(ops: DataFrame, keys: tuple[str, ...] = PAGE) -> DataFrame:
 
 def ordered_items(items: DataFrame, tolerance: float, keys: tuple[str, ...] = PAGE) -> DataFrame:
     """items with ``rank``: rows of items that are no further below a row's first item than the tolerance, from the top; a row goes by x."""
+    pages = _in_order(items, tolerance, keys).select(*keys, F.posexplode("its").alias("place", "i"))
+    return pages.select(*keys, "i.item.*", (F.col("place") + 1).alias("rank")).select(*items.columns, "rank")
+
+
+def _in_order(items: DataFrame, tolerance: float, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, its): a page's items in the order of ``ordered_items``, as an array of row, across, seq and item."""
     rest = [c for c in items.columns if c not in keys]
 
-    def step(acc: Column, it: Column) -> Column:
-        joins = (acc["row"] >= 0) & (acc["y"] + it["down"] <= tolerance)
+    def step(acc: Column, down: Column) -> Column:
+        joins = (acc["row"] >= 0) & (acc["y"] + down <= tolerance)
         row = F.when(joins, acc["row"]).otherwise(acc["row"] + 1)
-        return F.struct(row.alias("row"), F.when(joins, acc["y"]).otherwise(-it["down"]).alias("y"), F.concat(acc["rows"], F.array(row)).alias("rows"))
+        return F.struct(row.alias("row"), F.when(joins, acc["y"]).otherwise(-down).alias("y"), F.concat(acc["rows"], F.array(row)).alias("rows"))
 
-    its = F.array_sort(F.collect_list(F.struct((-F.col("y").cast("double")).alias("down"), F.col("x").cast("double").alias("across"), F.col("item_seq").cast("long").alias("seq"), F.struct(*rest).alias("item"))))
+    down = F.array_sort(F.collect_list(F.struct((-F.col("y").cast("double")).alias("down"), F.col("x").cast("double").alias("across"), F.col("item_seq").cast("long").alias("seq"), F.struct(*rest).alias("item"))))
     zero = F.struct(F.lit(-1).alias("row"), F.lit(0.0).alias("y"), F.array().cast("array<int>").alias("rows"))
-    rows = items.groupBy(*keys).agg(its.alias("its")).withColumn("rows", F.aggregate(F.transform("its", lambda i: F.struct(i["down"].alias("down"))), zero, step, lambda a: a["rows"]))
-    placed = rows.select(*keys, F.explode(F.arrays_zip("its", "rows")).alias("o")).select(*keys, "o.its.item.*", F.col("o.rows").alias("row"))
-    return placed.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy("row", "x", "item_seq"))).drop("row").select(*items.columns, "rank")
+    pages = items.groupBy(*keys).agg(down.alias("its")).withColumn("rows", F.aggregate(F.transform("its", lambda i: i["down"]), zero, step, lambda a: a["rows"]))
+    rowed = F.zip_with("its", "rows", lambda i, r: F.struct(r.alias("row"), i["across"].alias("across"), i["seq"].alias("seq"), i["item"].alias("item")))
+    return pages.select(*keys, F.array_sort(rowed).alias("its"))
