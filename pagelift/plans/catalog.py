@@ -348,20 +348,22 @@ def list_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH a AS (SELECT o_custkey AS doc_id, o_orderkey AS page, o_totalprice FROM orders WHERE o_orderkey % 3 <> 0), b AS (SELECT o_custkey AS doc_id, o_orderkey AS page, o_totalprice FROM orders WHERE o_orderkey % 2 = 0)
+WITH a AS (SELECT o_custkey AS doc_id, o_orderkey AS page, o_totalprice FROM orders), b AS (SELECT o_custkey AS doc_id, CASE WHEN o_orderkey % 3 = 0 THEN -o_orderkey ELSE o_orderkey END AS page, o_totalprice * 2 AS o_totalprice FROM orders)
 SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.page, b.page) AS page, a.o_totalprice AS before_price, b.o_totalprice AS after_price, CASE WHEN a.page IS NOT NULL AND b.page IS NOT NULL THEN 'both' WHEN a.page IS NOT NULL THEN 'removed' ELSE 'added' END AS status FROM a FULL JOIN b ON a.doc_id = b.doc_id AND a.page = b.page""")
 def page_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN-3, SET-1, SRT-3."""
+    """JN-3, SET-1, SRT-3: all orders against a revision in which every third page has another number and all prices are doubled."""
     pages = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("page"), F.col("o_totalprice").alias("price"))
-    return diff.pages_side_by_side(pages.where("page % 3 <> 0"), pages.where("page % 2 = 0"))
+    after = pages.select("doc_id", F.when(F.col("page") % 3 == 0, -F.col("page")).otherwise(F.col("page")).alias("page"), (F.col("price") * 2).alias("price"))
+    return diff.pages_side_by_side(pages, after)
 
 
 @query("""
-WITH a AS (SELECT lang, md5(text) AS key FROM documents WHERE doc_id % 7 <> 0 GROUP BY 1, 2 HAVING count(*) = 1), b AS (SELECT lang, md5(text) AS key FROM documents WHERE doc_id % 5 <> 0 GROUP BY 1, 2 HAVING count(*) = 1) SELECT lang, key FROM a JOIN b USING (lang, key)""")
+WITH a AS (SELECT lang, md5(text) AS key FROM documents GROUP BY 1, 2 HAVING count(*) = 1), b AS (SELECT lang, md5(CASE WHEN doc_id % 5 = 0 THEN text || '*' ELSE text END) AS key FROM documents GROUP BY 1, 2 HAVING count(*) = 1) SELECT lang, key FROM a JOIN b USING (lang, key)""")
 def moved_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN-11, SET-2."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.md5("text").alias("key"))
-    return diff.unique_in_both(docs.where("doc_id % 7 <> 0"), docs.where("doc_id % 5 <> 0"), ("lang", "key"))
+    """JN-11, SET-2: all documents against a revision in which every fifth has another text."""
+    docs = table(spark, sf_dir, "documents")
+    changed = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("*"))).otherwise(F.col("text"))
+    return diff.unique_in_both(docs.select("lang", F.md5("text").alias("key")), docs.select("lang", F.md5(changed).alias("key")), ("lang", "key"))
 
 
 @query("""
