@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, licenses, minhash, packing, personal, quality, rules, toxicity, units
+from . import decontamination, html_text, licenses, minhash, packing, personal, quality, rules, toxicity, units, vector_codes, whitening, word_codes
 from .batches import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +75,22 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(units.repeats(table(spark, sf_dir, "documents"), unit="sentence"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each embedding along the 32 components that vary most."""
+    return whitening.components(table(spark, sf_dir, "embeddings"))
+
+
+def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each document's ids and of what they decode to."""
+    rows = word_codes.decoded(word_codes.encoded(table(spark, sf_dir, "documents")), word_codes.pieces(spark))
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each embedding as a code of four bytes, and what is lost."""
+    return vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_license_scan": op2_license_scan,
@@ -88,6 +104,9 @@ QUERIES: dict[str, Query] = {
     "op10_substring_dedup": op10_substring_dedup,
     "op10_whole_lines": op10_whole_lines,
     "op10_passages": op10_passages,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_word_bpe": op12_word_bpe,
+    "op13_vector_codes": op13_vector_codes,
 }
 #: Queries that SQL can express; the others are tested against brute force.
 ORACLE_SQL: dict[str, str] = {
