@@ -30,7 +30,9 @@ from pyspark.sql import types as T
 from .batches import map_batches, partitions, saved, small_batches, text_bytes
 
 #: Bytes of text in a block (one text is never cut), words that a slot remembers, ids in a batch that goes out.
-BLOCK, REMEMBERED, IDS_AT_ONCE = 16 << 20, 1 << 21, 1 << 20
+BLOCK, REMEMBERED, IDS_AT_ONCE = 32 << 20, 1 << 19, 1 << 20
+#: How hard what is written is compressed: blocks are written once and moved once.
+LEVEL = 9
 #: Words given to the tokenizer at once, which bounds what it returns.
 ENCODED_AT_ONCE = 1 << 14
 #: Bytes of pieces that may be sent to every task.
@@ -64,7 +66,7 @@ def tokenizer(vocabulary: str) -> Any:
 
 def _packed(array: np.ndarray) -> bytes:
     """Compressed, equal bytes of the numbers beside each other."""
-    return zstandard.ZstdCompressor(level=3).compress(array.view(np.uint8).reshape(len(array), array.itemsize).T.tobytes())
+    return zstandard.ZstdCompressor(level=LEVEL).compress(array.view(np.uint8).reshape(len(array), array.itemsize).T.tobytes())
 
 
 def _unpacked(raw: bytes, kind: str) -> np.ndarray:
@@ -87,17 +89,20 @@ def _block(texts: list[bytes], slots: int) -> tuple[list[tuple[int, bytes]], byt
     for i, text in enumerate(texts):
         words = text.split()
         sizes[i] = len(words)
-        parts.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
-    known, codes = list(number), np.concatenate([np.zeros(0, np.int64), *parts])
+        parts.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
+    known, codes = list(number), np.concatenate([np.zeros(0, np.int32), *parts])
+    number.clear()
+    parts.clear()
     slot = _slot(known, slots)
-    by_slot = np.array(sorted(range(len(known)), key=lambda i: (slot[i], known[i])), np.int64)
+    by_word = np.array(sorted(range(len(known)), key=known.__getitem__), np.int64)
+    by_slot = by_word[np.argsort(slot[by_word], kind="stable")]
     seen = np.minimum(np.bincount(codes, minlength=len(known)), 255).astype(np.uint8)[by_slot]
     rank = np.empty(len(known), "<u4")
     rank[by_slot[_order(seen)]] = np.arange(len(known))
     lists, ends = [], np.flatnonzero(np.diff(slot[by_slot].astype(np.int64), append=-1)) + 1
     for begin, end in zip([0, *ends[:-1]], ends, strict=True) if len(known) else ():
         own = by_slot[begin:end]
-        lists.append((int(slot[own[0]]), zstandard.ZstdCompressor(level=3).compress(b"\n".join(known[i] for i in own))))
+        lists.append((int(slot[own[0]]), zstandard.ZstdCompressor(level=LEVEL).compress(b"\n".join(known[i] for i in own))))
     return lists, _packed(seen), _packed(sizes), _packed(rank[codes])
 
 
@@ -108,7 +113,7 @@ def _order(seen: np.ndarray) -> np.ndarray:
 def encoded(docs: DataFrame, *, vocabulary: str = "word_bpe_49k.json", slots: int | None = None, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (array of int): what the tokenizer gives for the whole text without adding special tokens, unpadded and whole. The string of an added token in a text is that token.
 
-    ``slots``: parts of the table of distinct words, as many as shuffle partitions by default. A slot remembers REMEMBERED words at once; only beyond that may a word be encoded again.
+    ``slots``: parts of the table of distinct words, half as many as shuffle partitions by default. A slot remembers REMEMBERED words at once; only beyond that may a word be encoded again.
     Nulls: a null text is empty, so it has no ids; a null id is carried. Empty and blank texts: no ids. Very long texts are encoded whole; a task holds one text or one block and its ids. Bytes
     that are no UTF-8 count as U+FFFD. Repeated rows give a row each. Empty table: no rows. Other columns are not carried, so clashing names cannot disturb.
     """
@@ -116,7 +121,7 @@ def encoded(docs: DataFrame, *, vocabulary: str = "word_bpe_49k.json", slots: in
     small_batches(spark)
     tokenizer(vocabulary)  # refused on the driver already
     n, size = partitions(spark), block
-    parts = slots or n
+    parts = slots or max(1, n // 2)
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = read.schema["doc_id"].dataType
     schema = T.StructType().add("block", "long").add("slot", "integer").add("docs", T.ArrayType(kind)).add("data", "binary").add("seen", "binary").add("sizes", "binary")
@@ -154,9 +159,9 @@ def encoded(docs: DataFrame, *, vocabulary: str = "word_bpe_49k.json", slots: in
                 for i in range(0, len(new), ENCODED_AT_ONCE):
                     some = new[i : i + ENCODED_AT_ONCE]
                     for w, e in zip(some, encoder.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False), strict=True):
-                        known[w] = np.array(e.ids, "<u4")
+                        known[w] = np.array(e.ids, "<u4").tobytes()
                 ids = [known[w] for w in words]
-                out.append((_packed(np.fromiter(map(len, ids), "<u4", len(ids))), _packed(np.concatenate(ids))))
+                out.append((_packed(np.fromiter(map(len, ids), "<u4", len(ids)) >> 2), _packed(np.frombuffer(b"".join(ids), "<u4"))))
             yield {"block": b.column("block"), "slot": b.column("slot"), "sizes": [x for x, _ in out], "data": [x for _, x in out]}
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
