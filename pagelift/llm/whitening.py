@@ -1,8 +1,9 @@
 """Whitening of vectors by an upper-triangle aggregation.
 
 One aggregation gives the count, the sums and the range of every dimension; a second sums, for every pair of dimensions, the product of the
-components less their dimension's centre, all pairs in one pass as generated SQL. Components are whole numbers and so are the centres, hence these
-sums are exact; what the rounding of the centre adds is taken off exactly on the driver, which holds one number for each pair. LAPACK decomposes the matrix.
+components less their dimension's centre. Its expressions are generated: row i of the triangle has a sum for each distance k, the pair (i, i + k) taken round, so that half a row
+of sums holds every pair once. (A sum for each of the 2,080 pairs of 64 dimensions in one row is more than generated code can hold, and Spark then interprets it.) Components are whole
+numbers and so are the centres, hence these sums are exact; what the rounding of the centre adds is taken off exactly on the driver, which holds one number for each pair. LAPACK decomposes the matrix.
 """
 
 from __future__ import annotations
@@ -20,10 +21,6 @@ from pyspark.sql import functions as F
 from .batches import map_batches, saved
 from .vectors import sound, width
 
-#: Pairs of dimensions that one aggregation sums; more dimensions take several passes.
-PAIRS = 2_500
-
-
 @dataclass(frozen=True)
 class Whitening:
     """What rows are whitened with. ``directions`` has a column for each component, by falling eigenvalue."""
@@ -41,20 +38,21 @@ class Whitening:
 
 
 def centred_products(rows: DataFrame, column: str, dims: int, centre: list[Any], kind: str) -> list[list[Any]]:
-    """For each pair i <= j the sum over ``rows`` of (column[i] - centre[i]) * (column[j] - centre[j]) as ``kind``, in aggregations of PAIRS pairs each."""
-    rows = rows.select(*((F.col(column)[i].cast(kind) - F.lit(c).cast(kind)).alias(f"c{i}") for i, c in enumerate(centre)))
-    pairs = [(i, j) for i in range(dims) for j in range(i, dims)]
-    out: dict[tuple[int, int], Any] = {}
-    for a in range(0, len(pairs), PAIRS):
-        some = pairs[a : a + PAIRS]
-        sums = [F.expr(f"sum(c{i} * c{j})").alias(f"p{i}_{j}") for i, j in some]
-        out |= zip(some, rows.agg(*sums).first(), strict=True)
-    return [[out[min(i, j), max(i, j)] for j in range(dims)] for i in range(dims)]
+    """For each pair of dimensions the sum over ``rows`` of (column[i] - centre[i]) * (column[j] - centre[j]) as ``kind``, in one aggregation; tasks sum before anything is moved."""
+    off = F.array(*(F.lit(c).cast(kind) for c in centre))
+    rows = rows.select(F.zip_with(column, off, lambda x, c: (x.cast(kind) - c).cast(kind)).alias("c"))
+    sums = [F.expr(f"sum(ci * c[(i + {k}) % {dims}])").alias(f"k{k}") for k in range(dims // 2 + 1)]
+    out = {}
+    for row in rows.select(F.posexplode("c").alias("i", "ci"), "c").groupBy("i").agg(*sums).collect():  # a row for each dimension
+        for k in range(dims // 2 + 1):
+            j = (row.i + k) % dims
+            out[row.i, j] = out[j, row.i] = row[f"k{k}"]
+    return [[out[i, j] for j in range(dims)] for i in range(dims)]
 
 
 def whole(component: Column) -> Column:
-    """The whole number that stands for a component."""
-    return F.floor(component.cast("double") * 64).cast("long") + 1_000_000
+    """The whole number that stands for a component; null for what is not finite, as the optimizer may ask before such rows are dropped."""
+    return F.when(F.abs(component) < float("inf"), F.floor(component.cast("double") * 64).cast("long") + 1_000_000)
 
 
 def fit(vectors: DataFrame, *, vector_col: str = "embedding") -> Whitening | None:

@@ -47,13 +47,18 @@ def test_whitening(spark):
     assert {r.identity_error for r in got} == {got[0].identity_error} and got[0].identity_error < 1e-9
 
 
-def test_whitening_in_several_passes_and_of_large_values(spark, monkeypatch):
+def test_pairs(spark):
+    """Every pair of an odd and an even number of dimensions is summed."""
+    for dims in (1, 2, 7, 8):
+        x = np.random.default_rng(dims).integers(-50, 50, (40, dims))
+        df = spark.createDataFrame([(r.tolist(),) for r in x], "x array<long>")
+        for kind in ("long", "decimal(38,0)"):
+            assert np.array_equal(np.array(whitening.centred_products(df, "x", dims, list(range(dims)), kind)).astype(int), (x - np.arange(dims)).T @ (x - np.arange(dims)))
+
+
+def test_whitening_of_large_values(spark):
     rows = drawn(200, scale=3e7)
-    df = spark.createDataFrame(rows, VECTORS)
-    wide = whitening.fit(df)
-    monkeypatch.setattr(whitening, "PAIRS", 5)
-    narrow = whitening.fit(df)
-    assert np.array_equal(wide.values, narrow.values) and wide.sums == narrow.sums
+    wide = whitening.fit(spark.createDataFrame(rows, VECTORS))
     x = np.array([[math.floor(64 * c) + 1_000_000 for c in v] for _, v, _ in rows], object)
     apart = x * len(x) - x.sum(0)
     assert np.allclose(wide.values, np.linalg.eigvalsh((apart.T @ apart / len(x) ** 3).astype(float))[::-1], rtol=1e-12)
