@@ -19,7 +19,9 @@ from .batches import map_batches, saved
 from .vectors import scaled, sound, width
 
 #: Pairs of a part and an entry whose distances are computed at once, and how many neighbours by norm are tried before the interval is taken whole.
-PAIRS, TRIED = 1 << 18, 4
+PAIRS, TRIED = 1 << 14, 4
+#: Components below this have squared distances below 2**53 in 64 dimensions.
+SMALL = 1 << 22
 
 
 class Codebook:
@@ -29,6 +31,7 @@ class Codebook:
         self.order = np.lexsort((np.arange(len(entries)), _norms(entries)))
         self.entries = entries[self.order]
         self.norms = _norms(self.entries)
+        self.small = entries.dtype != object and entries.shape[1] <= 64 and np.abs(entries).max(initial=0) < SMALL
 
     def interval(self, norm: np.ndarray, squared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of parts with these norms at these squared distances: where entries that may be as near begin and end. Wider by more than what floating numbers lose."""
@@ -38,42 +41,45 @@ class Codebook:
 
     def nearest(self, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         """For each part the index of its nearest entry (the lower of equals) and the squared distance; and how many distances were computed."""
+        if self.small and parts.dtype != object and np.abs(parts).max(initial=0) < SMALL:
+            index, best, computed = self._nearest(parts.astype(np.float64), self.entries.astype(np.float64))  # whole numbers that doubles hold exactly
+            return index, best.astype(np.int64), computed
+        return self._nearest(parts, self.entries)
+
+    def _nearest(self, parts: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         norm = _norms(parts)
         at = np.clip(np.searchsorted(self.norms, norm), 0, len(self.norms) - 1)
-        best, index, computed = _squared(parts, self.entries[at]), self.order[at], len(parts)
+        best, index, computed = _squared(parts, entries[at]), self.order[at], len(parts)
+
+        def compare(rows: np.ndarray, found: np.ndarray, which: np.ndarray) -> None:
+            better = (found < best[rows]) | ((found == best[rows]) & (which < index[rows]))
+            best[rows[better]], index[rows[better]] = found[better], which[better]
+
         for step in range(1, TRIED + 1):  # outwards by norm, as long as the interval reaches there
             for side in (at - step, at + step):
                 low, high = self.interval(norm, best)
                 rows = np.flatnonzero((side >= low) & (side < high))
-                if len(rows):
-                    self._take(parts, rows, side[rows], best, index)
-                    computed += len(rows)
+                compare(rows, _squared(parts[rows], entries[side[rows]]), self.order[side[rows]])
+                computed += len(rows)
         low, high = self.interval(norm, best)
-        left = high - low
-        done, upto = 0, np.cumsum(left)
+        upto, done = np.cumsum(high - low), 0
         while done < len(parts):
             end = max(done + 1, int(np.searchsorted(upto, (upto[done - 1] if done else 0) + PAIRS, "right")))
-            each = left[done:end]
-            rows = np.repeat(np.arange(done, end), each)
-            side = np.repeat(low[done:end] - (np.cumsum(each) - each), each) + np.arange(each.sum())
-            self._take(parts, rows, side, best, index)
-            computed += len(rows)
+            each = (high - low)[done:end]  # at least one: an interval holds the entry that it is drawn around
+            heads = np.cumsum(each) - each
+            side = np.repeat(low[done:end] - heads, each) + np.arange(each.sum())
+            found = _squared(np.repeat(parts[done:end], each, axis=0), entries[side])
+            least = np.minimum.reduceat(found, heads)
+            which = np.minimum.reduceat(np.where(found == np.repeat(least, each), self.order[side], len(self.order)), heads)
+            compare(np.arange(done, end), least, which)
+            computed += len(side)
             done = end
         return index, best, computed
 
-    def _take(self, parts: np.ndarray, rows: np.ndarray, side: np.ndarray, best: np.ndarray, index: np.ndarray) -> None:
-        """Compare parts ``rows`` with entries ``side``; a row may come several times."""
-        found, which = _squared(parts[rows], self.entries[side]), self.order[side]
-        order = np.lexsort((which, found, rows))
-        lead = order[np.concatenate([[True], rows[order][1:] != rows[order][:-1]])]
-        r, d, i = rows[lead], found[lead], which[lead]
-        better = (d < best[r]) | ((d == best[r]) & (i < index[r]))
-        best[r[better]], index[r[better]] = d[better], i[better]
-
 
 def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     apart = a - b
-    return (apart * apart).sum(1)
+    return np.einsum("ij,ij->i", apart, apart) if apart.dtype == np.float64 else (apart * apart).sum(1)
 
 
 def _norms(a: np.ndarray) -> np.ndarray:
