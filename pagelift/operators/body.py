@@ -141,13 +141,14 @@ def blank_pages(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 
 def empty_paragraphs(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """A paragraph with neither text nor an image, break or table inside goes if elements stand before and after it."""
+    """A paragraph with neither text nor an image, break, tab, space or table inside, and none of these itself, goes if elements stand before and after it."""
     element = _standing(df) & (F.col("tag") != "#text")
-    holds = _standing(df) & (F.col("tag").isin("img", "br", "table") | has("page-break") | has("blank-page") | has("verse-num") | ((F.col("tag") == "#text") & _substance()))
+    meant = has("page-break") | has("blank-page") | has("tab") | has("note-space")
+    holds = _standing(df) & (F.col("tag").isin("img", "br", "table") | meant | has("verse-num") | ((F.col("tag") == "#text") & _substance()))
     back = lambda *by: W.partitionBy(*keys, *by).orderBy(F.desc("enter")).rowsBetween(W.unboundedPreceding, -1)  # noqa: E731  running from the end, as frames up to the end are computed anew for each row
     following = F.last(F.when(holds, F.col("enter")), True).over(back())
     df = df.withColumns({"_after": F.max(element).over(back("parent")), "_before": F.max(element).over(W.partitionBy(*keys, "parent").orderBy("enter").rowsBetween(W.unboundedPreceding, -1)), "_next": following})
-    df = df.withColumn("_empty", element & (F.col("tag") == "p") & F.col("_after") & F.col("_before") & F.coalesce(F.col("_next") > F.col("leave"), F.lit(True)))
+    df = df.withColumn("_empty", element & (F.col("tag") == "p") & ~meant & F.col("_after") & F.col("_before") & F.coalesce(F.col("_next") > F.col("leave"), F.lit(True)))
     return Rewrite("empty paragraphs", lambda: F.col("_empty"), gone=True)(df, keys).drop("_empty", "_after", "_before", "_next")
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -14,6 +16,8 @@ from ..session import written
 from .grouped import met
 
 TRAITS = ("bold", "italic", "underline", "strike")
+#: The deepest level of a list, and the characters by which a longer text is known.
+LEVELS, PREFIX = 8, 40
 
 
 def style_chains(styles: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -62,25 +66,64 @@ def numbered(paragraphs: DataFrame, nums: DataFrame, levels: DataFrame, keys: tu
 
 
 def nested(items: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """items with ``run`` (of list items without another block between), ``parent_seq`` (the nearest item before of a lower level, in the run) and ``list_no``
-    (in the run; siblings of another format begin another list)."""
+    """items with ``run`` (of list items without another block between), ``parent_seq`` (the nearest item before of a lower level, in the run), ``depth`` (lists around the item) and ``list_no``
+    (in the run; a sibling of another level or format begins another list). Levels count from 0 to LEVELS; others are taken to the nearest of these. Windows alone, a pass over a document's items."""
     order = W.partitionBy(*keys).orderBy("seq")
     starts = F.when(F.col("is_list") & ~F.coalesce(F.lag("is_list").over(order), F.lit(False)), 1).otherwise(0)
-    listed = items.withColumn("run", F.sum(starts).over(order)).where("is_list")
-
-    def step(acc: Column, it: Column) -> Column:
-        stack = F.filter(acc["stack"], lambda s: s["level"] < it["level"])
-        parent = F.try_element_at(stack, F.lit(-1))["seq"]
-        put = F.concat(stack, F.array(F.struct(it["level"].alias("level"), it["seq"].alias("seq"))))
-        return F.struct(put.alias("stack"), F.concat(acc["out"], F.array(F.struct(it["seq"].alias("seq"), parent.alias("parent_seq")))).alias("out"))
-
-    its = F.array_sort(F.collect_list(F.struct(F.col("seq").cast("long").alias("seq"), F.col("level").cast("int").alias("level"))))
-    zero = F.struct(F.array().cast("array<struct<level:int,seq:bigint>>").alias("stack"), F.array().cast("array<struct<seq:bigint,parent_seq:bigint>>").alias("out"))
-    parents = listed.groupBy(*keys, "run").agg(its.alias("its")).select(*keys, "run", F.explode(F.aggregate("its", zero, step, lambda a: a["out"])).alias("o")).select(*keys, "run", "o.*")
-    out = listed.withColumn("seq", F.col("seq").cast("long")).join(parents, [*keys, "run", "seq"])
+    out = items.withColumn("run", F.sum(starts).over(order)).where("is_list").withColumn("seq", F.col("seq").cast("long"))
+    level = F.least(F.lit(LEVELS), F.greatest(F.lit(0), F.coalesce(F.col("level").cast("int"), F.lit(0))))
+    before = W.partitionBy(*keys, "run").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
+    out = out.withColumn("_level", level).withColumns({f"_l{k}": F.last(F.when(F.col("_level") == k, F.col("seq")), True).over(before) for k in range(LEVELS)})
+    lower = [F.when(F.col("_level") > k, F.col(f"_l{k}")) for k in range(LEVELS)]
+    # a level's last item is around this one if no item of a lower level came after it
+    none = F.lit(None).cast("long")
+    around = [F.when((F.col("_level") > k) & (F.col(f"_l{k}") > F.coalesce(F.greatest(none, none, *(F.col(f"_l{j}") for j in range(k))), F.lit(-(1 << 62)))), 1).otherwise(0) for k in range(LEVELS)]
+    depth = F.lit(1)
+    for x in around:
+        depth = depth + x
+    out = out.withColumn("parent_seq", F.greatest(none, *lower)).withColumn("depth", depth)
     sibling = W.partitionBy(*keys, "run", "parent_seq").orderBy("seq")
-    changed = F.when(F.coalesce(F.lag("format").over(sibling) == F.col("format"), F.lit(False)), 0).otherwise(1)
-    return out.withColumn("changed", changed).withColumn("list_no", F.sum("changed").over(sibling)).drop("changed")
+    same = (F.lag("format").over(sibling).eqNullSafe(F.col("format"))) & (F.lag("_level").over(sibling) == F.col("_level"))
+    out = out.withColumn("changed", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).withColumn("list_no", F.sum("changed").over(sibling))
+    return out.select(*items.columns, "run", "parent_seq", "depth", "list_no")
+
+
+def list_events(items: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keys, run, event_no, event, depth, tag, seq, text) of ``nested`` items (with text): the lists rebuilt, as what a stack of open lists does at each item.
+
+    An item ends the lists that are deeper than its own, each after its last item, begins a list if none of its kind is open at its place (inside the item before it of a lower level), and then itself. ``event`` is open or close of a list (tag ul or ol)
+    or an item (li); the text comes with an item's open. At a run's end all is closed. Lists of one kind side by side are one.
+    """
+    order = W.partitionBy(*keys, "run").orderBy("seq")
+    sibling = W.partitionBy(*keys, "run", "parent_seq").orderBy("seq")
+    tag = X.list_tag(F.coalesce("format", F.lit("decimal")))
+    opens = F.lag("list_no").over(sibling).isNull() | (F.lag("list_no").over(sibling) != F.col("list_no"))
+    # the tags of the lists around an item, outermost first, are carried as what its depth's list was last
+    df = items.withColumn("tag", tag).withColumn("opens", opens)
+    df = df.withColumns({f"_t{d}": F.last(F.when(F.col("depth") == d, F.col("tag")), True).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)) for d in range(1, LEVELS + 2)})
+    df = df.withColumn("_open", F.array(*(F.col(f"_t{d}") for d in range(1, LEVELS + 2))))
+    df = df.withColumns({"_before": F.coalesce(F.lag("depth").over(order), F.lit(0)), "_tags": F.lag("_open").over(order), "_last": F.lead("seq").over(order).isNull()})
+    event = lambda kind, d, t, text=None: F.struct(F.lit(kind).alias("event"), d.cast("int").alias("depth"), t.alias("tag"), (F.lit(None).cast("string") if text is None else text).alias("text"))
+    none = F.array().cast("array<struct<event:string,depth:int,tag:string,text:string>>")
+
+    def closing(tags: Column, top: Column, least: Column) -> Column:
+        """An item and its list, from depth ``top`` down to ``least``."""
+        pairs = F.transform(F.sequence(F.greatest(top, least), least, F.lit(-1)), lambda d: F.array(event("close", d, F.lit("li")), event("close", d, F.get(tags, d - 1))))
+        return F.when(top >= least, F.flatten(pairs)).otherwise(none)
+
+    depth = F.col("depth")
+    goes = F.when(F.col("opens"), closing(F.col("_tags"), F.col("_before"), depth)).otherwise(F.concat(closing(F.col("_tags"), F.col("_before"), depth + 1), F.array(event("close", depth, F.lit("li")))))
+    comes = F.concat(F.when(F.col("opens"), F.array(event("open", depth, F.col("tag")))).otherwise(none), F.array(event("open", depth, F.lit("li"), F.coalesce("text", F.lit("")))))
+    ends = F.when(F.col("_last"), closing(F.col("_open"), depth, F.lit(1))).otherwise(none)
+    rows = df.select(*keys, "run", "seq", F.posexplode(F.concat(goes, comes, ends)).alias("_at", "e"))
+    return rows.select(*keys, "run", F.row_number().over(W.partitionBy(*keys, "run").orderBy("seq", "_at")).alias("event_no"), F.col("e.event").alias("event"), F.col("e.depth").alias("depth"), F.col("e.tag").alias("tag"), "seq", F.col("e.text").alias("text"))
+
+
+def lists_html(events: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keys, run, seq, html): each run of lists as markup, at the place of its first item."""
+    said = F.when(F.col("event") == "open", F.concat(F.lit("<"), "tag", F.lit(">"), X.escape_html(F.coalesce("text", F.lit(""))))).otherwise(F.concat(F.lit("</"), "tag", F.lit(">")))
+    rows = F.array_sort(F.collect_list(F.struct("event_no", said.alias("html"))))
+    return events.groupBy(*keys, "run").agg(F.min("seq").alias("seq"), F.array_join(F.transform(rows, lambda r: r["html"]), "").alias("html"))
 
 
 def writing_spaces(paragraphs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -171,40 +214,74 @@ def planned(blocks: DataFrame, plan: DataFrame, keys: tuple[str, ...] = ("doc_id
     ``look_back`` before it, one that is exact or shares a beginning of 40 characters, ``least_prefix`` at least. What is taken is used up and moves
     the cursor on. One group is one document."""
     def merge(rows: list[dict], entries: list[dict]) -> Iterator[tuple]:
-        taken, cursor = [False] * len(entries), 0
+        index, cursor = _Entries([e["text_key"] or "" for e in entries], least_prefix), 0
         for row in rows:
             key = row["text_key"]
-            hit = next((i for i in range(cursor, len(entries)) if not taken[i] and entries[i]["text_key"] == key), None)
-            if hit is None:
-                hit = next((i for i in range(max(0, cursor - look_back), len(entries)) if not taken[i] and _alike(entries[i]["text_key"], key, least_prefix)), None)
+            hit = index.exact(key, cursor) if key else None
+            if hit is None and key:
+                hit = index.alike(key, max(0, cursor - look_back))
             if hit is not None:
-                taken[hit], cursor = True, hit + 1
+                index.taken[hit], cursor = True, hit + 1
                 yield row["seq"], entries[hit]["plan_seq"]
 
     return met(blocks.select(*keys, F.col("seq").cast("long").alias("seq"), "text_key"), plan.select(*keys, F.col("plan_seq").cast("long").alias("plan_seq"), "text_key"), keys, merge, "seq bigint, plan_seq bigint")
 
 
-def _alike(a: str, b: str, least: int) -> bool:
-    if not a or not b:
-        return False
-    if a == b:
-        return True
-    short_a, short_b = a[:40], b[:40]
-    return (len(short_a) >= least and b.startswith(short_a)) or (len(short_b) >= least and a.startswith(short_b))
+class _Entries:
+    """Keys of a plan, by what they are and by what they begin with; a search looks at places, not at entries."""
+
+    def __init__(self, names: list[str], least: int) -> None:
+        self.names, self.least, self.taken = names, least, [False] * len(names)
+        self.begun: dict[int, dict[str, list[int]]] = {}
+        self.whole = self._by(names)
+        self.short = self._by([n[:PREFIX] for n in names])
+        self.lengths = sorted({len(n) for n in self.short if len(n) >= least})
+
+    def _by(self, names: list[str]) -> dict[str, list[int]]:
+        out: dict[str, list[int]] = {}
+        for i, n in enumerate(names):
+            out.setdefault(n, []).append(i)
+        return out
+
+    def _next(self, places: list[int] | None, start: int) -> int | None:
+        at = bisect_left(places or [], start)
+        while places and at < len(places):
+            if not self.taken[places[at]]:
+                return places[at]
+            del places[at]  # taken for good, so no search passes it again
+        return None
+
+    def exact(self, key: str, start: int) -> int | None:
+        return self._next(self.whole.get(key), start)
+
+    def alike(self, key: str, start: int) -> int | None:
+        """The first entry from ``start`` on that is the key, begins with its first PREFIX characters, or whose own the key begins with."""
+        mine = key[:PREFIX]
+        found = [self.exact(key, start)]
+        if len(mine) >= self.least:
+            if len(mine) not in self.begun:
+                self.begun[len(mine)] = self._by([n[: len(mine)] for n in self.names])
+            found.append(self._next(self.begun[len(mine)].get(mine), start))
+        found += [self._next(self.short.get(key[:n]), start) for n in self.lengths if n <= len(key)]
+        return min((i for i in found if i is not None), default=None)
 
 
 def spaced(blocks: DataFrame, spacing: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(keys, seq, lines): an ordered merge of blocks with writing spaces; where a key repeats in the document, the key of the following block must match too."""
     def merge(rows: list[dict], plan: list[dict]) -> Iterator[tuple]:
         counts = Counter(row["text_key"] for row in rows)
+        places: dict[Any, list[int]] = {}
+        for j, p in enumerate(plan):
+            places.setdefault(p["after_key"], []).append(j)
+            places.setdefault((p["after_key"], p["next_key"]), []).append(j)
         cursor = 0
         for row, after in zip(rows, [*rows[1:], None]):
             key = row["text_key"]
-            for j in range(cursor, len(plan)):
-                if plan[j]["after_key"] == key and (counts[key] == 1 or after is not None and plan[j]["next_key"] == after["text_key"] or after is None and plan[j]["next_key"] is None):
-                    yield row["seq"], plan[j]["lines"]
-                    cursor = j + 1
-                    break
+            own = places.get(key if counts[key] == 1 else (key, after and after["text_key"]), [])
+            at = bisect_left(own, cursor)
+            if at < len(own):
+                yield row["seq"], plan[own[at]]["lines"]
+                cursor = own[at] + 1
 
     spaces = spacing.select(*keys, F.col("after_seq").cast("long").alias("after_seq"), "after_key", "next_key", F.col("lines").cast("int").alias("lines"))
     return met(blocks.select(*keys, F.col("seq").cast("long").alias("seq"), "text_key"), spaces, keys, merge, "seq bigint, lines int")

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import body
+from ..operators import body, structure
 from ..session import written
 from ..sources import html
-from .catalog import query, table
+from .catalog import doc_lines, query, table
 
 _PLAIN = r"regexp_replace(regexp_replace({}, '<!--.*?-->', '', 'gs'), '<(script|style)[^>]*>.*?</(script|style)>', '<\1>', 'gs')"
 #: The references that stand in the pages of these tables, with what they mean; some lack the end. The ampersand's own comes last.
@@ -107,3 +107,37 @@ def canonical_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     dropped = rows.where("gone_by is not null").select("doc_id", F.col("gone_by").alias("pass"), F.lit(0).alias("changed"), F.lit(1).alias("dropped"))
     total = changed.unionByName(dropped).groupBy("doc_id", "pass").agg(F.sum("changed").cast("long").alias("changed"), F.sum("dropped").cast("long").alias("dropped"))
     return total.join(odd, "doc_id", "left").select("doc_id", "pass", "changed", "dropped", F.coalesce("unstable", F.lit(0)).cast("long").alias("unstable"), F.coalesce("misplaced", F.lit(0)).cast("long").alias("misplaced"))
+
+
+_ITEMS = r"""
+WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS seq FROM documents),
+k AS (SELECT doc_id, seq, 'x' || line AS text, seq % 11 <> 10 AS is_list, (seq * seq + doc_id) % 4 AS level, CASE (seq // 3 + doc_id) % 3 WHEN 0 THEN 'bullet' WHEN 1 THEN 'decimal' ELSE 'lowerLetter' END AS format FROM l),
+i AS (SELECT *, seq // 11 AS run FROM k WHERE is_list), p AS (SELECT a.doc_id, a.seq, a.run, a.text, a.level, a.format, max(b.seq) AS parent FROM i a LEFT JOIN i b ON a.doc_id = b.doc_id AND a.run = b.run AND b.seq < a.seq AND b.level < a.level GROUP BY ALL),
+f AS (SELECT *, coalesce(lag(format) OVER w = format AND lag(level) OVER w = level, false) AS same FROM p WINDOW w AS (PARTITION BY doc_id, run, parent ORDER BY seq)),
+d AS (SELECT doc_id, seq, 1 AS depth FROM f WHERE parent IS NULL UNION ALL SELECT f.doc_id, f.seq, d.depth + 1 FROM f JOIN d ON f.doc_id = d.doc_id AND f.parent = d.seq)
+"""
+
+
+@query(
+    _ITEMS
+    + """SELECT doc_id, run, CAST(count(*) AS BIGINT) AS items, CAST(count(*) FILTER (WHERE NOT same) AS BIGINT) AS lists, CAST(count(*) FILTER (WHERE NOT same AND format = 'bullet') AS BIGINT) AS unordered, CAST(max(depth) AS INTEGER) AS deepest,
+ string_agg(CAST(depth AS VARCHAR), ',' ORDER BY seq) AS depths, md5(string_agg(text, '' ORDER BY seq)) AS text, CAST(0 AS BIGINT) AS unclosed, CAST(0 AS BIGINT) AS misplaced FROM f JOIN d USING (doc_id, seq) GROUP BY 1, 2"""
+)
+def rebuilt_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SEQ-18, SEQ-12: lines of documents as items of four levels and three kinds, rebuilt as lists and read again as a tree: items, lists and depths by run, text kept, all closed."""
+    n, doc = F.col("seq"), F.col("doc_id")
+    kind = F.element_at(F.array(F.lit("bullet"), F.lit("decimal"), F.lit("lowerLetter")), ((F.floor(n / 3) + doc) % 3 + 1).cast("int"))
+    lines = doc_lines(spark, sf_dir).select("doc_id", F.col("line_no").cast("long").alias("seq"), F.concat(F.lit("x"), "line").alias("text"))
+    items = lines.select("doc_id", "seq", "text", (n % 11 != 10).alias("is_list"), ((n * n + doc) % 4).cast("int").alias("level"), kind.alias("format"))
+    events = written(structure.list_events(structure.nested(items)))
+    open_now = F.when(F.col("event") == "open", 1).otherwise(-1)
+    run = F.floor(F.min("seq") / 11).cast("long").alias("place")
+    lists = (F.col("event") == "open") & (F.col("tag") != "li")
+    told = events.groupBy("doc_id", "run").agg(run, F.count_if((F.col("event") == "open") & (F.col("tag") == "li")).alias("items"), F.count_if(lists).alias("lists"), F.count_if(lists & (F.col("tag") == "ul")).alias("unordered"), F.sum(open_now).cast("long").alias("unclosed"))
+    tree = written(html.nodes(structure.lists_html(events), ("doc_id", "run")))
+    wrong = html.misplaced(tree, ("doc_id", "run")).groupBy("doc_id", "run").agg(F.count("*").alias("misplaced"))
+    depth = (F.col("depth") / 2).cast("int")
+    rows = F.array_sort(F.collect_list(F.when(F.col("tag") == "li", F.struct("enter", (depth + 1).cast("string").alias("d")))))
+    text = F.array_sort(F.collect_list(F.when(F.col("tag") == "#text", F.struct("enter", "text"))))
+    seen = tree.groupBy("doc_id", "run").agg(F.array_join(F.transform(rows, lambda r: r["d"]), ",").alias("depths"), F.md5(F.array_join(F.transform(text, lambda r: r["text"]), "")).alias("text"), F.max(F.when(F.col("tag") == "li", depth + 1)).alias("deepest"))
+    return told.join(seen, ["doc_id", "run"]).join(wrong, ["doc_id", "run"], "left").select("doc_id", F.col("place").alias("run"), "items", "lists", "unordered", "deepest", "depths", "text", "unclosed", F.coalesce("misplaced", F.lit(0)).cast("long").alias("misplaced"))
