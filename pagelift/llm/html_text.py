@@ -1,7 +1,8 @@
 """Main text of HTML pages by the distribution of line blocks.
 
 Markup is stripped into lines, one per block of the page, each with the length of the text that counts: none in menus, headers,
-footers, sidebars, notices, adverts, forms and comments, half where a name only hints at one of these, less where much of it is links. Lengths are summed over a sliding window of
+footers, sidebars, notices, adverts, forms and comments, half where a name only hints at one of these, less where much of it is links. A form, a notice, a header or a widget that
+holds most of a page's text is a wrapper and no furniture, as where a whole page stands in a form. Lengths are summed over a sliding window of
 lines; where the sums surge, the main text begins, and where they dive to nothing it ends; lines between that count are kept. Where a
 page marks articles, lines in them and lines outside have a distribution each, and less makes a surge in the marked ones.
 """
@@ -11,7 +12,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cache
 
 import pyarrow as pa
@@ -40,6 +41,10 @@ _RAW = frozenset("script style textarea title".split())
 _KIND = {"p": 0, "li": 1, "dt": 2, "dd": 2, "td": 3, "th": 3, "tr": 4, "thead": 5, "tbody": 5, "tfoot": 5, "a": 6}
 _ENDS = {"p": (0,), "li": (1,), "dt": (2,), "dd": (2,), "td": (3,), "th": (3,), "tr": (3, 4), "thead": (3, 4, 5), "tbody": (3, 4, 5), "tfoot": (3, 4, 5), "a": (6,)}
 _NONE = (-1,) * 7
+#: Those that authors also wrap pages in: by tag, role and part of a name.
+_SOFT = frozenset("form header dialog fieldset".split())
+_SOFT_ROLES = frozenset("form dialog alert banner".split())
+_SOFT_NAMES = frozenset("header masthead banner notice alert popup modal overlay dialog widget social signup login toolbar".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
 #: Names of furniture; what may stand beside them in a name; names of a page's content.
 _NAMES = frozenset(
@@ -51,6 +56,8 @@ _BESIDE = frozenset(
     "secondary desktop mobile sticky fixed floating small large first last col column row grid region zone module component holder group form thread article articles post posts entry story stories news blog to by the js google".split()
 )
 _CONTENT = frozenset("article post entry story main content body text".split())
+#: Names beside which a soft name only hints: text-widget, section-header.
+_WRAPPED = _CONTENT | {"section"}
 #: Names of furniture in which an article is no main text.
 _ASIDE = frozenset("comment comments reply replies disqus related recommended recommendations".split())
 _HEADED = re.compile(r"(?:article-|post-|entry-|story-)?header", re.I)
@@ -71,6 +78,8 @@ class Open:
     article: bool = False
     aside: bool = False
     link: bool = False
+    hint: float = 1.0  # the weight but for furniture
+    marks: tuple[int, ...] = ()  # the furniture around, by number; a soft kind's numbers are negative
     at: tuple[int, ...] = _NONE  # by kind: the place in the stack of an element that another of the kind would end
 
 
@@ -88,19 +97,21 @@ def places(name: str, at: tuple[int, ...], own: int) -> tuple[int, ...]:
 
 
 @cache
-def named_as(names: str) -> tuple[float, bool]:
-    """The weight that classes and ids give, and whether they name comments or the like: 0 where a whole name is one of furniture, as ``site-header`` or ``adSlot3``; HINTED
-    where only a part is, as in ``related-work``, or a name of content stands beside."""
-    weight, content, aside = 1.0, False, False
+def named_as(names: str) -> tuple[float, bool, bool]:
+    """The weight that classes and ids give, whether they name comments or the like, and whether furniture is of a soft kind alone: 0 where a whole name is one of furniture, as ``site-header`` or ``adSlot3``; HINTED
+    where only a part is, as in ``related-work``, or a name of content stands beside, also within the name if it is a soft one (``text-widget``)."""
+    weight, content, aside, soft = 1.0, False, False, True
     for name in names.split():
         parts = [x.lower() for x in _PARTS.findall(name)]
         bad = [x for x in parts if x in _NAMES]
         if bad:
-            whole = all(x in _NAMES or x in _BESIDE for x in parts)
+            mild = all(x in _SOFT_NAMES for x in bad)
+            whole = all(x in _NAMES or x in _BESIDE for x in parts) and not (mild and any(x in _WRAPPED for x in parts))
+            soft &= mild or not whole
             weight = min(weight, 0.0 if whole else HINTED)
             aside |= whole and any(x in _ASIDE for x in parts)
         content |= bool(parts) and not bad and all(x in _CONTENT for x in parts)
-    return max(weight, HINTED) if content and weight < 1 and not aside else weight, aside
+    return max(weight, HINTED) if content and weight < 1 and not aside else weight, aside, soft
 
 
 @dataclass
@@ -109,6 +120,8 @@ class Line:
     weight: float
     article: bool
     linked: int
+    hint: float = 1.0
+    marks: tuple[int, ...] = ()
 
 
 def stripped(page: str) -> list[Line]:
@@ -117,13 +130,13 @@ def stripped(page: str) -> list[Line]:
     stack = [Open()]
     count: dict[str, int] = {}  # open elements by name
     parts: list[str] = []
-    linked = 0
+    linked = marked = 0
 
     def flush() -> None:
         nonlocal linked
         text = _SPACES.sub(" ", "".join(parts)).strip()
         if text:
-            out.append(Line(text, stack[-1].weight, stack[-1].article, min(linked, len(text))))
+            out.append(Line(text, stack[-1].weight, stack[-1].article, min(linked, len(text)), stack[-1].hint, stack[-1].marks))
         parts.clear()
         linked = 0
 
@@ -171,22 +184,39 @@ def stripped(page: str) -> list[Line]:
         dropped, weight, article = top.dropped, top.weight, top.article
         said = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(m[3])} if m[3] else {}
         dropped |= name in _NEVER or "hidden" in said or said.get("aria-hidden", "").lower() == "true"
-        own, commented = named_as(f"{said.get('class', '')} {said.get('id', '')}") if name not in ("body", "html") and ("class" in said or "id" in said) else (1.0, False)
+        own, commented, soft = named_as(f"{said.get('class', '')} {said.get('id', '')}") if name not in ("body", "html") and ("class" in said or "id" in said) else (1.0, False, True)
         if article and name in ("header", "hgroup") or own == 0 and article and _HEADED.fullmatch(said.get("class") or said.get("id") or ""):
             own = 1.0  # an article's own header
         elif name in _FURNITURE or said.get("role", "").lower() in _ROLES:
+            soft &= (name not in _FURNITURE or name in _SOFT) and (said.get("role", "").lower() not in _ROLES or said["role"].lower() in _SOFT_ROLES)
             own = 0.0
+        marks, hint = top.marks, min(top.hint, own or 1.0)
+        if own == 0:
+            marked += 1
+            marks = (*marks, -marked if soft and not commented else marked)
         if name in ("article", "main") or said.get("role", "").lower() in ("main", "article"):
             # a comment may be an article of its own; other furniture may be a wrapper, or never closed
             weight, article = min(own, top.weight if top.aside else 1.0), not top.aside and own > 0
+            if not top.aside:
+                marks = marks[len(top.marks) :]
         else:
             weight = min(weight, own)
         aside = top.aside or name in ("aside", "footer") or commented
         link = top.link or name == "a" and "href" in said
         count[name] = count.get(name, 0) + 1
-        stack.append(Open(name, dropped, weight, article, aside, link, places(name, top.at, len(stack))))
+        stack.append(Open(name, dropped, weight, article, aside, link, hint, marks, places(name, top.at, len(stack))))
     flush()
-    return out
+    return out if any(x.article and x.weight for x in out) else unwrapped(out)
+
+
+def unwrapped(lines: list[Line]) -> list[Line]:
+    """lines of a page without a marked article: soft furniture that holds more than half of the text that is no link gives its lines the weight that they have without it."""
+    said: dict[int, int] = {}
+    for x in lines:
+        for m in {0, *x.marks}:
+            said[m] = said.get(m, 0) + len(x.text) - x.linked
+    wrappers = {m for m, n in said.items() if m < 0 and 2 * n > said[0]}
+    return [replace(x, weight=x.hint) if x.marks and wrappers.issuperset(x.marks) else x for x in lines] if wrappers else lines
 
 
 def main_lines(lines: list[Line], window: int = WINDOW, surge: int = SURGE) -> list[str]:
@@ -207,7 +237,7 @@ def main_lines(lines: list[Line], window: int = WINDOW, surge: int = SURGE) -> l
         length = lengths(run)
         kept += surged(run, length, window, surge * MARKED if marked else surge)
         short[marked] += [x.text for x, n in zip(run, length, strict=True) if n]
-    return kept or short[True] or short[False]
+    return kept or short[True] or short[False] or [x.text for x in lines if all(m < 0 for m in x.marks) and 2 * x.linked <= len(x.text)]
 
 
 def lengths(run: list[Line]) -> list[float]:
@@ -244,7 +274,7 @@ def extracted(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
 
     Nulls: a null page has an empty text; a null id or url is carried. Very long pages are read whole, elements nested to any depth. Equal pages, and so repeated rows,
     have equal results. Empty table: no rows. Other columns are not
-    carried, so clashing names cannot disturb. A page in which nothing surges gives all lines that count, those of marked articles if there are any.
+    carried, so clashing names cannot disturb. A page in which nothing surges gives all lines that count, those of marked articles if there are any; if no line counts, those in forms, notices, headers and widgets that are not mostly links.
     """
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:

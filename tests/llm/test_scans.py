@@ -408,3 +408,35 @@ def test_method_adds_and_keeps(frame):
     assert "[PHONE] [IP]" in got[0].text and "[EMAIL]" in got[0].text and got[0].n_chars == len(got[0].text) and got[1].text is None
     rows = personal.found(frame(EDGE).withColumn("spans", F.lit(1)), model).collect()
     assert len(rows) == len(EDGE) and all(r.spans == "" and r.base_sha256 == hashlib.sha256(b"").hexdigest() for r in rows)
+
+
+WRAPPERS = ['<form id="aspnetForm">', *(f'<div class="{c}">' for c in ("text-widget", "widget-text", "section-header", "story-header", "main-header", "social-content", "banner-content", "header-image-article", "alert", "page header")), '<div role="alert">', "<header>"]
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+def test_wrappers_are_no_furniture(wrapper):
+    """A tag or a name never drops a page's whole text; what is furniture beside it goes as before."""
+    prose = ["First paragraph of some length, with words enough to be prose.", "Second one, also of a length that counts as text.", "Third."]
+    end = "</form>" if "form" in wrapper else "</header>" if wrapper == "<header>" else "</div>"
+    of = lambda body: html_text.main_lines(html_text.stripped(f"<body><nav><ul><li><a href=1>Home</a></ul></nav>{body}<div class='ad'>Buy now</div><footer>© someone, all rights reserved and so on</footer>"))
+    assert of(f"{wrapper}<div>{''.join(f'<p>{t}</p>' for t in prose)}</div>{end}") == prose
+    assert of(f"{wrapper}<p>short</p>{end}") == ["short"]
+    # beside a marked article, or beside more text than it holds, it is furniture
+    assert of(f"{wrapper}<p>{prose[0]}</p>{end}<article><p>{prose[1]}</p></article>") == prose[1:2]
+    if "-" not in wrapper:
+        assert of(f"{wrapper}<p>Log in</p>{end}" + "".join(f"<p>{t}</p>" for t in prose)) == prose
+    assert of("") == [] and of("<div class='comments'><p>" + prose[0] * 3 + "</p></div>") == []
+
+
+def test_soft_furniture_against_sums_by_element():
+    rng = random.Random(6)
+    for _ in range(300):
+        lines = []
+        for i in range(rng.randrange(12)):
+            marks = tuple(sorted(rng.sample([-1, -2, 3], rng.randrange(3))))
+            text = "x" * rng.randrange(1, 60)
+            lines.append(html_text.Line(f"{i}{text}", 0.0 if marks else 1.0, False, rng.choice([0, 0, len(text)]), rng.choice([0.5, 1.0]), marks))
+        plain = [len(x.text) - x.linked for x in lines]
+        big = [m for m in (-1, -2) if 2 * sum(n for n, x in zip(plain, lines, strict=True) if m in x.marks) > sum(plain)]
+        want = [x.hint if x.marks and all(m in big for m in x.marks) else x.weight for x in lines]
+        assert [x.weight for x in html_text.unwrapped(lines)] == want
