@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import math
 import zlib
 from collections import Counter
 
@@ -47,11 +48,13 @@ def test_toxicity(tables):
 
 def test_quality_learns_from_long_texts(frame, spark):
     good, bad = "This is a sentence of some length, and it ends well.\n", "$$ ## 12 !!\n"
-    docs = frame([(i, (good if i % 2 else bad) * (quality.LONGEST + 1 + i)) for i in range(60)] + [(i, "") for i in range(60, 80)])
+    docs = frame([(i, (good if i % 2 else bad) * (quality.STRETCH + 1 + i)) for i in range(60)] + [(i, "") for i in range(60, 80)])
     model = quality.fit(docs, spark.createDataFrame([(i, int(i < 60 and i % 2), 0) for i in range(80)], LABELS))
     got = {r.doc_id: r.score for r in quality.scored(docs, model).collect()}
     assert min(got[i] for i in range(1, 60, 2)) > 0.8 and max(got[i] for i in [*range(0, 60, 2), 60]) < 0.2
-    assert quality.pieces(np.array([0, 3, 3, 3 + 2 * quality.LONGEST + 1])).tolist() == [0, 3, 3 + quality.LONGEST, 3 + 2 * quality.LONGEST, 4 + 2 * quality.LONGEST]
+    # a bound on lines keeps whole texts, in their order, and a model
+    few = quality.fit(docs, spark.createDataFrame([(i, int(i < 60 and i % 2), 0) for i in range(80)], LABELS), line_bound=6 * quality.STRETCH)
+    assert {r.predicted for r in quality.scored(docs.where("doc_id < 60 and doc_id % 2 = 1"), few).collect()} == {1}
 
 
 def test_quality(tables):
@@ -91,10 +94,11 @@ def test_edge_cases(spark, frame, labelled):
     assert kept.columns == docs.columns
 
 
-def test_forward_backward():
+@pytest.mark.parametrize("stretch", [1, 2, 3, 200])
+def test_forward_backward(stretch):
     rng = np.random.default_rng(3)
     gain, change, first = rng.normal(size=6), rng.normal(size=(2, 2)), np.array([0, 4, 4, 6])
-    p, pairs = quality.forward_backward(gain, first, change)
+    p, pairs = quality.forward_backward(gain, first, change, stretch)
     want, want_pairs = np.zeros(6), np.zeros((2, 2))
     for a, z in ((0, 4), (4, 6)):
         n, total = z - a, 0.0
@@ -211,3 +215,53 @@ def test_pipeline_of_edge_rows(spark):
     none = before.limit(0)
     for name, stage in pipeline.STAGES:
         assert stage(spark, none, SF).count() == 0, name
+
+
+def read_off(calibration, raw):
+    """An isotonic step function by hand: straight lines between its points, flat beyond."""
+    x, y = list(calibration.x), list(calibration.y)
+    if raw <= x[0]:
+        return y[0]
+    for (a, p), (b, q) in zip(zip(x, y), zip(x[1:], y[1:])):
+        if raw <= b:
+            return p + (q - p) * (raw - a) / (b - a)
+    return y[-1]
+
+
+def test_toxicity_scores_by_walking_the_trees(tables):
+    docs, labels = tables
+    model = toxicity.fit(docs, labels)
+    marks, trees = toxicity._Marks(model.lexicon.weights(None)), model.trees
+    got = {r.doc_id: r.score for r in toxicity.scored(docs, model).collect()}
+    for doc_id, text in ((r.doc_id, r.text) for r in docs.limit(40).collect()):
+        x, raw = toxicity.features(text or "", marks), trees.base
+        for r in range(trees.rounds):
+            node = 0
+            for _ in range(trees.depth):
+                j, cut = trees.feature[r, node], trees.cut[r, node]
+                node = 2 * node + (2 if sum(e < x[j] for e in trees.edges[j]) > cut else 1)
+            raw += trees.leaf[r][node - (2**trees.depth - 1)]
+        assert abs(got[doc_id] - read_off(model.calibration, raw)) < 1e-9
+
+
+def test_quality_scores_by_enumerating_labels(tables, frame):
+    docs, labels = tables
+    model = quality.fit(docs, labels)
+    rows = [(0, "One good line of words.\n$$ ### 12 !!\nand another one"), (1, "only one line here"), (2, "a b c\n\n \nd e f\ng!!!\n%% $$"), (3, "x " * 40 + "\n" + "Y. " * 9)]
+    got = {r.doc_id: r.score for r in quality.scored(frame(rows), model).collect()}
+    for k, text in rows:
+        found = lines.Lines([text.encode()])
+        z = (found.x - model.mean) / model.scale
+        n, w = len(z), model.weights
+        gain = []
+        for i in range(n):
+            around = [*z[i], *(z[i - 1] if i else np.zeros(lines.N)), *(z[i + 1] if i < n - 1 else np.zeros(lines.N)), float(i == 0), float(i == n - 1), 1.0]
+            gain.append(sum(a * b for a, b in zip(around, w, strict=True)))
+        total, good = 0.0, np.zeros(n)
+        for code in range(1 << n):
+            y = [code >> i & 1 for i in range(n)]
+            weight = math.exp(sum(g * v for g, v in zip(gain, y)) + sum(model.change[a, b] for a, b in zip(y, y[1:])))
+            total += weight
+            good += weight * np.array(y)
+        raw = float((good / total * found.chars).sum() / found.chars.sum())
+        assert abs(got[k] - read_off(model.calibration, raw)) < 1e-9
