@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import reachable
+
 
 def met(left: DataFrame, right: DataFrame, keys: tuple[str, ...], rule: Callable[[list[dict], list[dict]], Iterable[tuple]], out: str) -> DataFrame:
     """(keys, out) where ``rule`` maps a group's left and right rows, each sorted by its columns in order, to rows of ``out``.
@@ -19,7 +21,12 @@ def met(left: DataFrame, right: DataFrame, keys: tuple[str, ...], rule: Callable
         rest = [c for c in df.columns if c not in keys]
         return df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*rest))).alias(name))
 
-    both = gathered(left, "left_rows").join(gathered(right, "right_rows"), list(keys), "full_outer")
+    return ruled(gathered(left, "left_rows").join(gathered(right, "right_rows"), list(keys), "full_outer"), keys, rule, out)
+
+
+def ruled(both: DataFrame, keys: tuple[str, ...], rule: Callable[[list[dict], list[dict]], Iterable[tuple]], out: str) -> DataFrame:
+    """(keys, out) where ``rule`` maps the arrays left_rows and right_rows of each row to rows of ``out``; a null array is empty."""
+    reachable(both.sparkSession)
     fields = T.StructType.fromDDL(out).fields
     schema = T.StructType([both.schema[k] for k in keys] + fields)
 

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from ..functions import text as X
 from ..session import reachable
 from .diff import sequence_diff
-from .grouped import met
+from .grouped import ruled
 
 _WORD = re.compile(rf"[^{X.WS}]+")
 
@@ -124,19 +124,19 @@ def revised_runs(before: DataFrame, after: DataFrame, keys: tuple[str, ...], tra
 
 
 def _page_rule(a: list[dict], b: list[dict]) -> Iterator[tuple]:
-    """Changes between a page's blocks in two revisions, each block with seq, key, signature and whether its key may move; (kind, before_seq, after_seq, removed, added).
+    """Changes between a page's blocks in two revisions, each block with seq, key, signature, and ``to``, the place of the one block after that it may have moved to; (kind, before_seq, after_seq, to_page, removed, added).
 
-    A block that may move and has no partner here is ``left``; where it went is another page's affair."""
+    A block that may have moved and is not in its place has moved there; the page that it is on after says nothing of it."""
     gone: list[int] = []
     come: list[int] = []
 
     def close() -> Iterator[tuple]:
-        yield from (("left", a[i]["seq"], None, 0, 0) for i in gone if a[i]["movable"])
-        rest, new = [i for i in gone if not a[i]["movable"]], [j for j in come if not b[j]["movable"]]
+        yield from (("moved", a[i]["seq"], a[i]["to"]["seq"], a[i]["to"]["page"], 0, 0) for i in gone if a[i]["to"])
+        rest, new = [i for i in gone if not a[i]["to"]], [j for j in come if not b[j]["to"]]
         for n in range(max(len(rest), len(new))):
             i, j = rest[n] if n < len(rest) else None, new[n] if n < len(new) else None
             words = [op for op, _ in sequence_diff([] if i is None else a[i]["key"].split(), [] if j is None else b[j]["key"].split())]
-            yield "added" if i is None else "removed" if j is None else "replaced", None if i is None else a[i]["seq"], None if j is None else b[j]["seq"], words.count("del"), words.count("add")
+            yield "added" if i is None else "removed" if j is None else "replaced", None if i is None else a[i]["seq"], None if j is None else b[j]["seq"], None, words.count("del"), words.count("add")
         gone.clear()
         come.clear()
 
@@ -145,7 +145,7 @@ def _page_rule(a: list[dict], b: list[dict]) -> Iterator[tuple]:
         if op == "same":
             yield from close()
             if a[i]["signature"] != b[j]["signature"]:
-                yield "formatted", a[i]["seq"], b[j]["seq"], 0, 0
+                yield "formatted", a[i]["seq"], b[j]["seq"], None, 0, 0
             i, j = i + 1, j + 1
         elif op == "del":
             gone.append(i)
@@ -164,28 +164,21 @@ def document_changes(before: DataFrame, after: DataFrame, keys: tuple[str, ...]
     ``change_no`` runs through the document by page and place, in the revision after where there is one. Null keys of blocks are empty and, as empty ones, never move; documents without pages have one null page.
     """
     own = [*keys, "page", "seq", "key", "signature"]
-    old, new = (df.withColumn("key", F.coalesce("key", F.lit(""))).withColumn("seq", F.col("seq").cast("long")).select(*own) for df in (before, after))
-    sides = old.withColumn("_old", F.lit(1)).unionByName(new.withColumn("_old", F.lit(0)))
-    once = sides.where("key <> ''").groupBy(*keys, "key").agg(F.sum("_old").alias("n"), F.count("*").alias("m"), *(F.max(F.when(F.col("_old") == s, F.struct("page", "seq"))).alias(name) for s, name in ((1, "_from"), (0, "_to")))).where("n = 1 and m = 2")
-    at = lambda df, side: df.join(once.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("key").alias("_key"), F.lit(True).alias("movable")), F.expr(" and ".join(f"{k} <=> _{k}" for k in (*keys, "key"))), "left").select(*own, F.coalesce("movable", F.lit(False)).alias("movable"))
-    found = paired(at(old, 0), at(new, 1), (*keys, "page"))
-    gone = found.where("kind = 'left'").select(*keys, F.struct("page", F.col("before_seq").alias("seq")).alias("_from"))
-    same = " and ".join(f"l.{k} <=> r.{k}" for k in (*keys, "_from"))
-    moved = once.alias("l").join(gone.alias("r"), F.expr(same), "left_semi").select(*keys, F.lit("moved").alias("kind"), F.col("_from.page").alias("before_page"), F.col("_from.seq").alias("before_seq"), F.col("_to.page").alias("after_page"), F.col("_to.seq").alias("after_seq"), F.lit(0).alias("removed"), F.lit(0).alias("added"))
-    here = lambda side: F.when(F.col(f"{side}_seq").isNotNull(), F.col("page")).alias(f"{side}_page")
-    rows = found.where("kind <> 'left'").select(*keys, "kind", here("before"), "before_seq", here("after"), "after_seq", "removed", "added").unionByName(moved)
+    old, new = (df.withColumn("key", F.coalesce("key", F.lit(""))).withColumn("seq", F.col("seq").cast("long")).select(*own, F.lit(side).alias("_old")) for df, side in ((before, True), (after, False)))
+    sides = old.unionByName(new).repartition(*keys)  # a document's rows lie together from here on, so neither uniqueness nor pages move them again
+    alike = W.partitionBy(*keys, "key")
+    to = F.max(F.when(~F.col("_old"), F.struct(F.col("page").cast("string").alias("page"), "seq"))).over(alike)
+    single = (F.col("key") != "") & (F.count_if("_old").over(alike) == 1) & (F.count("*").over(alike) == 2)
+    block = F.struct("seq", "key", "signature", F.when(single, to).alias("to"))
+    rows = lambda side: F.array_sort(F.collect_list(F.when(F.col("_old") == side, F.col("block"))))
+    both = sides.withColumn("block", block).groupBy(*keys, "page").agg(rows(True).alias("left_rows"), rows(False).alias("right_rows"))
+    found = ruled(both, (*keys, "page"), _page_rule, "kind string, before_seq bigint, after_seq bigint, to_page string, removed int, added int")
+    moved = F.col("kind") == "moved"
+    pages_of = {"before_page": F.when(F.col("before_seq").isNotNull(), F.col("page")), "after_page": F.when(moved, F.col("to_page").cast(both.schema["page"].dataType)).when(F.col("after_seq").isNotNull(), F.col("page"))}
+    rows = found.withColumns(pages_of).select(*keys, "kind", "before_page", "before_seq", "after_page", "after_seq", "removed", "added")
     if pages is not None:
         same = " and ".join(f"l.{k} <=> r.{k}" for k in (*keys, "page"))
         laid = pages[0].alias("l").join(pages[1].alias("r"), F.expr(f"{same} and not (l.layout <=> r.layout)")).select(*(F.col(f"l.{k}").alias(k) for k in keys), F.lit("page").alias("kind"), F.col("l.page").alias("before_page"), F.col("r.page").alias("after_page"), F.lit(0).alias("removed"), F.lit(0).alias("added"))
         rows = rows.unionByName(laid, allowMissingColumns=True)
     order = W.partitionBy(*keys).orderBy(F.coalesce("after_page", "before_page"), F.coalesce("after_seq", "before_seq"), "kind", "before_page", "before_seq")
     return rows.select(*keys, F.row_number().over(order).alias("change_no"), "kind", "before_page", "before_seq", "after_page", "after_seq", "removed", "added")
-
-
-def paired(before: DataFrame, after: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """(keys, kind, before_seq, after_seq, removed, added) of each pair of pages by ``_page_rule``; null keys are equal."""
-    names = {k: f"_k{i}" for i, k in enumerate(keys)}  # equality of keys must take nulls along, so they are compared as text
-    text = [F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("")).alias(names[k]) for k in keys]
-    rows = met(*(df.select(*text, "seq", "key", "signature", "movable") for df in (before, after)), tuple(names.values()), _page_rule, "kind string, before_seq bigint, after_seq bigint, removed int, added int")
-    back = [F.when(F.col(names[k]) != "", F.substring(names[k], 2, 1 << 30)).cast(before.schema[k].dataType).alias(k) for k in keys]
-    return rows.select(*back, "kind", "before_seq", "after_seq", "removed", "added")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -60,15 +61,20 @@ def page_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("seq", "line"))
     key = F.lower(F.trim(F.regexp_replace("line", rf"[{X.WS}]+", " ")))
     old = old.select("doc_id", F.floor(F.col("seq") / 12).alias("page"), F.col("seq").cast("long").alias("seq"), key.alias("key"), F.lit("").alias("signature"))
-    n, across = F.col("seq"), F.col("seq") % 13 == 4
+    n, moves = F.col("seq"), F.col("seq") % 13 == 4
     new = old.where("seq % 7 <> 2").select(
-        "doc_id", F.when(across, F.col("page") + 1).otherwise(F.col("page")).alias("page"), F.when(across, n * 2 + 31).when(n % 10 == 7, n * 2 - 5).otherwise(n * 2).alias("seq"),
+        "doc_id", F.when(moves, F.col("page") + 1).otherwise(F.col("page")).alias("page"), F.when(moves, n * 2 + 31).when(n % 10 == 7, n * 2 - 5).otherwise(n * 2).alias("seq"),
         F.when(n % 17 == 3, F.concat("key", F.lit(" more"))).otherwise(F.col("key")).alias("key"), "signature",
     )
     changes = revision.document_changes(old, new)
-    leaves = changes.where("before_seq is not null").select("doc_id", F.col("before_page").alias("page"), F.col("before_seq").alias("seq"))
-    comes = changes.where("after_seq is not null").select("doc_id", F.col("after_page").alias("page"), F.col("after_seq").alias("seq"), ((F.col("kind") == "moved") & (F.col("before_page") != F.col("after_page"))).alias("across"))
-    place = ["doc_id", "page", "seq"]
-    rows = old.join(leaves.withColumn("left", F.lit(1)), place, "left").select("doc_id", "page", F.when(F.col("left").isNull(), F.col("key")).alias("key"), F.coalesce("left", F.lit(0)).alias("gone"), F.lit(0).alias("come"), F.lit(0).alias("here"))
-    rows = rows.unionByName(new.join(comes, place).select("doc_id", "page", "key", F.lit(0).alias("gone"), F.lit(1).alias("come"), F.coalesce("across", F.lit(False)).cast("int").alias("here")))
+    across = (F.col("kind") == "moved") & (F.col("before_page") != F.col("after_page"))
+    marks = [changes.where(f"{side}_seq is not null").select("doc_id", F.col(f"{side}_page").alias("page"), F.col(f"{side}_seq").alias("seq"), F.lit(side).alias("side"), F.lit(1).alias("changed"), across.cast("int").alias("across")) for side in ("before", "after")]
+    blocks = [df.select("doc_id", "page", "seq", "key", F.lit(side).alias("side")) for df, side in ((old, "before"), (new, "after"))]
+    rows = blocks[0].unionByName(blocks[1]).unionByName(marks[0], allowMissingColumns=True).unionByName(marks[1], allowMissingColumns=True).repartition("doc_id")
+    place = W.partitionBy("doc_id", "page", "side", "seq")
+    said = lambda c: F.coalesce(F.max(c).over(place), F.lit(0))
+    rows = rows.withColumns({"changed": said("changed"), "across": said("across")}).where("key is not null")
+    gone, come = (F.when(F.col("side") == side, F.col("changed")).otherwise(0) for side in ("before", "after"))
+    stays = ((F.col("side") == "before") & (F.col("changed") == 0)) | ((F.col("side") == "after") & (F.col("changed") == 1))
+    rows = rows.select("doc_id", "page", F.when(stays, F.col("key")).alias("key"), gone.alias("gone"), come.alias("come"), F.when(F.col("side") == "after", F.col("across")).otherwise(0).alias("here"))
     return rows.groupBy("doc_id", "page").agg(F.md5(F.array_join(F.array_sort(F.collect_list("key")), "\n")).alias("keys"), *(F.sum(c).cast("long").alias(a) for c, a in (("gone", "gone"), ("come", "come"), ("here", "moved_here"))))
