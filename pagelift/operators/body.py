@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as X
-from ..session import written
+from ..session import stored
 from ..sources.html import with_text
 from . import markup
 
@@ -29,6 +29,8 @@ ALIGN, PLACE = ("center", "right", "justify", "left"), ("bottom", "middle", "top
 TRAITS = ("bold", "not-bold", "italic", "not-italic", "underline", "strike", "no-decoration")
 #: What only an editor needs of an image.
 TRANSIENT = ("tabindex", "draggable", "aria-selected", "data-tooltip", "title")
+#: Classes of elements whose text decides what becomes of them.
+TOLD = ("page-label", "page-break", "pagebreak")
 #: Room between labels for nodes that a pass puts in.
 ROOM = 8
 
@@ -202,7 +204,7 @@ def passes() -> tuple[Pass, ...]:
         Rewrite("markers", lambda: has("chapter-marker"), gone=True),
         Rewrite("labels", lambda: has("page-label"), tag=lambda: F.lit("div"), classes=name("page-break"), keep=(), empty=True, attrs={"data-page": lambda: F.coalesce(attr("data-page"), F.when(attr("id").rlike("^page-"), F.regexp_replace(attr("id"), "^page-", "")), F.nullif(F.regexp_replace("inner", r"\D+", ""), F.lit("")))}),
         forced_breaks,
-        Rewrite("breaks", lambda: (has("page-break") | has("pagebreak")) & (X.trimmed(F.col("inner")) != "") & (F.col("tag") != "br") & ~F.array_contains("passes", "labels"), classes=lambda: F.array_union(without("^(?:page-break|pagebreak)$"), F.array(F.lit("break-before"))), attrs={"data-page-break": None}),
+        Rewrite("breaks", lambda: (has("page-break") | has("pagebreak")) & (X.trimmed(F.coalesce("inner", F.lit(""))) != "") & (F.col("tag") != "br") & ~F.array_contains("passes", "labels"), classes=lambda: F.array_union(without("^(?:page-break|pagebreak)$"), F.array(F.lit("break-before"))), attrs={"data-page-break": None}),
         Rewrite("breaks", lambda: has("page-break") | has("pagebreak"), tag=lambda: F.when(F.col("parent").isNull(), F.lit("hr")).otherwise(F.col("tag")), classes=name("page-break"), keep=("data-page",), empty=True),
         blank_pages,
         Rewrite("pages", lambda: has("source-page"), classes=lambda: F.array_compact(F.array(F.lit("source-page"), zone(), offset(), kind())), attrs={"data-source-page": lambda: whole(attr("data-source-page"), 1, None, 1), "data-top": lambda: whole(attr("data-top"), *TOP, TOP[0])}),
@@ -225,8 +227,8 @@ COLUMNS = ("enter", "leave", "depth", "parent", "up", "tag", "classes", "attrs",
 
 
 def traced(nodes: DataFrame, keys: tuple[str, ...], order: tuple[Pass, ...] | None = None) -> DataFrame:
-    """nodes (as ``sources.html.nodes`` gives them) after all passes, with ``passes``, those that changed a node, and ``gone_by``, the one that dropped it."""
-    df = with_text(written(nodes), keys)  # read for the nodes and for the text of their page; pages are parsed once
+    """nodes (as ``sources.html.nodes`` gives them, best with the text of elements of the classes TOLD, which is looked up else) after all passes, with ``passes``, those that changed a node, and ``gone_by``, the one that dropped it."""
+    df = nodes if "inner" in nodes.columns else with_text(stored(nodes), keys)
     spread = {c: F.col(c) * ROOM for c in ("enter", "leave", "parent")}
     classes = F.array_distinct(F.filter(F.split(F.coalesce(attr("class"), F.lit("")), rf"[{X.WS}]+"), lambda c: c != ""))
     df = df.select(*keys, *(spread.get(c, F.col(c)).alias(c) for c in ("enter", "leave", "depth", "parent", "up", "tag")), classes.alias("classes"), F.map_filter("attrs", lambda k, _: k != "class").alias("attrs"), "text", "implied", "inner", F.array().cast("array<string>").alias("passes"), F.lit(None).cast("string").alias("gone_by"))
@@ -245,24 +247,13 @@ def canonical(nodes: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 
 def reread(body: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """A canonical body as nodes to be read again: labels without gaps, spans of text, classes as an attribute."""
-    events = body.select(*keys, "enter", F.explode(F.array("enter", "leave")).alias("at"))
-    order = W.partitionBy(*keys).orderBy("at")
-    dense = events.withColumn("n", F.row_number().over(order) - 1).groupBy(*keys, "enter").agg(F.min("n").alias("_in"), F.max("n").alias("_out"))
-    df = body.join(dense, [*keys, "enter"])
-    up = dense.select(*keys, F.col("enter").alias("parent"), F.col("_in").alias("_up"))
-    df = df.join(up, [*keys, "parent"], "left")
-    size = F.length(F.coalesce("text", F.lit("")))
-    start = F.coalesce(F.sum(size).over(W.partitionBy(*keys).orderBy("_in").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("int")
-    df = df.withColumn("text_start", start)
-    # an element's text ends where that of the next node after its end begins
-    upto = df.select(*keys, F.col("_in").alias("at"), "text_start", F.lit(None).cast("int").alias("_of")).unionByName(df.select(*keys, F.col("_out").alias("at"), F.lit(None).cast("int").alias("text_start"), F.col("_in").alias("_of")))
-    total = F.last("text_start", True).over(W.partitionBy(*keys).orderBy(F.desc("at")).rowsBetween(W.unboundedPreceding, -1))
-    ends = upto.withColumn("_to", total).where("_of is not null").select(*keys, F.col("_of").alias("_in"), "_to")
-    length = df.groupBy(*keys).agg(F.sum(size).cast("int").alias("_all"))
-    df = df.join(ends, [*keys, "_in"]).join(length, list(keys))
+    """A canonical body as nodes for ``traced``: classes as an attribute again; of elements of the classes TOLD the first text inside, which is enough to see whether there is one."""
+    back = W.partitionBy(*keys).orderBy(F.desc("enter")).rowsBetween(W.unboundedPreceding, -1)
+    text = F.last(F.when((F.col("tag") == "#text") & _substance(), F.struct("enter", "text")), True).over(back)
+    df = body.withColumn("_text", text)
+    inner = F.when(F.arrays_overlap("classes", F.array(*map(F.lit, TOLD))) & (F.col("_text.enter") < F.col("leave")), F.col("_text.text"))
     attrs = F.when(F.size("classes") > 0, F.map_concat("attrs", F.create_map(F.lit("class"), F.array_join("classes", " ")))).otherwise(F.col("attrs"))
-    return df.select(*keys, F.col("_in").alias("enter"), F.col("_out").alias("leave"), "depth", F.col("_up").alias("parent"), "up", "tag", attrs.alias("attrs"), "text", "text_start", F.coalesce("_to", "_all").alias("text_end"), "implied")
+    return df.select(*keys, "enter", "leave", "depth", "parent", "up", "tag", attrs.alias("attrs"), "text", "implied", inner.alias("inner"))
 
 
 def unstable(body: DataFrame, keys: tuple[str, ...]) -> DataFrame:
