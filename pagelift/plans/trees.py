@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import body, structure
-from ..session import written
+from ..session import stored
 from ..sources import html
 from .catalog import doc_lines, query, table
 
@@ -27,8 +27,9 @@ WITH t AS (SELECT page_id, lower(unnest(regexp_extract_all({_PLAIN.format("html"
 SELECT page_id, tag, count(*) AS n, CAST(0 AS BIGINT) AS misplaced FROM t WHERE tag NOT IN ('html', 'head', 'body') GROUP BY 1, 2""")
 def page_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-9: every page as a tree has the elements of its markup, and labels that nest."""
-    tree = html.nodes(table(spark, sf_dir, "pages"), ("page_id",))
-    wrong = html.misplaced(tree, ("page_id",)).select("page_id", "enter", F.lit(1).alias("wrong"))
+    labels = ["page_id", "enter", "leave", "depth", "parent"]
+    tree = stored(html.nodes(table(spark, sf_dir, "pages"), ("page_id",)).select(*labels, "tag", "implied"))  # read twice, parsed once
+    wrong = html.misplaced(tree.select(*labels), ("page_id",)).select("page_id", "enter", F.lit(1).alias("wrong"))
     found = tree.join(wrong, ["page_id", "enter"], "left").where("tag <> '#text' and not implied")
     return found.groupBy("page_id", "tag").agg(F.count("*").alias("n"), F.count("wrong").alias("misplaced"))
 
@@ -44,26 +45,27 @@ _SPANS = ("title", "nav", "li", "article", "h1", "footer", "div")
 )
 def element_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-9: the whole text of elements of seven kinds, nested and flat, from the ranges of their labels."""
-    tree = html.with_text(html.nodes(table(spark, sf_dir, "pages"), ("page_id",)), ("page_id",))
+    tree = html.with_text(stored(html.nodes(table(spark, sf_dir, "pages"), ("page_id",))), ("page_id",))  # read twice, parsed once
     nth = F.row_number().over(W.partitionBy("page_id", "tag").orderBy("enter")).cast("long")
     return tree.where(F.col("tag").isin(*_SPANS)).select("page_id", "tag", nth.alias("nth"), F.col("inner").alias("text"))
 
 
 def _marked_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as markup that the passes have something to do with: twelve kinds of elements in turn, one for each line."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    text, no = F.concat(F.lit("x"), F.replace(F.replace(F.replace("line", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))), F.col("n").cast("string")
-    kinds = (
-        ('<p class="align-right x">', text, "</p>"), ('<div class="chapter-marker"><b>', text, "</b></div>"), ('<div class="page-label" data-page="', no, '">', text, "</div>"), ('<hr class="page-break"/>',),
-        ('<div class="note-space" title="t" data-space-lines="', no, '">', text, "</div>"), ('<p style="font-weight: bold; page-break-before: always">', text, "</p>"), ('<table class="big user-table"><tr><td class="c align-left">', text, "</td></tr></table>"),
-        ("<p>33 And ", text, "</p>"), ("<ul><li>", text, "</ul>"), ("<p> </p>",), ('<img class="selected" title="t" src="', no, '" data-width="', no, '"/>'), ('<p class="size-88 size-100"><span class="tab more">', text, "</span><i>", text, "</i></p>"),
-    )
-    one: Column | None = None
-    for i, parts in enumerate(kinds):
-        made = F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
-        one = (F if one is None else one).when(F.col("n") % len(kinds) == i, made)
-    rows = lines.select("doc_id", "n", one.alias("html"))
-    return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "html"))), lambda r: r["html"]), "").alias("html"))
+    def marked(line: Column, n: Column) -> Column:
+        text, no = F.concat(F.lit("x"), F.replace(F.replace(F.replace(line, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))), n.cast("string")
+        kinds = (
+            ('<p class="align-right x">', text, "</p>"), ('<div class="chapter-marker"><b>', text, "</b></div>"), ('<div class="page-label" data-page="', no, '">', text, "</div>"), ('<hr class="page-break"/>',),
+            ('<div class="note-space" title="t" data-space-lines="', no, '">', text, "</div>"), ('<p style="font-weight: bold; page-break-before: always">', text, "</p>"), ('<table class="big user-table"><tr><td class="c align-left">', text, "</td></tr></table>"),
+            ("<p>33 And ", text, "</p>"), ("<ul><li>", text, "</ul>"), ("<p> </p>",), ('<img class="selected" title="t" src="', no, '" data-width="', no, '"/>'), ('<p class="size-88 size-100"><span class="tab more">', text, "</span><i>", text, "</i></p>"),
+        )
+        one: Column | None = None
+        for i, parts in enumerate(kinds):
+            made = F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+            one = (F if one is None else one).when(n % len(kinds) == i, made)
+        return one
+
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), marked), "").alias("html"))
 
 
 _KINDS = """
@@ -83,7 +85,7 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n, sub) AS seq, t
 )
 def canonical_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TRE-1: every node of documents in twelve kinds of markup, in canonical form."""
-    found = body.canonical(html.nodes(_marked_up(spark, sf_dir), ("doc_id",)), ("doc_id",))
+    found = body.canonical(html.nodes(_marked_up(spark, sf_dir), ("doc_id",), inner_of=body.TOLD), ("doc_id",))
     said = F.array_join(F.array_sort(F.transform(F.map_entries("attrs"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
     seq = F.row_number().over(W.partitionBy("doc_id").orderBy("enter")).cast("long")
     return found.select("doc_id", seq.alias("seq"), "tag", F.array_join("classes", " ").alias("classes"), said.alias("attrs"), F.coalesce("text", F.lit("")).alias("text"))
@@ -98,10 +100,10 @@ SELECT doc_id, pass, CAST(sum(changed) AS BIGINT) AS changed, CAST(sum(dropped)
 def canonical_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TRE-1: how many nodes each pass changed and dropped in a document, what a second run would still change, and labels that do not nest: none."""
     keys = ("doc_id",)
-    rows = written(body.traced(html.nodes(_marked_up(spark, sf_dir), keys), keys))
+    rows = stored(body.traced(html.nodes(_marked_up(spark, sf_dir), keys, inner_of=body.TOLD), keys))
     kept = rows.where("gone_by is null").drop("passes", "gone_by")
     left = body.unstable(kept, keys).select("doc_id", F.lit(1).alias("unstable"), F.lit(0).alias("misplaced"))
-    wrong = html.misplaced(kept, keys).select("doc_id", F.lit(0).alias("unstable"), F.lit(1).alias("misplaced"))
+    wrong = html.misplaced(kept.select("doc_id", "enter", "leave", "depth", "parent"), keys).select("doc_id", F.lit(0).alias("unstable"), F.lit(1).alias("misplaced"))
     odd = left.unionByName(wrong).groupBy("doc_id").agg(F.sum("unstable").alias("unstable"), F.sum("misplaced").alias("misplaced"))
     changed = rows.select("doc_id", F.explode(F.array_distinct("passes")).alias("pass"), F.lit(1).alias("changed"), F.lit(0).alias("dropped"))
     dropped = rows.where("gone_by is not null").select("doc_id", F.col("gone_by").alias("pass"), F.lit(0).alias("changed"), F.lit(1).alias("dropped"))
@@ -129,13 +131,13 @@ def rebuilt_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.element_at(F.array(F.lit("bullet"), F.lit("decimal"), F.lit("lowerLetter")), ((F.floor(n / 3) + doc) % 3 + 1).cast("int"))
     lines = doc_lines(spark, sf_dir).select("doc_id", F.col("line_no").cast("long").alias("seq"), F.concat(F.lit("x"), "line").alias("text"))
     items = lines.select("doc_id", "seq", "text", (n % 11 != 10).alias("is_list"), ((n * n + doc) % 4).cast("int").alias("level"), kind.alias("format"))
-    events = written(structure.list_events(structure.nested(items)))
+    events = stored(structure.list_events(structure.nested(items)))
     open_now = F.when(F.col("event") == "open", 1).otherwise(-1)
     run = F.floor(F.min("seq") / 11).cast("long").alias("place")
     lists = (F.col("event") == "open") & (F.col("tag") != "li")
     told = events.groupBy("doc_id", "run").agg(run, F.count_if((F.col("event") == "open") & (F.col("tag") == "li")).alias("items"), F.count_if(lists).alias("lists"), F.count_if(lists & (F.col("tag") == "ul")).alias("unordered"), F.sum(open_now).cast("long").alias("unclosed"))
-    tree = written(html.nodes(structure.lists_html(events), ("doc_id", "run")))
-    wrong = html.misplaced(tree, ("doc_id", "run")).groupBy("doc_id", "run").agg(F.count("*").alias("misplaced"))
+    tree = stored(html.nodes(structure.lists_html(events), ("doc_id", "run")))
+    wrong = html.misplaced(tree.select("doc_id", "run", "enter", "leave", "depth", "parent"), ("doc_id", "run")).groupBy("doc_id", "run").agg(F.count("*").alias("misplaced"))
     depth = (F.col("depth") / 2).cast("int")
     rows = F.array_sort(F.collect_list(F.when(F.col("tag") == "li", F.struct("enter", (depth + 1).cast("string").alias("d")))))
     text = F.array_sort(F.collect_list(F.when(F.col("tag") == "#text", F.struct("enter", "text"))))

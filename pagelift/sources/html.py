@@ -32,6 +32,9 @@ LIMITS = {"p": frozenset("button caption table td th".split()), "li": frozenset(
 _CELL_LIMIT = frozenset(("table", "td", "th", "caption"))
 _SAME = {"dt": "dd", "th": "td", "thead": "tbody", "tfoot": "tbody"}
 
+#: Nodes that go out at once; the nodes of one page are never parted.
+ROWS = 8192
+
 ENTER, LEAVE, DEPTH, PARENT, UP, TAG, ATTRS, TEXT, START, END, IMPLIED = range(11)
 NODE = "enter int, leave int, depth int, parent int, up string, tag string, attrs map<string,string>, text string, text_start int, text_end int, implied boolean"
 
@@ -47,6 +50,9 @@ class _Stack(html.parser.HTMLParser):
         self.outside: list[list] = []  # the same, around the cells that are open
         self.count = self.chars = 0
 
+    def updatepos(self, i: int, j: int) -> int:
+        return j  # no one asks for lines and columns
+
     def _begin(self, tag: str, attrs: dict, implied: bool = False) -> list:
         up = self.open[-1] if self.open else None
         row = [self.count, None, len(self.open), up and up[ENTER], up and up[TAG], tag, attrs, None, self.chars, None, implied]
@@ -188,23 +194,38 @@ def page_nodes(page: str | None) -> list[list]:
     return reader.done()
 
 
-def nodes(pages: DataFrame, keys: tuple[str, ...], column: str = "html") -> DataFrame:
+def nodes(pages: DataFrame, keys: tuple[str, ...], column: str = "html", inner_of: tuple[str, ...] = ()) -> DataFrame:
     """(keys, NODE): every element, and every text as a node ``#text``, of pages read as fragments of a body; comments and declarations have no node.
 
     ``enter`` and ``leave`` nest; ``parent`` is the parent's ``enter`` and ``up`` its tag, ``text_start`` to ``text_end`` a node's part of the page's text; ``implied`` are elements that the page's markup lacks. One page is in memory at a time.
-    Null and empty pages have no nodes; repeated rows give their nodes each; other columns are not carried.
+    ``inner_of``: classes whose elements get all their text in a further column ``inner`` (null for all other nodes). Null and empty pages have no nodes; repeated rows give their nodes each; other columns are not carried.
     """
-    schema = T.StructType([pages.schema[k] for k in keys] + T.StructType.fromDDL(NODE).fields)
-    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.int32(), pa.int32(), pa.bool_())
+    schema = T.StructType([pages.schema[k] for k in keys] + T.StructType.fromDDL(NODE + ", inner string" * bool(inner_of)).fields)
+    told = frozenset(inner_of)
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.int32(), pa.int32(), pa.bool_(), *[pa.string()] * bool(told)]
+
+    def made(b: pa.RecordBatch, places: list[int], rows: list[list]) -> pa.RecordBatch:
+        own = pa.array(places, pa.int64())
+        columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)] if rows else [pa.array([], k) for k in kinds]
+        return pa.RecordBatch.from_arrays([*(b.column(f"k{n}").take(own) for n in range(len(keys))), *columns], names=schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            places: list[int] = []
+            held: list[list] = []
             for i, page in enumerate(b.column("page").to_pylist()):
                 rows = page_nodes(page)
+                text = "".join(r[TEXT] for r in rows if r[TEXT] is not None) if told else ""
                 for row in rows:
+                    if told:
+                        row.append(text[row[START] : row[END]] if told.intersection(row[ATTRS].get("class", "").split()) else None)
                     row[ATTRS] = list(row[ATTRS].items())
-                own = pa.array([i] * len(rows), pa.int64())
-                yield pa.RecordBatch.from_arrays([*(b.column(f"k{n}").take(own) for n in range(len(keys))), *(pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds))], names=schema.names)
+                places += [i] * len(rows)
+                held += rows
+                if len(held) >= ROWS:
+                    yield made(b, places, held)
+                    places, held = [], []
+            yield made(b, places, held)
 
     reachable(pages.sparkSession)
     return pages.select(*(F.col(k).alias(f"k{n}") for n, k in enumerate(keys)), F.col(column).alias("page")).mapInArrow(run, schema)
