@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import reachable
 from .grouped import met
 
 #: Cells of a comparison; beyond, everything goes and everything comes.
@@ -64,6 +65,7 @@ def word_diff(pairs: DataFrame, keys: tuple[str, ...], before: str = "before", a
             ops = [[{"type": t, "text": w} for t, w in sequence_diff(x or [], y or [])] for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array(ops, kind)], names=[*keys, "ops"])
 
+    reachable(pairs.sparkSession)
     return pairs.select(*keys, X.diff_tokens(F.col(before)).alias("x"), X.diff_tokens(F.col(after)).alias("y")).mapInArrow(run, schema)
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import reachable
+
 # fixed values: media types and the extensions of their files, the first for new files
 EXTENSIONS = {"image/png": ("png",), "image/jpeg": ("jpg", "jpeg"), "image/gif": ("gif",), "image/webp": ("webp",), "image/svg+xml": ("svg",)}
 #: Largest embedded source in bytes, and the same as base64.
@@ -72,6 +74,7 @@ def decoded(images: DataFrame, source: str = "src", check_svg: bool = True) -> D
     df = df.withColumn("problem", problem)
     if not check_svg:
         return df
+    reachable(images.sparkSession)
     svg = F.pandas_udf(lambda s: s.map(is_svg), "boolean")
     needs = (F.col("media_type") == "image/svg+xml") & F.col("problem").isNull()
     return df.withColumn("problem", F.when(needs & ~svg(F.when(needs, F.col("content"))), F.lit(PROBLEMS[5])).otherwise(F.col("problem")))
@@ -115,6 +118,7 @@ def dithered(images: DataFrame, keys: tuple[str, ...]) -> DataFrame:
             out = [None if p is None else diffused(np.array(p, np.float32).reshape(-1, w)).ravel().tolist() for p, w in zip(b.column("pixels").to_pylist(), b.column("width").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array(out, pa.list_(pa.int32()))], names=[*keys, "pixels"])
 
+    reachable(images.sparkSession)
     return images.select(*keys, "pixels", "width").mapInArrow(run, schema)
 
 

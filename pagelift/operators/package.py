@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import reachable
 from .images import EXTENSIONS
 
 # fixed values: identifiers of the format, and the order in which assets are checked
@@ -133,6 +134,7 @@ def archives(files: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame
             raise ValueError(f"publication {key} has no mimetype")
         return pd.DataFrame([(*key, buffer.getvalue())], columns=[*keys, "archive"])
 
+    reachable(files.sparkSession)
     return files.groupBy(*keys).applyInPandas(zipped, schema)
 
 
@@ -149,6 +151,7 @@ def listed(archives: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFram
                     rows += [(*key, i, e.filename, e.compress_type == zipfile.ZIP_STORED, e.file_size) for i, e in enumerate(z.infolist() if z else ())]
             yield pd.DataFrame(rows, columns=[*keys, "entry_no", "path", "stored", "n_bytes"])
 
+    reachable(archives.sparkSession)
     return archives.mapInPandas(read, schema)
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as X
+from ..session import reachable
 
 KINDS = {"docx": "docx", "pdf": "pdf", "txt": "text", "md": "markdown", "markdown": "markdown", "html": "html", "htm": "html"}
 
@@ -122,6 +123,7 @@ def html_blocks(pages: DataFrame, keys: tuple[str, ...], column: str = "html") -
             rows = [(*[getattr(r, k) for k in keys], i, *x) for r in b.itertuples(index=False) for i, x in enumerate(html_rows(getattr(r, column)))]
             yield pd.DataFrame(rows, columns=[*keys, "seq", "tag", "classes", "text"])
 
+    reachable(pages.sparkSession)
     return pages.select(*keys, column).mapInPandas(run, schema)
 
 
@@ -200,6 +202,7 @@ def word_packages(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), column:
                     rows = [(*key, "error", *[None] * (len(names) - 2), f"{type(e).__name__}: {e}")]
                 yield pd.DataFrame(rows, columns=[*keys, *names]).astype({"p_seq": "Int64", "r_seq": "Int64", "breaks": "Int64"})
 
+    reachable(docs.sparkSession)
     return docs.select(*keys, column).mapInPandas(run, schema)
 
 
