@@ -23,7 +23,7 @@ WITH p AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDE
 w AS (SELECT conv_id, turn, regexp_extract_all(earlier, '[^{_WS[1:]}+') AS a, regexp_extract_all(text, '[^{_WS[1:]}+') AS b FROM p WHERE earlier IS NOT NULL AND NOT regexp_matches(earlier, '^#{{1,6}} ') AND NOT regexp_matches(text, '^#{{1,6}} '))
 SELECT conv_id, turn, array_to_string(a, ' ') AS before, array_to_string(b, ' ') AS after, CAST({_common('a', 'b')} AS BIGINT) AS n_same FROM w""")
 def word_diff_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DIF-1, DIF-2, AGG-9: what goes and stays is the turn before, what stays and comes the turn, and as much stays as can."""
+    """DIF-1, DIF-2: what goes and stays is the turn before, what stays and comes the turn, and as much stays as can."""
     turns = table(spark, sf_dir, "conversations")
     pairs = turns.withColumn("before", F.lag("text").over(W.partitionBy("conv_id").orderBy("turn"))).where("before is not null").withColumnRenamed("text", "after")
     pairs = pairs.where(~F.col("before").rlike("^#{1,6} ") & ~F.col("after").rlike("^#{1,6} "))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import revision
+from ..operators import diff, revision
 from .catalog import _WS, query, table
 from .replay import _common
 
@@ -78,3 +78,16 @@ def page_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     stays = ((F.col("side") == "before") & (F.col("changed") == 0)) | ((F.col("side") == "after") & (F.col("changed") == 1))
     rows = rows.select("doc_id", "page", F.when(stays, F.col("key")).alias("key"), gone.alias("gone"), come.alias("come"), F.when(F.col("side") == "after", F.col("across")).otherwise(0).alias("here"))
     return rows.groupBy("doc_id", "page").agg(F.md5(F.array_join(F.array_sort(F.collect_list("key")), "\n")).alias("keys"), *(F.sum(c).cast("long").alias(a) for c, a in (("gone", "gone"), ("come", "come"), ("here", "moved_here"))))
+
+
+@query(rf"""
+WITH p AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS earlier FROM conversations),
+w AS (SELECT conv_id, turn, regexp_extract_all(earlier, '[^{_WS[1:]}+') AS a, regexp_extract_all(text, '[^{_WS[1:]}+') AS b FROM p WHERE earlier IS NOT NULL AND NOT regexp_matches(earlier, '^#{{1,6}} ') AND NOT regexp_matches(text, '^#{{1,6}} ')),
+s AS (SELECT *, {_common('a', 'b')} AS same FROM w WHERE len(a) + len(b) > 0) SELECT conv_id, turn, CAST(len(b) - same AS BIGINT) AS added, CAST(len(a) - same AS BIGINT) AS removed, CAST(0 AS BIGINT) AS heading_changes FROM s""")
+def word_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-9: words that came and went between consecutive turns, but for turns that begin with a heading mark."""
+    turns = table(spark, sf_dir, "conversations")
+    pairs = turns.withColumn("before", F.lag("text").over(W.partitionBy("conv_id").orderBy("turn"))).where("before is not null").withColumnRenamed("text", "after")
+    pairs = pairs.where(~F.col("before").rlike("^#{1,6} ") & ~F.col("after").rlike("^#{1,6} "))
+    ops = diff.word_diff(pairs, ("conv_id", "turn")).select("conv_id", "turn", F.posexplode("ops").alias("seq", "op")).select("conv_id", "turn", "seq", "op.*")
+    return diff.counters(ops, ("conv_id", "turn")).withColumn("heading_changes", F.col("heading_changes").cast("long"))
