@@ -159,7 +159,7 @@ def verse_numbers(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     own = _standing(df) & (F.col("tag") == "#text") & _substance()
     first = F.row_number().over(W.partitionBy(*keys, "parent").orderBy(F.when(own, 0).otherwise(1), "enter")) == 1
     df = df.withColumn("_verse", F.when(own & first & F.col("up").isin("p", "li", "td", "th", "blockquote"), X.verse_marker(F.col("text"))))
-    names, at = [c for c in df.columns if c != "_verse"], F.col("enter")
+    names, at = [c for c in df.columns if c not in ("_verse", *keys)], F.col("enter")
 
     def node(**new: Column) -> Column:
         return F.struct(*((new[c].cast(df.schema[c].dataType) if c in new else F.col(c)).alias(c) for c in names))
@@ -168,7 +168,8 @@ def verse_numbers(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     mark = node(**none | {"tag": F.lit("sup"), "classes": F.array(F.lit("verse-num")), "text": F.lit(None), "enter": at + 1, "leave": at + 4})
     number = node(**none | {"text": F.col("_verse.number"), "parent": at + 1, "up": F.lit("sup"), "depth": F.col("depth") + 1, "enter": at + 2, "leave": at + 3})
     rest = node(text=F.concat(F.lit(" "), F.col("_verse.rest")), enter=at + 5, passes=F.array_append("passes", F.lit("verse numbers")))
-    return df.select(F.explode(F.when(F.col("_verse").isNotNull(), F.array(mark, number, rest)).otherwise(F.array(node()))).alias("_n")).select("_n.*")
+    nodes = F.when(F.col("_verse").isNotNull(), F.array(mark, number, rest)).otherwise(F.array(node()))
+    return df.select(*keys, F.explode(nodes).alias("_n")).select(*keys, "_n.*")  # keys stay columns of their own, so the rows stay where they are
 
 
 def item_formats(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
