@@ -162,6 +162,48 @@ def test_trees_draw_from_all_rows(spark):
     assert 12 < len({r.text for r in rules.drawn(nulls, 2, 20).collect()}) < 80  # rows without an id are drawn like any other
 
 
+def test_forest_and_threshold_come_from_all_rows(spark, frame):
+    """More rows than trees once drew, and more labels than the threshold once took; trees by recursion over all rows, the threshold from all labels."""
+    rng, n = np.random.default_rng(5), 7_000
+    kinds = np.array([f"{w}{j}" for w in ("word", "Word", "and", "!", "#") for j in range(60)])
+    text = [" ".join(rng.choice(kinds[: 150 + i % 151], 50 + i % 30)) for i in range(n)]
+    good = np.array([i % 4 != 3 or i % 8 == 3 for i in range(n)])
+    docs, labels = frame(list(enumerate(text))), spark.createDataFrame([(i, int(g), 0) for i, g in enumerate(good)], LABELS)
+    model = rules.fit(docs, labels, trees=3, depth=4)
+    base, x = rules.statistics([t.encode() for t in text])
+    assert model.forest.rows == n and model.forest.length.shape == (3, 31)
+    growth = rules.Growth(3, 4, x.shape[1])
+
+    def check(t, node, depth, own):
+        differs = own.max(0) > own.min(0) if len(own) else np.zeros(x.shape[1], bool)
+        if depth == 4 or len(own) < 2 or not differs.any():
+            assert not model.forest.inner[t, node] and model.forest.length[t, node] == pytest.approx(depth + rules.expected(len(own)))
+            return
+        rank, share = growth.drawn(t)
+        f = max(np.flatnonzero(differs), key=lambda j: rank[node, j])
+        cut = own[:, f].min() + (own[:, f].max() - own[:, f].min()) * share[node]
+        assert model.forest.inner[t, node] and model.forest.feature[t, node] == f and model.forest.cut[t, node] == cut
+        check(t, 2 * node + 1, depth + 1, own[own[:, f] <= cut])
+        check(t, 2 * node + 2, depth + 1, own[own[:, f] > cut])
+
+    for t in range(3):
+        check(t, 0, 0, x)
+    some = ~rules.failed(base)
+    assert some.sum() > 6_000 and model.threshold == rules.calibrated(model.forest.anomaly(x[some]), good[some], 8.0, 0.02)
+    few = rules.fit(docs, labels, trees=8, rows=100)  # subsamples only when asked to
+    assert 60 < few.forest.rows < 150
+
+
+def test_threshold_in_ranges_is_that_of_one_list(spark):
+    rng = np.random.default_rng(2)
+    for n, values, rare in ((0, 1, 0.5), (400, 60, 0.5), (400, 10_000, 0.1), (60, 1, 0.5), (300, 300, 0.0), (300, 300, 1.0)):
+        good = rng.random(n) >= rare
+        anomaly = np.round((rng.random(n) * np.where(good, 0.6, 1.0)) * values) / values
+        known = spark.createDataFrame([(float(a), bool(g)) for a, g in zip(anomaly, good)], "anomaly double, good boolean")
+        for price, lost in ((8.0, 0.02), (0.5, 0.5)):
+            assert rules.threshold(known, price, lost) == (rules.calibrated(anomaly, good, price, lost) if n else math.inf)
+
+
 def test_verdicts_by_brute_force(spark, tables):
     """kept is the base rules, and a walk down every tree of every text against the threshold."""
     docs, labels = tables
