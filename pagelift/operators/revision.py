@@ -157,7 +157,7 @@ def _page_rule(a: list[dict], b: list[dict]) -> Iterator[tuple]:
 
 
 def document_changes(before: DataFrame, after: DataFrame, keys: tuple[str, ...] = ("doc_id",), pages: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    """(keys, change_no, kind, before_page, before_seq, after_page, after_seq, removed, added): what differs between two revisions of documents whose blocks have page, seq, key and signature.
+    """(keys, change_no, kind, before_page, before_seq, after_page, after_seq, removed, added): what differs between two revisions of documents whose blocks have page, seq, key and signature; seq is unique in a page.
 
     A key that stands once in either revision of the document is the same block wherever it stands: if it is not in its place, that is one ``moved`` row, within its page or across pages. Everything else is compared page by page, each pair of pages in a task of its own;
     a page that one side lacks comes or goes. ``pages``: both revisions' page, and layout (a struct); a page in both whose layout differs is a ``page`` row. ``removed`` and ``added`` count words.

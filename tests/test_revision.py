@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
 from pagelift.operators import revision
+from pagelift.plans import catalog, revisions  # noqa: F401  (registers the queries)
 
 RUNS = "k string, run_no int, text string, bold boolean, face string"
 
@@ -64,3 +66,14 @@ def test_document_changes(spark):
     ]
     assert [r.change_no for r in got] == list(range(1, len(got) + 1)) and {r.d for r in got} == {"d"}
     assert revision.document_changes(*(spark.createDataFrame([], kind) for _ in range(2)), keys=("d",)).collect() == []
+
+
+def test_page_revisions_of_long_documents(spark, tmp_path):
+    """From line 347 on, a line that moves across pages and one that moves within them may come to stand on one place of one page."""
+    texts = ["\n".join(f"{'ab'[n % 3 % 2]} {n if d else n % 5}" for n in range(900)) for d in range(2)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = c.sql(catalog.ORACLE_SQL["page_revisions"])
+    got = catalog.QUERIES["page_revisions"](spark, str(tmp_path)).select(*want.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall())
