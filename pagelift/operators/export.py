@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..session import written
+from ..session import stored
 from . import images, markup, package, structure
 
 # fixed values: bounds of a body
@@ -15,11 +15,11 @@ SPACE_LINES, LIST_LEVELS, HEADINGS = (2, 12), 8, 6
 ALIGNMENTS = ("left", "center", "right")
 
 
-def canonical(blocks: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def canonical(blocks: DataFrame, keys: tuple[str, ...] = ("doc_id",), carried: tuple[str, ...] = ()) -> DataFrame:
     """blocks (seq, type, text, level, format, lines, src, alignment) in the form that is exported: breaks before nothing or a break become blank pages; spaces have 2 to 12 lines, levels of headings and
     lists are within their bounds, alignments are known ones; empty paragraphs go, and so do blocks of unknown types without text. What is canonical stays as it is.
 
-    Nulls: a null text is empty, a null level the least, a null alignment left. Ties go by type. Other columns are not carried.
+    Nulls: a null text is empty, a null level the least, a null alignment left. Ties go by type. Other columns than those named are not carried.
     """
     text = X.compact(F.coalesce("text", F.lit("")))
     known = F.col("type").isin("paragraph", "heading", "list_item", "break", "blank_page", "space", "image")
@@ -29,7 +29,7 @@ def canonical(blocks: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFra
     bounded = F.when(F.col("type") == "heading", F.greatest(F.lit(1), F.least(F.lit(HEADINGS), level))).when(F.col("type") == "list_item", F.greatest(F.lit(0), F.least(F.lit(LIST_LEVELS), level)))
     lines = F.when(F.col("type") == "space", F.greatest(F.lit(SPACE_LINES[0]), F.least(F.lit(SPACE_LINES[1]), F.coalesce(F.col("lines").cast("int"), F.lit(0)))))
     aligned = F.when(F.col("alignment").isin(*ALIGNMENTS), F.col("alignment")).otherwise(F.lit("left"))
-    return df.select(*keys, "seq", "type", "text", bounded.alias("level"), F.when(F.col("type") == "list_item", F.coalesce("format", F.lit("bullet"))).alias("format"), lines.alias("lines"), F.when(F.col("type") == "image", F.col("src")).alias("src"), aligned.alias("alignment"))
+    return df.select(*keys, "seq", "type", "text", bounded.alias("level"), F.when(F.col("type") == "list_item", F.coalesce("format", F.lit("bullet"))).alias("format"), lines.alias("lines"), F.when(F.col("type") == "image", F.col("src")).alias("src"), aligned.alias("alignment"), *carried)
 
 
 def assets(body: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> tuple[DataFrame, DataFrame]:
@@ -56,24 +56,31 @@ def block_html(problem: Column, file_name: Column) -> Column:
     )
 
 
-def chaptered(body: DataFrame, uses: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(keys, chapter_no, title, html) of a canonical body: a chapter at each heading of level 1, at most ``structure.MOST_CHAPTERS`` or else one, each beginning with its title."""
-    marked = body.join(uses, [*keys, "seq"], "left").withColumn("html", block_html(F.col("problem"), F.col("file_name")))
+def chaptered(body: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keys, chapter_no, title, html) of a canonical body with file_name and problem of its images: a chapter at each heading of level 1, at most ``structure.MOST_CHAPTERS`` or else one, each beginning with its title.
+
+    Windows and aggregates within documents alone, so that a body whose documents lie together is not moved again."""
+    marked = body.withColumn("html", block_html(F.col("problem"), F.col("file_name")))
     marked = marked.withColumn("is_h1", (F.col("type") == "heading") & (F.col("level") == 1)).withColumn("has_object", F.col("type") == "image")
-    parts = structure.chapters(marked, keys)
-    filled = parts.groupBy(*keys, "chapter_no").agg(F.max((F.length("text") > 0) | F.col("has_object")).alias("filled"), F.max("chapter_title").alias("title")).where("filled")
+    joined = lambda rows: F.array_join(F.transform(F.array_sort(F.collect_list(rows)), lambda b: b["html"]), "")
+    parts = structure.chapters(marked.select(*keys, "seq", "text", "html", "is_h1", "has_object"), keys).groupBy(*keys, "chapter_no").agg(
+        F.max((F.length("text") > 0) | F.col("has_object")).alias("filled"), F.max("chapter_title").alias("title"), F.min("seq").alias("seq"), joined(F.struct("seq", "html")).alias("html"),
+    ).where("filled")
     n = F.count("*").over(W.partitionBy(*keys))
-    filled = filled.withColumn("n", n).withColumn("no", F.when(F.col("n") > structure.MOST_CHAPTERS, 1).otherwise(F.row_number().over(W.partitionBy(*keys).orderBy("chapter_no"))))
-    html = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "html"))), lambda b: b["html"]), "")
-    out = parts.join(filled.select(*keys, "chapter_no", "no", "title"), [*keys, "chapter_no"]).groupBy(*keys, F.col("no").cast("int").alias("chapter_no")).agg(F.min_by("title", "seq").alias("title"), html.alias("html"))
+    no = F.when(n > structure.MOST_CHAPTERS, 1).otherwise(F.row_number().over(W.partitionBy(*keys).orderBy("chapter_no")))
+    out = parts.withColumn("no", no.cast("int")).groupBy(*keys, F.col("no").alias("chapter_no")).agg(F.min_by("title", "seq").alias("title"), joined(F.struct("seq", "html")).alias("html"))
     title = F.coalesce("title", F.concat(F.lit("Chapter "), F.col("chapter_no").cast("string")))
     return out.select(*keys, "chapter_no", title.alias("title"), markup.titled(markup.prepared(F.col("html")), title).alias("html"))
 
 
 def exported(blocks: DataFrame, publications: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(keys, archive): each publication (title, author, lang, identifier, modified) with the blocks of its document. One without blocks has one empty chapter."""
-    body = written(canonical(blocks, keys))
-    pictures, uses = assets(body, keys)
-    own = written(chaptered(body, uses, keys))
-    empty = publications.select(*keys).join(own.select(*keys).distinct(), list(keys), "left_anti").select(*keys, F.lit(1).alias("chapter_no"), F.lit("Untitled").alias("title"), F.lit("<p>(Empty document)</p>").alias("html"))
-    return package.archives(package.package_files(publications, own.unionByName(empty), pictures, keys), keys)
+    """(keys, archive): each publication (title, author, lang, identifier, modified) with the blocks of its document. One without blocks has one empty chapter.
+
+    Blocks are read twice, once for images; texts move once, with all of their document, and come out of that as archives."""
+    image = F.col("type").eqNullSafe("image")
+    shown = stored(blocks.where(image))
+    pictures, uses = assets(shown, keys)
+    none = F.lit(None).cast("string")
+    known = blocks.where(~image).withColumns({"problem": none, "file_name": none}).unionByName(shown.withColumn("src", none).join(uses, [*keys, "seq"], "left"))
+    own = chaptered(canonical(known.repartition(*keys), keys, ("problem", "file_name")), keys)
+    return package.archives(package.package_files(publications, own, pictures, keys, empty=True), keys)

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import nullcontext
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..session import reachable
@@ -69,73 +71,86 @@ _CONTAINER = '<?xml version="1.0" encoding="UTF-8"?><container version="1.0" xml
 _XHTML = '<?xml version="1.0" encoding="UTF-8"?><!DOCTYPE html><html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops" xml:lang="%s"><head><title>%s</title><link rel="stylesheet" type="text/css" href="style.css"/></head><body>%s</body></html>'
 
 
-def package_files(publications: DataFrame, chapters: DataFrame, assets: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def package_files(publications: DataFrame, chapters: DataFrame, assets: DataFrame, keys: tuple[str, ...] = ("doc_id",), empty: bool = False) -> DataFrame:
     """(keys, file_seq, path, text, content) of each publication: the type, the container, the style, images, navigation, contents, chapters, the package.
 
-    ``publications``: title, author, lang, identifier, modified (timestamp). ``chapters``: chapter_no, title, html. ``assets``: asset_no, id, file_name, media_type, content.
+    ``publications``: title, author, lang, identifier, modified (timestamp). ``chapters``: chapter_no, title, html. ``assets``: asset_no, id, file_name, media_type, content. A publication without chapters has no files, or if ``empty``
+    one chapter that says so. Each publication's chapters are gathered, so that chapters that lie together are moved no more and their files come out in order.
     """
     pub = publications.select(*keys, *[X.escape_xml(F.coalesce(F.col(c), F.lit(d))).alias(c) for c, d in (("title", "Untitled"), ("author", "Unknown"), ("lang", "en"))], X.escape_xml(X.trimmed(F.col("identifier"))).alias("identifier"), F.date_format("modified", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("modified"))
-    no = F.col("chapter_no").cast("string")
-    named = chapters.withColumn("name", X.escape_xml(F.coalesce(F.nullif(F.col("title"), F.lit("")), F.concat(F.lit("Chapter "), no)))).drop("title")
-
-    def listed(df: DataFrame, by: str, **columns: F.Column) -> DataFrame:
-        return df.groupBy(*keys).agg(*[F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(by).alias("k"), c.alias("v")))), lambda o: o["v"]), "").alias(n) for n, c in columns.items()])
-
-    name = F.col("name")
-    parts = listed(
-        named, "chapter_no", nav=F.concat(F.lit('<li><a href="chapter-'), no, F.lit('.xhtml">'), name, F.lit("</a></li>")),
-        ncx=F.concat(F.lit('<navPoint id="ch'), no, F.lit('" playOrder="'), no, F.lit('"><navLabel><text>'), name, F.lit('</text></navLabel><content src="chapter-'), no, F.lit('.xhtml"/></navPoint>')),
-        items=F.concat(F.lit('<item id="ch'), no, F.lit('" href="chapter-'), no, F.lit('.xhtml" media-type="application/xhtml+xml"/>')), refs=F.concat(F.lit('<itemref idref="ch'), no, F.lit('"/>')),
-    )
-    pictures = listed(assets, "asset_no", images=F.concat(F.lit('<item id="'), F.col("id"), F.lit('" href="images/'), F.col("file_name"), F.lit('" media-type="'), F.col("media_type"), F.lit('"/>')))
-    whole = pub.join(parts, list(keys)).join(pictures, list(keys), "left").withColumn("images", F.coalesce("images", F.lit("")))
+    no = F.col("chapter_no").cast("long")
+    named = X.escape_xml(F.coalesce(F.nullif(F.col("title"), F.lit("")), F.concat(F.lit("Chapter "), no.cast("string"))))
+    chapter = lambda no, name, html: F.struct(no.alias("no"), name.alias("name"), html.alias("html"))
+    fragment = X.xhtml_fragment(F.coalesce("html", F.lit("<p>(Empty document)</p>")))
+    parts = chapters.select(*keys, chapter(no, named, fragment).alias("c")).groupBy(*keys).agg(F.array_sort(F.collect_list("c")).alias("chapters"))
+    picture = F.struct(F.col("asset_no").cast("long").alias("no"), "id", "file_name", "media_type", "content")
+    pictures = assets.select(*keys, picture.alias("p")).groupBy(*keys).agg(F.array_sort(F.collect_list("p")).alias("pictures"))
+    whole = pub.join(parts, list(keys), "left" if empty else "inner").join(pictures, list(keys), "left")
+    whole = whole.withColumn("chapters", F.coalesce("chapters", F.array(chapter(F.lit(1).cast("long"), F.lit("Untitled"), F.lit("<p>(Empty document)</p>"))))).withColumn("pictures", F.coalesce("pictures", F.array().cast(pictures.schema["pictures"].dataType)))
+
+    def each(of: str, said: Callable[[F.Column], tuple]) -> F.Column:
+        return F.array_join(F.transform(of, lambda x: F.concat(*(p if isinstance(p, F.Column) else F.lit(p) for p in said(x)))), "")
 
     def xhtml(title: F.Column, body: F.Column) -> F.Column:
         return F.format_string(_XHTML, F.col("lang"), title, body)
 
-    nav = xhtml(F.col("title"), F.concat(F.lit('<nav epub:type="toc" id="toc"><ol>'), F.col("nav"), F.lit("</ol></nav>")))
-    ncx = F.format_string('<?xml version="1.0" encoding="UTF-8"?><ncx xmlns="http://www.daisy.org/z3986/2005/ncx/" version="2005-1"><head><meta name="dtb:uid" content="%s"/></head><docTitle><text>%s</text></docTitle><navMap>%s</navMap></ncx>', "identifier", "title", "ncx")
+    said = lambda c: c["no"].cast("string")
+    nav = each("chapters", lambda c: ('<li><a href="chapter-', said(c), '.xhtml">', c["name"], "</a></li>"))
+    points = each("chapters", lambda c: ('<navPoint id="ch', said(c), '" playOrder="', said(c), '"><navLabel><text>', c["name"], '</text></navLabel><content src="chapter-', said(c), '.xhtml"/></navPoint>'))
+    items = each("chapters", lambda c: ('<item id="ch', said(c), '" href="chapter-', said(c), '.xhtml" media-type="application/xhtml+xml"/>'))
+    refs = each("chapters", lambda c: ('<itemref idref="ch', said(c), '"/>'))
+    images = each("pictures", lambda p: ('<item id="', p["id"], '" href="images/', p["file_name"], '" media-type="', p["media_type"], '"/>'))
+    nav = xhtml(F.col("title"), F.concat(F.lit('<nav epub:type="toc" id="toc"><ol>'), nav, F.lit("</ol></nav>")))
+    ncx = F.format_string('<?xml version="1.0" encoding="UTF-8"?><ncx xmlns="http://www.daisy.org/z3986/2005/ncx/" version="2005-1"><head><meta name="dtb:uid" content="%s"/></head><docTitle><text>%s</text></docTitle><navMap>%s</navMap></ncx>', "identifier", "title", points)
     opf = F.format_string(
         '<?xml version="1.0" encoding="UTF-8"?><package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="bookid"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:identifier id="bookid">%s</dc:identifier><dc:title>%s</dc:title>'
         '<dc:creator>%s</dc:creator><dc:language>%s</dc:language><meta property="dcterms:modified">%s</meta></metadata><manifest><item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/>'
         '<item id="ncx" href="toc.ncx" media-type="application/x-dtbncx+xml"/><item id="css" href="style.css" media-type="text/css"/>%s%s</manifest><spine toc="ncx">%s</spine></package>',
-        "identifier", "title", "author", "lang", "modified", "images", "items", "refs",
+        "identifier", "title", "author", "lang", "modified", images, items, refs,
     )
-    none = F.lit(None).cast("binary")
 
-    def file(seq: int, path: str, text: F.Column) -> F.Column:
-        return F.struct(F.lit(seq).cast("long").alias("file_seq"), F.lit(path).alias("path"), text.alias("text"), none.alias("content"))
+    def file(seq: F.Column, path: F.Column, text: F.Column | None = None, content: F.Column | None = None) -> F.Column:
+        return F.struct(seq.cast("long").alias("file_seq"), path.alias("path"), (F.lit(None).cast("string") if text is None else text).alias("text"), (F.lit(None).cast("binary") if content is None else content).alias("content"))
 
     last = 1 << 40
-    fixed = whole.select(*keys, F.explode(F.array(
-        file(0, "mimetype", F.lit("application/epub+zip")), file(1, "META-INF/container.xml", F.lit(_CONTAINER)), file(2, "OEBPS/style.css", F.lit(_CSS)),
-        file(last, "OEBPS/nav.xhtml", nav), file(last + 1, "OEBPS/toc.ncx", ncx), file(2 * last, "OEBPS/content.opf", opf),
-    )).alias("f")).select(*keys, "f.*")
-    body = named.join(pub.select(*keys, "lang"), list(keys)).select(*keys, (F.lit(last + 1) + F.col("chapter_no")).alias("file_seq"), F.concat(F.lit("OEBPS/chapter-"), no, F.lit(".xhtml")).alias("path"), xhtml(name, X.xhtml_fragment(F.coalesce("html", F.lit("<p>(Empty document)</p>")))).alias("text"), none.alias("content"))
-    pictures = assets.select(*keys, (F.lit(2) + F.col("asset_no")).cast("long").alias("file_seq"), F.concat(F.lit("OEBPS/images/"), F.col("file_name")).alias("path"), F.lit(None).cast("string").alias("text"), "content")
-    return fixed.unionByName(body).unionByName(pictures)
+    fixed = lambda *of: F.array(*(file(F.lit(seq), F.lit(path), text) for seq, path, text in of))
+    files = F.concat(
+        fixed((0, "mimetype", F.lit("application/epub+zip")), (1, "META-INF/container.xml", F.lit(_CONTAINER)), (2, "OEBPS/style.css", F.lit(_CSS))),
+        F.transform("pictures", lambda p: file(p["no"] + 2, F.concat(F.lit("OEBPS/images/"), p["file_name"]), content=p["content"])), fixed((last, "OEBPS/nav.xhtml", nav), (last + 1, "OEBPS/toc.ncx", ncx)),
+        F.transform("chapters", lambda c: file(F.lit(last + 1) + c["no"], F.concat(F.lit("OEBPS/chapter-"), said(c), F.lit(".xhtml")), xhtml(c["name"], c["html"]))), fixed((2 * last, "OEBPS/content.opf", opf)),
+    )
+    return whole.select(*keys, F.explode(files).alias("f")).select(*keys, "f.*")
+
+
+#: Archives that a task holds at once, beside the batch that they are made from.
+AT_ONCE = 64
 
 
 def archives(files: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(keys, archive): a ZIP for each publication, the type first and stored, all else deflated. One group is one publication."""
-    fields = [files.schema[k] for k in keys]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", archive binary"
+    own = files.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("file_seq", "path", "text", "content"))).alias("files"))
+    schema = T.StructType([own.schema[k] for k in keys]).add("archive", "binary")
 
-    def zipped(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def zipped(key: tuple, rows: list[dict]) -> bytes:
+        if all(row["path"] != "mimetype" for row in rows):
+            raise ValueError(f"publication {key} has no mimetype")
         buffer = io.BytesIO()
         with zipfile.ZipFile(buffer, "w") as archive:
-            for row in rows.sort_values(["file_seq", "path"]).itertuples(index=False):
-                content = row.text.encode() if row.text is not None else bytes(row.content or b"")
-                info = zipfile.ZipInfo(row.path, (1980, 1, 1, 0, 0, 0))
-                info.compress_type = zipfile.ZIP_STORED if row.path == "mimetype" else zipfile.ZIP_DEFLATED
-                archive.writestr(info, content, compresslevel=6)
-        names = set(rows["path"])
-        if "mimetype" not in names:
-            raise ValueError(f"publication {key} has no mimetype")
-        return pd.DataFrame([(*key, buffer.getvalue())], columns=[*keys, "archive"])
+            for row in rows:
+                info = zipfile.ZipInfo(row["path"], (1980, 1, 1, 0, 0, 0))
+                info.compress_type = zipfile.ZIP_STORED if row["path"] == "mimetype" else zipfile.ZIP_DEFLATED
+                archive.writestr(info, row["content"] or b"" if row["text"] is None else row["text"].encode(), compresslevel=6)
+        return buffer.getvalue()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in (whole.slice(i, AT_ONCE) for i in range(0, whole.num_rows, AT_ONCE)):
+                named = zip(*(b.column(k).to_pylist() for k in keys), strict=True)
+                made = [zipped(key, rows) for key, rows in zip(named, b.column("files").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array(made, pa.binary())], names=schema.names)
 
     reachable(files.sparkSession)
-    return files.groupBy(*keys).applyInPandas(zipped, schema)
+    return own.mapInArrow(run, schema)
 
 
 def listed(archives: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:

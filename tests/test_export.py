@@ -49,3 +49,13 @@ def test_exported_archives(spark):
     assert "(Empty document)" in files[2]["OEBPS/chapter-1.xhtml"].decode() and len([n for n in files[3] if "chapter-" in n]) == 1
     listed = package.listed(made).where("entry_no = 0").collect()
     assert all(r.path == "mimetype" and r.stored and r.n_bytes == 20 for r in listed) and len(listed) == 3
+
+
+def test_texts_move_once(spark):
+    """A document's blocks meet once, and no publication is a data frame of its own."""
+    blocks = spark.createDataFrame([(1, 0, "paragraph", "text", None, None, None, None, None)], BLOCKS)
+    pubs = spark.createDataFrame([(1, "T", "A", "en", "urn:1")], "doc_id long, title string, author string, lang string, identifier string").withColumn("modified", F.lit("2024-01-02 03:04:05").cast("timestamp"))
+    made = export.exported(blocks, pubs)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroups" not in plan and plan.count("LogicalRDD") == 2 and plan.count("RepartitionByExpression") == 1  # only the blocks and the publications are read
+    assert [r.n_bytes > 0 for r in package.listed(made).collect()] == [True] * 7
