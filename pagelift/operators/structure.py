@@ -133,18 +133,37 @@ def writing_spaces(paragraphs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -
     """
     order = W.partitionBy(*keys).orderBy("seq")
     visible = F.col("visible")
-    size = F.greatest(F.lit(1.0), F.coalesce("spacing_line", F.lit(240.0)) / 240) + F.coalesce("breaks", F.lit(0)) + (F.coalesce("spacing_before", F.lit(0.0)) + F.coalesce("spacing_after", F.lit(0.0))) / 240
-    df = paragraphs.withColumn("island", F.count_if(visible).over(order)).withColumn("key", X.match_key(F.col("text"))).withColumn("size", F.when(~visible, size))
+    df = paragraphs.withColumn("island", F.count_if(visible).over(order)).withColumn("key", X.match_key(F.col("text"))).withColumn("size", F.when(~visible, _blank_size()))
     grouped = df.groupBy(*keys, "island").agg(
         F.min(F.when(visible, F.col("seq"))).alias("after_seq"), F.max(F.when(visible, F.col("key"))).alias("after_key"), F.count_if(~visible).alias("empty_paragraphs"), F.sum("size").alias("size"),
     )
     after = grouped.withColumn("next_key", F.lead("after_key").over(W.partitionBy(*keys).orderBy("island")))
-    lines = F.least(F.lit(12), F.floor(F.col("size") + 0.5)).cast("int")
-    return after.where((F.col("island") > 0) & (F.col("size") >= 1.5)).select(*keys, "after_seq", "after_key", "next_key", "empty_paragraphs", lines.alias("lines"))
+    return after.where((F.col("island") > 0) & (F.col("size") >= 1.5)).select(*keys, "after_seq", "after_key", "next_key", "empty_paragraphs", _space_lines(F.col("size")).alias("lines"))
+
+
+def _blank_size() -> Column:
+    return F.greatest(F.lit(1.0), F.coalesce("spacing_line", F.lit(240.0)) / 240) + F.coalesce("breaks", F.lit(0)) + (F.coalesce("spacing_before", F.lit(0.0)) + F.coalesce("spacing_after", F.lit(0.0))) / 240
+
+
+def _space_lines(size: Column) -> Column:
+    return F.least(F.lit(12), F.floor(size + 0.5)).cast("int")
+
+
+def spaces_after(paragraphs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """paragraphs with ``space_lines``: those of ``writing_spaces`` after the paragraph, null where there is none."""
+    visible = F.col("visible")
+    df = paragraphs.withColumn("island", F.count_if(visible).over(W.partitionBy(*keys).orderBy("seq")))
+    df = df.withColumn("size", F.sum(F.when(~visible, _blank_size())).over(W.partitionBy(*keys, "island")))
+    return df.withColumn("space_lines", F.when(visible & (F.col("size") >= 1.5), _space_lines(F.col("size")))).drop("island", "size")
 
 
 def without_separators(paragraphs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """paragraphs without the empty ones between list items: those whose neighbours are both list items, and those whose nearest visible paragraphs
+    """paragraphs without the empty ones between list items (``separators``)."""
+    return separators(paragraphs, keys).where("not gone").drop("gone")
+
+
+def separators(paragraphs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """paragraphs with ``gone``: the empty ones between list items, whose neighbours are both list items, or whose nearest visible paragraphs
     are; the first and the last stay."""
     order = W.partitionBy(*keys).orderBy("seq")
     behind = W.partitionBy(*keys).orderBy(F.col("seq").desc()).rowsBetween(W.unboundedPreceding, -1)  # what follows, in one running pass
@@ -152,7 +171,7 @@ def without_separators(paragraphs: DataFrame, keys: tuple[str, ...] = ("doc_id",
     near = F.coalesce(F.lag("is_list").over(order), F.lit(False)) & F.coalesce(F.lead("is_list").over(order), F.lit(False))
     far = F.coalesce(F.last(seen, True).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(False)) & F.coalesce(F.last(seen, True).over(behind), F.lit(False))
     edge = F.lag("seq").over(order).isNull() | F.lead("seq").over(order).isNull()
-    return paragraphs.withColumn("gone", ~F.col("visible") & ~edge & (near | far)).where("not gone").drop("gone")
+    return paragraphs.withColumn("gone", ~F.col("visible") & ~edge & (near | far))
 
 
 def page_breaks(blocks: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:

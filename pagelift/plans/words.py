@@ -55,7 +55,7 @@ def word_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     packages = _packages(spark, sf_dir)
     rows = word.rows(packages)
     size = F.length(F.regexp_replace("text", f"[{X.WS}]", "")).cast("long")
-    found = word.summary(packages, rows, word.blocks(rows))
+    found = word.summary(table(spark, sf_dir, "documents"), rows, word.blocks(rows))  # the same keys, without packing again
     letters = word.runs(rows).groupBy("doc_id").agg(F.sum(size).alias("letters"), F.sum(F.when(F.col("bold"), size)).alias("bold_letters"))
     out = found.join(letters, "doc_id", "left")
     zero = F.lit(0).cast("long")

@@ -9,8 +9,10 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import numbers as N
 from ..functions import text as X
@@ -187,23 +189,41 @@ _WORD = "part string, p_seq long, r_seq long, style_id string, text string, num_
 
 
 def word_packages(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), column: str = "content") -> DataFrame:
-    """keys and the columns of ``word_rows``; a package that cannot be read gives one row with ``error``. One package in memory at a time."""
-    names = [f.split()[0] for f in _WORD.split(", ")]
-    fields = [docs.schema[k] for k in keys]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", " + _WORD
+    """keys and the columns of ``word_rows``; a package that cannot be read gives one row with ``error``. One package is parsed at a time, rows of several are handed on together."""
+    fields = T.StructType.fromDDL(_WORD).fields
+    schema = T.StructType([docs.schema[k] for k in keys] + fields)
+    kinds = [_ARROW[f.dataType.simpleString()] for f in fields]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.itertuples(index=False):
-                key = [getattr(r, k) for k in keys]
+            place: list[int] = []
+            held: list[tuple] = []
+
+            def batch() -> pa.RecordBatch:
+                columns = zip(*held, strict=True) if held else ([] for _ in fields)
+                made = [b.column(k).take(pa.array(place, pa.int64())) for k in keys] + [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)]
+                place.clear()
+                held.clear()
+                return pa.RecordBatch.from_arrays(made, names=schema.names)
+
+            for i, content in enumerate(b.column(column)):
                 try:
-                    rows = [(*key, *x, *[None] * (len(names) - len(x))) for x in word_rows(bytes(getattr(r, column) or b""))]
+                    rows = [(*x, *[None] * (len(fields) - len(x))) for x in word_rows(content.as_py() or b"")]
                 except (ValueError, KeyError, zipfile.BadZipFile, ElementTree.ParseError) as e:
-                    rows = [(*key, "error", *[None] * (len(names) - 2), f"{type(e).__name__}: {e}")]
-                yield pd.DataFrame(rows, columns=[*keys, *names]).astype({"p_seq": "Int64", "r_seq": "Int64", "breaks": "Int64"})
+                    rows = [("error", *[None] * (len(fields) - 2), f"{type(e).__name__}: {e}")]
+                place += [i] * len(rows)
+                held += rows
+                if len(held) >= _AT_ONCE:
+                    yield batch()
+            yield batch()
 
     reachable(docs.sparkSession)
-    return docs.select(*keys, column).mapInPandas(run, schema)
+    return docs.select(*keys, column).mapInArrow(run, schema)
+
+
+_ARROW = {"bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64()}
+#: Rows that are handed on together, and those of one package more.
+_AT_ONCE = 8192
 
 
 # fixed values: devices and their settings
