@@ -17,20 +17,22 @@ PAGE = ("doc_id", "page")
 
 
 def text_items(items: DataFrame, keys: tuple[str, ...] = PAGE) -> DataFrame:
-    """Items with text: x, y, width, height, char_width, text and space_before (the source item before is blank and has a width)."""
-    order = W.partitionBy(*keys).orderBy("item_seq")
+    """Items with text: x, y, width, height, char_width, text, n_chars (without white space around) and space_before (the source item before is blank and has a width)."""
     blank = X.trimmed(F.coalesce("str", F.lit(""))) == ""
-    before = F.coalesce(F.lag(blank & (F.coalesce("width", F.lit(0.0)) > 0)).over(order), F.lit(False))
-    t = F.col("transform")
+    t, width = F.col("transform"), F.coalesce("width", F.lit(0.0))
     text = X.token_spacing(F.col("str"))
     height = N.or_default(F.col("height"), N.or_default(F.abs(F.get(t, F.lit(3))), N.or_default(F.abs(F.get(t, F.lit(0))), 10)))
-    out = items.withColumn("space_before", before).where(~blank & (F.size(t) >= 6))
-    width = F.coalesce(F.col("width"), F.lit(0.0))
-    return out.select(*keys, "item_seq", "font_name", text.alias("text"), F.get(t, F.lit(4)).alias("x"), F.get(t, F.lit(5)).alias("y"), width.alias("width"), height.alias("height"), F.greatest(width / F.greatest(F.length(text), F.lit(1)), F.lit(2.0)).alias("char_width"), "space_before")
+    # all that needs one item alone comes before the window, so that what no one asks for is not moved
+    out = items.select(
+        *keys, "item_seq", "font_name", text.alias("text"), F.get(t, F.lit(4)).alias("x"), F.get(t, F.lit(5)).alias("y"), width.alias("width"), height.alias("height"), F.greatest(width / F.greatest(F.length(text), F.lit(1)), F.lit(2.0)).alias("char_width"),
+        F.length(X.trimmed(F.coalesce(text, F.lit("")))).alias("n_chars"), (blank & (width > 0)).alias("spaces"), (~blank & (F.size(t) >= 6)).alias("said"),
+    )
+    before = F.coalesce(F.lag("spaces").over(W.partitionBy(*keys).orderBy("item_seq")), F.lit(False))
+    return out.withColumn("space_before", before).where("said").drop("spaces", "said")
 
 
-def cluster_lines(items: DataFrame, keys: tuple[str, ...] = PAGE) -> DataFrame:
-    """(keys, item_seq, line_no, line_y, item_no): an item joins the open line if it is no further from the line's first item than 2.5, or 0.45 of the larger of the two
+def cluster_lines(items: DataFrame, keys: tuple[str, ...] = PAGE, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, item_seq, line_no, line_y, item_no, carried): an item joins the open line if it is no further from the line's first item than 2.5, or 0.45 of the larger of the two
     heights. Items come in the order of ``ordered_items`` with a tolerance of 2; ``item_no`` counts those of a line by x."""
     its = F.transform("its", lambda i: F.struct(i["seq"].alias("item_seq"), i["across"].alias("x"), i["item"]["y"].cast("double").alias("y"), i["item"]["height"].cast("double").alias("height")))
 
@@ -43,10 +45,11 @@ def cluster_lines(items: DataFrame, keys: tuple[str, ...] = PAGE) -> DataFrame:
         )
 
     zero = F.struct(F.lit(-1).alias("no"), F.lit(0.0).alias("y"), F.lit(0.0).alias("top"), F.array().cast("array<struct<item_seq:bigint,x:double,line_no:int,line_y:double>>").alias("out"))
-    pages = _in_order(items.select(*keys, "item_seq", "x", "y", "height"), 2.0, keys)
-    placed = pages.select(*keys, F.explode(F.aggregate(its, zero, step, lambda a: a["out"])).alias("o")).select(*keys, "o.*")
-    along = W.partitionBy(*keys, "line_no").orderBy("x", "item_seq")
-    return placed.withColumn("item_no", (F.row_number().over(along) - 1).cast("int")).drop("x")
+    pages = _in_order(items.select(*keys, "item_seq", *dict.fromkeys(("x", "y", "height", *carried))), 2.0, keys)
+    both = F.zip_with(F.aggregate(its, zero, step, lambda a: a["out"]), "its", lambda o, i: F.struct(o.alias("o"), i["item"].alias("i")))
+    placed = pages.select(*keys, F.explode(both).alias("b")).select(*keys, "b.o.item_seq", "b.o.line_no", "b.o.line_y", F.col("b.o.x").alias("_x"), *[f"b.i.{c}" for c in carried])
+    along = W.partitionBy(*keys, "line_no").orderBy("_x", "item_seq")
+    return placed.withColumn("item_no", (F.row_number().over(along) - 1).cast("int")).drop("_x")
 
 
 def baselines(ys: Column) -> Column:
@@ -56,18 +59,24 @@ def baselines(ys: Column) -> Column:
 
 def whitespace(lines: DataFrame, page_height: Column | float = 0.0, keys: tuple[str, ...] = PAGE) -> DataFrame:
     """(keys, line_no, gap, space_lines) of the lines that a writing space follows."""
+    return spaced(lines, page_height, keys).where("space_lines is not null").select(*keys, "line_no", "gap", "space_lines")
+
+
+def spaced(lines: DataFrame, page_height: Column | float = 0.0, keys: tuple[str, ...] = PAGE) -> DataFrame:
+    """lines with gap (to the next one) and space_lines, null where no writing space follows."""
     height = page_height if isinstance(page_height, Column) else F.lit(float(page_height))
     order = W.partitionBy(*keys).orderBy("line_no")
     per_page = W.partitionBy(*keys)
     h = N.or_default(F.col("max_height"), N.or_default(F.col("line_height"), 10))
     df = lines.withColumn("gap", F.col("y") - F.lead("y").over(order)).withColumn("page_h", height)
-    df = df.withColumn("mh", N.or_default(F.median(h).over(per_page), 10)).where(F.col("gap") > F.col("mh") * 0.55)
+    df = df.withColumn("mh", N.or_default(F.median(h).over(per_page), 10)).withColumn("wide", F.coalesce(F.col("gap") > F.col("mh") * 0.55, F.lit(False)))
     ordinary = F.col("gap") <= F.greatest(F.col("mh") * 2.6, F.col("page_h") * 0.045)
-    df = df.withColumn("typical", N.or_default(F.median(F.when(ordinary, F.col("gap"))).over(per_page), N.or_default(F.median("gap").over(per_page), F.col("mh") * 1.5)))
+    df = df.withColumn("typical", N.or_default(F.median(F.when(F.col("wide") & ordinary, F.col("gap"))).over(per_page), N.or_default(F.median(F.when(F.col("wide"), F.col("gap"))).over(per_page), F.col("mh") * 1.5)))
     big = F.col("gap") >= F.greatest(F.col("typical") * 1.65, F.col("mh") * 2.75, F.col("page_h") * 0.045)
     surplus = F.col("gap") - F.col("typical")
-    out = df.where(big & (surplus >= F.greatest(F.col("mh") * 1.05, F.col("page_h") * 0.018)))
-    return out.select(*keys, "line_no", "gap", N.clamped(N.rounded(surplus / F.col("mh")), 2, 12).cast("int").alias("space_lines"))
+    size = N.clamped(N.rounded(surplus / F.col("mh")), 2, 12).cast("int")
+    follows = F.col("wide") & big & (surplus >= F.greatest(F.col("mh") * 1.05, F.col("page_h") * 0.018))
+    return df.withColumn("space_lines", F.when(follows, size)).drop("page_h", "mh", "wide", "typical")
 
 
 def column_centres(xs: DataFrame, tolerance: Column | float, keys: tuple[str, ...] = PAGE) -> DataFrame:
@@ -141,10 +150,11 @@ def reading_columns(items: DataFrame, page_width: float, page_height: float, key
     along = W.partitionBy(*keys).orderBy("centre")
     pairs = chains.withColumn("high", F.lead("centre").over(along)).withColumn("no", F.row_number().over(along)).where(F.col("high") - F.col("centre") >= max(0.055 * page_width, 28.0))
     pairs = pairs.select(*keys, "no", F.col("centre").alias("low"), "high", ((F.col("centre") + F.col("high")) / 2).alias("split")).where(F.col("split").between(0.18 * page_width, 0.72 * page_width))
-    counted = items.where(X.trimmed(F.coalesce("text", F.lit(""))) != "").withColumn("n_items", F.count("*").over(W.partitionBy(*keys))).where("n_items >= 14")
+    weight = F.col("n_chars") if "n_chars" in items.columns else F.length(X.trimmed(F.coalesce("text", F.lit(""))))
+    counted = items.select(*keys, "item_seq", "x", "y", "width", weight.alias("weight")).where("weight > 0").withColumn("n_items", F.count("*").over(W.partitionBy(*keys))).where("n_items >= 14")
     both = counted.join(pairs, list(keys))
     left = F.col("x") < F.col("split")
-    weight = F.length(X.trimmed(F.col("text")))
+    weight = F.col("weight")
     crosses = left & (F.col("x") + F.col("width") > F.col("high") - max(4.0, 0.008 * page_width))
     side = both.groupBy(*keys, "no", "low", "high", "split").agg(
         *[F.transform(F.array_sort(F.collect_list(F.when(side_of, F.struct("item_seq", F.col("y").cast("double").alias("y"))))), lambda i: i["y"]).alias(name) for name, side_of in (("left_y", left), ("right_y", ~left))],
@@ -168,22 +178,34 @@ def page_extents(lines: DataFrame, page_height: float, keys: tuple[str, ...] = P
 
 def block_position(lines: DataFrame, page_width: float, page_height: float, keys: tuple[str, ...]) -> DataFrame:
     """(keys, alignment, vertical_position) of each block from its lines' x_start, x_end and top."""
-    w = max(page_width, 1.0)
     centre = (F.col("x_start") + F.col("x_end")) / 2
     a = lines.groupBy(*keys).agg(
         F.count("*").alias("n"), F.min("x_start").alias("left"), F.max("x_end").alias("right"), (F.max(centre) - F.min(centre)).alias("centre_spread"),
         (F.max("x_start") - F.min("x_start")).alias("start_spread"), (F.max("x_end") - F.min("x_end")).alias("end_spread"), F.max("top").alias("top"),
     )
-    left, right = F.greatest(F.lit(0.0), F.col("left") / w), F.greatest(F.lit(0.0), (w - F.col("right")) / w)
-    occupied = N.clamped((F.col("right") - F.col("left")) / w, 0, 1)
-    centred = (occupied < 0.86) & (F.abs(left - right) <= 0.075) & ((F.col("n") == 1) | (F.col("centre_spread") <= w * 0.045))
-    many = F.col("n") >= 2
+    return a.select(*keys, *_position(page_width, page_height, *(F.col(c) for c in ("n", "left", "right", "centre_spread", "start_spread", "end_spread", "top"))))
+
+
+def array_position(lines: str, page_width: float, page_height: float) -> tuple[Column, Column]:
+    """alignment and vertical_position as of ``block_position``, of an array of a block's lines."""
+    start, end, top = (F.col(lines)[c] for c in ("x_start", "x_end", "top"))
+    centre = F.transform(lines, lambda x: (x["x_start"] + x["x_end"]) / 2)
+    spread = lambda a: F.array_max(a) - F.array_min(a)
+    return _position(page_width, page_height, F.size(lines), F.array_min(start), F.array_max(end), spread(centre), spread(start), spread(end), F.array_max(top))
+
+
+def _position(page_width: float, page_height: float, n: Column, first: Column, last: Column, centre_spread: Column, start_spread: Column, end_spread: Column, top: Column) -> tuple[Column, Column]:
+    w = max(page_width, 1.0)
+    left, right = F.greatest(F.lit(0.0), first / w), F.greatest(F.lit(0.0), (w - last) / w)
+    occupied = N.clamped((last - first) / w, 0, 1)
+    centred = (occupied < 0.86) & (F.abs(left - right) <= 0.075) & ((n == 1) | (centre_spread <= w * 0.045))
+    many = n >= 2
     alignment = (
-        F.when(centred, F.lit("center")).when(many & (F.col("end_spread") <= w * 0.025) & (F.col("start_spread") > w * 0.04), F.lit("right"))
-        .when(many & (F.col("start_spread") <= w * 0.025), F.lit("left")).when((left > 0.24) & (left - right >= 0.12), F.lit("right")).otherwise(F.lit("left"))
+        F.when(centred, F.lit("center")).when(many & (end_spread <= w * 0.025) & (start_spread > w * 0.04), F.lit("right"))
+        .when(many & (start_spread <= w * 0.025), F.lit("left")).when((left > 0.24) & (left - right >= 0.12), F.lit("right")).otherwise(F.lit("left"))
     )
-    ratio = N.clamped((page_height - F.col("top")) / max(page_height, 1.0), 0, 1)
-    return a.select(*keys, alignment.alias("alignment"), N.vertical_zone(ratio).alias("vertical_position"))
+    ratio = N.clamped((page_height - top) / max(page_height, 1.0), 0, 1)
+    return alignment.alias("alignment"), N.vertical_zone(ratio).alias("vertical_position")
 
 
 def grid_geometry(rules: DataFrame, keys: tuple[str, ...] = PAGE) -> DataFrame:

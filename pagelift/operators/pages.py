@@ -1,6 +1,6 @@
 """Pages of positioned text to blocks: lines, reading columns, writing spaces, tables, headings, paragraphs and list items, in reading order.
 
-Composed of the operators of ``layout`` and ``tables``, with the rows written between the steps that use them several times; a group is one page at most. A page that its decoder could not read (``error``) becomes one placeholder block and
+Composed of the operators of ``layout`` and ``tables``, over one partitioning by page; the lines are stored once, for prose, tables and spaces; a group is one page at most. A page that its decoder could not read (``error``) becomes one placeholder block and
 disturbs no other; text without a usable position is passed over.
 """
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as X
-from ..session import written
+from ..session import stored
 from . import layout, tables
 
 #: A smaller reading column with at most this share of the other's baselines is a side rail.
@@ -22,20 +22,19 @@ SIDE_RAIL = 0.55
 def lines(items: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """(keys, line_no, text, y, x_start, x_end, line_height, max_height, char_width, family, size, bold, cells) of text items (``layout.text_items``)."""
     traits = X.font_traits(F.col("font_name"))
-    styled = items.join(layout.cluster_lines(items, keys), [*keys, "item_seq"]).withColumn("family", F.coalesce(traits["family"], F.lit(""))).withColumn("bold", F.coalesce(traits["bold"], F.lit(False)))
-    styled = written(styled)
-    at = [*keys, "line_no"]
-    parts = styled.select(*at, F.col("item_no").alias("part_no"), "x", "width", "char_width", "height", "y", "text", F.concat_ws("|", "family", F.col("bold").cast("string")).alias("signature"), "space_before")
-    runs = tables.runs_of_line(parts, tuple(at))
-    said = F.transform(F.array_sort(F.collect_list(F.struct("run_no", "gap_level", "text"))), lambda r: F.concat(F.when(r["gap_level"] > 0, F.lit(" ")).otherwise(F.lit("")), r["text"]))
-    text = runs.groupBy(*at).agg(F.array_join(said, "").alias("text"))
+    placed = layout.cluster_lines(items, keys, ("font_name", "text", "x", "y", "width", "height", "char_width", "space_before"))
+    styled = placed.withColumn("family", F.coalesce(traits["family"], F.lit(""))).withColumn("bold", F.coalesce(traits["bold"], F.lit(False)))
+    styled = styled.withColumn("signature", F.concat_ws("|", "family", F.col("bold").cast("string"))).withColumn("part_no", F.col("item_no"))
     cell = F.struct("x", (F.col("x") + F.col("width")).alias("end"), "text")
-    shape = styled.groupBy(*at).agg(
+    found = styled.groupBy(*keys, "line_no").agg(
         F.first("line_y").alias("y"), F.min("x").alias("x_start"), F.max(F.col("x") + F.col("width")).alias("x_end"), F.max("height").alias("max_height"), F.min("char_width").alias("char_width"),
-        F.bool_or("bold").alias("bold"), F.array_sort(F.collect_list(cell)).alias("cells"),
+        F.bool_or("bold").alias("bold"), F.array_sort(F.collect_list(cell)).alias("cells"), tables.gathered_parts().alias("parts"), F.collect_list(F.struct("item_no", "family", F.length("text").alias("n"))).alias("fonts"),
     )
-    family = layout.dominant_family(styled.select(*at, "family", "text", F.col("item_no").alias("run_no")), tuple(at))
-    out = shape.join(text, at).join(family, at)
+    said = F.transform(tables.runs_of_parts(F.col("parts")), lambda r: F.concat(F.when(r["gap_level"] > 0, F.lit(" ")).otherwise(F.lit("")), r["text"]))
+    # as layout.dominant_family
+    own = lambda f: F.filter("fonts", lambda i: i["family"] == f)
+    weighed = F.transform(F.array_distinct(F.transform("fonts", lambda i: i["family"])), lambda f: F.struct(F.aggregate(own(f), F.lit(0), lambda n, i: n + i["n"]).alias("weight"), (-F.array_min(F.transform(own(f), lambda i: i["item_no"]))).alias("early"), f.alias("family")))
+    out = found.withColumn("text", F.array_join(said, "")).withColumn("family", F.array_max(weighed)["family"]).drop("parts", "fonts")
     return out.withColumn("line_height", F.col("max_height")).withColumn("size", F.col("max_height"))
 
 
@@ -77,11 +76,11 @@ def text_blocks(lines: DataFrame, keys: tuple[str, ...]) -> DataFrame:
             F.concat(acc["out"], F.array(F.struct(it["line_no"].alias("line_no"), fresh.alias("fresh"), heading.alias("heading"), F.when(heading, it["level"]).alias("level")))).alias("out"),
         )
 
-    its = F.array_sort(F.collect_list(F.struct("line_no", "level", "family", "gap", "before", "median", "breaks")))
+    its = F.array_sort(F.collect_list(F.struct("line_no", "level", "family", "gap", "before", "median", "breaks", F.struct("text", "y", "x_start", "x_end", "top", "char_width").alias("line"))))
     zero = F.struct(F.lit(False).alias("pending"), F.lit(False).alias("in_heading"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("string").alias("family"), F.array().cast("array<struct<line_no:int,fresh:boolean,heading:boolean,level:int>>").alias("out"))
-    kinds = marked.withColumn("line_no", F.col("line_no").cast("int")).groupBy(*keys).agg(its.alias("its")).select(*keys, F.explode(F.aggregate("its", zero, step, lambda a: a["out"])).alias("o")).select(*keys, "o.*")
-    kinds = kinds.withColumn("block_no", F.sum(F.when(F.col("fresh"), 1).otherwise(0)).over(order).cast("int")).drop("fresh")
-    each = joined.drop("level").join(kinds, [*keys, "line_no"])
+    both = F.zip_with(F.aggregate("its", zero, step, lambda a: a["out"]), "its", lambda o, i: F.struct(o.alias("o"), i["line"].alias("line")))
+    kinds = marked.withColumn("line_no", F.col("line_no").cast("int")).groupBy(*keys).agg(its.alias("its")).select(*keys, F.explode(both).alias("b")).select(*keys, "b.o.*", "b.line.*")
+    each = kinds.withColumn("block_no", F.sum(F.when(F.col("fresh"), 1).otherwise(0)).over(order).cast("int")).drop("fresh")
     told = F.array_sort(F.collect_list(F.struct("line_no", "text")))
     out = each.groupBy(*keys, "block_no", "heading").agg(
         F.min("line_no").alias("line_no"), F.min("level").alias("level"), told.alias("told"), F.max("y").alias("y"), F.array_sort(F.collect_list(F.struct("line_no", "x_start", "x_end", "top"))).alias("lines"), F.min_by("char_width", "line_no").alias("char_width"),
@@ -98,26 +97,26 @@ def blocks(items: DataFrame, pages: DataFrame, keys: tuple[str, ...] = layout.PA
     Nulls: an item without text or a whole transform is passed over. Pages without items have no blocks. Ties go by item_seq. Other columns are not carried.
     """
     at = [*keys, "side"]
-    text = layout.text_items(items.join(pages.where("error is not null").select(*keys), list(keys), "left_anti"), keys).withColumn("item_seq", F.col("item_seq").cast("long"))
+    failing = pages.where("error is not null").select(*keys)
+    text = layout.text_items(items, keys).join(failing, list(keys), "left_anti").withColumn("item_seq", F.col("item_seq").cast("long"))
     split = layout.reading_columns(text, page_width, page_height, keys).select(*keys, "split")
+    grids = pages.select(*keys, F.coalesce("has_grid", F.lit(False)).alias("has_grid"))
     sided = text.join(split, list(keys), "left").withColumn("side", F.when(F.col("split").isNull(), F.lit("")).when(F.col("x") < F.col("split"), F.lit("left")).otherwise(F.lit("right"))).drop("split")
-    built = written(lines(written(sided), tuple(at)))
-    spaces = layout.whitespace(built, page_height, tuple(at))
     order = W.partitionBy(*at).orderBy("line_no")
-    held = built.join(spaces.select(*at, "line_no", "gap", "space_lines"), [*at, "line_no"], "left")
+    held = layout.spaced(lines(sided, tuple(at)), page_height, tuple(at))
     held = held.withColumn("segment", F.coalesce(F.sum(F.when(F.col("space_lines").isNotNull(), 1).otherwise(0)).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     inside = [*at, "segment"]
-    grids = held.select(*inside).distinct().join(pages.select(*keys, "has_grid"), list(keys), "left").withColumn("has_grid", F.coalesce("has_grid", F.lit(False)))
-    rows = tables.regions(held, grids, tuple(inside)).select(*inside, "line_no", "row_no", F.col("cells").alias("row_cells"), "header")
-    known = held.join(rows, [*inside, "line_no"], "left")
-    known = written(known.withColumn("island", F.sum(F.when(F.col("row_no") == 0, 1).otherwise(0)).over(W.partitionBy(*inside).orderBy("line_no"))))
-
-    prose = written(text_blocks(known.where("row_no is null"), (*inside, "island")))
-    left = built.groupBy(*keys).agg(F.min("x_start").alias("text_left"))
+    rest = [c for c in held.columns if c not in (*inside, "line_no")]
+    seen = held.groupBy(*inside).agg(F.array_sort(F.collect_list(F.struct("line_no", *rest))).alias("ls")).join(grids, list(keys), "left")
+    shape = F.transform("ls", lambda x: F.struct(*(x[c].alias(c) for c in ("line_no", "y", "line_height", "bold", "char_width", "cells"))))
+    seen = seen.withColumn("rs", tables.rows_of(shape, F.coalesce("has_grid", F.lit(False))))
+    known = seen.select(*inside, F.explode(F.zip_with("ls", "rs", lambda x, r: F.struct(x.alias("l"), r.alias("r")))).alias("b")).select(*inside, "b.l.*", F.col("b.r.row_no").alias("row_no"), F.col("b.r.cells").alias("row_cells"), F.col("b.r.tables").alias("island"))
+    known = stored(known.drop("cells"), "zstd")  # read for prose, tables and spaces
+
+    prose = text_blocks(known.where("row_no is null").repartition(*keys), (*inside, "island"))
+    left = known.groupBy(*keys).agg(F.min("x_start").alias("text_left"))
     marker = X.list_marker(F.col("text"))
-    prose = prose.join(left, list(keys)).withColumn("m", F.when((F.col("type") == "paragraph"), marker))
-    position = layout.block_position(prose.select(*at, "line_no", F.explode("lines").alias("l")).select(*at, "line_no", "l.x_start", "l.x_end", "l.top"), page_width, page_height, (*at, "line_no"))
-    prose = prose.join(position, [*at, "line_no"])
+    prose = prose.join(left, list(keys)).withColumn("m", F.when((F.col("type") == "paragraph"), marker)).select("*", *layout.array_position("lines", page_width, page_height))
     listed = F.col("m").isNotNull()
     ragged = (F.col("side") != "") & (F.size("lines") >= 2) & (F.col("alignment") == "right")  # prose of a narrow column stays to the left
     indent = N.indent_level(F.element_at("lines", 1)["x_start"], F.col("text_left"), F.col("char_width"))
@@ -132,12 +131,12 @@ def blocks(items: DataFrame, pages: DataFrame, keys: tuple[str, ...] = layout.PA
         return df.select(*at, place.cast("double").alias("place"), y.alias("y"), F.lit(kind).alias("type"), *[none.cast(t).alias(c) for c, t in (("level", "int"), ("format", "string"), ("marker", "string"), ("text", "string"))], cells.alias("cells"), space.alias("space_lines"), none.cast("string").alias("alignment"), none.cast("string").alias("vertical_position"))
 
     tabled = plain(known.where("row_no is not null"), "table", F.col("line_no"), F.col("y"), F.col("row_cells"), none.cast("int"))
-    spacer = plain(held.where("space_lines is not null"), "spacer", F.col("line_no") + 0.5, F.col("y") - F.col("gap") / 2, none.cast("array<string>"), F.col("space_lines"))
-    every = prose.unionByName(tabled).unionByName(spacer)
-    # two columns are read by height, the left one first where blocks stand side by side
-    numbered = every.withColumn("item_seq", F.row_number().over(W.partitionBy(*keys).orderBy("side", "place")).cast("long")).withColumn("x", F.when(F.col("side") == "right", 1.0).otherwise(0.0))
-    single = numbered.where("side = ''").withColumn("seq", F.col("item_seq").cast("int"))
-    double = layout.ordered_items(numbered.where("side <> ''"), 3.0, keys).withColumn("seq", F.col("rank").cast("int")).drop("rank")
+    spacer = plain(known.where("space_lines is not null"), "spacer", F.col("line_no") + 0.5, F.col("y") - F.col("gap") / 2, none.cast("array<string>"), F.col("space_lines"))
+    every = prose.unionByName(tabled.repartition(*keys)).unionByName(spacer.repartition(*keys))
+    # a page has one column or two; two are read by height, the left one first where blocks stand side by side
+    numbered = lambda df: df.withColumn("item_seq", F.row_number().over(W.partitionBy(*keys).orderBy("side", "place")).cast("long")).withColumn("x", F.when(F.col("side") == "right", 1.0).otherwise(0.0))
+    single = numbered(every.where("side = ''")).withColumn("seq", F.col("item_seq").cast("int"))
+    double = layout.ordered_items(numbered(every.where("side <> ''")), 3.0, keys).withColumn("seq", F.col("rank").cast("int")).drop("rank")
     out = single.unionByName(double).withColumn("column", F.nullif(F.col("side"), F.lit("")))
     shown = ["seq", "type", "level", "format", "marker", "text", "cells", "space_lines", "column", "alignment", "vertical_position"]
     failed = pages.where("error is not null").select(*keys, F.lit(1).alias("seq"), F.lit("failed").alias("type"), *[none.cast(t).alias(c) for c, t in (("level", "int"), ("format", "string"), ("marker", "string"))], F.concat(F.lit("(Failed to extract page "), F.col(keys[-1]).cast("string"), F.lit(": "), "error", F.lit(")")).alias("text"), none.cast("array<string>").alias("cells"), none.cast("int").alias("space_lines"), *[none.cast("string").alias(c) for c in ("column", "alignment", "vertical_position")])

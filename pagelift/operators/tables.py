@@ -5,8 +5,10 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 from statistics import median
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -180,6 +182,12 @@ def runs_of_line(parts: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     A gap over 0.55 of the running mean width, a blank item or a raised verse number makes 1 to 12 spaces; from five on, the next run bears a gap level instead.
     Parts of one signature and level are one run.
     """
+    lines = parts.groupBy(*keys).agg(gathered_parts().alias("its"))
+    return lines.select(*keys, F.posexplode(runs_of_parts(F.col("its"))).alias("run_no", "r")).select(*keys, "run_no", "r.*")
+
+
+def runs_of_parts(its: Column) -> Column:
+    """The runs (text, signature, gap_level) of an array of a line's parts, by the rule of ``runs_of_line``."""
     def step(acc: Column, p: Column) -> Column:
         gap = p["x"] - acc["end"]
         units = F.greatest(F.lit(1), F.least(F.lit(12), F.floor(gap / acc["space"] + 0.5).cast("int")))
@@ -193,10 +201,28 @@ def runs_of_line(parts: DataFrame, keys: tuple[str, ...]) -> DataFrame:
         out = F.when(same, grown).otherwise(F.concat(acc["out"], F.array(F.struct(said.alias("text"), p["signature"].alias("signature"), level.alias("gap_level")))))
         return F.struct((p["x"] + p["width"]).alias("end"), ((acc["space"] + p["char_width"]) / 2).alias("space"), p["text"].alias("text"), p["height"].alias("height"), p["y"].alias("y"), out.alias("out"))
 
-    numbers = [F.col(c).cast("double").alias(c) for c in ("x", "width", "char_width", "height", "y")]
-    its = F.array_sort(F.collect_list(F.struct(numbers[0], "part_no", *numbers[1:], "text", "signature", F.coalesce("space_before", F.lit(False)).alias("space_before"))))
     none = F.lit(None).cast("double")
-    first = F.get(F.col("its"), F.lit(0))["char_width"]
+    first = F.get(its, F.lit(0))["char_width"]
     zero = F.struct(none.alias("end"), F.coalesce(first, F.lit(4.0)).alias("space"), F.lit("").alias("text"), none.alias("height"), none.alias("y"), F.array().cast("array<struct<text:string,signature:string,gap_level:int>>").alias("out"))
-    lines = parts.groupBy(*keys).agg(its.alias("its"))
-    return lines.select(*keys, F.posexplode(F.aggregate("its", zero, step, lambda a: a["out"])).alias("run_no", "r")).select(*keys, "run_no", "r.*")
+    return F.aggregate(its, zero, step, lambda a: a["out"])
+
+
+def gathered_parts() -> Column:
+    """The parts of a group's line as an array in order, for ``runs_of_parts``."""
+    numbers = [F.col(c).cast("double").alias(c) for c in ("x", "width", "char_width", "height", "y")]
+    return F.array_sort(F.collect_list(F.struct(numbers[0], "part_no", *numbers[1:], "text", "signature", F.coalesce("space_before", F.lit(False)).alias("space_before"))))
+
+
+def rows_of(lines: Column, has_grid: Column) -> Column:
+    """For each of an array of a region's lines (as in ``regions``, in order) a struct of row_no, cells and header, null where it is prose, and ``tables``, how many have begun: ``regions`` without moving the lines."""
+    kind = "array<struct<row_no:int,cells:array<string>,header:boolean,tables:int>>"
+
+    def placed(pages: pa.Array, grids: pa.Array) -> pa.Array:
+        out = []
+        for ls, grid in zip(pages.to_pylist(), grids.to_pylist(), strict=True):
+            at = {no: (k, row, header) for no, _, k, row, header in _page(ls, bool(grid))}
+            begun = accumulate(at.get(x["line_no"], (None,))[0] == 0 for x in ls)
+            out.append([dict(zip(("row_no", "cells", "header"), at.get(x["line_no"], (None,) * 3), strict=True), tables=int(n)) for x, n in zip(ls, begun, strict=True)])
+        return pa.array(out, pa.list_(pa.struct([("row_no", pa.int32()), ("cells", pa.list_(pa.string())), ("header", pa.bool_()), ("tables", pa.int32())])))
+
+    return F.arrow_udf(placed, kind)(lines, has_grid)

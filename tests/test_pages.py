@@ -64,3 +64,12 @@ def test_columns_tables_spaces_and_failures(spark):
     s = pages.summary(blocks, kinds).first()
     assert (s.pages, s.table_rows, s.list_items, s.column_pages, s.failed_pages, s.image_pages, s.blank_pages) == (6, 4, 1, 1, [3], [4], [5])
     assert pages.blocks(items_df.limit(0), pages_df.limit(0)).count() == 0
+
+
+def test_texts_are_stored_once_and_not_joined(spark):
+    """Lines carry their text from the items to the stored rows over one partitioning by page; what comes after reads these."""
+    items = spark.createDataFrame([item(1, 1, k, f"some words {k}", 72, 780 - 14 * k) for k in range(9)], ITEMS)
+    made = pages.lines(items.selectExpr("*", "transform[4] x", "transform[5] y", "str text", "4.0d char_width", "false space_before"), ("doc_id", "page"))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    assert [(r.line_no, r.text) for r in made.orderBy("line_no").collect()] == [(k, f"some words {k}") for k in range(9)]
